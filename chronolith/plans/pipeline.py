@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronolith.functions.identity import message_key
+from chronolith.functions.identity import environment, family_key, message_key
+from chronolith.operators.asof_join import attributes_as_known, known_since
 from chronolith.operators.dedupe import MessageStore
+from chronolith.operators.late import PeriodCounts
 from chronolith.runtime import table
 
 
@@ -14,7 +16,57 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MessageStore(spark).upsert(ledger, message_key(), F.col("id"), ["id"]).dropped()
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with exactly one copy of each message."""
+    ledger = table(spark, sf_dir, "ledger_events")
+    columns = ["id", "tenant_id", "project_id", "environment_id", "trace_id", "span_id", "seq", "observed_at_unix_ms"]
+    return MessageStore(spark).upsert(ledger, message_key(), F.col("id"), columns).kept()
+
+
+#: Batches of arrival over which p2 replays the ledger.
+P2_BATCHES = 4
+
+
+def _period_counts(spark: SparkSession, sf_dir: str) -> PeriodCounts:
+    ledger = table(spark, sf_dir, "ledger_events")
+    kept = MessageStore(spark).upsert(ledger, message_key(), F.col("id"), ["id", "tenant_id", "project_id", "observed_at_unix_ms", "ingested_at_unix_ms"]).kept()
+    ends = ledger.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    batch = F.floor((F.col("id") - lo) * P2_BATCHES / F.lit(hi - lo + 1)).cast("int")
+    periods = PeriodCounts(spark, ["tenant_id", "project_id"])
+    periods.log(kept, F.col("id"), F.col("observed_at_unix_ms"), F.col("ingested_at_unix_ms"), batch)
+    for n in range(P2_BATCHES):
+        periods.apply(n)
+    return periods
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = _period_counts(spark, sf_dir).arrivals().filter(F.col("outcome").isin("correction", "too_late"))
+    return late.select("event_id", "period_start_unix_ms", "outcome")
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by tenant, project and hour after all corrections."""
+    return _period_counts(spark, sf_dir).counts().select("tenant_id", "project_id", "period_start_unix_ms", "messages")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger, nodes = table(spark, sf_dir, "ledger_events"), table(spark, sf_dir, "memory_nodes")
+    spans, reads = table(spark, sf_dir, "node_spans"), table(spark, sf_dir, "read_subjects")
+    entity = ["tenant_id", "project_id", "env", "family"]
+    asked = reads.select(F.col("event_id").alias("id"), family_key(F.col("canonical_key")).alias("family"))
+    asked = asked.join(ledger.select("id", "tenant_id", "project_id", environment(F.col("environment_id")).alias("env"), F.col("observed_at_unix_ms").alias("at"), F.col("ingested_at_unix_ms").alias("by")), "id")
+    known = known_since(spans, ledger, message_key(), "node_id", "ingested_at_unix_ms").withColumnRenamed("cited_by", "version")
+    closing = ledger.select(F.col("id").alias("valid_to_event_id"), F.col("ingested_at_unix_ms").alias("closed_known_at"))
+    versions = nodes.select(
+        F.col("id").alias("version"), "tenant_id", "project_id", environment(F.col("environment_id")).alias("env"), family_key(F.col("canonical_key")).alias("family"),
+        F.col("valid_from_unix_ms").alias("valid_from"), F.col("valid_to_unix_ms").alias("valid_to"), "valid_to_event_id",
+    )
+    versions = versions.join(known, "version").join(closing, "valid_to_event_id", "left")
+    return attributes_as_known(asked.withColumnRenamed("id", "event_id"), versions, entity).select("event_id", F.col("version").alias("node_id"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found}
 
 _KEYED = """
 keyed AS (
@@ -26,4 +78,32 @@ copies AS (
 
 ORACLE = {
     "p1_found": f"WITH {_KEYED} SELECT kept_id, id AS dropped_id FROM copies WHERE id <> kept_id",
+    "p1_kept": f"""WITH {_KEYED} SELECT id, tenant_id, project_id, environment_id, trace_id, span_id, seq, observed_at_unix_ms
+        FROM copies WHERE id = kept_id""",
+    "p2_found": f"""WITH {_KEYED}, cases AS (
+          SELECT id, ingested_at_unix_ms AS ing, observed_at_unix_ms - observed_at_unix_ms % 3600000 AS p FROM copies WHERE id = kept_id)
+        SELECT id AS event_id, p AS period_start_unix_ms, CASE WHEN ing < p + 7 * 3600000 THEN 'correction' ELSE 'too_late' END AS outcome
+        FROM cases WHERE ing >= p + 3600000""",
+    "p2_counts": f"""WITH {_KEYED}
+        SELECT tenant_id, project_id, observed_at_unix_ms - observed_at_unix_ms % 3600000 AS period_start_unix_ms, count(*) AS messages
+        FROM copies WHERE id = kept_id AND ingested_at_unix_ms < observed_at_unix_ms - observed_at_unix_ms % 3600000 + 7 * 3600000
+        GROUP BY ALL""",
+    "p3_found": f"""WITH {_KEYED},
+        first_in AS (SELECT tenant_id, project_id, tkey, skey, seq, min(ingested_at_unix_ms) AS at FROM keyed GROUP BY ALL),
+        known AS (
+          SELECT s.node_id, min(f.at) AS known_at FROM node_spans s JOIN first_in f
+            ON s.tenant_id = f.tenant_id AND s.project_id = f.project_id AND s.seq = f.seq
+            AND lower(trim(s.trace_id, E' \t\n\r\x0b\x0c')) = f.tkey AND lower(trim(s.span_id, E' \t\n\r\x0b\x0c')) = f.skey
+          GROUP BY s.node_id),
+        reads AS (
+          SELECT r.event_id, split_part(r.canonical_key, '|rev:', 1) AS fam, e.tenant_id, e.project_id, coalesce(e.environment_id, '') AS env,
+            e.observed_at_unix_ms AS at, e.ingested_at_unix_ms AS ing FROM read_subjects r JOIN ledger_events e ON e.id = r.event_id),
+        versions AS (
+          SELECT n.id, n.tenant_id, n.project_id, coalesce(n.environment_id, '') AS env, split_part(n.canonical_key, '|rev:', 1) AS fam,
+            n.valid_from_unix_ms AS vf, n.valid_to_unix_ms AS vt, k.known_at, c.ingested_at_unix_ms AS closed
+          FROM memory_nodes n JOIN known k ON k.node_id = n.id LEFT JOIN ledger_events c ON c.id = n.valid_to_event_id)
+        SELECT r.event_id, max_by(v.id, (v.vf, v.id)) AS node_id
+        FROM reads r JOIN versions v USING (tenant_id, project_id, env, fam)
+        WHERE v.vf <= r.at AND v.known_at <= r.ing AND (v.vt IS NULL OR v.vt > r.at OR v.closed IS NULL OR v.closed > r.ing)
+        GROUP BY r.event_id""",
 }
