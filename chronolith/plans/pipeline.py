@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from chronolith.functions.identity import environment, family_key, message_key
 from chronolith.operators.asof_join import attributes_as_known, known_since
 from chronolith.operators.dedupe import MessageStore
+from chronolith.operators import drift
+from chronolith.operators.intervals import periods_and_gaps
 from chronolith.operators.late import PeriodCounts
-from chronolith.runtime import table
+from chronolith.operators.nested import flatten_objects
+from chronolith.runtime import materialize, shared_dir, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +69,42 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributes_as_known(asked.withColumnRenamed("id", "event_id"), versions, entity).select("event_id", F.col("version").alias("node_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatten_objects(table(spark, sf_dir, "ledger_events"))
+
+
+def _span_leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    leaf = materialize(drift.leaves(table(spark, sf_dir, "raw_spans")), "leaves")
+    return leaf, drift.field_types(leaf), table(spark, sf_dir, "span_files")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(*_span_leaves(spark, sf_dir)).select("file_id", "change_kind", "field_path", "new_path")
+
+
+def p5_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, schema, files = _span_leaves(spark, sf_dir)
+    return drift.versions(schema, files)
+
+
+def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files in one consistent table, one row a value."""
+    shared_dir(spark)
+    leaf, schema, files = _span_leaves(spark, sf_dir)
+    change = materialize(drift.changes(leaf, schema, files), "changes")
+    return drift.unify(leaf, schema, files, change)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "memory_nodes")
+    rows = nodes.select(
+        "tenant_id", "project_id", environment(F.col("environment_id")).alias("environment_id"), family_key(F.col("canonical_key")).alias("family_key"),
+        F.col("valid_from_unix_ms").alias("start"), F.col("valid_to_unix_ms").alias("end"),
+    )
+    return periods_and_gaps(rows, ["tenant_id", "project_id", "environment_id", "family_key"])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_counts, p3_found, p4_found, p5_found, p5_versions, p5_table, p6_found)}
 
 _KEYED = """
 keyed AS (
