@@ -1,10 +1,16 @@
 """The text kernel as Catalyst expressions: normal form, terms, keys, ids, overlap, clipping, tokens.
 
-All of it stays in the JVM; every function takes and returns columns.  Null text gives null unless noted.
+All of it stays in the JVM but for the hash of ids, which takes whole Arrow batches; every function takes and returns columns.  Null text gives null unless noted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
@@ -15,6 +21,11 @@ STOP_WORDS = (
 ).split()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize_text(text: Column) -> Column:
     """ASCII letters, digits and ``_ . / -`` in lower case; runs of anything else are one space."""
     return F.btrim(F.lower(F.regexp_replace(text, r"[^A-Za-z0-9_./-]+", " ")), F.lit(" "))
@@ -48,11 +59,14 @@ def squash(text: Column) -> Column:
 
 def clip_bytes(text: Column, limit: int) -> Column:
     """Text of more than ``limit`` UTF-8 bytes, cut at a character and marked with three dots."""
-    raw = F.encode(text, "UTF-8")
-    # the last character that fits begins where the byte after the cut is no continuation
-    cut = F.array_max(F.filter(F.sequence(F.lit(limit - 3), F.lit(limit)), lambda k: ~F.hex(F.substring(raw, k + 1, F.lit(1))).rlike("^[89AB]")))
-    clipped = F.rtrim(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"))
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(clipped, F.lit("...")))
+
+    def cut(t: Column) -> Column:
+        raw = F.encode(t, "UTF-8")
+        # the last character that fits ends where the byte after the cut is no continuation
+        at = F.array_max(F.filter(F.sequence(F.lit(limit - 3), F.lit(limit)), lambda k: ~F.hex(F.substring(raw, k + 1, F.lit(1))).rlike("^[89AB]")))
+        return F.when(F.octet_length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.decode(F.substring(raw, F.lit(1), at), "UTF-8")), F.lit("...")))
+
+    return let(text, cut)
 
 
 def concise(text: Column, limit: int) -> Column:
@@ -66,10 +80,11 @@ def excerpt(text: Column, limit: int = 240) -> Column:
 _HEX = "0123456789ABCDEF"
 
 
-def fnv1a64(*parts: Column) -> Column:
+def fnv1a64_expr(*parts: Column) -> Column:
     """FNV-1a over the parts, each followed by a byte 255, as 16 hex digits.
 
-    The state is two 32-bit limbs, so no product leaves the range of a long.
+    This is the form for use inside lambdas; over whole tables ``fnv1a64`` is far cheaper.  The state is two
+    32-bit limbs, so no product leaves the range of a long.
     """
     data = F.hex(F.concat(*[x for p in parts for x in (F.encode(p, "UTF-8"), F.unhex(F.lit("FF")))]))
     # split once into bytes: a lambda would compute anything else that it reads again for every byte
@@ -86,21 +101,59 @@ def fnv1a64(*parts: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: F.concat(limb(acc["hi"]), limb(acc["lo"])))
 
 
+def _fnv_batch(data: pa.Array) -> pa.Array:
+    """FNV-1a of each binary, byte position by byte position over all rows that are long enough."""
+    data = data.cast(pa.large_binary())
+    n = len(data)
+    offsets = np.frombuffer(data.buffers()[1], np.int64, n + 1, data.offset * 8)
+    raw = np.frombuffer(data.buffers()[2], np.uint8) if data.buffers()[2] else np.empty(0, np.uint8)
+    size = np.diff(offsets)
+    order = np.argsort(-size, kind="stable")
+    start, left = offsets[:-1][order], -size[order]
+    h = np.full(n, 0xCBF29CE484222325, np.uint64)
+    prime = np.uint64(0x100000001B3)
+    for j in range(int(size.max(initial=0))):
+        live = np.searchsorted(left, -j, "left")  # the rows of more than j bytes
+        h[:live] = (h[:live] ^ raw[start[:live] + j]) * prime
+    out = np.empty(n, np.uint64)
+    out[order] = h
+    hexed = pa.array([f"{x:016x}" for x in out.tolist()], pa.string())
+    return pc.if_else(data.is_valid(), hexed, None)
+
+
+@lru_cache(maxsize=1)
+def _fnv_udf():
+    def fnv(data: pa.Array) -> pa.Array:
+        return _fnv_batch(data)
+
+    return F.arrow_udf(fnv, StringType())
+
+
+def fnv1a64(*parts: Column) -> Column:
+    """As ``fnv1a64_expr``, by whole Arrow batches: about one microsecond a row, where the expression takes one a byte."""
+    return _fnv_udf()(F.concat(*[x for p in parts for x in (F.encode(p, "UTF-8"), F.unhex(F.lit("FF")))]))
+
+
 def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), fnv1a64(*parts))
 
 
 def canonical_key(kind: Column, text: Column) -> Column:
     """kind and the top twelve terms; texts without terms are told apart by the hash of their normal form."""
-    normal = normalize_text(text)
-    top = F.array_join(top_terms(normal, 12), " ")
-    return F.concat(kind, F.lit(":"), F.when(top == "", stable_id("empty", normal)).otherwise(top))
+    top = F.array_join(top_terms(text, 12), " ")
+    key = let(top, lambda t: F.when(t == "", F.concat(F.lit("empty_"), fnv1a64_expr(normalize_text(text)))).otherwise(t))
+    return F.concat(kind, F.lit(":"), key)
 
 
 def overlap(left_terms: Column, right_terms: Column) -> Column:
     """Jaccard of two term arrays; 0 if one is empty."""
-    both = F.size(F.array_intersect(left_terms, right_terms))
-    return F.when((F.size(left_terms) == 0) | (F.size(right_terms) == 0), F.lit(0.0)).otherwise(both / (F.size(left_terms) + F.size(right_terms) - both))
+
+    def ratio(x: Column) -> Column:
+        a, b = F.size(x["a"]), F.size(x["b"])
+        both = F.size(F.array_intersect(x["a"], x["b"]))
+        return F.when((a == 0) | (b == 0), F.lit(0.0)).otherwise(both / (a + b - both))
+
+    return let(F.struct(left_terms.alias("a"), right_terms.alias("b")), ratio)
 
 
 def estimate_tokens(text: Column) -> Column:

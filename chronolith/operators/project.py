@@ -96,8 +96,8 @@ def edges_add_only(said: DataFrame, cues: DataFrame) -> DataFrame:
 
 def project(ledger: DataFrame, clock_unix_ms: int) -> dict[str, DataFrame]:
     """nodes, edges, spans and cues of the events that add."""
-    said = materialize(identified(memories(classified(ledger).filter("op = 'add'"))), "said")
-    cues = materialize(identified(cue_memories(said)), "cues")
+    said = materialize(identified(materialize(memories(classified(ledger).filter("op = 'add'")), "memories")), "said")
+    cues = materialize(identified(materialize(cue_memories(said), "cue-memories")), "cues")
     every = said.unionByName(cues.drop("of_part"))
     nodes = nodes_add_only(every, clock_unix_ms)
     return {"nodes": nodes, "edges": edges_add_only(said, cues), "spans": node_spans(every), "cues": cue_index(nodes)}
