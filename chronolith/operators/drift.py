@@ -60,7 +60,7 @@ def leaves(records: DataFrame) -> DataFrame:
     rows = records.select("file_id", "line_no", F.expr(leaves_sql("record")).alias("leaf")).filter(F.col("leaf").isNotNull())
     type_, text = _typed("x.value")
     rows = rows.select("file_id", "line_no", F.expr(f"transform(leaf, x -> named_struct('path', x.path, 'type', {type_}, 'value', {text}))").alias("leaf"))
-    id_of = lambda name: F.expr(f"filter(leaf, x -> x.path = '{name}')[0].value")
+    id_of = lambda name: F.expr(f"get(filter(leaf, x -> x.path = '{name}'), 0).value")
     rows = rows.select("file_id", "line_no", id_of("trace_id").alias("trace_id"), id_of("span_id").alias("span_id"), F.explode("leaf").alias("x"))
     return rows.select("file_id", "line_no", "trace_id", "span_id", F.col("x.path").alias("field_path"), F.col("x.type").alias("type"), F.col("x.value").alias("value"))
 

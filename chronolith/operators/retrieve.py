@@ -92,6 +92,28 @@ def seed_nodes(questions: DataFrame, nodes: DataFrame, sources: DataFrame, first
     return best.withColumn("seed_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).filter(F.col("seed_rank") <= limit).select("query_id", "node_id", "seed_rank")
 
 
+def neighbours(asking: DataFrame, nodes: DataFrame, first: DataFrame, limit: int = 24) -> DataFrame:
+    """query_id, node_id, place: active nodes near a text in its scope, by cue terms as seeds are. asking: query_id, scope, at, q_terms."""
+    q = with_scope(asking).select("query_id", *SCOPE, "at", F.explode("q_terms").alias("term"))
+    cues = with_scope(cue_index(nodes)).select("term", "node_id", *SCOPE, "weight")
+    facts = nodes.select(F.col("id").alias("node_id"), "valid_from_unix_ms", "valid_to_unix_ms")
+    rows = q.join(cues, [*SCOPE, "term"]).join(facts, "node_id")
+    rows = rows.filter((F.col("valid_from_unix_ms") <= F.col("at")) & (F.col("valid_to_unix_ms").isNull() | (F.col("valid_to_unix_ms") > F.col("at")))).join(first, "node_id", "left")
+    order = [F.col("weight").desc(), F.col("valid_from_unix_ms").desc(), F.coalesce("first_event_id", F.lit(0)).desc(), F.col("node_id")]
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "term").orderBy(*order))).filter(F.col("nth") <= limit)
+    best = rows.groupBy("query_id", "node_id").agg(F.min(F.struct("term", "nth")).alias("best"))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("best"))).filter(F.col("place") <= limit).select("query_id", "node_id", "place")
+
+
+def revision_targets(asking: DataFrame, nodes: DataFrame, near: DataFrame, update: float = 0.35, invalidate: float = 0.12, targets: int = 3) -> DataFrame:
+    """Neighbours of the text's own kind (``mkind``) that overlap enough to be updated or, the first three, invalidated."""
+    facts = nodes.select(F.col("id").alias("node_id"), "kind", F.col("text").alias("node_text"))
+    rows = near.join(asking.select("query_id", "q_terms", "mkind"), "query_id").join(facts, "node_id").filter(F.col("kind") == F.col("mkind"))
+    rows = rows.withColumn("overlap", overlap(F.col("q_terms"), terms(F.col("node_text")))).filter(F.col("overlap") >= invalidate)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
+    return rows.select("query_id", "node_id", "overlap", (F.col("overlap") >= update).alias("updates"), (nth <= targets).alias("invalidates"))
+
+
 def history(questions: DataFrame, nodes: DataFrame, sources: DataFrame, first: DataFrame, limit: int = HISTORY) -> DataFrame:
     """query_id, node_id, node_order: the newest nodes of a question's scope and kinds, closed ones too."""
     q = questions.select("query_id", *SCOPE, "as_of", "known_at", "kinds")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from chronolith import evaluate as E
 from chronolith.functions import classify as C, text as T
-from chronolith.operators import bitemporal as B, project as P, retrieve as R
+from chronolith.operators import bitemporal as B, maintenance as M, project as P, retrieve as R
 from chronolith.operators.fold import fold, fold_edges, fold_nodes
+from chronolith.operators.reconstruct import reconstruct
 from chronolith.plans import sql as S
 from chronolith.runtime import materialize, table
-from chronolith.sources import ledger as L
+from chronolith.sources import ledger as L, spans as X
 
 # The instants at which the fixed reads look: valid time and transaction time.
 AS_OF, KNOWN_AT = 1_516_000_000_000, 1_516_050_000_000
@@ -506,3 +508,171 @@ def project_add_spans(spark, sf_dir):
 )
 def project_add_edges(spark, sf_dir):
     return _projected(spark, sf_dir)["edges"].select("from_node_id", "to_node_id", "kind", "weight", "created_at_unix_ms", "source_event_id")
+
+
+# -- neighbours and revision targets ------------------------------------------------------------------------------
+_ASKING = f"""a AS (
+  SELECT id AS query_id, tenant_id, project_id, coalesce(environment_id, '') AS env, text, observed_at_unix_ms AS at, {S.terms('text')} AS q_terms, {S.memory_kind('name', 'text')} AS mkind
+  FROM ledger_events WHERE span_kind = 'memory.write' AND id % {EVERY} = 0)"""
+_NEAR = """near_rows AS (
+  SELECT a.query_id, c.term, c.node_id, row_number() OVER (PARTITION BY a.query_id, c.term ORDER BY c.weight DESC, c.valid_from_unix_ms DESC, coalesce(f.first_event_id, 0) DESC, c.node_id) AS nth
+  FROM (SELECT *, unnest(q_terms) AS term FROM a) a JOIN cues c ON c.tenant_id = a.tenant_id AND c.project_id = a.project_id AND c.env = a.env AND c.term = a.term
+  JOIN n ON n.id = c.node_id LEFT JOIN firsts f ON f.node_id = c.node_id WHERE n.valid_from_unix_ms <= a.at AND (n.valid_to_unix_ms IS NULL OR n.valid_to_unix_ms > a.at)),
+near AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY min((term, nth)))::INT AS place FROM near_rows WHERE nth <= 24 GROUP BY 1, 2 QUALIFY place <= 24)"""
+
+
+def _near(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    writes = _raw(spark, sf_dir).filter(f"span_kind = 'memory.write' AND id % {EVERY} = 0")
+    asking = writes.select(F.col("id").alias("query_id"), "tenant_id", "project_id", "environment_id", "text", F.col("observed_at_unix_ms").alias("at"), T.terms(F.col("text")).alias("q_terms"), C.memory_kind(F.col("name"), F.col("text")).alias("mkind"))
+    nodes = table(spark, sf_dir, "memory_nodes")
+    return asking, nodes, R.neighbours(asking, nodes, B.first_events(_sources(spark, sf_dir)))
+
+
+@query(f"WITH {S.LEDGER}, {S.SOURCES}, {S.FIRST}, {_NODES}, {_CUES}, {_ASKING}, {_NEAR} SELECT query_id, node_id, place FROM near")
+def neighbours(spark, sf_dir):
+    return _near(spark, sf_dir)[2]
+
+
+@query(
+    f"""WITH {S.LEDGER}, {S.SOURCES}, {S.FIRST}, {_NODES}, {_CUES}, {_ASKING}, {_NEAR},
+    o AS (SELECT a.query_id, r.node_id, r.place, {S.overlap('a.q_terms', S.terms('n.text'))} AS overlap FROM near r JOIN a USING (query_id) JOIN n ON n.id = r.node_id WHERE n.kind = a.mkind)
+    SELECT query_id, node_id, round(overlap, 9) AS overlap, overlap >= 0.35 AS updates, row_number() OVER (PARTITION BY query_id ORDER BY place) <= 3 AS invalidates FROM o WHERE overlap >= 0.12"""
+)
+def revision_targets(spark, sf_dir):
+    asking, nodes, near = _near(spark, sf_dir)
+    return R.revision_targets(asking, nodes, near).withColumn("overlap", F.round("overlap", 9))
+
+
+@query(f"WITH {_BASE}, {_CTX}, p AS (SELECT query_id, node_id, obs, greatest(as_of - updated, 0) / 86400000.0 AS age FROM ctx) SELECT query_id, node_id, round(least(greatest(ln(obs + 1) / 4 * pow(1 + age, -0.28), 0), 1), 6) AS base, round(1 / (1 + age / 45), 6) AS fresh FROM p")
+def base_freshness(spark, sf_dir):
+    ctx = _Context(spark, sf_dir).consulted()
+    base = R.base_level(F.col("observation_count"), F.col("updated_at_unix_ms"), F.col("as_of"))
+    return ctx.select("query_id", "node_id", F.round(base, 6).alias("base"), F.round(R.freshness(F.col("updated_at_unix_ms"), F.col("as_of")), 6).alias("fresh"))
+
+
+@query()
+def reconstruct_active(spark, sf_dir):
+    c = _Context(spark, sf_dir)
+    ctx, seen, picked = c.picked()
+    return reconstruct(c.questions, ctx, seen, picked)
+
+
+# -- sources ------------------------------------------------------------------------------
+_STR = lambda p: f"CASE WHEN json_type(j, '{p}') = 'VARCHAR' THEN json_extract_string(j, '{p}') END"
+
+
+@query(
+    f"""WITH r AS (SELECT file_id, line_no, CASE WHEN json_valid(record) THEN record::JSON END AS j FROM raw_spans), o AS (SELECT * FROM r WHERE json_type(j) = 'OBJECT')
+    SELECT file_id, line_no, coalesce({_STR('$.span_kind')}, {_STR('$.attributes."openinference.span.kind"')},
+      json_extract_string(j, '$.attributes."' || list_filter(json_keys(j, '$.attributes'), lambda k: suffix(k, '.span.kind') AND k <> 'openinference.span.kind')[1] || '"'), {_STR('$.kind')}, 'agent.step') AS span_kind FROM o"""
+)
+def spans_kind(spark, sf_dir):
+    rows = X.parsed(table(spark, sf_dir, "raw_spans")).filter("schema_of_variant(v) LIKE 'OBJECT%'")
+    return rows.select("file_id", "line_no", X.span_kind().alias("span_kind"))
+
+
+@query()
+def spans_to_events(spark, sf_dir):
+    return X.span_events(table(spark, sf_dir, "raw_spans"), CLOCK)
+
+
+# -- upkeep ------------------------------------------------------------------------------
+_KINDS = ["episode", "fact", "entity_cue", "tag", "procedure", "state", "gotcha", "anti_memory", "topic"]
+_ACTIVE = f"valid_from_unix_ms <= {AS_OF} AND (valid_to_unix_ms IS NULL OR valid_to_unix_ms > {AS_OF})"
+
+
+@query(
+    f"""SELECT 'ledger_events' AS metric, count(*) AS value FROM ledger_events UNION ALL SELECT 'pending_events', count(*) FROM ledger_events WHERE projected_at_unix_ms IS NULL
+    UNION ALL SELECT 'nodes', count(*) FROM memory_nodes UNION ALL SELECT 'active_nodes', count(*) FROM memory_nodes WHERE {_ACTIVE}
+    UNION ALL SELECT 'total_node_tokens', coalesce(sum(token_estimate), 0)::BIGINT FROM memory_nodes UNION ALL SELECT 'active_node_tokens', coalesce(sum(token_estimate), 0)::BIGINT FROM memory_nodes WHERE {_ACTIVE}
+    {' '.join(f"UNION ALL SELECT 'active_{k}_nodes', count(*) FROM memory_nodes WHERE kind = '{k}' AND {_ACTIVE}" for k in _KINDS)}
+    UNION ALL SELECT 'edges', count(*) FROM memory_edges"""
+)
+def store_stats(spark, sf_dir):
+    return M.stats(_raw(spark, sf_dir), table(spark, sf_dir, "memory_nodes"), table(spark, sf_dir, "memory_edges"), AS_OF)
+
+
+@query(f"SELECT kind, count(*) AS active FROM memory_nodes WHERE {_ACTIVE} GROUP BY kind")
+def active_by_kind(spark, sf_dir):
+    return table(spark, sf_dir, "memory_nodes").filter(B.active_at(AS_OF)).groupBy("kind").agg(F.count("*").alias("active"))
+
+
+def _tables(spark, sf_dir):
+    nodes = table(spark, sf_dir, "memory_nodes")
+    return nodes, table(spark, sf_dir, "memory_edges"), table(spark, sf_dir, "node_spans"), R.cue_index(nodes)
+
+
+@query(
+    """SELECT 'orphan_edges_from' AS metric, count(*) AS value FROM memory_edges WHERE from_node_id NOT IN (SELECT id FROM memory_nodes)
+    UNION ALL SELECT 'orphan_edges_to', count(*) FROM memory_edges WHERE to_node_id NOT IN (SELECT id FROM memory_nodes)
+    UNION ALL SELECT 'orphan_node_spans', count(*) FROM node_spans WHERE node_id NOT IN (SELECT id FROM memory_nodes) UNION ALL SELECT 'orphan_cue_index_entries', 0"""
+)
+def graph_integrity(spark, sf_dir):
+    return M.integrity(*_tables(spark, sf_dir))
+
+
+@query("SELECT id, from_node_id, to_node_id, kind FROM memory_edges WHERE from_node_id IN (SELECT id FROM memory_nodes) AND to_node_id IN (SELECT id FROM memory_nodes)")
+def orphans_repaired(spark, sf_dir):
+    return M.without_orphans(*_tables(spark, sf_dir))[0].select("id", "from_node_id", "to_node_id", "kind")
+
+
+def _audit(spark, sf_dir) -> DataFrame:
+    """The ledger's arrivals as an audit trail."""
+    return _raw(spark, sf_dir).select("id", F.col("ingested_at_unix_ms").alias("occurred_at_unix_ms"), F.col("tenant_id").alias("actor"), F.col("span_kind").alias("action"), F.col("status").alias("outcome"))
+
+
+@query("SELECT id, ingested_at_unix_ms AS occurred_at_unix_ms, tenant_id AS actor FROM ledger_events ORDER BY ingested_at_unix_ms DESC, id DESC LIMIT 100")
+def audit_recent(spark, sf_dir):
+    return M.audit_recent(_audit(spark, sf_dir), 100).select("id", "occurred_at_unix_ms", "actor")
+
+
+@query(f"SELECT id FROM ledger_events WHERE ingested_at_unix_ms >= {AS_OF} ORDER BY ingested_at_unix_ms DESC, id DESC LIMIT 1000")
+def audit_prune(spark, sf_dir):
+    """An age limit, then the newest thousand."""
+    return M.audit_pruned(_audit(spark, sf_dir), AS_OF, 1000).select("id")
+
+
+@query("SELECT span_kind AS action, status AS outcome, count(*) AS requests FROM ledger_events GROUP BY ALL")
+def service_metrics(spark, sf_dir):
+    return M.request_metrics(_audit(spark, sf_dir))
+
+
+@query()
+def rate_limit_fixed_window(spark, sf_dir):
+    return M.rate_limited(_audit(spark, sf_dir), "actor", "occurred_at_unix_ms", "id", 5)
+
+
+# -- evaluation ------------------------------------------------------------------------------
+_JUDGED = """told AS (SELECT DISTINCT node_id AS case_id, text FROM node_spans JOIN memory_nodes ON id = node_id),
+wanted AS (SELECT DISTINCT s.node_id AS case_id, e.name AS wanted FROM node_spans s JOIN ledger e USING (tenant_id, project_id, trace_id, span_id, seq)),
+checks AS (SELECT w.case_id, w.wanted, coalesce(bool_or(contains(lower(t.text), lower(w.wanted))), false) AS ok FROM wanted w LEFT JOIN told t USING (case_id) GROUP BY ALL)"""
+
+
+@query(f"WITH {S.LEDGER}, {_JUDGED} SELECT case_id, round(avg(ok::INT), 9) AS score, count(*) AS checks_total, count_if(ok) AS checks_matched FROM checks GROUP BY 1")
+def eval_judged(spark, sf_dir):
+    """Whether each node's text holds the names of the events it cites."""
+    cites = table(spark, sf_dir, "node_spans").distinct().join(_ledger(spark, sf_dir).select(*L.EXACT_KEY, F.col("name").alias("wanted")), L.EXACT_KEY)
+    expected = cites.select(F.col("node_id").alias("case_id"), F.lit("evidence").alias("field"), "wanted").distinct()
+    told = table(spark, sf_dir, "memory_nodes").select(F.col("id").alias("case_id"), F.lit("evidence").alias("field"), "text")
+    return E.judged(expected, told).withColumn("score", F.round("score", 9))
+
+
+def _cases(spark, sf_dir) -> DataFrame:
+    n = table(spark, sf_dir, "memory_nodes")
+    return n.select("id", F.col("kind").alias("ability"), F.when(F.col("valid_to_unix_ms").isNull(), "activation").otherwise("active_reconstruction").alias("tier"), F.when(F.col("observation_count") > 1, F.lit(1.0)).alias("baseline"),
+                    F.col("confidence").alias("score"), F.col("observation_count").alias("checks_total"), F.lit(1).alias("checks_matched"), (F.col("confidence") >= 0.7).alias("passed"), F.col("token_estimate").alias("evidence_tokens"), F.lit(1).alias("answer_tokens"))
+
+
+@query(
+    """SELECT count(*) AS cases, count_if(confidence >= 0.7) AS passed, count_if(confidence < 0.7) AS failed, round(avg(confidence), 9) AS score, sum(observation_count)::BIGINT AS checks_total,
+    round(greatest(avg(CASE WHEN observation_count > 1 THEN 1.0::DOUBLE END) - avg(CASE WHEN observation_count > 1 THEN confidence END), 0), 9) AS context_saturation_gap, sum(token_estimate)::BIGINT AS evidence_tokens_total FROM memory_nodes"""
+)
+def eval_summary(spark, sf_dir):
+    """The suite summary, with nodes standing for cases and their confidence for the score."""
+    s = E.summary(_cases(spark, sf_dir))
+    return s.select("cases", "passed", "failed", F.round("score", 9).alias("score"), "checks_total", F.round("context_saturation_gap", 9).alias("context_saturation_gap"), "evidence_tokens_total")
+
+
+@query("SELECT kind AS ability, count(*) AS cases, count_if(confidence >= 0.7) AS passed, round(avg(confidence), 9) AS score FROM memory_nodes GROUP BY kind")
+def eval_by_ability(spark, sf_dir):
+    return E.by_ability(_cases(spark, sf_dir)).withColumn("score", F.round("score", 9))

@@ -30,7 +30,7 @@ def _said(path: str, of: str = "v") -> Column:
 
 def _attribute(suffix: str, first: str | None = None) -> Column:
     """A string attribute whose name ends in .suffix; the OpenInference name counts first."""
-    found = F.expr(f"filter(map_entries(try_variant_get(v, '$.attributes', 'map<string,string>')), e -> endswith(e.key, '.{suffix}') AND e.key <> '{first or ''}')[0].value")
+    found = F.expr(f"get(filter(map_entries(try_variant_get(v, '$.attributes', 'map<string,string>')), e -> endswith(e.key, '.{suffix}') AND e.key <> '{first or ''}'), 0).value")
     return F.coalesce(_string(f'$.attributes["{first}"]'), found) if first else found
 
 
