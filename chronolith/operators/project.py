@@ -39,7 +39,10 @@ def memories(events: DataFrame) -> DataFrame:
 
 
 def cue_memories(said: DataFrame) -> DataFrame:
-    """The entity cues of each memory, after all of its kind: part 2 and up by place."""
+    """The entity cues of each memory: the top terms of its version, which speaks in the words that came first."""
+    version = [*FAMILY, "valid_from"]
+    first = said.groupBy(*version).agg(F.min_by("text", F.struct("event_id", "part")).alias("first_text"))
+    said = said.join(first, version).withColumn("text", F.col("first_text")).drop("first_text")
     rows = said.select("event_id", "tenant_id", "project_id", "env", "environment_id", "trace_id", "span_id", "seq", "valid_from", F.col("part").alias("of_part"), F.posexplode(top_terms(F.col("text"), CUES)).alias("pos", "text"))
     return rows.withColumn("kind", F.lit("entity_cue")).withColumn("base_key", canonical_key(F.col("kind"), F.col("text"))).withColumn("part", 2 + 100 * F.col("of_part") + F.col("pos")).drop("pos")
 

@@ -466,7 +466,8 @@ two AS (
   SELECT id AS event_id, tenant_id, project_id, env, environment_id, trace_id, span_id, seq, observed_at_unix_ms AS vf, 0 AS part, 'episode' AS kind, span_kind || ' ' || name || ': ' || body AS text FROM k
   UNION ALL SELECT id, tenant_id, project_id, env, environment_id, trace_id, span_id, seq, observed_at_unix_ms, 1, mkind, body FROM k),
 said AS (SELECT *, CASE WHEN kind = 'episode' THEN 'episode:' || trace_id || ':' || span_id || ':' || seq ELSE {S.canonical_key('kind', 'text')} END AS base FROM two),
-cue0 AS (SELECT event_id, tenant_id, project_id, env, environment_id, trace_id, span_id, seq, vf, part AS of_part, unnest({S.top_terms('text', 8)}) AS text FROM said),
+cue0 AS (SELECT event_id, tenant_id, project_id, env, environment_id, trace_id, span_id, seq, vf, part AS of_part, unnest({S.top_terms('ftext', 8)}) AS text
+  FROM (SELECT *, first_value(text) OVER (PARTITION BY tenant_id, project_id, env, kind, base, vf ORDER BY event_id, part) AS ftext FROM said)),
 cue AS (SELECT *, 'entity_cue:' || coalesce(nullif(array_to_string({S.top_terms('text', 12)}, ' '), ''), '') AS base FROM cue0),
 every AS (SELECT event_id, tenant_id, project_id, env, environment_id, trace_id, span_id, seq, vf, part, kind, text, base FROM said
   UNION ALL SELECT event_id, tenant_id, project_id, env, environment_id, trace_id, span_id, seq, vf, 2, 'entity_cue', text, base FROM cue)"""
