@@ -249,7 +249,7 @@ def _period_ends(doc: Document, block: str, at: int, end: int, nxt: int, first:
         if word in ANNOUNCING:
             return False
         return word not in CLOSING or doc.starter(x) or not following
-    if _no_period_script(c):
+    if _no_period_script(c) or word and _no_period_script(word[-1]):
         return False
     if at - first <= len(before) + 1 and word and not NUMBER.fullmatch(word) and (word in ANNOUNCING or len(word) == 1):
         return False
