@@ -127,13 +127,14 @@ class Known:
     def __init__(self, counts: dict[tuple[str, str], int]):
         get = counts.get
         self.starts: dict[str, bool] = {}
-        #: Words that never start a sentence.
+        #: Common words, more than any name, that never start a sentence.
         self.inner: set[str] = set()
+        often = max(20, 0.001 * sum(n for (kind, _), n in counts.items() if kind == "M"))
         for kind, w in list(counts):
             if kind in "SM" and w not in self.starts:
                 s, m = get(("S", w), 0), get(("M", w), 0)
                 self.starts[w] = s >= 3 and s >= 0.3 * (s + m)
-                if s + m >= 20 and s < 0.05 * (s + m):
+                if s + m >= often and s < 0.05 * (s + m):
                     self.inner.add(w)
         self.abbreviations: set[str] = set()
         for w in {w for kind, w in counts if kind in "ldu"}:
@@ -238,17 +239,19 @@ def _period_ends(doc: Document, block: str, at: int, end: int, nxt: int, first:
     x = plain(following[0]) if following else ""
     name = x.rstrip(".")
     if not spaced:  # a scan may have lost the space
-        if c.isdigit() or not (c.isupper() or c in "¿¡«„“\""):
-            return not c.isascii() and c.isalpha() and not c.islower() and word[-1:].isdigit() is False and len(word) > 1 and word.isascii() is False and not _no_period_script(c)
+        if c.isdigit() or c.isascii() and not c.isupper() and c != '"':
+            return False
+        if not c.isupper() and c not in "¿¡«„“\"":
+            return c.isalpha() and len(word) > 1 and not word.isascii() and not word[-1].isdigit() and not _no_period_script(c)
+        if not word or word[-1] in "ºª" or not following:
+            return True
         if NUMBER.fullmatch(word):
             return len(word) > 2 and name.isalpha() and doc.starter(x)
-        if len(word) < 2 or "." in word:
-            return (word in CLOSING) and doc.starter(x)
-        if c.isupper() and len(name) == 1 and x.endswith("."):
-            return doc.starter(x)
-        if word in ANNOUNCING:
+        if word in CLOSING:
+            return name not in CONTINUING and (doc.starter(x) or len(name) > 1 and x not in doc.known.inner)
+        if len(word) < 2 or "." in word or word in ANNOUNCING:
             return False
-        return word not in CLOSING or doc.starter(x) or not following
+        return len(name) > 1 or not x.endswith(".") or doc.starter(x)
     if _no_period_script(c) or word and _no_period_script(word[-1]):
         return False
     if at - first <= len(before) + 1 and word and not NUMBER.fullmatch(word) and (word in ANNOUNCING or len(word) == 1):
