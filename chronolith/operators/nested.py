@@ -25,12 +25,11 @@ _NODE = "array<struct<path:string,parent:string,object:map<string,variant>>>"
 
 
 def _entry(path: str, item: str, value: str, element: str) -> str:
-    """A frontier entry for a variant; the scalar text is looked at only if it is no container."""
-    return f"""named_struct(
-      'path', {path}, 'item', {item}, 'm', try_cast({value} AS map<string,variant>), 'a', try_cast({value} AS array<variant>),
-      's', CASE WHEN try_cast({value} AS map<string,variant>) IS NULL AND try_cast({value} AS array<variant>) IS NULL
-                 AND substr(ltrim(' \\t\\r\\n', coalesce(try_cast({value} AS string), '')), 1, 1) IN ('{{', '[', '"') THEN try_cast({value} AS string) END,
-      'element', {element})"""
+    """A frontier entry for a variant: cast once, and its text is looked at only if it is no container."""
+    cast_once = f"named_struct('m', try_cast({value} AS map<string,variant>), 'a', try_cast({value} AS array<variant>))"
+    text = f"filter(array(try_cast({value} AS string)), s -> substr(ltrim(' \\t\\r\\n', s), 1, 1) IN ('{{', '[', '\"'))"
+    return f"""transform(array({cast_once}), y -> named_struct(
+      'path', {path}, 'item', {item}, 'm', y.m, 'a', y.a, 's', CASE WHEN y.m IS NULL AND y.a IS NULL THEN get({text}, 0) END, 'element', {element}))[0]"""
 
 
 #: The items below an entry: an object that is an element of an array is the parent of what it holds.
@@ -40,8 +39,8 @@ _CHILDREN = f"""filter(coalesce(
   CASE
     WHEN f.m IS NOT NULL THEN transform(map_entries(f.m), e -> {_entry("if(f.path = '', e.key, concat(f.path, '.', e.key))", _ITEM, "e.value", "false")})
     WHEN f.a IS NOT NULL THEN transform(f.a, (x, i) -> {_entry("concat(f.path, '[', i, ']')", _ITEM, "x", "true")})
-    ELSE transform(filter(try_cast(try_parse_json(concat('[', f.s, ']')) AS array<variant>), (x, i) -> i = 0 AND size(try_cast(try_parse_json(concat('[', f.s, ']')) AS array<variant>)) = 1),
-                   x -> {_entry("f.path", "f.item", "x", "f.element")})
+    ELSE transform(filter(array(try_cast(try_parse_json(concat('[', f.s, ']')) AS array<variant>)), w -> size(w) = 1),
+                   w -> {_entry("f.path", "f.item", "w[0]", "f.element")})
   END, array()),
   c -> c.m IS NOT NULL OR c.a IS NOT NULL OR c.s IS NOT NULL)"""
 
