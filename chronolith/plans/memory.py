@@ -38,6 +38,11 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.first_copies(table(spark, sf_dir, "ledger_events"))
 
 
+def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads need of the ledger, written once for all joins of a plan."""
+    return materialize(_ledger(spark, sf_dir).select("id", "ingested_at_unix_ms", "observed_at_unix_ms", *L.EXACT_KEY, "text"), "ledger")
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "ledger_events")
 
@@ -182,8 +187,9 @@ read AS (
   WHERE n.valid_from_unix_ms <= {AS_OF} AND EXISTS (SELECT 1 FROM sources s WHERE s.node_id = n.id AND s.observed <= {AS_OF} AND s.ingested <= {KNOWN_AT}))"""
 
 
-def _read(spark, sf_dir) -> DataFrame:
-    return B.read_nodes(table(spark, sf_dir, "memory_nodes"), _sources(spark, sf_dir), _ledger(spark, sf_dir), AS_OF, KNOWN_AT)
+def _read(spark, sf_dir, ledger: DataFrame | None = None) -> DataFrame:
+    ledger = ledger if ledger is not None else _narrow(spark, sf_dir)
+    return B.read_nodes(table(spark, sf_dir, "memory_nodes"), B.node_events(table(spark, sf_dir, "node_spans"), ledger), ledger, AS_OF, KNOWN_AT)
 
 
 @query(f"WITH {_READ} SELECT id FROM read WHERE NOT stale")
@@ -217,7 +223,9 @@ def nodes_snapshot_known_at(spark, sf_dir):
       ELSE e.created_at_unix_ms <= {AS_OF} AND s.ingested_at_unix_ms <= {KNOWN_AT} AND NOT a.stale AND NOT b.stale END"""
 )
 def edges_visible_at(spark, sf_dir):
-    return B.visible_edges(table(spark, sf_dir, "memory_edges"), _read(spark, sf_dir), _ledger(spark, sf_dir), AS_OF, KNOWN_AT).select("id")
+    ledger = _narrow(spark, sf_dir)
+    read = materialize(_read(spark, sf_dir, ledger).select("id", "stale"), "read")
+    return B.visible_edges(table(spark, sf_dir, "memory_edges"), read, ledger, AS_OF, KNOWN_AT).select("id")
 
 
 @query(
@@ -265,7 +273,7 @@ class _Context:
 
     def __init__(self, spark, sf_dir):
         self.nodes, self.edges = table(spark, sf_dir, "memory_nodes"), table(spark, sf_dir, "memory_edges")
-        self.ledger = materialize(_ledger(spark, sf_dir).select("id", "ingested_at_unix_ms", "observed_at_unix_ms", *L.EXACT_KEY, "text"), "ledger")
+        self.ledger = _narrow(spark, sf_dir)
         self.sources = materialize(B.node_events(table(spark, sf_dir, "node_spans"), self.ledger), "sources")
         self.first = B.first_events(self.sources)
         self.questions = _questions(spark, sf_dir)

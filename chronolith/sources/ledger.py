@@ -62,10 +62,13 @@ def validated(events: DataFrame) -> DataFrame:
 
 
 def first_copies(events: DataFrame, order: str = "id") -> DataFrame:
-    """The first arrival of each exact message key. Partial aggregation, so a key of many copies is no hot task."""
-    rest = [c for c in events.columns if c not in EXACT_KEY]
-    best = events.groupBy(*EXACT_KEY).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r"))
-    return best.select(*[F.col(c) if c in EXACT_KEY else F.col(f"r.{c}").alias(c) for c in events.columns])
+    """The first arrival of each exact message key.
+
+    Only the columns that are read later are shuffled, and each task passes on one row a key (a window
+    group limit), so a key of many copies is no hot task.
+    """
+    w = Window.partitionBy(*EXACT_KEY).orderBy(order)
+    return events.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
 
 
 def append(ledger: DataFrame, batch: DataFrame, order: str = "id") -> DataFrame:
