@@ -18,48 +18,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-_ENTRY = "struct<path:string,m:map<string,variant>>"
+_ENTRY = "struct<path:string,m:map<string,variant>,v:variant>"
 _LEAF = "struct<path:string,value:variant>"
 
 
 def leaves_sql(record: str) -> str:
     """array<struct<path,value>> of the non-null values that are no objects; null if the text is no JSON object."""
-    parsed = f"try_cast(try_parse_json(concat('[', {record}, ']')) AS array<variant>)"
-    root = f"try_cast(if(size({parsed}) = 1, {parsed}[0], NULL) AS map<string,variant>)"
-    start = f"named_struct('f', cast(array(named_struct('path', '', 'm', {root})) AS array<{_ENTRY}>), 'out', cast(array() AS array<{_LEAF}>))"
+    parsed = f"filter(array(try_cast(try_parse_json(concat('[', {record}, ']')) AS array<variant>)), w -> size(w) = 1)"
+    root = f"transform({parsed}, w -> named_struct('path', '', 'm', try_cast(w[0] AS map<string,variant>), 'v', cast(NULL AS variant)))"
+    start = f"named_struct('f', cast(coalesce({root}, array()) AS array<{_ENTRY}>), 'out', cast(NULL AS array<{_LEAF}>))"
     path = "if(f.path = '', e.key, concat(f.path, '.', e.key))"
-    is_object = "try_cast(e.value AS map<string,variant>) IS NOT NULL"
-    down = f"transform(filter(map_entries(f.m), e -> {is_object}), e -> named_struct('path', {path}, 'm', try_cast(e.value AS map<string,variant>)))"
-    leaf = f"transform(filter(map_entries(f.m), e -> NOT {is_object} AND e.value IS NOT NULL AND NOT is_variant_null(e.value)), e -> named_struct('path', {path}, 'value', e.value))"
-    step = f"""if(size(acc.f) = 0, acc, named_struct(
-      'f', cast(flatten(transform(acc.f, f -> {down})) AS array<{_ENTRY}>),
-      'out', cast(concat(acc.out, flatten(transform(acc.f, f -> {leaf}))) AS array<{_LEAF}>)))"""
+    kids = f"flatten(transform(filter(acc.f, f -> f.m IS NOT NULL), f -> transform(map_entries(f.m), e -> named_struct('path', {path}, 'm', try_cast(e.value AS map<string,variant>), 'v', e.value))))"
+    leaf = "transform(filter(kids, k -> k.m IS NULL AND NOT is_variant_null(k.v)), k -> named_struct('path', k.path, 'value', k.v))"
+    # the children of a level are made once and read twice
+    level = f"""transform(array({kids}), kids -> named_struct(
+      'f', cast(filter(kids, k -> k.m IS NOT NULL) AS array<{_ENTRY}>), 'out', cast(concat(coalesce(acc.out, array()), {leaf}) AS array<{_LEAF}>)))[0]"""
+    step = f"if(size(acc.f) = 0 OR acc.f[0].m IS NULL, acc, {level})"
     levels = f"length({record}) - length(translate({record}, '{{', ''))"
-    return f"CASE WHEN {root} IS NOT NULL THEN aggregate(sequence(0, {levels}), {start}, (acc, level) -> {step}, acc -> acc.out) END"
+    return f"CASE WHEN {record} RLIKE '^[ \\\\t\\\\r\\\\n]*[{{]' THEN aggregate(sequence(0, {levels}), {start}, (acc, level) -> {step}, acc -> acc.out) END"
 
 
 #: Field types in the order that decides a mix.
 _TYPES = "array boolean string fraction whole".split()
 
 
-def _typed(value: str) -> tuple[str, str]:
-    """SQL for the type and the canonical text of a variant; numbers are equal if their values are."""
-    kind = f"schema_of_variant({value})"
-    whole = f"({kind} = 'BIGINT' OR ({kind} LIKE 'DECIMAL(%,0)' AND cast(regexp_extract({kind}, '[(]([0-9]+),', 1) AS int) > 18))"
-    type_ = f"CASE WHEN {kind} LIKE 'ARRAY%' THEN 'array' WHEN {kind} = 'BOOLEAN' THEN 'boolean' WHEN {kind} = 'STRING' THEN 'string' WHEN {whole} THEN 'whole' ELSE 'fraction' END"
-    number = f"try_cast({value} AS double)"
-    text = f"""CASE WHEN {kind} LIKE 'DECIMAL%' OR {kind} IN ('DOUBLE', 'FLOAT')
-      THEN if({number} = floor({number}) AND abs({number}) < 9e15, cast(cast({number} AS bigint) AS string), cast({number} AS string))
-      ELSE to_json({value}) END"""
-    return type_, text
+_TYPED = """transform(array(schema_of_variant(x.value)), k -> named_struct(
+  'path', x.path,
+  'type', CASE WHEN k LIKE 'ARRAY%' THEN 'array' WHEN k = 'BOOLEAN' THEN 'boolean' WHEN k = 'STRING' THEN 'string' WHEN k = 'BIGINT' THEN 'whole'
+    WHEN k LIKE 'DECIMAL(%,0)' AND length(k) > 12 AND k >= 'DECIMAL(19' THEN 'whole' ELSE 'fraction' END,
+  'value', CASE WHEN k LIKE 'DECIMAL%' OR k IN ('DOUBLE', 'FLOAT')
+    THEN transform(array(try_cast(x.value AS double)), n -> if(n = floor(n) AND abs(n) < 9e15, cast(cast(n AS bigint) AS string), cast(n AS string)))[0]
+    ELSE to_json(x.value) END))[0]"""
 
 
 def leaves(records: DataFrame) -> DataFrame:
     """file_id, line_no, trace_id, span_id, field_path, type, value of every non-null field."""
     records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     rows = records.select("file_id", "line_no", F.expr(leaves_sql("record")).alias("leaf")).filter(F.col("leaf").isNotNull())
-    type_, text = _typed("x.value")
-    rows = rows.select("file_id", "line_no", F.expr(f"transform(leaf, x -> named_struct('path', x.path, 'type', {type_}, 'value', {text}))").alias("leaf"))
+    rows = rows.select("file_id", "line_no", F.expr(f"transform(leaf, x -> {_TYPED})").alias("leaf"))
     id_of = lambda name: F.expr(f"get(filter(leaf, x -> x.path = '{name}'), 0).value")
     rows = rows.select("file_id", "line_no", id_of("trace_id").alias("trace_id"), id_of("span_id").alias("span_id"), F.explode("leaf").alias("x"))
     return rows.select("file_id", "line_no", "trace_id", "span_id", F.col("x.path").alias("field_path"), F.col("x.type").alias("type"), F.col("x.value").alias("value"))
