@@ -9,7 +9,7 @@ neighbours of an event are found by an inverted index of cue terms.
 from __future__ import annotations
 
 import re
-from bisect import insort
+from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -99,6 +99,7 @@ class Node:
     observations: int = 1
     spans: dict = field(default_factory=dict)
     words: dict[str, float] = field(default_factory=dict)
+    terms: frozenset = frozenset()
 
     @property
     def confidence(self) -> float:
@@ -117,11 +118,18 @@ class Scope:
         self.repaired = 0
 
     # -- nodes ------------------------------------------------------------------------
-    def _index(self, node: Node) -> None:
+    def _unindex(self, node: Node) -> None:
+        """Take a node from the index; a closed one is never active again, as events come in order of time."""
         for t, w in node.words.items():
-            self.index[t].remove((-w, -node.valid_from, -node.first_at[1], node.id))
-        node.words, weight = {}, 1.0
-        for t in terms(node.text)[:CUE_TERMS]:
+            rows = self.index[t]
+            del rows[bisect_left(rows, (-w, -node.valid_from, -node.first_at[1], node.id))]
+        node.words = {}
+
+    def _index(self, node: Node) -> None:
+        self._unindex(node)
+        found, weight = terms(node.text), 1.0
+        node.terms = frozenset(found)
+        for t in found[:CUE_TERMS]:
             node.words[t] = weight
             insort(self.index.setdefault(t, []), (-weight, -node.valid_from, -node.first_at[1], node.id))
             weight = max(weight * 0.97, 0.2)
@@ -129,27 +137,28 @@ class Scope:
     def _insert(self, kind: str, base: str, key: str, text: str, at: int, event: dict) -> Node:
         node = Node("node_" + fnv(*self.place, kind, key), kind, text, key, base, at, (at, event["id"]))
         self.nodes[node.id] = node
-        family = self.families.setdefault((kind, base), [])
-        later = [n for n in family if n.valid_from > at]
-        if later:
-            nxt = min(later, key=lambda n: n.valid_from)
-            node.valid_to, node.closed_by = nxt.valid_from, nxt.first_at[1]
-        family.append(node)
+        self.families.setdefault((kind, base), []).append(node)
         node.spans[event["span"]] = None
         self._index(node)
         return node
 
+    def version_at(self, kind: str, base: str, at: int) -> Node | None:
+        """The latest version of a family that began at a time; families grow in order of time, so it stands at the end."""
+        family = self.families.get((kind, base))
+        return family[-1] if family and family[-1].valid_from == at else None
+
     def upsert(self, kind: str, text: str, event: dict, base: str | None = None, successor: bool = False) -> tuple[Node, bool]:
         """Add a memory to a family; returns its version and whether it is new."""
         at = event["at"]
         if base is None:
             base = "episode:{}:{}:{}".format(*event["span"]) if kind == "episode" else canonical_key(kind, text)
-        family = self.families.get((kind, base), [])
-        same = next((n for n in sorted(family, key=lambda n: n.first_at, reverse=True) if n.valid_from == at), None)
+        same = self.version_at(kind, base, at)
         if same is None:
-            for n in family:
-                if n.valid_from < at and (n.valid_to is None or n.valid_to > at):
-                    n.valid_to, n.closed_by = at, event["id"]
+            for n in reversed(self.families.get((kind, base), ())):
+                if n.valid_to is not None and n.valid_to <= at:
+                    break  # its predecessors were closed when it began
+                n.valid_to, n.closed_by = at, event["id"]
+                self._unindex(n)
             return self._insert(kind, base, base if kind == "episode" else f"{base}|rev:{at}", text, at, event), True
         if event["id"] > same.first_at[1]:
             if successor and kind != "episode":
@@ -168,6 +177,7 @@ class Scope:
             return False
         if node.valid_to is None or node.valid_to > at or node.valid_to == at and (node.closed_by is None or node.closed_by > event_id):
             node.valid_to, node.closed_by = at, event_id
+            self._unindex(node)
             return True
         return False
 
@@ -201,7 +211,7 @@ class Scope:
 
     # -- events ------------------------------------------------------------------------
     @staticmethod
-    def overlap(a: set[str], b: set[str]) -> float:
+    def overlap(a: frozenset, b: frozenset) -> float:
         return len(a & b) / len(a | b) if a and b else 0.0
 
     def apply(self, event: dict) -> str:
@@ -211,8 +221,8 @@ class Scope:
             return "noop"
         near = self.neighbours(event["text"], event["at"])
         kind, op = kind_of(event["name"], body), op_of(body)
-        said = set(terms(body))
-        close = [(self.overlap(said, set(terms(n.text))), n) for n in near if n.kind == kind]
+        said = frozenset(terms(body))
+        close = [(self.overlap(said, n.terms), n) for n in near if n.kind == kind]
         target = None
         if op != "add" and kind != "episode":
             least = UPDATE_OVERLAP if op == "update" else INVALIDATE_OVERLAP
@@ -236,7 +246,7 @@ class Scope:
             self.link(node, targets[0], "supersedes", 1.0, event)
         else:
             base = canonical_key(kind, body)
-            node = next((n for n in self.families.get((kind, base), []) if n.valid_from == event["at"]), None)
+            node = self.version_at(kind, base, event["at"])
             if node is None:
                 node, new = self.upsert(kind, body, event)
                 if new:
