@@ -144,4 +144,53 @@ ORACLE = {
         FROM reads r JOIN versions v USING (tenant_id, project_id, env, fam)
         WHERE v.vf <= r.at AND v.known_at <= r.ing AND (v.vt IS NULL OR v.vt > r.at OR v.closed IS NULL OR v.closed > r.ing)
         GROUP BY r.event_id""",
+    "p4_found": """WITH RECURSIVE t(event_id, path, item, element, v) AS (
+          SELECT id, '', '', false, payload::JSON FROM ledger_events WHERE json_valid(payload)
+          UNION ALL
+          SELECT event_id, c.path, c.item, c.element, c.v FROM (
+            SELECT event_id, unnest(CASE json_type(v)
+              WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {'path': CASE WHEN path = '' THEN k ELSE path || '.' || k END,
+                'item': CASE WHEN element THEN path ELSE item END, 'element': false, 'v': json_extract(v, '/' || replace(replace(k, '~', '~0'), '/', '~1'))})
+              WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: {'path': path || '[' || i || ']', 'item': item, 'element': true, 'v': json_extract(v, '/' || i)})
+              WHEN 'VARCHAR' THEN CASE WHEN regexp_matches(json_extract_string(v, '$'), '^\\s*[\\[{"]') AND json_valid(json_extract_string(v, '$'))
+                THEN [{'path': path, 'item': item, 'element': element, 'v': json_extract_string(v, '$')::JSON}] ELSE [] END
+              ELSE [] END) AS c FROM t))
+        SELECT event_id, path AS item_path, item AS parent_path FROM t WHERE element AND json_type(v) = 'OBJECT'""",
+    "p5_found": """WITH RECURSIVE t(file_id, line_no, path, v) AS (
+          SELECT file_id, line_no, '', record::JSON FROM raw_spans WHERE json_valid(record) AND json_type(CASE WHEN json_valid(record) THEN record ELSE 'null' END) = 'OBJECT'
+          UNION ALL
+          SELECT file_id, line_no, CASE WHEN path = '' THEN k ELSE path || '.' || k END, json_extract(v, '/' || replace(replace(k, '~', '~0'), '/', '~1'))
+          FROM (SELECT *, unnest(json_keys(v)) AS k FROM t WHERE json_type(v) = 'OBJECT')),
+        leaf AS (
+          SELECT file_id, line_no, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'DOUBLE' THEN 'fraction' ELSE 'whole' END AS type,
+            CASE WHEN json_type(v) = 'DOUBLE' AND v::DOUBLE = floor(v::DOUBLE) THEN v::DOUBLE::BIGINT::VARCHAR ELSE v::VARCHAR END AS value
+          FROM t WHERE json_type(v) NOT IN ('OBJECT', 'NULL')),
+        schema_ AS (SELECT file_id, path, CASE WHEN count(*) FILTER (type = 'array') > 0 THEN 'array' WHEN count(*) FILTER (type = 'boolean') > 0 THEN 'boolean' WHEN count(*) FILTER (type = 'string') > 0 THEN 'string'
+          WHEN count(*) FILTER (type = 'fraction') > 0 THEN 'fraction' ELSE 'whole' END AS type FROM leaf GROUP BY ALL),
+        ids AS (SELECT file_id, line_no, max(value) FILTER (path = 'trace_id') AS trace, max(value) FILTER (path = 'span_id') AS span FROM leaf GROUP BY ALL),
+        held AS (SELECT file_id, trace, span, max(line_no) AS line_no FROM ids WHERE trace IS NOT NULL AND span IS NOT NULL GROUP BY ALL),
+        pairs AS (SELECT file_id, lag(file_id) OVER (PARTITION BY producer ORDER BY exported_at, file_id) AS prev FROM span_files),
+        shared AS (SELECT p.file_id AS cf, p.prev, a.trace, a.span, a.line_no AS old_line, b.line_no AS new_line FROM pairs p JOIN held a ON a.file_id = p.prev JOIN held b ON b.file_id = p.file_id AND b.trace = a.trace AND b.span = a.span),
+        both_ AS (
+          SELECT coalesce(o.cf, n.cf) AS cf, coalesce(o.path, n.path) AS path, o.type AS old_type, n.type AS new_type
+          FROM (SELECT p.file_id AS cf, s.path, s.type FROM pairs p JOIN schema_ s ON s.file_id = p.prev) o
+          FULL JOIN (SELECT p.file_id AS cf, s.path, s.type FROM pairs p JOIN schema_ s ON s.file_id = p.file_id WHERE p.prev IS NOT NULL) n ON o.cf = n.cf AND o.path = n.path),
+        gone AS (SELECT b.cf, b.path, b.old_type AS type, list((h.trace, h.span, l.value) ORDER BY h.trace, h.span) AS vals FROM both_ b JOIN shared h ON h.cf = b.cf
+          JOIN leaf l ON l.file_id = h.prev AND l.line_no = h.old_line AND l.path = b.path WHERE b.new_type IS NULL GROUP BY ALL),
+        new_ AS (SELECT b.cf, b.path, b.new_type AS type, list((h.trace, h.span, l.value) ORDER BY h.trace, h.span) AS vals FROM both_ b JOIN shared h ON h.cf = b.cf
+          JOIN leaf l ON l.file_id = h.cf AND l.line_no = h.new_line AND l.path = b.path WHERE b.old_type IS NULL GROUP BY ALL),
+        ren AS (SELECT g.cf, g.path, n.path AS new_path FROM gone g JOIN new_ n ON g.cf = n.cf AND g.type = n.type AND g.vals = n.vals)
+        SELECT cf AS file_id, 'renamed' AS change_kind, path AS field_path, new_path FROM ren
+        UNION ALL SELECT cf, CASE WHEN new_type IS NULL THEN 'removed' ELSE 'added' END, path, '' FROM both_ b
+          WHERE (new_type IS NULL OR old_type IS NULL) AND NOT EXISTS (SELECT 1 FROM ren r WHERE r.cf = b.cf AND b.path IN (r.path, r.new_path))
+        UNION ALL SELECT cf, 'retyped', path, '' FROM both_ WHERE old_type <> new_type""",
+    "p6_found": """WITH r AS (
+          SELECT tenant_id, project_id, coalesce(environment_id, '') AS environment_id, split_part(canonical_key, '|rev:', 1) AS family_key, valid_from_unix_ms AS s, coalesce(valid_to_unix_ms, 9223372036854775807) AS e
+          FROM memory_nodes WHERE valid_to_unix_ms IS NULL OR valid_to_unix_ms > valid_from_unix_ms),
+        g AS (SELECT *, max(e) OVER (PARTITION BY tenant_id, project_id, environment_id, family_key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+        k AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY tenant_id, project_id, environment_id, family_key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM g),
+        p AS (SELECT tenant_id, project_id, environment_id, family_key, n, min(s) AS s, max(e) AS e FROM k GROUP BY ALL)
+        SELECT tenant_id, project_id, environment_id, family_key, 'period' AS piece, s AS start_unix_ms, CASE WHEN e = 9223372036854775807 THEN -1 ELSE e END AS end_unix_ms FROM p
+        UNION ALL SELECT tenant_id, project_id, environment_id, family_key, 'gap', e, nx
+          FROM (SELECT *, lead(s) OVER (PARTITION BY tenant_id, project_id, environment_id, family_key ORDER BY s) AS nx FROM p) WHERE nx IS NOT NULL""",
 }
