@@ -47,7 +47,40 @@ def enclosing(at: Column) -> Column:
     )
 
 
-def attributes_as_known(events: DataFrame, versions: DataFrame, entity: list[str]) -> DataFrame:
+#: An entity counts as hot from this many versions on, and from a thousandth of all.
+HOT_VERSIONS = 5_000
+_KEY = ["d0", "d1", "level", "node"]
+
+
+def _digest(entity: list[str]) -> list[Column]:
+    return [F.xxhash64(*[F.col(e) for e in entity]).alias("d0"), F.xxhash64(F.lit("entity"), *[F.col(e) for e in entity]).alias("d1")]
+
+
+def hot_entities(rows: DataFrame, entity: list[str], least: int = HOT_VERSIONS) -> list[int]:
+    """Digests of the entities with very many versions: at most a thousand."""
+    counts = rows.select(*_digest(entity)).groupBy("d0", "d1").agg(F.count("*").alias("n"))
+    share = rows.count() // 1000
+    return sorted({r["d0"] for r in counts.filter(F.col("n") > max(least, share)).select("d0").collect()})
+
+
+def _newest_only(v: DataFrame, e: DataFrame) -> DataFrame:
+    """Versions in nodes, without those that no event of the node can get.
+
+    If a version holds a whole node, was known before the first event there was recorded and is not seen as closed by the last,
+    older ones can't win in it.  Nodes without events go as well.
+    """
+    seen = e.groupBy(*_KEY).agg(F.min("by").alias("first_by"), F.max("by").alias("last_by"))
+    v = v.join(seen, _KEY)
+    size = F.call_function("shiftleft", F.lit(1 << GRAIN).cast("long"), F.col("level"))
+    whole = (F.col("start") <= F.col("node") * size) & (F.col("end") >= (F.col("node") + 1) * size)
+    sure = whole & (F.col("known_at") <= F.col("first_by")) & (F.col("until") > F.col("last_by"))
+    rank = F.struct("valid_from", "version")
+    floor = v.filter(sure).groupBy(*_KEY).agg(F.max(rank).alias("floor"))
+    v = v.join(floor, _KEY, "left").filter(F.col("floor").isNull() | (rank >= F.col("floor")))
+    return v.drop("first_by", "last_by", "floor")
+
+
+def attributes_as_known(events: DataFrame, versions: DataFrame, entity: list[str], hot: list[int] | None = None) -> DataFrame:
     """The version of each event's entity that was valid at its time and known by then.
 
     events: event_id, at (event time), by (when it was recorded) and the entity columns.
@@ -56,8 +89,11 @@ def attributes_as_known(events: DataFrame, versions: DataFrame, entity: list[str
     greatest (valid_from, version) is kept.  Events with a null time, entity columns that are null on one
     side only, and events without a match give no row.  Repeated versions change nothing.
     Times before 1970 or after 2**TOP ms are matched by the edge nodes, then exactly.
+
+    ``hot``: what ``hot_entities`` found.  In their nodes, versions that can't win are dropped before the join, so an entity
+    with very many open versions does not meet each of its events with all of them.
     """
-    digest = [F.xxhash64(*[F.col(e) for e in entity]).alias("d0"), F.xxhash64(F.lit("entity"), *[F.col(e) for e in entity]).alias("d1")]
+    digest = _digest(entity)
     v = versions.filter(F.col("known_at").isNotNull() & F.col("valid_from").isNotNull())
     never = F.lit((1 << 63) - 1)
     end, until = F.coalesce("valid_to", never), F.coalesce("closed_known_at", never)
@@ -69,7 +105,9 @@ def attributes_as_known(events: DataFrame, versions: DataFrame, entity: list[str
     e = events.filter(F.col("at").isNotNull() & F.col("by").isNotNull())
     inside = F.least(F.greatest(F.col("at"), F.lit(0)), F.lit(FOREVER - 1))
     e = e.select("event_id", "at", "by", *digest, F.explode(enclosing(inside)).alias("n")).select("event_id", "at", "by", "d0", "d1", "n.level", "n.node")
-    hit = e.join(v, ["d0", "d1", "level", "node"])
+    if hot:
+        v = v.filter(~F.col("d0").isin(hot)).unionByName(_newest_only(v.filter(F.col("d0").isin(hot)), e.filter(F.col("d0").isin(hot))).select(*v.columns))
+    hit = e.join(v, _KEY)
     hit = hit.filter((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")) & (F.col("known_at") <= F.col("by")) & (F.col("by") < F.col("until")))
     best = hit.groupBy("event_id").agg(F.max(F.struct("valid_from", "version")).alias("best"))
     return best.select("event_id", F.col("best.version").alias("version"))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from chronolith.operators.asof_join import GRAIN, LEVELS, attributes_as_known, cover, enclosing
+from chronolith.operators.asof_join import GRAIN, LEVELS, attributes_as_known, cover, enclosing, hot_entities
 
 VERSIONS = "version string, e string, valid_from long, valid_to long, known_at long, closed_known_at long, start string, level string"
 EVENTS = "event_id long, e string, at long, by long, d0 string"
@@ -47,6 +47,19 @@ def test_hot_entity_repeated_versions_and_ties(spark):
     assert run(spark, events, versions + versions[:40] + tied) == brute(events, versions + tied)
 
 
+def test_pruned_nodes_of_hot_entities(spark):
+    for seed in (11, 12):
+        events, versions = random_case(seed, 200, 200, ["hot", "hot", "hot", "cold", None])
+        # mostly open versions that become known in order, read long after
+        versions += [(f"open{i}", "hot", i * STEP // 4, None, i * STEP // 4 + 5, None, "", "") for i in range(200)]
+        events += [(1000 + i, "hot", i * STEP // 3, i * STEP // 3 + r, "") for i, r in enumerate([0, 3, 10, STEP, STEP * 9] * 30)]
+        e, v = spark.createDataFrame(events, EVENTS), spark.createDataFrame(versions, VERSIONS)
+        hot = hot_entities(v, ["e"], 60)
+        assert len(hot) == 1
+        got = {r["event_id"]: r["version"] for r in attributes_as_known(e, v, ["e"], hot).collect()}
+        assert got == brute(events, versions)
+
+
 def test_edges_of_time(spark):
     versions = [("a", "x", 10, 20, 0, 0, "", ""), ("b", "x", 30, 30, 0, 0, "", ""), ("c", "x", -5, 5, 0, 0, "", "")]
     events = [(1, "x", 9, 99, ""), (2, "x", 10, 99, ""), (3, "x", 19, 99, ""), (4, "x", 20, 99, ""), (5, "x", 30, 99, ""), (6, "x", -5, 99, ""), (7, "x", 4, 99, ""), (8, "x", 5, 99, "")]
