@@ -96,8 +96,9 @@ class Graph:
 
 
 class MemoryEngine:
-    def __init__(self, spark: SparkSession, root: str, blend: dict[str, float] | None = None, policy: Policy = best_candidate):
+    def __init__(self, spark: SparkSession, root: str, blend: dict[str, float] | None = None, policy: Policy = best_candidate, distiller=None):
         self.spark, self.store, self.blend, self.policy = spark, Store(spark, root), blend or R.BLEND, policy
+        self.distiller = distiller  # None: by markers; see operators.fold.provider_distiller
 
     # -- writing ------------------------------------------------------------------------
     def append(self, events: DataFrame) -> dict[str, int]:
@@ -161,7 +162,7 @@ class MemoryEngine:
         scope = ["tenant_id", "project_id", "env"]
         touched = materialize(R.with_scope(fresh).select(*scope).distinct(), "touched")
         mine = R.with_scope(ledger).join(touched, scope, "left_semi").drop("env")
-        folded = materialize(W.fold(mine), "fold")
+        folded = materialize(W.fold(mine, self.distiller), "fold")
         kept = lambda t: R.with_scope(self.store.read(t)).join(touched, scope, "left_anti").drop("env")
         nodes = W.fold_nodes(folded).withColumn("created_at_unix_ms", F.lit(clock).cast("long")).withColumn("updated_at_unix_ms", F.lit(clock).cast("long"))
         edges = W.fold_edges(folded).withColumn("id", F.xxhash64("from_node_id", "to_node_id", "kind"))

@@ -214,50 +214,113 @@ class Scope:
     def overlap(a: frozenset, b: frozenset) -> float:
         return len(a & b) / len(a | b) if a and b else 0.0
 
-    def apply(self, event: dict) -> str:
-        """Fold one event; returns the op that was applied to its typed memory."""
+    def heuristic(self, event: dict, near: list[Node]) -> list[dict]:
+        """What an event says by markers alone: its episode, then one typed memory that may revise a neighbour."""
         body = clip(event["text"], BODY_LIMIT)
         if not body.strip():
-            return "noop"
-        near = self.neighbours(event["text"], event["at"])
-        kind, op = kind_of(event["name"], body), op_of(body)
-        said = frozenset(terms(body))
-        close = [(self.overlap(said, n.terms), n) for n in near if n.kind == kind]
+            return []
+        kind, op, said = kind_of(event["name"], body), op_of(body), frozenset(terms(body))
         target = None
         if op != "add" and kind != "episode":
             least = UPDATE_OVERLAP if op == "update" else INVALIDATE_OVERLAP
-            fit = [(s, i, n) for i, (s, n) in enumerate(close) if s >= least]
-            target = max(fit, key=lambda x: x[:2])[2] if fit else None  # the last of the best
-        targets = [target] if target else []
-        if op == "invalidate" and not target:
-            targets = [n for s, n in close if s >= INVALIDATE_OVERLAP][:TARGETS]
-        if op != "add" and not targets:
-            op = "add"
-            self.repaired += 1
-        episode, _ = self.upsert("episode", f"{event['span_kind']} {event['name']}: {body}", event)
-        self.cues(episode, event)
+            fit = [(s, i, n) for i, n in enumerate(near) if n.kind == kind and (s := self.overlap(said, n.terms)) >= least]
+            target = max(fit, key=lambda x: x[:2])[2].id if fit else None  # the last of the best
+        episode = {"op": "add", "node_kind": "episode", "text": f"{event['span_kind']} {event['name']}: {body}", "target_node_id": None}
+        return [episode, {"op": op, "node_kind": kind, "text": body, "target_node_id": target}]
+
+    def check(self, memory: dict, near: dict[str, Node]) -> None:
+        """Raises ValueError unless targets are neighbours that a memory may revise or point to."""
+        target = memory.get("target_node_id")
+        if target is not None:
+            node = near.get(target)
+            if node is None or node.kind != memory["node_kind"] or node.kind in ("episode", "entity_cue"):
+                raise ValueError(f"target_node_id {target!r} must reference a typed neighbour of the same kind")
+            if memory["text"].strip() and self.overlap(frozenset(terms(memory["text"])), node.terms) < INVALIDATE_OVERLAP:
+                raise ValueError(f"target_node_id {target!r} does not overlap the memory's text")
+        for edge in memory.get("relation_edges") or []:
+            node = near.get(edge["target_node_id"])
+            if node is None or node.kind in ("episode", "entity_cue"):
+                raise ValueError(f"relation edge target {edge['target_node_id']!r} must reference a typed neighbour")
+
+    def _targets(self, memory: dict, near: dict[str, Node]) -> list[Node]:
+        """The neighbours that a memory revises: its target, else what overlaps enough."""
+        if memory["op"] in ("add", "noop"):
+            return []
+        if memory.get("target_node_id") is not None:
+            return [near[memory["target_node_id"]]]
+        said = frozenset(terms(memory["text"]))
+        scored = [(self.overlap(said, n.terms), n) for n in near.values() if n.kind == memory["node_kind"]]
+        if memory["op"] == "invalidate":
+            return [n for s, n in scored if s >= INVALIDATE_OVERLAP][:TARGETS]
+        typed = [(s, n) for s, n in scored if s >= UPDATE_OVERLAP and n.kind not in ("episode", "entity_cue")]
+        return [max(typed, key=lambda x: x[0])[1]] if typed else []  # the first of the best
+
+    def apply(self, event: dict, distiller=None) -> str:
+        """Fold one event; returns the op of its last memory. ``distiller``: (event, neighbours) -> memories, or None to leave the event out."""
+        near_list = self.neighbours(event["text"], event["at"])
+        memories = self.heuristic(event, near_list) if distiller is None else distiller(event, near_list)
+        near, said = {n.id: n for n in near_list}, []
+        for m in memories or []:
+            self.check(m, near)
+            targets = self._targets(m, near)
+            op = m["op"]
+            if op in ("update", "invalidate") and not targets:
+                op = "add"
+                self.repaired += 1
+            said.append((op, m, targets))
+        made: list[Node] = []
+        for op, m, targets in said:
+            node = self._write(op, m["node_kind"], m["text"], targets, event)
+            if node is None:
+                continue
+            for edge in m.get("relation_edges") or []:
+                self.link(node, near[edge["target_node_id"]], edge["kind"], 1.0, event)
+            made.append(node)
+        for a, b in zip(made, made[1:]):
+            self.link(b, a, "derived_from", 0.8, event)
+            if a.kind == "episode":
+                self.link(b, a, "observed_in", 0.9, event)
+        return said[-1][0] if said else "noop"
+
+    def _write(self, op: str, kind: str, text: str, targets: list[Node], event: dict) -> Node | None:
+        if op == "noop":
+            return None
         if op == "add":
-            node, _ = self.upsert(kind, body, event)
+            node, _ = self.upsert(kind, text, event)
             self.cues(node, event)
-        elif op == "update":
-            node, new = self.upsert(kind, body, event, base=targets[0].family, successor=True)
+            return node
+        if op == "update":
+            node, new = self.upsert(kind, text, event, base=targets[0].family, successor=True)
             if new:
                 self.cues(node, event)
             self.link(node, targets[0], "supersedes", 1.0, event)
-        else:
-            base = canonical_key(kind, body)
-            node = self.version_at(kind, base, event["at"])
+            return node
+        node = None
+        if text.strip():
+            node = self.version_at(kind, canonical_key(kind, text), event["at"])
             if node is None:
-                node, new = self.upsert(kind, body, event)
+                node, new = self.upsert(kind, text, event)
                 if new:
                     self.cues(node, event)
-            for old in targets:
-                if old.id != node.id and self.close(old, event["at"], event["id"]):
-                    self.link(node, old, "supersedes", 1.0, event)
-                    self.link(node, old, "contradicts", 0.8, event)
-        self.link(node, episode, "derived_from", 0.8, event)
-        self.link(node, episode, "observed_in", 0.9, event)
-        return op
+        for old in targets:
+            if (node is None or old.id != node.id) and self.close(old, event["at"], event["id"]) and node is not None:
+                self.link(node, old, "supersedes", 1.0, event)
+                self.link(node, old, "contradicts", 0.8, event)
+        return node
+
+
+def provider_distiller(provider, max_repairs: int = 1):
+    """A distiller that asks an outside provider; events whose output stays invalid are left out."""
+    from chronolith.providers import distill_with
+
+    def distill(event: dict, near: list[Node]) -> list[dict] | None:
+        seen = {"trace_id": event["span"][0], "span_id": event["span"][1], "seq": event["span"][2], "span_kind": event["span_kind"], "name": event["name"], "text": event["text"], "observed_at_unix_ms": event["at"]}
+        out = distill_with(provider, seen, [{"id": n.id, "kind": n.kind, "text": n.text, "canonical_key": n.key} for n in near], max_repairs)
+        if out.rejected or any((s["trace_id"], s["span_id"], s["seq"]) != event["span"] for m in out.memories for s in m["cited_spans"]):
+            return None
+        return out.memories
+
+    return distill
 
 
 NODE_COLUMNS = (
@@ -267,14 +330,14 @@ NODE_COLUMNS = (
 )
 
 
-def fold_scope(events: pd.DataFrame) -> pd.DataFrame:
+def fold_scope(events: pd.DataFrame, distiller=None) -> pd.DataFrame:
     """Nodes of one scope, each with its citations and outgoing edges."""
     events = events.sort_values(["observed_at_unix_ms", "id"])
     first = events.iloc[0]
     env = first["environment_id"] if isinstance(first["environment_id"], str) else None
     scope = Scope(first["tenant_id"], first["project_id"], env or "")
     for e in events.itertuples(index=False):
-        scope.apply({"id": int(e.id), "at": int(e.observed_at_unix_ms), "span": (e.trace_id, e.span_id, int(e.seq)), "span_kind": e.span_kind, "name": e.name, "text": e.text or ""})
+        scope.apply({"id": int(e.id), "at": int(e.observed_at_unix_ms), "span": (e.trace_id, e.span_id, int(e.seq)), "span_kind": e.span_kind, "name": e.name, "text": e.text or ""}, distiller)
     out: dict[str, list] = {n.id: [] for n in scope.nodes.values()}
     for (a, b, kind), (w, at, source) in scope.edges.items():
         out[a].append({"to_node_id": b, "kind": kind, "weight": w, "created_at_unix_ms": at, "source_event_id": source})
@@ -289,10 +352,10 @@ def fold_scope(events: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def fold(ledger: DataFrame) -> DataFrame:
-    """The graph of a ledger: one row a node with citations and outgoing edges."""
+def fold(ledger: DataFrame, distiller=None) -> DataFrame:
+    """The graph of a ledger: one row a node with citations and outgoing edges. A distiller must be picklable; it runs where the scope is folded."""
     rows = ledger.withColumn("env", F.coalesce("environment_id", F.lit(""))).select("tenant_id", "project_id", "env", "environment_id", "id", "observed_at_unix_ms", "trace_id", "span_id", "seq", "span_kind", "name", "text")
-    return rows.groupBy("tenant_id", "project_id", "env").applyInPandas(fold_scope, NODE_COLUMNS)
+    return rows.groupBy("tenant_id", "project_id", "env").applyInPandas(lambda events: fold_scope(events, distiller), NODE_COLUMNS)
 
 
 def fold_nodes(folded: DataFrame) -> DataFrame:

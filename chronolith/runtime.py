@@ -41,8 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     root = f"{shared_dir(spark).rstrip('/')}/work-{spark.sparkContext.applicationId}"
-    if root.startswith("file://"):
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
+    if root.startswith(("/", "file:")):
+        local = root.removeprefix("file:")
+        atexit.register(shutil.rmtree, "/" + local.lstrip("/"), True)
     return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
 
 

@@ -91,6 +91,30 @@ def test_command_provider():
         CommandProvider(["/nonexistent/command"]).decide({})
 
 
+def test_fold_with_a_provider():
+    from chronolith.operators.fold import Scope, provider_distiller
+
+    at = lambda i, text: {"id": i, "at": i * 1000, "span": ("a", f"s{i}", 1), "span_kind": "memory.write", "name": "fact", "text": text}
+    cite = lambda i: [SPAN | {"span_id": f"s{i}"}]
+    said = lambda *m: json.dumps({"memories": list(m)})
+    scope = Scope("t", "p", "")
+    scope.apply(at(1, "The endpoint is https://old.example now"), provider_distiller(Scripted(said(memory(text="The endpoint is https://old.example", cited_spans=cite(1))))))
+    old = next(n for n in scope.nodes.values() if n.kind == "fact")
+    update = memory(op="update", text="The endpoint is https://new.example", target_node_id=old.id, cited_spans=cite(2))
+    scope.apply(at(2, "The endpoint is https://new.example"), provider_distiller(Scripted(said(update))))
+    new = next(n for n in scope.nodes.values() if n.kind == "fact" and n is not old)
+    assert (old.valid_to, new.valid_to, new.family) == (2000, None, old.family)
+    assert [k[2] for k in scope.edges if k[0] == new.id and k[1] == old.id] == ["supersedes"]
+    size = len(scope.nodes)
+    assert scope.apply(at(3, "endpoint"), provider_distiller(Scripted("bad", "bad"))) == "noop" and len(scope.nodes) == size
+    assert scope.apply(at(4, "endpoint"), provider_distiller(Scripted(said(memory(cited_spans=cite(9)))))) == "noop"
+    with pytest.raises(ValueError):
+        scope.apply(at(5, "endpoint"), provider_distiller(Scripted(said(memory(op="update", target_node_id="nowhere", cited_spans=cite(5))))))
+    related = memory(text="endpoint example serves checkout", relation_edges=[{"kind": "part_of", "target_node_id": new.id}], cited_spans=cite(6))
+    scope.apply(at(6, "The endpoint is https://new.example"), provider_distiller(Scripted(said(related))))
+    assert any(k[2] == "part_of" and k[1] == new.id for k in scope.edges)
+
+
 def test_walk_budget_prune_and_stop():
     nodes = [{"node_id": n, "text": n, "token_estimate": t, "lexical": 0.0, "eligible": True, "kind": "fact"} for n, t in (("a", 1), ("big", 50), ("mid", 5), ("small", 2))]
     edges = [("a", "big", 0.95), ("a", "mid", 0.9), ("small", "a", 0.7)]
