@@ -46,6 +46,10 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--retain-latest-audit", type=int)
     for name in ("backup", "restore"):
         sub.add_parser(name).add_argument("path")
+    v = sub.add_parser("serve")
+    v.add_argument("--host", default="127.0.0.1")
+    v.add_argument("--port", type=int, default=8080)
+    v.add_argument("--token", action="append", default=[], help="TOKEN=ACTOR; repeat for more")
     e = sub.add_parser("eval")
     e.add_argument("suite")
     return p
@@ -86,6 +90,10 @@ def run(args: argparse.Namespace) -> object:
             return dataclasses.asdict(engine.ask(query))
         case "maintenance":
             return engine.maintenance(args.repair_orphans, args.compact, args.prune_audit_before, args.retain_latest_audit)
+        case "serve":
+            from chronolith.server import Service, serve
+
+            serve(Service(engine, dict(t.rsplit("=", 1) for t in args.token)), args.host, args.port).serve_forever()
         case "backup":
             engine.store.backup(args.path)
             return {"backup": args.path}

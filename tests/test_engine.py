@@ -202,3 +202,36 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_answer_is_plain_data(spark, tmp_path):
     e = engine(spark, tmp_path, [event("fact", "Alpha beta gamma.", 1000)])
     json.dumps(dataclasses.asdict(ask(e, "alpha", as_of_unix_ms=1500)))
+
+
+def test_service(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from chronolith.server import RateLimit, Service, serve
+
+    server = serve(Service(MemoryEngine(spark, f"file://{tmp_path}/store"), {"secret": "me"}), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def call(path, body=None, token="secret"):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", json.dumps(body).encode() if body is not None else None, {"Authorization": f"Bearer {token}", "X-Request-Id": "r-1"})
+        try:
+            with urllib.request.urlopen(request, timeout=120) as r:
+                text = r.read().decode()
+                return r.status, json.loads(text) if text[:1] in "{[" else text, r.headers
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read()), e.headers
+
+    try:
+        assert call("/livez", token="")[0] == 200 and call("/v1/stats", token="wrong")[0] == 401
+        assert call("/v1/remember", {"text": "Alpha runs on port 80."})[1]["events_inserted"] == 1
+        status, answer, headers = call("/v1/query", {"question": "alpha port"})
+        assert status == 200 and "Alpha" in answer["answer"] and headers["X-Request-Id"] == "r-1"
+        assert call("/v1/query", {"question": "x", "bogus": 1})[0] == 400 and call("/v1/query", {"question": " "})[0] == 400 and call("/nowhere")[0] == 404
+        assert {r["actor"] for r in call("/v1/audit")[1]} == {"me"}
+        assert "chronolith_requests_total" in call("/v1/metrics/prometheus")[1]
+    finally:
+        server.shutdown()
+    limit = RateLimit(2)
+    assert [limit.check("a", t) for t in (0, 1, 2, 60_000)] == [0, 0, 60, 0] and RateLimit(0).check("a", 1) == 0
