@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-BLANK = regex.compile(r"(?>\r\n|[\n\r\x85  ])(?:[^\S\n\r\x85  ]*(?>\r\n|[\n\r\x85  ]))+|[\f\v]| ")
+BLANK = regex.compile(r"(?>\r\n|[\n\r\x85\u2028\u2029])(?:[^\S\n\r\x85\u2028\u2029]*(?>\r\n|[\n\r\x85\u2028\u2029]))+|[\f\v]|\u2029")
 #: What stands between two parties.
 VERSUS = regex.compile(r"\S.{0,200}\s(?:v\.?|vs\.?|c/|contra|gegen|against|诉|対|对|กับ|बनाम|ضد)\s.{0,200}", regex.DOTALL)
 #: A page header or footer: a number between dashes, "page n of ...", or a line that ends in a page number.
