@@ -1,9 +1,10 @@
 """Sentence units in any script, with document-centred disambiguation of periods.
 
-Two passes, neither of which shuffles texts.  The first counts, over all documents, how words stand to
-periods and capitals (``evidence``); the counts are summed by word and reduced to those that make up at least
-1/50,000 of their kind, so what is broadcast has a proven bound.  The second cuts each text (``units``): blocks
-between blank lines, then terminators outside quotations and brackets, by the rules of the script at hand.
+Two passes.  The first counts, over all documents, how words stand to periods and capitals (``evidence``); the
+counts of all words are kept in a written table, and ``verdict`` draws from them what the corpus says of a word.
+The verdicts of the ``COMMON`` most frequent words are broadcast.  Verdicts of further words are joined by word to the
+documents that may ask for them (``asked``), so every count has its say at every size.  The second pass cuts each text
+(``units``): blocks between blank lines, then terminators outside quotations and brackets, by the rules of the script at hand.
 Whether a period ends an abbreviation, and whether the capital after it starts a sentence or a name, is decided
 by the occurrences in the same document that are unambiguous, then by the corpus, then by general lists.
 
@@ -19,12 +20,14 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from chronolith.runtime import materialize
+
 BLANK = regex.compile(r"(?>\r\n|[\n\r\x85\u2028\u2029])(?:[^\S\n\r\x85\u2028\u2029]*(?>\r\n|[\n\r\x85\u2028\u2029]))+|[\f\v]|\u2029")
 #: What stands between two parties.
 VERSUS = regex.compile(r"\S.{0,200}\s(?:v\.?|vs\.?|c/|contra|gegen|against|诉|対|对|กับ|बनाम|ضد)\s.{0,200}", regex.DOTALL)
@@ -43,6 +46,9 @@ THAI = regex.compile(r"\p{Thai}")
 THAI_SPACE = regex.compile(r"[^\S]+(?=[“\"(]?\p{Thai})")
 THAI_WORD = regex.compile(r"\p{Thai}[\p{Thai}\p{M}]*")
 THAI_PREFIX = 5
+THAI_ASKED = regex.compile(r"(?:\s|^)[“\"(]?(\p{Thai}[\p{Thai}\p{M}]*)")
+#: A period, alone or last of a row of terminators, and what may stand between it and the next word.
+PERIOD = regex.compile(r"(\.)(?![.!?…。！？؟।॥｡])[”»)\]）」』》]*\s*")
 
 # Common abbreviations of European legal and general prose.
 #: They announce what follows, so no sentence ends with them.
@@ -121,29 +127,57 @@ def evidence(text: str) -> Counter:
     return Counter(found)
 
 
+KINDS = "SMldutT"
+#: What the corpus may say of a word; no bit for a word it says nothing about.
+STARTER, NAME, INNER, ABBREVIATION, BEGINS = 1, 2, 4, 8, 16
+
+
+def often(capitals: int) -> float:
+    """From how many occurrences on a word is more common than any name, given all capitals within sentences."""
+    return max(20, 0.001 * capitals)
+
+
+def verdict(word: str, n: tuple[int, ...], least: float) -> int:
+    """What the counts ``n`` of a word, in the order of ``KINDS``, say of it; ``least`` is ``often`` of the corpus."""
+    s, m, low, dig, up, block, thai = n
+    bits = 0
+    if s > 1 or m > 1:  # once may be the very occurrence in question
+        bits |= STARTER if s >= 3 and s >= 0.3 * (s + m) else NAME
+        if s + m >= least and s < 0.05 * (s + m):
+            bits |= INNER
+    n = low + dig + up
+    if n >= 8 and low + dig >= (0.3 if len(word) < 4 or "." in word else 0.6) * n and (low + dig > s + m or not word[0].isupper()):
+        bits |= ABBREVIATION
+    if block >= 2 and block >= 0.08 * max(thai, 1):
+        bits |= BEGINS
+    return bits
+
+
 class Known:
     """What the corpus says about words."""
 
     def __init__(self, counts: dict[tuple[str, str], int]):
-        get = counts.get
         self.starts: dict[str, bool] = {}
         #: Common words, more than any name, that never start a sentence.
         self.inner: set[str] = set()
-        often = max(20, 0.001 * sum(n for (kind, _), n in counts.items() if kind == "M"))
-        for kind, w in list(counts):
-            if kind in "SM" and w not in self.starts:
-                s, m = get(("S", w), 0), get(("M", w), 0)
-                self.starts[w] = s >= 3 and s >= 0.3 * (s + m)
-                if s + m >= often and s < 0.05 * (s + m):
-                    self.inner.add(w)
         self.abbreviations: set[str] = set()
-        for w in {w for kind, w in counts if kind in "ldu"}:
-            low, dig, up = (get((k, w), 0) for k in "ldu")
-            bare = get(("S", w), 0) + get(("M", w), 0)
-            n = low + dig + up
-            if n >= 8 and low + dig >= (0.3 if len(w) < 4 or "." in w else 0.6) * n and (low + dig > bare or not w[0].isupper()):
-                self.abbreviations.add(w)
-        self.thai = {w for kind, w in counts if kind == "t" and counts["t", w] >= 2 and counts["t", w] >= 0.08 * get(("T", w), 1)}
+        self.thai: set[str] = set()
+        least = often(sum(n for (kind, _), n in counts.items() if kind == "M"))
+        self.learn((w, verdict(w, tuple(counts.get((k, w), 0) for k in KINDS), least)) for w in {w for _, w in counts})
+
+    def learn(self, verdicts: Iterable[tuple[str, int]]) -> None:
+        for w, bits in verdicts:
+            if bits & (STARTER | NAME):
+                self.starts[w] = bool(bits & STARTER)
+            for bit, words in (INNER, self.inner), (ABBREVIATION, self.abbreviations), (BEGINS, self.thai):
+                if bits & bit:
+                    words.add(w)
+
+    def forget(self, words: Iterable[str]) -> None:
+        for w in words:
+            self.starts.pop(w, None)
+            for known in self.inner, self.abbreviations, self.thai:
+                known.discard(w)
 
 
 class Document:
@@ -216,16 +250,13 @@ class Document:
 _LEAD = regex.compile(r".*[^\p{L}\p{M}\p{N}\xad.\-/,]", regex.DOTALL)
 
 
-def _period_ends(doc: Document, block: str, at: int, end: int, nxt: int, first: int) -> bool:
-    """Whether the period at ``at`` ends a unit; ``nxt`` is the next character that is no space, ``first`` where the unit began."""
-    c = block[nxt]
-    spaced = nxt > end
-    if c.islower() or c in ",;:)]”»":
-        return False
+def _before(block: str, at: int) -> str:
     before = block[max(0, at - 40) : at]
-    before = before[-1:] and not before[-1].isspace() and before.rsplit(None, 1)[-1] or ""
-    if spaced and len(before) > 5 and c.isupper() and before.isalpha() and before.islower():
-        return True
+    return before[-1:] and not before[-1].isspace() and before.rsplit(None, 1)[-1] or ""
+
+
+def _word(before: str) -> tuple[str, str]:
+    """The word at the end of what stands before a period, as written and plain."""
     if before and not before.isalnum():
         lead = _LEAD.match(before)
         if lead:
@@ -235,6 +266,19 @@ def _period_ends(doc: Document, block: str, at: int, end: int, nxt: int, first:
         head, _, tail = word.rpartition(".")
         if len(tail) > 1 and len(head.rpartition(".")[2]) > 1:  # a space was lost before the last word
             word = before = tail
+    return before, word
+
+
+def _period_ends(doc: Document, block: str, at: int, end: int, nxt: int, first: int) -> bool:
+    """Whether the period at ``at`` ends a unit; ``nxt`` is the next character that is no space, ``first`` where the unit began."""
+    c = block[nxt]
+    spaced = nxt > end
+    if c.islower() or c in ",;:)]”»":
+        return False
+    before = _before(block, at)
+    if spaced and len(before) > 5 and c.isupper() and before.isalpha() and before.islower():
+        return True
+    before, word = _word(before)
     following = TOKEN_AFTER.match(block, nxt)
     x = plain(following[0]) if following else ""
     name = x.rstrip(".")
@@ -477,13 +521,26 @@ def units(text: str, known: Known) -> Iterator[tuple[int, int]]:
             yield a + start, b
 
 
+def asked(text: str) -> set[str]:
+    """All words of a text that ``units`` may ask the corpus about, whatever it answers."""
+    words = {m[1][:THAI_PREFIX] for m in THAI_ASKED.finditer(text)} if THAI.search(text) else set()
+    for m in PERIOD.finditer(text):
+        if (c := text[m.end() : m.end() + 1]) and not c.islower():
+            words.add(_word(_before(text, m.end(1) - 1))[1])
+            following = TOKEN_AFTER.match(text, m.end())
+            if following:
+                words.add(plain(following[0]))
+    words.discard("")
+    return words
+
+
 # -- over a corpus ------------------------------------------------------------------------------
-#: A word is kept if it makes up at least this share of its kind, so at most 1 / SHARE words of a kind are.
-SHARE = 1 / 50_000
+#: So many words at most, the most frequent, have their verdicts broadcast; the rest are joined.
+COMMON = 100_000
 
 
-def corpus_evidence(df: DataFrame, text: str = "text") -> Known:
-    """Counts over all documents, reduced to a bounded table."""
+def corpus_evidence(df: DataFrame, text: str = "text") -> DataFrame:
+    """word and its counts n, in the order of ``KINDS``, over all documents: a written table of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -503,21 +560,59 @@ def corpus_evidence(df: DataFrame, text: str = "text") -> Known:
         yield flush()
 
     counts = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "kind string, word string, n long")
-    counts = counts.groupBy("kind", "word").agg(F.sum("n").alias("n")).filter("n > 1").persist()
-    try:
-        totals = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-        least = F.lit(0)
-        for kind, n in totals.items():
-            least = F.when(F.col("kind") == kind, n * SHARE).otherwise(least)
-        return Known({(r["kind"], r["word"]): r["n"] for r in counts.filter(F.col("n") >= least).collect()})
-    finally:
-        counts.unpersist()
-
-
-def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", known: Known | None = None) -> DataFrame:
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    counts = counts.filter("word <> ''").groupBy("word").agg(*(of(kind).alias(f"n{i}") for i, kind in enumerate(KINDS)))
+    return materialize(counts.select("word", F.array(*(f"n{i}" for i in range(len(KINDS)))).alias("n")), "evidence")
+
+
+def verdicts(counts: DataFrame) -> DataFrame:
+    """word, bits and total of every word the corpus says something about."""
+    least = often(counts.agg(F.sum(F.col("n")[KINDS.index("M")])).first()[0] or 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, bits, sum(n)) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (bits := verdict(w, tuple(n), least))]
+            words, bits, total = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(bits, pa.int32()), pa.array(total, pa.int64())], ["word", "bits", "total"])
+
+    return counts.mapInArrow(run, "word string, bits int, total long")
+
+
+def _joined(rows: DataFrame, said: DataFrame, common: set[str]) -> DataFrame:
+    """rows of key and text with what the corpus says of the words that each text asks for and that are not common.
+
+    Texts are told apart by digest, so equal texts ask once and rows need no number.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            digests, words = [], []
+            for digest, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = asked(t) - held if t else ()
+                digests += [digest] * len(found)
+                words += found
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(words, pa.string())], ["digest", "word"])
+
+    rows = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    wanted = rows.select("digest", "text").mapInArrow(run, "digest string, word string").distinct()
+    facts = wanted.join(said.select("word", "bits"), "word").groupBy("digest").agg(F.collect_list(F.struct("word", "bits")).alias("facts"))
+    return rows.join(facts, "digest", "left").select("key", "text", "facts")
+
+
+def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", known: Known | None = None, most: int = COMMON) -> DataFrame:
     """key, start_char, end_char of every sentence unit."""
-    known = known or corpus_evidence(df, text)
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    if known is None:
+        said = verdicts(corpus_evidence(df, text))
+        common = [(r["word"], r["bits"]) for r in said.orderBy(F.desc("total"), "word").limit(most + 1).collect()]
+        known = Known({})
+        known.learn(common[:most])
+        if len(common) > most:
+            rows = _joined(rows, said, {w for w, _ in common[:most]})
     shared = df.sparkSession.sparkContext.broadcast(known)
+    joined = "facts" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         facts = shared.value
@@ -525,14 +620,17 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", known: Kno
             row: list[int] = []
             starts: list[int] = []
             ends: list[int] = []
+            more = batch.column("facts").to_pylist() if joined else ()
             for i, t in enumerate(batch.column("text").to_pylist()):
                 if t:
+                    own = joined and more[i] or ()
+                    facts.learn((x["word"], x["bits"]) for x in own)
                     for a, b in units(t, facts):
                         row.append(i)
                         starts.append(a)
                         ends.append(b)
+                    facts.forget(x["word"] for x in own)
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row, pa.int32())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["key", "start_char", "end_char"])
 
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     out = rows.mapInArrow(run, f"key {dict(df.dtypes)[key]}, start_char int, end_char int")
     return out.withColumnRenamed("key", key)

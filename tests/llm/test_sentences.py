@@ -1,7 +1,7 @@
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from chronolith.llm.sentences import Known, evidence, sentences, units
+from chronolith.llm.sentences import Known, asked, evidence, sentences, units
 
 NOTHING = Known({})
 
@@ -85,3 +85,48 @@ def test_over_spark(spark):
     got = sorted(map(tuple, sentences(df).collect()))
     assert got == sorted([(1, 0, 12), (1, 13, 26)] * 2 + [(5, 0, 200_001), (5, 200_002, 200_006)])
     assert sentences(df.filter("false")).count() == 0
+
+
+def test_rare_words_count_whatever_the_size_of_the_corpus(spark):
+    """Names that start 4 of 250,000 sentences, and the same verdicts whether words are broadcast or joined."""
+    names = ["Zenda", "Quorra", "Tilvane"]
+    rows = [(i, "\n\n".join(["Harrow came"] * 2500)) for i in range(100)]
+    rows += [(1000 + i, f"{n} came.\n\nHe saw the Foo. of trade.") for i, n in enumerate(names * 4)]
+    rows += [(2000 + i, f"Ask the Foo. {n} is here.") for i, n in enumerate([*names, "Unseen"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    one = {r["doc_id"]: [] for r in df.collect()}
+    for r in sentences(df).collect():
+        one[r["doc_id"]].append((r["start_char"], r["end_char"]))
+    text = dict(rows)
+    cuts = {i: [text[i][a:b] for a, b in sorted(one[i])] for i in range(2000, 2004)}
+    assert cuts[2000] == ["Ask the Foo.", "Zenda is here."] and cuts[2003] == ["Ask the Foo. Unseen is here."]
+    whole = sorted(map(tuple, sentences(df).collect()))
+    for most in (0, 1, 3):
+        assert sorted(map(tuple, sentences(df, most=most).collect())) == whole
+
+
+class Asked(Known):
+    """Knows nothing, and notes what it is asked."""
+
+    def __init__(self, answer):
+        self.seen, self.answer = set(), answer
+        outer = self
+
+        class Words(dict):
+            def get(self, word, default=None):
+                outer.seen.add(word)
+                return default if outer.answer is None else outer.answer
+
+            def __contains__(self, word):
+                outer.seen.add(word)
+                return bool(outer.answer)
+
+        self.starts, self.inner, self.abbreviations, self.thai = Words(), Words(), Words(), Words()
+
+
+@settings(max_examples=600, deadline=None)
+@given(ANY, st.sampled_from([None, True, False]))
+def test_asked_holds_every_word_that_units_look_up(text, answer):
+    known = Asked(answer)
+    list(units(text, known))
+    assert known.seen <= asked(text)
