@@ -4,9 +4,14 @@
 expression.  ``versions`` gives each file the fingerprint of its field set.  ``changes`` compares every
 file with its producer's previous one: fields that are gone or new are matched as renames if their
 values agree on all spans of both files, which is one equi-join on an order-free value fingerprint, never a
-comparison of all pairs.  ``unify`` routes each record through the steps of all later files: chained
-renames are resolved by pointer doubling, missing fields default to null and values are cast to the type of
-the producer's last version.
+comparison of all pairs.  ``steps`` holds for each file what makes its records fit the one schema over all producers:
+for each field the path to rename, or none for the default, and the type to cast to.  ``one_table`` takes every record
+through them.  ``unify`` is the view of one producer: chained renames are resolved by pointer doubling and values
+named and typed as in the producer's last version.
+
+The one schema: paths that any producer renames into one another are one field, under the path that most files have;
+paths that one file holds side by side are never joined.  A field is of its values' type; whole and fractional make fractional,
+any other mix makes string, to which all can be cast.  The default of a field that a record lacks is null.
 
 Defined cases: lines that are no JSON object (or have text after it) count for nothing; null and absent values
 are equal; a span repeated in a file counts with its last line; of mixed types, whole and fractional make
@@ -46,16 +51,29 @@ _TYPED = """transform(array(schema_of_variant(x.value)), k -> named_struct(
   'path', x.path,
   'type', CASE WHEN k LIKE 'ARRAY%' THEN 'array' WHEN k = 'BOOLEAN' THEN 'boolean' WHEN k = 'STRING' THEN 'string' WHEN k = 'BIGINT' THEN 'whole'
     WHEN k LIKE 'DECIMAL(%,0)' AND length(k) > 12 AND k >= 'DECIMAL(19' THEN 'whole' ELSE 'fraction' END,
-  'value', CASE WHEN k LIKE 'DECIMAL%' OR k IN ('DOUBLE', 'FLOAT')
+  'value', {value}{more}))[0]"""
+_VALUE = """CASE WHEN k LIKE 'DECIMAL%' OR k IN ('DOUBLE', 'FLOAT')
     THEN transform(array(try_cast(x.value AS double)), n -> if(n = floor(n) AND abs(n) < 9e15, cast(cast(n AS bigint) AS string), cast(n AS string)))[0]
-    ELSE to_json(x.value) END))[0]"""
+    ELSE to_json(x.value) END"""
+#: The value without JSON quotes and escapes, and a whole number with all its digits.
+_TEXT = f", 'text', CASE WHEN k = 'STRING' THEN cast(x.value AS string) WHEN k LIKE 'DECIMAL(%,0)' THEN to_json(x.value) ELSE {_VALUE} END"
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """file_id, line_no, trace_id, span_id, field_path, type, value of every non-null field."""
+def lines(records: DataFrame, text: bool = True) -> DataFrame:
+    """file_id, line_no, leaf of every line that is a JSON object: its fields as array<struct<path,type,value>>, with ``text`` also their plain text."""
     records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     rows = records.select("file_id", "line_no", F.expr(leaves_sql("record")).alias("leaf")).filter(F.col("leaf").isNotNull())
-    rows = rows.select("file_id", "line_no", F.expr(f"transform(leaf, x -> {_TYPED})").alias("leaf"))
+    typed = _TYPED.format(value=_VALUE, more=_TEXT if text else "")
+    return rows.select("file_id", "line_no", F.expr(f"transform(leaf, x -> {typed})").alias("leaf"))
+
+
+def leaves(records: DataFrame) -> DataFrame:
+    """file_id, line_no, trace_id, span_id, field_path, type, value of every non-null field."""
+    return leaves_of(lines(records, text=False))
+
+
+def leaves_of(rows: DataFrame) -> DataFrame:
+    """``leaves`` of ``lines``."""
     id_of = lambda name: F.expr(f"get(filter(leaf, x -> x.path = '{name}'), 0).value")
     rows = rows.select("file_id", "line_no", id_of("trace_id").alias("trace_id"), id_of("span_id").alias("span_id"), F.explode("leaf").alias("x"))
     return rows.select("file_id", "line_no", "trace_id", "span_id", F.col("x.path").alias("field_path"), F.col("x.type").alias("type"), F.col("x.value").alias("value"))
@@ -166,3 +184,75 @@ def unify(leaf: DataFrame, schema: DataFrame, files: DataFrame, change: DataFram
     )
     plain = F.when((F.col("type") == "string") & (F.col("target") != "string"), F.regexp_replace("value", '^"|"$', "")).otherwise(F.col("value"))
     return rows.withColumn("value", plain).select("file_id", "line_no", "field", F.col("target").alias("type"), "value", fits.alias("ok"))
+
+
+def synonyms(change: DataFrame, used: DataFrame) -> DataFrame:
+    """field_path, n_files, field: the name over all producers of every path in ``used`` (file_id, field_path).
+
+    Paths are joined by the smallest path that renames lead to; each round also takes the smallest path of the smallest
+    path.  What is joined are distinct paths, however many files and records there are.
+    """
+    at = lambda name: used.select("file_id", F.col("field_path").alias(name))
+    edge = change.filter("change_kind = 'renamed'").select("field_path", "new_path").distinct()
+    together = edge.join(at("field_path"), "field_path").join(at("new_path"), ["file_id", "new_path"]).select("field_path", "new_path").distinct()
+    edge = edge.join(together, ["field_path", "new_path"], "left_anti")
+    edge = edge.unionByName(edge.select(F.col("new_path").alias("field_path"), F.col("field_path").alias("new_path"))).distinct().checkpoint()
+    paths = used.groupBy("field_path").agg(F.countDistinct("file_id").alias("n_files")).checkpoint()
+    label = paths.select("field_path", F.col("field_path").alias("least"))
+    while True:
+        near = edge.join(label.select(F.col("field_path").alias("new_path"), "least"), "new_path").select("field_path", "least")
+        near = label.unionByName(near).groupBy("field_path").agg(F.min("least").alias("least"))
+        hop = near.select(F.col("field_path").alias("least"), F.col("least").alias("further"))
+        nxt = near.join(hop, "least").select("field_path", F.col("further").alias("least")).checkpoint()
+        if nxt.exceptAll(label).isEmpty():
+            break
+        label = nxt
+    rows = paths.join(label, "field_path")
+    name = rows.groupBy("least").agg(F.min_by("field_path", F.struct(-F.col("n_files"), "field_path")).alias("field"))
+    return rows.join(name, "least").select("field_path", "n_files", "field")
+
+
+def steps(leaf: DataFrame, rows: DataFrame, files: DataFrame, change: DataFrame) -> DataFrame:
+    """file_id, producer, version_no, fingerprint, field, source_path, type: one row for each file and field of the one schema.
+
+    ``source_path`` is the path to rename, null for the default.  Of several paths in a file that have one name, the one
+    spelled like it or else in most files gets it; the others are fields of their own.
+    """
+    found = leaf.groupBy("file_id", "field_path").agg(F.collect_set("type").alias("types")).checkpoint()
+    first = Window.partitionBy("file_id", "field").orderBy(F.col("field_path") != F.col("field"), F.desc("n_files"), "field_path")
+    route = found.join(synonyms(change, found.select("file_id", "field_path")), "field_path").withColumn("place", F.row_number().over(first))
+    route = route.select("file_id", F.col("field_path").alias("source_path"), F.when(F.col("place") == 1, F.col("field")).otherwise(F.col("field_path")).alias("field"), "types").checkpoint()
+    fields = route.groupBy("field").agg(F.array_distinct(F.flatten(F.collect_set("types"))).alias("types"))
+    kind = F.when(F.size("types") == 1, F.col("types")[0]).when(F.size(F.array_except("types", F.array(F.lit("whole"), F.lit("fraction")))) == 0, F.lit("fraction")).otherwise(F.lit("string"))
+    every = rows.select("file_id").distinct().crossJoin(fields.select("field", kind.alias("type")))
+    known = versions(field_types(leaf), files).select("file_id", "producer", "version_no", "fingerprint")
+    out = every.join(route.drop("types"), ["file_id", "field"], "left").join(known, "file_id", "left")
+    return out.select("file_id", "producer", "version_no", "fingerprint", "field", "source_path", "type")
+
+
+def one_table(rows: DataFrame, step: DataFrame) -> DataFrame:
+    """file_id, line_no, producer, field, type, value, ok, defaulted, typed, source_path, source_type, source_text: a row for each record and field.
+
+    ``typed`` holds the cast value in the member for its type, ``value`` its text; both are null for a default.
+    ``ok`` is false where the cast can't keep the value (digits of a whole number beyond a fraction's); ``source_text`` keeps it.
+    A path that a record spells both nested and with a dotted key gives a row for each value.
+    """
+    each = step.groupBy("file_id", "producer").agg(F.sort_array(F.collect_list(F.struct("field", "source_path", "type"))).alias("steps"))
+    item = "named_struct('field', s.field, 'type', s.type, 'source_path', s.source_path, 'x', {x})"
+    found = "filter(leaf, x -> x.path = s.source_path)"
+    none = "cast(NULL AS struct<path:string,type:string,value:string,text:string>)"
+    routed = f"flatten(transform(steps, s -> if(size({found}) = 0, array({item.format(x=none)}), transform({found}, x -> {item.format(x='x')}))))"
+    out = rows.join(each, "file_id").select("file_id", "line_no", "producer", F.explode(F.expr(routed)).alias("s"))
+    out = out.select("file_id", "line_no", "producer", "s.field", "s.type", "s.source_path", F.col("s.x.type").alias("source_type"), F.col("s.x.text").alias("source_text"))
+    text = lambda kind: f"CASE WHEN type = '{kind}' THEN source_text END"
+    typed = f"""named_struct(
+      'array', transform(try_cast(try_parse_json({text('array')}) AS array<variant>), v -> to_json(v)),
+      'boolean', try_cast({text('boolean')} AS boolean),
+      'string', {text('string')},
+      'fraction', try_cast({text('fraction')} AS double),
+      'whole', try_cast({text('whole')} AS decimal(38,0)))"""
+    out = out.withColumn("typed", F.expr(typed))
+    value = "CASE type WHEN 'array' THEN if(typed.array IS NULL, NULL, source_text) WHEN 'boolean' THEN cast(typed.boolean AS string) WHEN 'string' THEN typed.string WHEN 'fraction' THEN cast(typed.fraction AS string) ELSE cast(typed.whole AS string) END"
+    exact = "type <> 'fraction' OR source_type <> 'whole' OR coalesce(try_cast(typed.fraction AS decimal(38,0)) = try_cast(source_text AS decimal(38,0)), false)"
+    out = out.withColumn("value", F.expr(value)).withColumn("defaulted", F.col("source_type").isNull())
+    return out.select("file_id", "line_no", "producer", "field", "type", "value", F.expr(f"defaulted OR value IS NOT NULL AND ({exact})").alias("ok"), "defaulted", "typed", "source_path", "source_type", "source_text")

@@ -89,11 +89,12 @@ def p5_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All files in one consistent table, one row a value."""
+    """All files in one consistent table, one row for each record and field."""
     shared_dir(spark)
-    leaf, schema, files = _span_leaves(spark, sf_dir)
-    change = materialize(drift.changes(leaf, schema, files), "changes")
-    return drift.unify(leaf, schema, files, change)
+    rows = materialize(drift.lines(table(spark, sf_dir, "raw_spans")), "lines")
+    leaf, files = drift.leaves_of(rows), table(spark, sf_dir, "span_files")
+    change = materialize(drift.changes(leaf, drift.field_types(leaf), files), "changes")
+    return drift.one_table(rows, materialize(drift.steps(leaf, rows, files, change), "steps"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

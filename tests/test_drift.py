@@ -79,5 +79,49 @@ def test_chained_renames(spark):
     assert len(rows) == 10 and {r["field"] for r in rows} == {"e"}
 
 
+def one_table(spark, files):
+    leaf, schema, f = make(spark, files)
+    lines = [(i, n, r if isinstance(r, str) or r is None else json.dumps(r)) for i, _, rs in files for n, r in enumerate(rs)]
+    rows = drift.lines(spark.createDataFrame(lines, "file_id long, line_no int, record string"))
+    return drift.one_table(rows, drift.steps(leaf, rows, f, drift.changes(leaf, schema, f))).collect()
+
+
+def test_one_table_over_all_producers(spark):
+    shared_dir(spark)
+    files = [
+        (1, "p", [span(1, kind="a", status=5), span(2, kind="b", status=6)]),
+        (2, "p", [span(1, spanKind="a", status=5), span(2, spanKind="b", status=6)]),
+        (3, "q", [span(7, spanKind="c", status='x "y"', num=1), {}, {"num": None}, "# no record"]),
+        (4, "q", [span(8, kind="d", status=[1, "1"], num=2.5, flag=True, big=2**70)]),
+        (9, "r", [span(9, kind="e", num=2**53 + 1)]),
+    ]
+    rows = one_table(spark, files)
+    at = {(r["file_id"], r["line_no"], r["field"]): r for r in rows}
+    fields = {"trace_id", "span_id", "kind", "status", "num", "flag", "big"}
+    records = {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2), (4, 0), (9, 0)}
+    assert len(rows) == len(at) and set(at) == {(*r, f) for r in records for f in fields}
+    assert len({(r["field"], r["type"]) for r in rows}) == len(fields)
+    assert [at[i, 0, "kind"]["value"] for i in (1, 2, 3, 4, 9)] == ["a", "a", "c", "d", "e"]  # renamed at p, so one field at q too
+    assert [at[i, 0, "status"]["value"] for i in (1, 3, 4)] == ["5", 'x "y"', '[1,"1"]'] and at[1, 0, "status"]["typed"]["string"] == "5"
+    assert at[3, 0, "num"]["typed"]["fraction"] == 1.0 and at[4, 0, "num"]["typed"]["fraction"] == 2.5 and at[3, 0, "num"]["ok"]
+    assert not at[9, 0, "num"]["ok"] and at[9, 0, "num"]["source_text"] == str(2**53 + 1)
+    assert at[4, 0, "flag"]["typed"]["boolean"] is True and at[4, 0, "big"]["typed"]["whole"] == 2**70
+    lacking = [r for r in rows if r["defaulted"]]
+    assert at[3, 1, "status"] in lacking and at[1, 0, "flag"] in lacking
+    assert all(r["ok"] and r["value"] is None and all(v is None for v in r["typed"]) for r in lacking)
+
+
+def test_one_table_keeps_fields_apart_that_a_file_holds_side_by_side(spark):
+    shared_dir(spark)
+    files = [(1, "p", [span(1, a=4)]), (2, "p", [span(1, b=4)]), (3, "q", [span(2, a=1, b=2), '{"c.d":1,"c":{"d":2}}'])]
+    at = sorted((r["file_id"], r["line_no"], r["field"], r["value"]) for r in one_table(spark, files) if not r["defaulted"] and r["field"] in ("a", "b", "c.d"))
+    assert at == [(1, 0, "a", "4"), (2, 0, "b", "4"), (3, 0, "a", "1"), (3, 0, "b", "2"), (3, 1, "c.d", "1"), (3, 1, "c.d", "2")]
+
+
+def test_one_table_empty(spark):
+    shared_dir(spark)
+    assert one_table(spark, [(1, "p", [None, "x"])]) == []
+
+
 def test_empty(spark):
     assert changes(spark, [(1, "p", []), (2, "p", [])]) == set()
