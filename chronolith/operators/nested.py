@@ -3,7 +3,7 @@
 A payload is one array expression: ``aggregate`` steps from level to level, nested ``transform`` calls
 attach path and nearest enclosing item to each child, ``flatten`` joins the children of a level, and one
 ``inline`` emits the rows.  There is no shuffle, no Python and no fixed depth: a row takes as many steps as its
-text has opening brackets, plus those that re-encoded strings can add, and stops at its own last level.
+text has opening brackets, plus those that re-encoded strings and escapes can add, and stops at its own last level.
 
 A frontier entry is an object (``m``), an array (``a``) or a string that may be JSON text (``s``); such a
 string has one child at its own path, the value it encodes.
@@ -46,8 +46,12 @@ _CHILDREN = f"""filter(coalesce(
 
 
 def _levels(text: str) -> str:
-    """No value is nested deeper than this: every level takes a bracket or doubles the escapes."""
-    return f"length({text}) - length(translate({text}, '{{[', '')) + cast(log2(length({text}) + 2) AS int) + 2"
+    """No value is nested deeper than this: every level takes a bracket or doubles the escapes.
+
+    Where brackets, quotes or backslashes may be written as \\u escapes, every level takes two characters at least, as no escape is shorter than what it stands for.
+    """
+    plain = f"length({text}) - length(translate({text}, '{{[', '')) + cast(log2(length({text}) + 2) AS int) + 2"
+    return f"if(instr({text}, concat(chr(92), 'u')) > 0, length({text}) div 2 + 2, {plain})"
 
 
 def objects_sql(text: str) -> str:

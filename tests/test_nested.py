@@ -56,3 +56,15 @@ def test_plan_has_no_shuffle_and_no_python(spark):
     df = spark.createDataFrame([(1, "[]")], "id long, payload string")
     plan = flatten_objects(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_brackets_and_quotes_written_as_escapes(spark):
+    escape = lambda s: "".join(f"\\u{ord(c):04x}" if c in '[]{}"\\' else c for c in s)
+    once = '"' + escape("[" * 40 + '{"a":[{"b":1}]}' + "]" * 40) + '"'
+    again = '[{"a":1}]'
+    for _ in range(6):  # each round one array and one string, with no bracket to be seen
+        again = '"' + escape(f"[{again}]") + '"'
+    rows = [(1, once), (2, again), (3, once.replace("\\u005b", "\\u005B"))]
+    want = sorted(x for id_, text in rows for x in brute(id_, text))
+    assert len(want) == 5
+    assert sorted(map(tuple, flatten_objects(spark.createDataFrame(rows, "id long, payload string")).collect())) == want
