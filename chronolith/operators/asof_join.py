@@ -21,9 +21,12 @@ FOREVER = 1 << TOP
 
 
 def cover(start: Column, end: Column) -> Column:
-    """The dyadic nodes, as array<struct<level,node>>, that together hold [start, end) and no more than its grains."""
-    low = F.shiftright(F.greatest(start, F.lit(0)), GRAIN)
-    high = F.shiftright(F.least(end, F.lit(FOREVER)) + ((1 << GRAIN) - 1), GRAIN)
+    """The dyadic nodes, as array<struct<level,node>>, that together hold [start, end) and no more than its grains.
+
+    What lies outside the tree is held by its first or last grain.
+    """
+    low = F.shiftright(F.least(F.greatest(start, F.lit(0)), F.lit(FOREVER - 1)), GRAIN)
+    high = F.shiftright(F.least(F.greatest(end, F.lit(1)), F.lit(FOREVER)) + ((1 << GRAIN) - 1), GRAIN)
 
     def at(level: Column) -> Column:
         step = F.call_function("shiftleft", F.lit(1).cast("long"), level)
@@ -66,18 +69,17 @@ def hot_entities(rows: DataFrame, entity: list[str], least: int = HOT_VERSIONS)
 def _newest_only(v: DataFrame, e: DataFrame) -> DataFrame:
     """Versions in nodes, without those that no event of the node can get.
 
-    If a version holds a whole node, was known before the first event there was recorded and is not seen as closed by the last,
-    older ones can't win in it.  Nodes without events go as well.
+    If a version holds all event times of a node, also those that were moved into an edge node, was known before the first event
+    there was recorded and is not seen as closed by the last, older ones can't win in it.  Nodes without events go as well.
     """
-    seen = e.groupBy(*_KEY).agg(F.min("by").alias("first_by"), F.max("by").alias("last_by"))
+    seen = e.groupBy(*_KEY).agg(F.min("by").alias("first_by"), F.max("by").alias("last_by"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
     v = v.join(seen, _KEY)
-    size = F.call_function("shiftleft", F.lit(1 << GRAIN).cast("long"), F.col("level"))
-    whole = (F.col("start") <= F.col("node") * size) & (F.col("end") >= (F.col("node") + 1) * size)
+    whole = (F.col("start") <= F.col("first_at")) & (F.col("end") > F.col("last_at"))
     sure = whole & (F.col("known_at") <= F.col("first_by")) & (F.col("until") > F.col("last_by"))
     rank = F.struct("valid_from", "version")
     floor = v.filter(sure).groupBy(*_KEY).agg(F.max(rank).alias("floor"))
     v = v.join(floor, _KEY, "left").filter(F.col("floor").isNull() | (rank >= F.col("floor")))
-    return v.drop("first_by", "last_by", "floor")
+    return v.drop("first_by", "last_by", "first_at", "last_at", "floor")
 
 
 def attributes_as_known(events: DataFrame, versions: DataFrame, entity: list[str], hot: list[int] | None = None) -> DataFrame:

@@ -60,6 +60,16 @@ def test_pruned_nodes_of_hot_entities(spark):
         assert got == brute(events, versions)
 
 
+def test_pruned_edge_nodes_hold_times_outside_the_tree(spark):
+    far = 1 << 43
+    versions = [("a", "x", -1000, None, 0, None, "", ""), ("b", "x", -100, None, 0, None, "", ""), ("c", "x", far + 100, None, 0, None, "", "")]
+    events = [(1, "x", -500, far, ""), (2, "x", -50, far, ""), (3, "x", far, far, ""), (4, "x", far + 100, far, ""), (5, "x", -2000, far, "")]
+    e, v = spark.createDataFrame(events, EVENTS), spark.createDataFrame(versions, VERSIONS)
+    hot = hot_entities(v, ["e"], 1)
+    got = {r["event_id"]: r["version"] for r in attributes_as_known(e, v, ["e"], hot).collect()}
+    assert len(hot) == 1 and got == brute(events, versions) == {1: "a", 2: "b", 3: "b", 4: "c"}
+
+
 def test_edges_of_time(spark):
     versions = [("a", "x", 10, 20, 0, 0, "", ""), ("b", "x", 30, 30, 0, 0, "", ""), ("c", "x", -5, 5, 0, 0, "", "")]
     events = [(1, "x", 9, 99, ""), (2, "x", 10, 99, ""), (3, "x", 19, 99, ""), (4, "x", 20, 99, ""), (5, "x", 30, 99, ""), (6, "x", -5, 99, ""), (7, "x", 4, 99, ""), (8, "x", 5, 99, "")]
