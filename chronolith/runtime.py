@@ -11,7 +11,10 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_SETTING = "spark.checkpoint.dir"
@@ -47,10 +50,46 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the plans that are made and run inside; as they were afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def publish_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with its whole text in one step; false if it is there already, whoever wrote it."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    final = hadoop.Path(path)
+    part = hadoop.Path(final.getParent(), f".{uuid.uuid4().hex}.part")
+    stream = part.getFileSystem(conf).create(part, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    kind = getattr(hadoop, "Options$Rename")
+    try:
+        hadoop.FileContext.getFileContext(final.toUri(), conf).rename(part, final, spark.sparkContext._gateway.new_array(kind, 0))
+        return True
+    except Py4JJavaError as e:
+        part.getFileSystem(conf).delete(part, False)
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            return False
+        raise
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this session wrote below the shared folder; results that read it must have been written by then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/work-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark).rstrip('/')}/work-{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

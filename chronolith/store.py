@@ -11,6 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from chronolith.operators.maintenance import AUDIT_SCHEMA
+from chronolith.runtime import publish_once
 from chronolith.sources.ledger import LEDGER_SCHEMA
 
 APPLICATION, SCHEMA_VERSION = "chronolith-store", 1
@@ -60,12 +61,7 @@ class Store:
 
     def publish(self, **changes) -> None:
         new = self.manifest | changes | {"version": self.manifest["version"] + 1}
-        part, fs = self._path(f"_manifests/.{new['version']:010d}.part")
-        stream = fs.create(part, True)
-        stream.write(bytearray(json.dumps(new).encode()))
-        stream.close()
-        final, _ = self._path(f"_manifests/{new['version']:010d}.json")
-        if fs.exists(final) or not fs.rename(part, final):
+        if not publish_once(self.spark, f"{self.root}/_manifests/{new['version']:010d}.json", json.dumps(new)):
             raise StoreError(f"another writer published version {new['version']}")
         self.manifest = new
 

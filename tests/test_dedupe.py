@@ -38,19 +38,42 @@ def test_whole_table_and_clashing_column_names(spark):
     assert {r["id"] for r in out.collect()} == kept
 
 
+def ids(df):
+    return sorted(r["id"] for r in df.collect())
+
+
 def test_batches_in_any_order_and_twice_and_compacted(spark):
     rows = deliveries()
-    kept, _ = brute(rows)
+    kept, dropped = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA)
-    store = MessageStore(spark)
+    store = MessageStore(spark, buckets=3)
     for k in (2, 0, 1, 2):
         store.upsert(df.filter(F.col("id") % 3 == k), message_key(), F.col("id"))
-    assert sorted(r["id"] for r in store.kept().collect()) == sorted(kept)
+    assert len(store.runs) == 4
     store.compact()
-    assert store.runs == 1
-    assert sorted(r["id"] for r in store.deliveries().select("ord").withColumnRenamed("ord", "id").collect()) == sorted(kept)
-    store.upsert(df, message_key(), F.col("id"))
-    assert sorted(r["id"] for r in store.kept().collect()) == sorted(kept)
+    assert len(store.runs) == 1
+    assert ids(store.kept()) == sorted(kept)
+    assert sorted(tuple(r) for r in store.dropped().collect()) == sorted(dropped)
+    store.upsert(df, message_key(), F.col("id")).upsert(df.filter("id < 50"), message_key(), F.col("id"))
+    assert ids(store.kept()) == sorted(kept)
+    assert sorted(tuple(r) for r in store.dropped().collect()) == sorted(dropped)
+
+
+def test_a_first_copy_that_comes_last_takes_over_all_links(spark):
+    make = lambda *ids: spark.createDataFrame([(i, "a", "p", "t", "s", 1, "", "", "") for i in ids], SCHEMA)
+    store = MessageStore(spark, buckets=2).upsert(make(7, 9), message_key(), F.col("id")).compact()
+    store.upsert(make(3), message_key(), F.col("id")).upsert(make(5, 9), message_key(), F.col("id"))
+    assert sorted(tuple(r) for r in store.dropped().collect()) == [(3, 5), (3, 7), (3, 9)]
+    assert [r["rec"] for r in store.kept().collect()] == [""] and ids(store.kept()) == [3]
+
+
+def test_blocks_of_arrival(spark):
+    rows = deliveries(600, 3)
+    kept, dropped = brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("batch", F.when(F.col("id") != 5, F.floor(F.col("id") / 7)))
+    store = MessageStore(spark, buckets=4).upsert_by_arrival(df, message_key(), F.col("id"), "batch", ["id"], 5)
+    assert len(store.runs) == 5
+    assert {tuple(r) for r in store.dropped().collect()} == dropped and ids(store.kept()) == sorted(kept)
 
 
 def test_hot_message_is_salted_and_stays_exact(spark):
@@ -60,7 +83,6 @@ def test_hot_message_is_salted_and_stays_exact(spark):
     assert len(store.hot) == 1
     assert {tuple(r) for r in store.dropped().collect()} == {(0, i) for i in range(1, 300)}
     assert store.kept().count() == 301
-    assert store.deliveries().groupBy("k2").count().count() == 301
 
 
 def test_message_that_grows_hot_later(spark):
@@ -70,8 +92,20 @@ def test_message_that_grows_hot_later(spark):
     assert store.hot and {tuple(r) for r in store.dropped().collect()} == {(0, i) for i in range(1, 200)}
 
 
+def test_buckets_follow_bytes_and_grow(spark):
+    rows = deliveries(400)
+    kept, dropped = brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    store = MessageStore(spark, bucket_bytes=2_000).upsert(df.filter("id < 60"), message_key(), F.col("id"))
+    before = store.buckets
+    assert before > 1
+    store.upsert(df.filter("id >= 60"), message_key(), F.col("id"))
+    assert {tuple(r) for r in store.dropped().collect()} == dropped and ids(store.kept()) == sorted(kept)
+    assert store.buckets > before
+
+
 def test_null_order_and_repeated_rows(spark):
-    rows = [(None, "a", "p", "t", "s", 1, "", "", ""), (5, "a", "p", "t", "s", 1, "", "", ""), (5, "a", "p", "t", "s", 1, "", "", "")]
+    rows = [(None, "a", "p", "t", "s", 1, "", "", ""), (5, "a", "p", "t", "s", 1, "", "", ""), (5, "a", "p", "t", "s", 1, "", "", ""), (5, "a", "p", "t", "s", 1, "other", "", "")]
     store = MessageStore(spark).upsert(spark.createDataFrame(rows, SCHEMA), message_key(), F.col("id"))
     assert [r["id"] for r in store.kept().collect()] == [5]
     assert sorted((r["kept_id"], r["dropped_id"]) for r in store.dropped().fillna(-1).collect()) == [(5, -1), (5, 5)]
@@ -82,7 +116,19 @@ def test_empty_table(spark):
     assert store.kept().count() == 0 and store.dropped().count() == 0
 
 
-def test_compaction_reads_without_exchange(spark):
-    store = MessageStore(spark).upsert(spark.createDataFrame(deliveries(), SCHEMA), message_key(), F.col("id"), ["id"])
-    plan = store.dropped()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Bucketed: true" in plan
+def test_runs_merge_and_collapse_without_exchange_or_sort(spark):
+    df = spark.createDataFrame(deliveries(), SCHEMA)
+    store = MessageStore(spark, buckets=4)
+    for k in range(2):
+        store.upsert(df.filter(F.col("id") % 2 == k), message_key(), F.col("id"), ["id"])
+    steps = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    with store._tables(*store.runs) as (a, b):
+        plan = steps(store.merge_plan(a, b))
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan and "Bucketed: true" in plan
+        plan = steps(store._collapsed(a))
+        assert "Window" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert spark.catalog.listTables() == [] or not [t for t in spark.catalog.listTables() if t.name.startswith(store.name)]
+    store.compact()
+    for path in spark.read.parquet(f"{store.root}/{store.runs[0]}").inputFiles():
+        at = [tuple(r) for r in spark.read.parquet(path).coalesce(1).select("ident", "salt", "late", "pos", "tie").collect()]
+        assert at == sorted(at)
