@@ -1,15 +1,16 @@
 """Per-period aggregates by event time that late records correct until a cut-off.
 
-Raw messages are retained in an arrival log partitioned by batch, acceptance and slot (a range of
-periods, one day by default).  For each batch, ``apply`` finds the slots its accepted messages touch,
-recomputes those partitions entirely from the retained raw messages and publishes them by renaming a
-manifest into place, so readers see either the old or the new version of every slot.  Messages whose
-period is past its cut-off are kept in the log as ``too_late`` and touch nothing.
+Raw messages are retained in an arrival log partitioned by batch and slot (a range of periods, one day by default), gathered
+by slot before they are written, so a batch adds about one file a slot it touches.  For each batch, ``apply`` finds the slots its
+accepted messages touch, recomputes those partitions entirely from the retained raw messages - the counts of every period and the list of
+the messages that corrected it after its end - and publishes them by one manifest that is created in a single step, so readers
+see either the old or the new version of every slot.  Messages whose period is past its cut-off touch no slot; ``apply``
+publishes them as rejected.  ``counts``, ``corrections`` and ``rejected`` read what was published and nothing else.
 
 Outcomes: ``on_time`` (ingested before the period ended), ``correction`` (before period end + cut-off),
 ``too_late`` (after that), ``no_time`` (a null clock; kept in the log, counted nowhere).
-The slots a batch touches are listed on the driver: their number is bounded by the days between the
-first and the last event time, not by the rows.
+The slots a batch touches are listed on the driver: their number is bounded by the days between
+the first and the last event time, not by the rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chronolith.runtime import scratch
+from chronolith.runtime import publish_once, scratch
 
 HOUR_MS = 3_600_000
 DAY_MS = 24 * HOUR_MS
@@ -46,7 +47,6 @@ class PeriodCounts:
             raise ValueError("a slot must hold whole periods")
         self.spark, self.groups, self.root = spark, groups, root or scratch(spark, "periods")
         self.period_ms, self.cutoff_ms, self.slot_ms = period_ms, cutoff_ms, slot_ms
-        self.batches: list[str] = []
 
     # -- arrival log ------------------------------------------------------------------------
     def _arrivals(self, df: DataFrame, event_id: Column, observed: Column, ingested: Column, batch: Column) -> DataFrame:
@@ -55,14 +55,16 @@ class PeriodCounts:
         return df.select(
             event_id.alias("event_id"), *[F.col(g).alias(f"g{i}") for i, g in enumerate(self.groups)],
             start.alias("period_start_unix_ms"), kind.alias("outcome"), ingested.alias("ingested"),
-            batch.alias("batch"), kind.isin("on_time", "correction").alias("accepted"),
-            F.floor(start / F.lit(self.slot_ms)).cast("long").alias("slot"),
+            batch.cast("int").alias("batch"), F.floor(start / F.lit(self.slot_ms)).cast("long").alias("slot"),
         )
 
     def log(self, df: DataFrame, event_id: Column, observed: Column, ingested: Column, batch: Column) -> None:
-        """Retain raw messages; ``batch`` numbers them in order of arrival."""
+        """Retain raw messages; ``batch`` numbers them in order of arrival.
+
+        Rows are gathered by batch and slot; adaptive execution cuts a slot that is too large for one task.
+        """
         rows = self._arrivals(df, event_id, observed, ingested, batch)
-        rows.write.mode("append").partitionBy("batch", "accepted", "slot").parquet(f"{self.root}/log")
+        rows.hint("rebalance", "batch", "slot").write.mode("append").partitionBy("batch", "slot").parquet(f"{self.root}/log")
 
     def arrivals(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/log")
@@ -71,54 +73,80 @@ class PeriodCounts:
     def apply(self, batch: int) -> int:
         """Recompute the slots that a logged batch touches; returns how many."""
         log = self.arrivals()
-        fresh = log.filter((F.col("batch") == batch) & F.col("accepted"))
-        touched = sorted(r["slot"] for r in fresh.select("slot").distinct().collect())
-        if not touched:
+        fresh = log.filter(F.col("batch") == batch)
+        rows = fresh.filter(F.col("outcome").isin("on_time", "correction", "too_late")).groupBy("slot").agg(F.max(F.col("outcome") != "too_late").alias("accepted"), F.max(F.col("outcome") == "too_late").alias("refused")).collect()
+        touched = sorted(r["slot"] for r in rows if r["accepted"])
+        if not rows:
             return 0
-        version = len(self._manifests()) + 1
-        raw = log.filter(F.col("accepted") & (F.col("batch") <= batch) & F.col("slot").isin(touched))
-        keys = [f"g{i}" for i in range(len(self.groups))]
-        counts = raw.groupBy("slot", *keys, "period_start_unix_ms").agg(F.count("*").alias("messages"), F.max("ingested").alias("as_of_unix_ms"))
-        counts.write.partitionBy("slot").parquet(f"{self.root}/agg/version={version}")
-        state = self._manifest() | {str(s): version for s in touched}
-        self._publish(version, state)
+        state = self._manifest()
+        version = state["version"] + 1
+        if touched:
+            raw = log.filter(F.col("outcome").isin("on_time", "correction") & (F.col("batch") <= batch) & F.col("slot").isin(touched))
+            keys = [f"g{i}" for i in range(len(self.groups))]
+            counts = raw.groupBy("slot", *keys, "period_start_unix_ms").agg(F.count("*").alias("messages"), F.max("ingested").alias("as_of_unix_ms"))
+            counts.hint("rebalance", "slot").write.partitionBy("slot").parquet(f"{self.root}/counts/version={version}")
+            late = raw.filter("outcome = 'correction'").select("slot", "event_id", "period_start_unix_ms", "outcome")
+            late.hint("rebalance", "slot").write.partitionBy("slot").parquet(f"{self.root}/corrections/version={version}")
+        if any(r["refused"] for r in rows):
+            refused = fresh.filter("outcome = 'too_late'").select("event_id", "period_start_unix_ms", "outcome")
+            refused.coalesce(max(1, len(rows) // 8)).write.parquet(f"{self.root}/rejected/version={version}")
+        late_slots = self._slots(f"corrections/version={version}")
+        new = {
+            "version": version, "counts": state["counts"] | {str(s): version for s in touched},
+            "corrections": {s: v for s, v in state["corrections"].items() if int(s) not in touched} | {str(s): version for s in late_slots},
+            "rejected": state["rejected"] + [version] * any(r["refused"] for r in rows),
+        }
+        if not publish_once(self.spark, f"{self.root}/manifest/{version:08d}.json", json.dumps(new)):
+            raise RuntimeError(f"version {version} was published by another writer")
         return len(touched)
 
+    def _slots(self, folder: str) -> list[int]:
+        path, fs = self._fs(f"{self.root}/{folder}")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return [int(n.removeprefix("slot=")) for n in names if n.startswith("slot=")]
+
+    # -- what was published ------------------------------------------------------------------------
+    def _published(self, kind: str, schema: str) -> DataFrame:
+        state = self._manifest()[kind]
+        paths = [f"{self.root}/{kind}/version={v}/slot={s}" for s, v in state.items()] if kind != "rejected" else [f"{self.root}/rejected/version={v}" for v in state]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def _types(self) -> dict[str, str]:
+        return dict(self.arrivals().dtypes)
+
     def counts(self) -> DataFrame:
-        """The aggregates as published."""
-        names = [F.col(f"g{i}").alias(g) for i, g in enumerate(self.groups)]
-        state = self._manifest()
-        if not state:
-            empty = self.arrivals().filter("false")
-            return empty.select(*names, "period_start_unix_ms", F.lit(0).cast("long").alias("messages"), F.col("ingested").alias("as_of_unix_ms"))
-        paths = [f"{self.root}/agg/version={v}/slot={s}" for s, v in state.items()]
-        return self.spark.read.option("basePath", f"{self.root}/agg").parquet(*paths).select(*names, "period_start_unix_ms", "messages", "as_of_unix_ms")
+        """The group columns, period_start_unix_ms, messages and as_of_unix_ms (the latest arrival counted)."""
+        types = self._types()
+        keys = [f"g{i}" for i in range(len(self.groups))]
+        rows = self._published("counts", ", ".join([*(f"{k} {types[k]}" for k in keys), f"period_start_unix_ms long, messages long, as_of_unix_ms {types['ingested']}"]))
+        return rows.select(*[F.col(k).alias(g) for k, g in zip(keys, self.groups)], "period_start_unix_ms", "messages", "as_of_unix_ms")
+
+    def _late(self, kind: str) -> DataFrame:
+        return self._published(kind, f"event_id {self._types()['event_id']}, period_start_unix_ms long, outcome string")
+
+    def corrections(self) -> DataFrame:
+        """event_id, period_start_unix_ms, outcome of the messages that corrected a period after its end, from the recomputed slots."""
+        return self._late("corrections")
+
+    def rejected(self) -> DataFrame:
+        """The same of the messages that came after the cut-off."""
+        return self._late("rejected")
 
     # -- manifests ------------------------------------------------------------------------
     def _fs(self, path: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _manifests(self) -> list[str]:
+    def _manifest(self) -> dict:
         path, fs = self._fs(f"{self.root}/manifest")
-        return sorted(f.getPath().getName() for f in fs.listStatus(path) if f.getPath().getName().endswith(".json")) if fs.exists(path) else []
-
-    def _manifest(self) -> dict[str, int]:
-        names = self._manifests()
+        names = sorted(n for f in fs.listStatus(path) if (n := f.getPath().getName()).endswith(".json")) if fs.exists(path) else []
         if not names:
-            return {}
+            return {"version": 0, "counts": {}, "corrections": {}, "rejected": []}
         path, fs = self._fs(f"{self.root}/manifest/{names[-1]}")
         stream = fs.open(path)
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-
-    def _publish(self, version: int, state: dict[str, int]) -> None:
-        part, fs = self._fs(f"{self.root}/manifest/.{version:08d}.part")
-        stream = fs.create(part, True)
-        stream.write(bytearray(json.dumps(state).encode()))
-        stream.close()
-        final, _ = self._fs(f"{self.root}/manifest/{version:08d}.json")
-        if not fs.rename(part, final):
-            raise RuntimeError(f"version {version} was published by another writer")

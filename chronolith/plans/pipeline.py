@@ -14,38 +14,40 @@ from chronolith.operators.nested import flatten_objects
 from chronolith.runtime import materialize, shared_dir, table
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _store(spark: SparkSession, sf_dir: str, columns: list[str]) -> MessageStore:
+    """The ledger's arrival batches, upserted in blocks and compacted."""
     ledger = table(spark, sf_dir, "ledger_events")
-    return MessageStore(spark).upsert(ledger, message_key(), F.col("id"), ["id"]).dropped()
+    return MessageStore(spark).upsert_by_arrival(ledger, message_key(), F.col("id"), "batch_id", columns).compact()
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir, ["id"]).dropped()
 
 
 def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger with exactly one copy of each message."""
-    ledger = table(spark, sf_dir, "ledger_events")
-    columns = ["id", "tenant_id", "project_id", "environment_id", "trace_id", "span_id", "seq", "observed_at_unix_ms"]
-    return MessageStore(spark).upsert(ledger, message_key(), F.col("id"), columns).kept()
+    return _store(spark, sf_dir, ["id", "tenant_id", "project_id", "environment_id", "trace_id", "span_id", "seq", "observed_at_unix_ms"]).kept()
 
 
-#: Batches of arrival over which p2 replays the ledger.
-P2_BATCHES = 4
+#: p2 replays the ledger in so many blocks of arrival; a block holds whole batches.
+P2_BLOCKS = 4
 
 
 def _period_counts(spark: SparkSession, sf_dir: str) -> PeriodCounts:
-    ledger = table(spark, sf_dir, "ledger_events")
-    kept = MessageStore(spark).upsert(ledger, message_key(), F.col("id"), ["id", "tenant_id", "project_id", "observed_at_unix_ms", "ingested_at_unix_ms"]).kept()
-    ends = ledger.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-    lo, hi = ends["lo"] or 0, ends["hi"] or 0
-    batch = F.floor((F.col("id") - lo) * P2_BATCHES / F.lit(hi - lo + 1)).cast("int")
+    store = _store(spark, sf_dir, ["id", "batch_id", "tenant_id", "project_id", "observed_at_unix_ms", "ingested_at_unix_ms"])
+    lo, hi = store.arrivals
     periods = PeriodCounts(spark, ["tenant_id", "project_id"])
-    periods.log(kept, F.col("id"), F.col("observed_at_unix_ms"), F.col("ingested_at_unix_ms"), batch)
-    for n in range(P2_BATCHES):
+    block = F.floor((F.coalesce("batch_id", F.lit(lo)) - lo) * P2_BLOCKS / F.lit(hi - lo + 1))
+    periods.log(store.kept(), F.col("id"), F.col("observed_at_unix_ms"), F.col("ingested_at_unix_ms"), block)
+    for n in range(P2_BLOCKS):
         periods.apply(n)
     return periods
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    late = _period_counts(spark, sf_dir).arrivals().filter(F.col("outcome").isin("correction", "too_late"))
-    return late.select("event_id", "period_start_unix_ms", "outcome")
+    """What the recomputed periods say of each message that came after its period's end."""
+    periods = _period_counts(spark, sf_dir)
+    return periods.corrections().unionByName(periods.rejected())
 
 
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
