@@ -10,7 +10,7 @@ from chronolith.operators.dedupe import MessageStore
 from chronolith.operators import drift
 from chronolith.operators.intervals import periods_and_gaps
 from chronolith.operators.late import PeriodCounts
-from chronolith.operators.nested import flatten_objects
+from chronolith.operators.nested import flatten_objects, flatten_tables
 from chronolith.runtime import materialize, shared_dir, table
 
 
@@ -76,6 +76,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_objects(table(spark, sf_dir, "ledger_events"))
 
 
+#: Flat tables of the payloads: kind of object and columns.
+P4_TABLES = {
+    "memories": ("memories[]", {"op": "string", "node_kind": "string", "text": "string", "target_node_id": "string"}),
+    "citations": ("memories[].cited_spans[]", {"tenant_id": "string", "project_id": "string", "trace_id": "string", "span_id": "string", "seq": "bigint"}),
+    "evidence": ("output.evidence[]", {"node_id": "string", "score": "double"}),
+}
+
+
+def _flat_table(name: str):
+    def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return flatten_tables(table(spark, sf_dir, "ledger_events"), {name: P4_TABLES[name]})[name]
+
+    flat.__name__ = f"p4_{name}"
+    return flat
+
+
 def _span_leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     leaf = materialize(drift.leaves(table(spark, sf_dir, "raw_spans")), "leaves")
     return leaf, drift.field_types(leaf), table(spark, sf_dir, "span_files")
@@ -108,7 +124,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods_and_gaps(rows, ["tenant_id", "project_id", "environment_id", "family_key"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_counts, p3_found, p4_found, p5_found, p5_versions, p5_table, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_counts, p3_found, p4_found, *map(_flat_table, P4_TABLES), p5_found, p5_versions, p5_table, p6_found)}
 
 _KEYED = """
 keyed AS (
@@ -118,6 +134,19 @@ copies AS (
   SELECT *, min(id) OVER (PARTITION BY tenant_id, project_id, tkey, skey, seq) AS kept_id FROM keyed)
 """
 
+_WALK = """WITH RECURSIVE t(event_id, path, item, element, v) AS (
+          SELECT id, '', '', false, payload::JSON FROM ledger_events WHERE json_valid(payload)
+          UNION ALL
+          SELECT event_id, c.path, c.item, c.element, c.v FROM (
+            SELECT event_id, unnest(CASE json_type(v)
+              WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {'path': CASE WHEN path = '' THEN k ELSE path || '.' || k END,
+                'item': CASE WHEN element THEN path ELSE item END, 'element': false, 'v': json_extract(v, '/' || replace(replace(k, '~', '~0'), '/', '~1'))})
+              WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: {'path': path || '[' || i || ']', 'item': item, 'element': true, 'v': json_extract(v, '/' || i)})
+              WHEN 'VARCHAR' THEN CASE WHEN regexp_matches(json_extract_string(v, '$'), '^\\s*[\\[{"]') AND json_valid(json_extract_string(v, '$'))
+                THEN [{'path': path, 'item': item, 'element': element, 'v': json_extract_string(v, '$')::JSON}] ELSE [] END
+              ELSE [] END) AS c FROM t))"""
+_CELL = {"bigint": "try_cast(json_extract_string(v, '$.{f}') AS BIGINT)", "double": "try_cast(json_extract_string(v, '$.{f}') AS DOUBLE)", "string": "CASE WHEN json_type(v, '$.{f}') NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(v, '$.{f}') END"}
+
 ORACLE = {
     "p1_found": f"WITH {_KEYED} SELECT kept_id, id AS dropped_id FROM copies WHERE id <> kept_id",
     "p1_kept": f"""WITH {_KEYED} SELECT id, tenant_id, project_id, environment_id, trace_id, span_id, seq, observed_at_unix_ms
@@ -148,17 +177,7 @@ ORACLE = {
         FROM reads r JOIN versions v USING (tenant_id, project_id, env, fam)
         WHERE v.vf <= r.at AND v.known_at <= r.ing AND (v.vt IS NULL OR v.vt > r.at OR v.closed IS NULL OR v.closed > r.ing)
         GROUP BY r.event_id""",
-    "p4_found": """WITH RECURSIVE t(event_id, path, item, element, v) AS (
-          SELECT id, '', '', false, payload::JSON FROM ledger_events WHERE json_valid(payload)
-          UNION ALL
-          SELECT event_id, c.path, c.item, c.element, c.v FROM (
-            SELECT event_id, unnest(CASE json_type(v)
-              WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {'path': CASE WHEN path = '' THEN k ELSE path || '.' || k END,
-                'item': CASE WHEN element THEN path ELSE item END, 'element': false, 'v': json_extract(v, '/' || replace(replace(k, '~', '~0'), '/', '~1'))})
-              WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: {'path': path || '[' || i || ']', 'item': item, 'element': true, 'v': json_extract(v, '/' || i)})
-              WHEN 'VARCHAR' THEN CASE WHEN regexp_matches(json_extract_string(v, '$'), '^\\s*[\\[{"]') AND json_valid(json_extract_string(v, '$'))
-                THEN [{'path': path, 'item': item, 'element': element, 'v': json_extract_string(v, '$')::JSON}] ELSE [] END
-              ELSE [] END) AS c FROM t))
+    "p4_found": f"""{_WALK}
         SELECT event_id, path AS item_path, item AS parent_path FROM t WHERE element AND json_type(v) = 'OBJECT'""",
     "p5_found": """WITH RECURSIVE t(file_id, line_no, path, v) AS (
           SELECT file_id, line_no, '', record::JSON FROM raw_spans WHERE json_valid(record) AND json_type(CASE WHEN json_valid(record) THEN record ELSE 'null' END) = 'OBJECT'
@@ -198,3 +217,7 @@ ORACLE = {
         UNION ALL SELECT tenant_id, project_id, environment_id, family_key, 'gap', e, nx
           FROM (SELECT *, lead(s) OVER (PARTITION BY tenant_id, project_id, environment_id, family_key ORDER BY s) AS nx FROM p) WHERE nx IS NOT NULL""",
 }
+for _name, (_kind, _fields) in P4_TABLES.items():
+    _cells = ", ".join(f"{_CELL[t].format(f=f)} AS {f}" for f, t in _fields.items())
+    ORACLE[f"p4_{_name}"] = f"""{_WALK} SELECT event_id, path AS item_path, item AS parent_path, try_cast(regexp_extract(path, '\\[([0-9]+)\\]$', 1) AS INT) AS position, {_cells}
+        FROM t WHERE element AND json_type(v) = 'OBJECT' AND regexp_replace(path, '\\[[0-9]+\\]', '[]', 'g') = '{_kind}'"""
