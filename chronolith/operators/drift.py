@@ -1,18 +1,20 @@
 """Schemas that drift from file to file: versioned fingerprints, migration steps, one table, one report.
 
-``leaves`` turns each record into (field path, type, canonical value) rows by one higher-order
-expression.  ``versions`` gives each file the fingerprint of its field set.  ``changes`` compares every
-file with its producer's previous one: fields that are gone or new are matched as renames if their
-values agree on all spans of both files, which is one equi-join on an order-free value fingerprint, never a
-comparison of all pairs.  ``steps`` holds for each file what makes its records fit the one schema over all producers:
-for each field the path to rename, or none for the default, and the type to cast to.  ``one_table`` takes every record
-through them.  ``unify`` is the view of one producer: chained renames are resolved by pointer doubling and values
-named and typed as in the producer's last version.
-
-The one schema: paths that any producer renames into one another are one field, under the path that most files have;
+``lines`` parses each record once into its fields: (path, type, text).  ``versions`` gives each file the fingerprint of its
+field set, an order-free sum over (path, type).  Fingerprints decide what is done: only neighbours with different ones are compared
+(``changes``), ``migrations`` holds the explicit step of every change from one fingerprint to the next (rename, default, drop, cast), and
+``steps`` holds for every fingerprint what makes its records fit the one schema over all producers, once for all files that have it.
+``one_table`` routes every file through the steps of its fingerprint, ``wide_table`` gives the same with a column for each field.
+
+Fields that are gone or new are matched as renames if their values agree on all spans of both files, which is one equi-join on an order-free
+value fingerprint, never a comparison of all pairs.
+
+The one schema: paths that any producer renames into one another, over any chain of files, are one field, under the path that most files have;
 paths that one file holds side by side are never joined.  A field is of its values' type; whole and fractional make fractional,
 any other mix makes string, to which all can be cast.  The default of a field that a record lacks is null.
 
+Records are parsed in Arrow batches: the higher-order form of the same walk over VARIANT took six times the CPU, as every step copies what was found.
+
 Defined cases: lines that are no JSON object (or have text after it) count for nothing; null and absent values
 are equal; a span repeated in a file counts with its last line; of mixed types, whole and fractional make
 fractional, any other mix makes the first of array, boolean, string; spans without trace_id or span_id are
@@ -21,62 +23,73 @@ in no two files; equal export times are ordered by file_id; a file without any r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-_ENTRY = "struct<path:string,m:map<string,variant>,v:variant>"
-_LEAF = "struct<path:string,value:variant>"
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
-def leaves_sql(record: str) -> str:
-    """array<struct<path,value>> of the non-null values that are no objects; null if the text is no JSON object."""
-    parsed = f"filter(array(try_cast(try_parse_json(concat('[', {record}, ']')) AS array<variant>)), w -> size(w) = 1)"
-    root = f"transform({parsed}, w -> named_struct('path', '', 'm', try_cast(w[0] AS map<string,variant>), 'v', cast(NULL AS variant)))"
-    start = f"named_struct('f', cast(coalesce({root}, array()) AS array<{_ENTRY}>), 'out', cast(NULL AS array<{_LEAF}>))"
-    path = "if(f.path = '', e.key, concat(f.path, '.', e.key))"
-    kids = f"flatten(transform(filter(acc.f, f -> f.m IS NOT NULL), f -> transform(map_entries(f.m), e -> named_struct('path', {path}, 'm', try_cast(e.value AS map<string,variant>), 'v', e.value))))"
-    leaf = "transform(filter(kids, k -> k.m IS NULL AND NOT is_variant_null(k.v)), k -> named_struct('path', k.path, 'value', k.v))"
-    # the children of a level are made once and read twice
-    level = f"""transform(array({kids}), kids -> named_struct(
-      'f', cast(filter(kids, k -> k.m IS NOT NULL) AS array<{_ENTRY}>), 'out', cast(concat(coalesce(acc.out, array()), {leaf}) AS array<{_LEAF}>)))[0]"""
-    step = f"if(size(acc.f) = 0 OR acc.f[0].m IS NULL, acc, {level})"
-    levels = f"length({record}) - length(translate({record}, '{{', ''))"
-    return f"CASE WHEN {record} RLIKE '^[ \\\\t\\\\r\\\\n]*[{{]' THEN aggregate(sequence(0, {levels}), {start}, (acc, level) -> {step}, acc -> acc.out) END"
-
+from chronolith.functions.jsontext import Number, parse, storable, written
+from chronolith.runtime import materialize, shared_dir
 
 #: Field types in the order that decides a mix.
 _TYPES = "array boolean string fraction whole".split()
-
-
-_TYPED = """transform(array(schema_of_variant(x.value)), k -> named_struct(
-  'path', x.path,
-  'type', CASE WHEN k LIKE 'ARRAY%' THEN 'array' WHEN k = 'BOOLEAN' THEN 'boolean' WHEN k = 'STRING' THEN 'string' WHEN k = 'BIGINT' THEN 'whole'
-    WHEN k LIKE 'DECIMAL(%,0)' AND length(k) > 12 AND k >= 'DECIMAL(19' THEN 'whole' ELSE 'fraction' END,
-  'value', {value}{more}))[0]"""
-_VALUE = """CASE WHEN k LIKE 'DECIMAL%' OR k IN ('DOUBLE', 'FLOAT')
-    THEN transform(array(try_cast(x.value AS double)), n -> if(n = floor(n) AND abs(n) < 9e15, cast(cast(n AS bigint) AS string), cast(n AS string)))[0]
-    ELSE to_json(x.value) END"""
-#: The value without JSON quotes and escapes, and a whole number with all its digits.
-_TEXT = f", 'text', CASE WHEN k = 'STRING' THEN cast(x.value AS string) WHEN k LIKE 'DECIMAL(%,0)' THEN to_json(x.value) ELSE {_VALUE} END"
-
-
-def lines(records: DataFrame, text: bool = True) -> DataFrame:
-    """file_id, line_no, leaf of every line that is a JSON object: its fields as array<struct<path,type,value>>, with ``text`` also their plain text."""
-    records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    rows = records.select("file_id", "line_no", F.expr(leaves_sql("record")).alias("leaf")).filter(F.col("leaf").isNotNull())
-    typed = _TYPED.format(value=_VALUE, more=_TEXT if text else "")
-    return rows.select("file_id", "line_no", F.expr(f"transform(leaf, x -> {typed})").alias("leaf"))
-
-
-def leaves(records: DataFrame) -> DataFrame:
-    """file_id, line_no, trace_id, span_id, field_path, type, value of every non-null field."""
-    return leaves_of(lines(records, text=False))
-
-
-def leaves_of(rows: DataFrame) -> DataFrame:
-    """``leaves`` of ``lines``."""
-    id_of = lambda name: F.expr(f"get(filter(leaf, x -> x.path = '{name}'), 0).value")
-    rows = rows.select("file_id", "line_no", id_of("trace_id").alias("trace_id"), id_of("span_id").alias("span_id"), F.explode("leaf").alias("x"))
-    return rows.select("file_id", "line_no", "trace_id", "span_id", F.col("x.path").alias("field_path"), F.col("x.type").alias("type"), F.col("x.value").alias("value"))
+_LINE = "file_id {file}, line_no {line}, trace_id string, span_id string, leaf array<struct<path:string,type:string,text:string>>"
+
+
+def _fraction(text: str) -> str:
+    """A number with a fraction or an exponent as all equal ones are written."""
+    x = float(text)
+    return str(int(x)) if x == x // 1 and abs(x) < 9e15 else repr(x)
+
+
+def _leaves(record: dict) -> Iterator[tuple[str, str, str]]:
+    """path, type and text of the non-null values that are no objects, by a stack: records may nest as deep as they like."""
+    stack: list[tuple[str, object]] = [("", record)]
+    while stack:
+        path, v = stack.pop()
+        if isinstance(v, dict):
+            stack.extend((f"{path}.{k}" if path else k, x) for k, x in reversed(v.items()))
+        elif isinstance(v, Number):
+            yield (path, "whole", str(v)) if v.whole else (path, "fraction", _fraction(v))
+        elif isinstance(v, str):
+            yield path, "string", v
+        elif isinstance(v, bool):
+            yield path, "boolean", "true" if v else "false"
+        elif v is not None:
+            yield path, "array", written(v)
+
+
+def lines(records: DataFrame) -> DataFrame:
+    """file_id, line_no, trace_id, span_id and leaf, the fields as array<struct<path,type,text>>, of every line that is a JSON object."""
+    rows = records.select("file_id", "line_no", F.col("record").cast("string").alias("record")).filter(F.ltrim("record").startswith("{") | F.col("record").rlike(r"^[\t\r\n ]+\{"))
+    names = ["file_id", "line_no", "trace_id", "span_id", "leaf"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ids, paths, types, texts, ends = [], ([], []), [], [], [], [0]
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                try:
+                    record = parse(text)
+                except ValueError:
+                    continue
+                at.append(i)
+                own = [None, None]
+                for path, kind, value in _leaves(record):
+                    value = storable(value)
+                    paths.append(storable(path))
+                    types.append(kind)
+                    texts.append(value)
+                    if path == "trace_id" or path == "span_id":
+                        own[path == "span_id"] = f"{kind}:{value}"
+                ends.append(len(paths))
+                ids[0].append(own[0])
+                ids[1].append(own[1])
+            leaf = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in (paths, types, texts)], ["path", "type", "text"]))
+            take = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(ids[0], pa.string()), pa.array(ids[1], pa.string()), leaf], names)
+
+    types = dict(records.dtypes)
+    return rows.mapInArrow(run, _LINE.format(file=types["file_id"], line=types["line_no"]))
 
 
 def order_of(files: DataFrame) -> DataFrame:
@@ -85,47 +98,55 @@ def order_of(files: DataFrame) -> DataFrame:
     return files.select("file_id", "producer", F.lag("file_id").over(w).alias("prev_file_id"), F.row_number().over(w).alias("version_no"))
 
 
-def field_types(leaf: DataFrame) -> DataFrame:
-    """file_id, field_path, type: the schema of each file."""
-    rank = F.array_position(F.array(*map(F.lit, _TYPES)), F.col("type"))
-    best = leaf.groupBy("file_id", "field_path").agg(F.min(rank).alias("t"))
-    return best.select("file_id", "field_path", F.element_at(F.array(*map(F.lit, _TYPES)), F.col("t").cast("int")).alias("type"))
+def field_types(rows: DataFrame) -> DataFrame:
+    """file_id, field_path, type and all types that occur: the schema of each file, in one pass over ``lines``."""
+    rank = F.array_position(F.array(*map(F.lit, _TYPES)), F.col("x.type"))
+    leaf = rows.select("file_id", F.explode("leaf").alias("x")).select("file_id", F.col("x.path").alias("field_path"), rank.cast("int").alias("t"))
+    best = leaf.groupBy("file_id", "field_path").agg(F.min("t").alias("t"), *[F.max((F.col("t") == i + 1).cast("int")).alias(f"has{i}") for i in range(len(_TYPES))])
+    held = F.filter(F.array(*[F.when(F.col(f"has{i}") == 1, F.lit(t)) for i, t in enumerate(_TYPES)]), lambda x: x.isNotNull())
+    return best.select("file_id", "field_path", F.element_at(F.array(*map(F.lit, _TYPES)), F.col("t")).alias("type"), held.alias("types"))
 
 
 def versions(schema: DataFrame, files: DataFrame) -> DataFrame:
-    """file_id, producer, version_no, fingerprint, n_fields. Equal fingerprints are equal schemas."""
-    mark = F.xxhash64("field_path", "type")
-    prints = schema.groupBy("file_id").agg(F.sum(mark.cast("decimal(20,0)")).alias("s"), F.count("*").alias("n_fields"))
-    out = order_of(files).join(prints, "file_id", "left")
-    return out.select("file_id", "producer", "version_no", F.hex(F.xxhash64(F.coalesce("s", F.lit(0)), F.coalesce("n_fields", F.lit(0)))).alias("fingerprint"), F.coalesce("n_fields", F.lit(0)).alias("n_fields"))
-
-
-def changes(leaf: DataFrame, schema: DataFrame, files: DataFrame) -> DataFrame:
-    """file_id, change_kind, field_path, new_path, old_type, new_type of every change between neighbours."""
-    order = order_of(files).filter("prev_file_id IS NOT NULL")
-    cur = order.select("file_id").join(schema, "file_id").withColumnRenamed("type", "new_type")
-    prev = order.select("file_id", "prev_file_id").join(schema.withColumnRenamed("file_id", "prev_file_id"), "prev_file_id")
-    prev = prev.select("file_id", "field_path", F.col("type").alias("old_type"))
-    both = prev.join(cur, ["file_id", "field_path"], "full")
+    """file_id, producer, version_no, fingerprint, n_fields, prev_file_id, prev_fingerprint. Equal fingerprints are equal schemas."""
+    mark = F.conv(F.substring(F.md5(F.concat_ws("|", "field_path", "type").cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    prints = schema.groupBy("file_id").agg(F.sum(mark).alias("s"), F.count("*").alias("n_fields"))
+    total, n = F.coalesce("s", F.lit(0).cast("decimal(30,0)")).cast("string"), F.coalesce("n_fields", F.lit(0))
+    out = order_of(files).join(prints, "file_id", "left").withColumn("fingerprint", F.md5(F.concat_ws(":", total, n.cast("string")).cast("binary")))
+    before = F.lag("fingerprint").over(Window.partitionBy("producer").orderBy("version_no"))
+    return out.select("file_id", "producer", "version_no", "fingerprint", n.alias("n_fields"), "prev_file_id", before.alias("prev_fingerprint"))
+
+
+def changes(rows: DataFrame, schema: DataFrame, version: DataFrame) -> DataFrame:
+    """file_id, change_kind, field_path, new_path, old_type, new_type of every change between neighbours, which are the files whose fingerprints differ.
+
+    rows, schema and version are what ``lines``, ``field_types`` and ``versions`` gave, written before: each is read several times.
+    """
+    pairs = version.filter("prev_file_id IS NOT NULL AND fingerprint <> prev_fingerprint").select("file_id", "prev_file_id")
+    cur = pairs.select("file_id").join(schema.select("file_id", "field_path", F.col("type").alias("new_type")), "file_id")
+    prev = pairs.join(schema.select(F.col("file_id").alias("prev_file_id"), "field_path", F.col("type").alias("old_type")), "prev_file_id").drop("prev_file_id")
+    both = materialize(prev.join(cur, ["file_id", "field_path"], "full").filter("old_type IS NULL OR new_type IS NULL OR old_type <> new_type"), "moved")
     moved = both.filter("old_type IS NULL OR new_type IS NULL")
     retyped = both.filter("old_type <> new_type").select("file_id", F.lit("retyped").alias("change_kind"), "field_path", F.lit("").alias("new_path"), "old_type", "new_type")
 
-    # the value fingerprint of gone and new fields over the spans that both files hold
-    last = Window.partitionBy("file_id", "trace_id", "span_id")
-    spans = leaf.filter("trace_id IS NOT NULL AND span_id IS NOT NULL").select("file_id", "line_no", "trace_id", "span_id", "field_path", "value")
-    spans = spans.withColumn("last", F.max("line_no").over(last)).filter("line_no = last").drop("line_no", "last")
-    new = moved.filter("old_type IS NULL").select("file_id", "field_path").withColumn("at", F.col("file_id")).withColumn("side", F.lit("new"))
-    gone = moved.filter("new_type IS NULL").select("file_id", "field_path").join(order.select("file_id", F.col("prev_file_id").alias("at")), "file_id").withColumn("side", F.lit("gone"))
-    wanted = new.unionByName(gone).select(F.col("file_id").alias("change_file"), F.col("at").alias("file_id"), "field_path", "side")
-    held = spans.select("file_id", "trace_id", "span_id").distinct()
-    older = order.join(held.withColumnRenamed("file_id", "prev_file_id"), "prev_file_id").select("file_id", "trace_id", "span_id")
-    shared = older.join(held, ["file_id", "trace_id", "span_id"]).withColumnRenamed("file_id", "change_file")
-    values = spans.join(wanted, ["file_id", "field_path"]).join(shared, ["change_file", "trace_id", "span_id"], "left_semi")
-    mark = lambda seed: F.xxhash64(F.lit(seed), "trace_id", "span_id", "value").cast("decimal(20,0)")
-    prints = values.groupBy("change_file", "field_path", "side").agg(F.sum(mark(1)).alias("s1"), F.sum(mark(2)).alias("s2"), F.count("*").alias("n"))
-    prints = prints.withColumnRenamed("change_file", "file_id")
-    types = moved.select("file_id", "field_path", F.coalesce("old_type", "new_type").alias("type"))
-    prints = prints.join(types, ["file_id", "field_path"])
+    # which fields of which file are wanted, as the later file of a change (new) and as the earlier one (gone)
+    paths = lambda kind: F.collect_list(F.when(F.col(f"{kind}_type").isNotNull(), F.col("field_path")))
+    wanted = moved.groupBy("file_id").agg(paths("new").alias("new_paths"), paths("old").alias("gone_paths")).filter("size(new_paths) > 0 AND size(gone_paths) > 0")
+    ends = wanted.join(pairs, "file_id")
+    sides = ends.select("file_id", F.col("file_id").alias("change_file"), F.lit("new").alias("side"), F.col("new_paths").alias("paths")).unionByName(
+        ends.select(F.col("prev_file_id").alias("file_id"), F.col("file_id").alias("change_file"), F.lit("gone").alias("side"), F.col("gone_paths").alias("paths"))
+    )
+    # the last line of each span, of the spans that both files hold
+    held = rows.filter("trace_id IS NOT NULL AND span_id IS NOT NULL").groupBy("file_id", "trace_id", "span_id").agg(F.max("line_no").alias("line_no"))
+    tried = ends.select(F.col("file_id").alias("change_file"), F.explode(F.array("file_id", "prev_file_id")).alias("file_id"))
+    spans = tried.join(held, "file_id").groupBy("change_file", "trace_id", "span_id").agg(F.count("*").alias("n"), F.collect_list(F.struct("file_id", "line_no")).alias("at"))  # two files a span at most
+    shared = spans.filter("n = 2").select("change_file", F.inline("at"))
+    picked = rows.join(sides, "file_id").select("change_file", "file_id", "line_no", "side", "trace_id", "span_id", F.explode(F.filter("leaf", lambda x: F.array_contains("paths", x["path"]))).alias("x"))
+    values = picked.join(shared, ["change_file", "file_id", "line_no"], "left_semi")
+    of = F.when(F.col("x.type").isin("whole", "fraction"), "number").otherwise(F.col("x.type"))
+    mark = lambda seed: F.xxhash64(F.lit(seed), "trace_id", "span_id", of, F.col("x.text")).cast("decimal(20,0)")
+    prints = values.groupBy(F.col("change_file").alias("file_id"), F.col("x.path").alias("field_path"), "side").agg(F.sum(mark(1)).alias("s1"), F.sum(mark(2)).alias("s2"), F.count("*").alias("n"))
+    prints = materialize(prints.join(moved.select("file_id", "field_path", F.coalesce("old_type", "new_type").alias("type")), ["file_id", "field_path"]), "prints")
     a = prints.filter("side = 'gone'").select("file_id", "type", "s1", "s2", "n", "field_path")
     b = prints.filter("side = 'new'").select("file_id", "type", "s1", "s2", "n", F.col("field_path").alias("new_path"))
     renamed = a.join(b, ["file_id", "type", "s1", "s2", "n"]).select("file_id", F.lit("renamed").alias("change_kind"), "field_path", "new_path", F.col("type").alias("old_type"), F.col("type").alias("new_type"))
@@ -136,54 +157,18 @@ def changes(leaf: DataFrame, schema: DataFrame, files: DataFrame) -> DataFrame:
     return renamed.unionByName(rest).unionByName(retyped)
 
 
-def final_names(change: DataFrame, files: DataFrame) -> DataFrame:
-    """producer, from_version, field_path, final_path: where chained renames lead, by pointer doubling.
+#: What a change of the schema asks of the records before it.
+_OPS = {"renamed": "rename", "added": "default", "removed": "drop", "retyped": "cast"}
 
-    An edge says that from ``from_version`` on a path has another name; its successor is the next rename of that
-    name in a later version.  Each round doubles the distance, so the rounds grow with the logarithm of the longest chain.
-    """
-    order = order_of(files).select("file_id", "producer", "version_no")
-    edge = change.filter("change_kind = 'renamed'").join(order, "file_id")
-    edge = edge.groupBy("producer", "version_no", "field_path").agg(F.min("new_path").alias("final_path"))
-    steps = edge.select("producer", F.col("version_no").alias("from_version"), "field_path", "final_path", F.col("version_no").alias("at"))
-    while True:
-        nxt = steps.select("producer", F.col("from_version").alias("v2"), F.col("field_path").alias("final_path"), F.col("final_path").alias("p2"), F.col("at").alias("at2"))
-        hop = steps.join(nxt, ["producer", "final_path"], "left").filter("v2 IS NULL OR v2 > at")
-        first = F.min_by(F.struct("p2", "at2"), "v2").alias("next")
-        unchanged = steps.join(hop.filter("v2 IS NOT NULL").select("producer", "from_version", "field_path").distinct(), ["producer", "from_version", "field_path"], "left_anti")
-        moved = hop.filter("v2 IS NOT NULL").groupBy("producer", "from_version", "field_path").agg(first)
-        moved = moved.select("producer", "from_version", "field_path", F.col("next.p2").alias("final_path"), F.col("next.at2").alias("at"))
-        if moved.isEmpty():
-            return steps.drop("at")
-        steps = unchanged.unionByName(moved).checkpoint()
-
-
-def unify(leaf: DataFrame, schema: DataFrame, files: DataFrame, change: DataFrame) -> DataFrame:
-    """file_id, line_no, field, type, value, ok: every value under its producer's last field name and type.
-
-    ``ok`` is false where a value can't be cast to the last type; it then keeps its text.  Fields that the
-    last version lacks keep the name and type of the version that had them last.
-    """
-    order = order_of(files)
-    names = final_names(change, files)
-    rows = leaf.select("file_id", "line_no", "field_path", "type", "value").join(order.select("file_id", "producer", "version_no"), "file_id")
-    used = rows.select("producer", "version_no", "field_path").distinct()
-    route = used.join(names, ["producer", "field_path"], "left").filter("from_version IS NULL OR from_version > version_no")
-    route = route.groupBy("producer", "version_no", "field_path").agg(F.min_by("final_path", "from_version").alias("final"))
-    field = F.coalesce("final", "field_path").alias("field")
-    rows = rows.join(route, ["producer", "version_no", "field_path"], "left").select("file_id", "line_no", "producer", "version_no", field, "type", "value")
-    target = rows.groupBy("producer", "field").agg(F.max_by("type", F.struct("version_no", "type")).alias("target"))
-    rows = rows.join(target, ["producer", "field"])
-    fits = (
-        F.when(F.col("type") == F.col("target"), True)
-        .when(F.col("target") == "string", True)
-        .when(F.col("target") == "fraction", F.col("value").try_cast("double").isNotNull())
-        .when(F.col("target") == "whole", F.col("value").try_cast("bigint").isNotNull())
-        .when(F.col("target") == "boolean", F.col("value").try_cast("boolean").isNotNull())
-        .otherwise(False)
-    )
-    plain = F.when((F.col("type") == "string") & (F.col("target") != "string"), F.regexp_replace("value", '^"|"$', "")).otherwise(F.col("value"))
-    return rows.withColumn("value", plain).select("file_id", "line_no", "field", F.col("target").alias("type"), "value", fits.alias("ok"))
+
+def migrations(change: DataFrame, version: DataFrame) -> DataFrame:
+    """producer, from_version, to_version, from_fingerprint, to_fingerprint, op, field_path, new_path, new_type: the steps from each version to the next."""
+    op = F.create_map(*[F.lit(x) for pair in _OPS.items() for x in pair])[F.col("change_kind")]
+    rows = change.join(version.select("file_id", "producer", "version_no", "fingerprint", "prev_fingerprint"), "file_id")
+    return rows.select(
+        "producer", (F.col("version_no") - 1).alias("from_version"), F.col("version_no").alias("to_version"), F.col("prev_fingerprint").alias("from_fingerprint"), F.col("fingerprint").alias("to_fingerprint"),
+        op.alias("op"), "field_path", "new_path", "new_type",
+    )
 
 
 def synonyms(change: DataFrame, used: DataFrame) -> DataFrame:
@@ -192,6 +177,7 @@ def synonyms(change: DataFrame, used: DataFrame) -> DataFrame:
     Paths are joined by the smallest path that renames lead to; each round also takes the smallest path of the smallest
     path.  What is joined are distinct paths, however many files and records there are.
     """
+    shared_dir(used.sparkSession)
     at = lambda name: used.select("file_id", F.col("field_path").alias(name))
     edge = change.filter("change_kind = 'renamed'").select("field_path", "new_path").distinct()
     together = edge.join(at("field_path"), "field_path").join(at("new_path"), ["file_id", "new_path"]).select("field_path", "new_path").distinct()
@@ -212,47 +198,80 @@ def synonyms(change: DataFrame, used: DataFrame) -> DataFrame:
     return rows.join(name, "least").select("field_path", "n_files", "field")
 
 
-def steps(leaf: DataFrame, rows: DataFrame, files: DataFrame, change: DataFrame) -> DataFrame:
-    """file_id, producer, version_no, fingerprint, field, source_path, type: one row for each file and field of the one schema.
+def steps(schema: DataFrame, version: DataFrame, change: DataFrame) -> DataFrame:
+    """fingerprint, field, op, source_path, type: what each fingerprint's records need, one row for each field of the one schema.
 
-    ``source_path`` is the path to rename, null for the default.  Of several paths in a file that have one name, the one
+    op is keep or rename (from ``source_path``), each with a cast to ``type``, or default.  Of several paths of a file that have one name, the one
     spelled like it or else in most files gets it; the others are fields of their own.
     """
-    found = leaf.groupBy("file_id", "field_path").agg(F.collect_set("type").alias("types")).checkpoint()
-    first = Window.partitionBy("file_id", "field").orderBy(F.col("field_path") != F.col("field"), F.desc("n_files"), "field_path")
-    route = found.join(synonyms(change, found.select("file_id", "field_path")), "field_path").withColumn("place", F.row_number().over(first))
-    route = route.select("file_id", F.col("field_path").alias("source_path"), F.when(F.col("place") == 1, F.col("field")).otherwise(F.col("field_path")).alias("field"), "types").checkpoint()
-    fields = route.groupBy("field").agg(F.array_distinct(F.flatten(F.collect_set("types"))).alias("types"))
+    used = schema.select("file_id", "field_path")
+    name = materialize(synonyms(change, used), "names")
+    # files of one fingerprint have the same paths and types, so they share their steps; which types mix in a field may differ
+    printed = schema.join(version.select("file_id", "fingerprint"), "file_id")
+    route = printed.select("fingerprint", "field_path").distinct().join(name, "field_path")
+    first = Window.partitionBy("fingerprint", "field").orderBy(F.col("field_path") != F.col("field"), F.desc("n_files"), "field_path")
+    route = route.withColumn("place", F.row_number().over(first))
+    route = materialize(route.select("fingerprint", F.col("field_path").alias("source_path"), F.when(F.col("place") == 1, F.col("field")).otherwise(F.col("field_path")).alias("field")), "route")
+    types = printed.select("fingerprint", F.col("field_path").alias("source_path"), F.explode("types").alias("t")).distinct().join(route, ["fingerprint", "source_path"])
+    fields = types.groupBy("field").agg(F.collect_set("t").alias("types"))
     kind = F.when(F.size("types") == 1, F.col("types")[0]).when(F.size(F.array_except("types", F.array(F.lit("whole"), F.lit("fraction")))) == 0, F.lit("fraction")).otherwise(F.lit("string"))
-    every = rows.select("file_id").distinct().crossJoin(fields.select("field", kind.alias("type")))
-    known = versions(field_types(leaf), files).select("file_id", "producer", "version_no", "fingerprint")
-    out = every.join(route.drop("types"), ["file_id", "field"], "left").join(known, "file_id", "left")
-    return out.select("file_id", "producer", "version_no", "fingerprint", "field", "source_path", "type")
+    one = fields.agg(F.array_sort(F.collect_list(F.struct("field", kind.alias("type")))).alias("schema")).withColumn("key", F.lit(1))  # one row: the one schema
+    have = version.select("fingerprint").distinct().withColumn("key", F.lit(1)).join(one, "key").select("fingerprint", F.inline("schema"))
+    out = have.join(route, ["fingerprint", "field"], "left")
+    op = F.when(F.col("source_path").isNull(), "default").when(F.col("source_path") == F.col("field"), "keep").otherwise("rename")
+    return out.select("fingerprint", "field", op.alias("op"), "source_path", "type")
+
+
+def _routed(rows: DataFrame, version: DataFrame, step: DataFrame) -> DataFrame:
+    """The lines with the steps of their file's fingerprint."""
+    each = step.groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("field", "source_path", "type"))).alias("steps"))
+    return rows.join(version.select("file_id", "producer", "fingerprint").join(each, "fingerprint"), "file_id")
 
 
-def one_table(rows: DataFrame, step: DataFrame) -> DataFrame:
+def _cast(text: str, kind: str) -> str:
+    return f"try_cast({text} AS {kind})"
+
+
+def one_table(rows: DataFrame, version: DataFrame, step: DataFrame) -> DataFrame:
     """file_id, line_no, producer, field, type, value, ok, defaulted, typed, source_path, source_type, source_text: a row for each record and field.
 
     ``typed`` holds the cast value in the member for its type, ``value`` its text; both are null for a default.
     ``ok`` is false where the cast can't keep the value (digits of a whole number beyond a fraction's); ``source_text`` keeps it.
     A path that a record spells both nested and with a dotted key gives a row for each value.
     """
-    each = step.groupBy("file_id", "producer").agg(F.sort_array(F.collect_list(F.struct("field", "source_path", "type"))).alias("steps"))
     item = "named_struct('field', s.field, 'type', s.type, 'source_path', s.source_path, 'x', {x})"
     found = "filter(leaf, x -> x.path = s.source_path)"
-    none = "cast(NULL AS struct<path:string,type:string,value:string,text:string>)"
-    routed = f"flatten(transform(steps, s -> if(size({found}) = 0, array({item.format(x=none)}), transform({found}, x -> {item.format(x='x')}))))"
-    out = rows.join(each, "file_id").select("file_id", "line_no", "producer", F.explode(F.expr(routed)).alias("s"))
+    none = "cast(NULL AS struct<path:string,type:string,text:string>)"
+    routed = f"flatten(transform(steps, s -> transform(array({found}), xs -> if(size(xs) = 0, array({item.format(x=none)}), transform(xs, x -> {item.format(x='x')})))[0]))"
+    out = _routed(rows, version, step).select("file_id", "line_no", "producer", F.explode(F.expr(routed)).alias("s"))
     out = out.select("file_id", "line_no", "producer", "s.field", "s.type", "s.source_path", F.col("s.x.type").alias("source_type"), F.col("s.x.text").alias("source_text"))
     text = lambda kind: f"CASE WHEN type = '{kind}' THEN source_text END"
     typed = f"""named_struct(
       'array', transform(try_cast(try_parse_json({text('array')}) AS array<variant>), v -> to_json(v)),
-      'boolean', try_cast({text('boolean')} AS boolean),
+      'boolean', {_cast(text('boolean'), 'boolean')},
       'string', {text('string')},
-      'fraction', try_cast({text('fraction')} AS double),
-      'whole', try_cast({text('whole')} AS decimal(38,0)))"""
+      'fraction', {_cast(text('fraction'), 'double')},
+      'whole', {_cast(text('whole'), 'decimal(38,0)')})"""
     out = out.withColumn("typed", F.expr(typed))
     value = "CASE type WHEN 'array' THEN if(typed.array IS NULL, NULL, source_text) WHEN 'boolean' THEN cast(typed.boolean AS string) WHEN 'string' THEN typed.string WHEN 'fraction' THEN cast(typed.fraction AS string) ELSE cast(typed.whole AS string) END"
     exact = "type <> 'fraction' OR source_type <> 'whole' OR coalesce(try_cast(typed.fraction AS decimal(38,0)) = try_cast(source_text AS decimal(38,0)), false)"
     out = out.withColumn("value", F.expr(value)).withColumn("defaulted", F.col("source_type").isNull())
     return out.select("file_id", "line_no", "producer", "field", "type", "value", F.expr(f"defaulted OR value IS NOT NULL AND ({exact})").alias("ok"), "defaulted", "typed", "source_path", "source_type", "source_text")
+
+
+#: Column types of ``wide_table``.
+_SQL_TYPES = {"array": "string", "boolean": "boolean", "string": "string", "fraction": "double", "whole": "decimal(38,0)"}
+
+
+def wide_table(rows: DataFrame, version: DataFrame, step: DataFrame) -> DataFrame:
+    """file_id, line_no, producer and a column for each field of the one schema, with its default where a record lacks it; arrays as JSON text.
+
+    The columns of a table are named by the driver, so the one schema is read there: its size is the table's width.
+    A path that a record spells both nested and with a dotted key counts with its first value.
+    """
+    schema = [(r["field"], r["type"]) for r in step.select("field", "type").distinct().orderBy("field").collect()]
+    sources = F.map_from_entries(F.transform("steps", lambda s: F.struct(s["field"], s["source_path"])))
+    out = _routed(rows, version, step).select("file_id", "line_no", "producer", "leaf", sources.alias("source"))
+    literal = lambda name: "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    cell = lambda name: f"get(filter(leaf, x -> x.path = source[{literal(name)}]), 0).text"
+    return out.select("file_id", "line_no", "producer", *[F.expr(_cast(cell(f), _SQL_TYPES[t])).alias(f) for f, t in schema])

@@ -11,7 +11,7 @@ from chronolith.operators import drift
 from chronolith.operators.intervals import periods_and_gaps
 from chronolith.operators.late import PeriodCounts
 from chronolith.operators.nested import flatten_objects, flatten_tables
-from chronolith.runtime import materialize, shared_dir, table
+from chronolith.runtime import materialize, table
 
 
 def _store(spark: SparkSession, sf_dir: str, columns: list[str]) -> MessageStore:
@@ -92,27 +92,32 @@ def _flat_table(name: str):
     return flat
 
 
-def _span_leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    leaf = materialize(drift.leaves(table(spark, sf_dir, "raw_spans")), "leaves")
-    return leaf, drift.field_types(leaf), table(spark, sf_dir, "span_files")
+def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines of the span files, their schemas and versions, each written once."""
+    rows = materialize(drift.lines(table(spark, sf_dir, "raw_spans")), "lines")
+    schema = materialize(drift.field_types(rows), "schema")
+    return rows, schema, materialize(drift.versions(schema, table(spark, sf_dir, "span_files")), "versions")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.changes(*_span_leaves(spark, sf_dir)).select("file_id", "change_kind", "field_path", "new_path")
+    return drift.changes(*_spans(spark, sf_dir)).select("file_id", "change_kind", "field_path", "new_path")
 
 
 def p5_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, schema, files = _span_leaves(spark, sf_dir)
-    return drift.versions(schema, files)
+    return _spans(spark, sf_dir)[2].select("file_id", "producer", "version_no", "fingerprint", "n_fields", "prev_file_id")
+
+
+def p5_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps from each version of a producer's schema to the next."""
+    rows, schema, version = _spans(spark, sf_dir)
+    return drift.migrations(drift.changes(rows, schema, version), version)
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files in one consistent table, one row for each record and field."""
-    shared_dir(spark)
-    rows = materialize(drift.lines(table(spark, sf_dir, "raw_spans")), "lines")
-    leaf, files = drift.leaves_of(rows), table(spark, sf_dir, "span_files")
-    change = materialize(drift.changes(leaf, drift.field_types(leaf), files), "changes")
-    return drift.one_table(rows, materialize(drift.steps(leaf, rows, files, change), "steps"))
+    rows, schema, version = _spans(spark, sf_dir)
+    change = materialize(drift.changes(rows, schema, version), "changes")
+    return drift.one_table(rows, version, materialize(drift.steps(schema, version, change), "steps"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +129,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods_and_gaps(rows, ["tenant_id", "project_id", "environment_id", "family_key"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_counts, p3_found, p4_found, *map(_flat_table, P4_TABLES), p5_found, p5_versions, p5_table, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_counts, p3_found, p4_found, *map(_flat_table, P4_TABLES), p5_found, p5_versions, p5_migrations, p5_table, p6_found)}
 
 _KEYED = """
 keyed AS (
@@ -147,7 +152,47 @@ _WALK = """WITH RECURSIVE t(event_id, path, item, element, v) AS (
               ELSE [] END) AS c FROM t))"""
 _CELL = {"bigint": "try_cast(json_extract_string(v, '$.{f}') AS BIGINT)", "double": "try_cast(json_extract_string(v, '$.{f}') AS DOUBLE)", "string": "CASE WHEN json_type(v, '$.{f}') NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(v, '$.{f}') END"}
 
+_LEAF = """WITH RECURSIVE t(file_id, line_no, path, v) AS (
+          SELECT file_id, line_no, '', record::JSON FROM raw_spans WHERE json_valid(record) AND json_type(CASE WHEN json_valid(record) THEN record ELSE 'null' END) = 'OBJECT'
+          UNION ALL
+          SELECT file_id, line_no, CASE WHEN path = '' THEN k ELSE path || '.' || k END, json_extract(v, '/' || replace(replace(k, '~', '~0'), '/', '~1'))
+          FROM (SELECT *, unnest(json_keys(v)) AS k FROM t WHERE json_type(v) = 'OBJECT')),
+        leaf AS (
+          SELECT file_id, line_no, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'DOUBLE' THEN 'fraction' ELSE 'whole' END AS type,
+            CASE WHEN json_type(v) = 'DOUBLE' AND v::DOUBLE = floor(v::DOUBLE) THEN v::DOUBLE::BIGINT::VARCHAR ELSE v::VARCHAR END AS value
+          FROM t WHERE json_type(v) NOT IN ('OBJECT', 'NULL')),
+        schema_ AS (SELECT file_id, path, CASE WHEN count(*) FILTER (type = 'array') > 0 THEN 'array' WHEN count(*) FILTER (type = 'boolean') > 0 THEN 'boolean' WHEN count(*) FILTER (type = 'string') > 0 THEN 'string'
+          WHEN count(*) FILTER (type = 'fraction') > 0 THEN 'fraction' ELSE 'whole' END AS type FROM leaf GROUP BY ALL),
+        ids AS (SELECT file_id, line_no, max(value) FILTER (path = 'trace_id') AS trace, max(value) FILTER (path = 'span_id') AS span FROM leaf GROUP BY ALL),
+        held AS (SELECT file_id, trace, span, max(line_no) AS line_no FROM ids WHERE trace IS NOT NULL AND span IS NOT NULL GROUP BY ALL),"""
+_CHANGES = """pairs AS (SELECT file_id, lag(file_id) OVER (PARTITION BY producer ORDER BY exported_at, file_id) AS prev FROM span_files),
+        shared AS (SELECT p.file_id AS cf, p.prev, a.trace, a.span, a.line_no AS old_line, b.line_no AS new_line FROM pairs p JOIN held a ON a.file_id = p.prev JOIN held b ON b.file_id = p.file_id AND b.trace = a.trace AND b.span = a.span),
+        both_ AS (
+          SELECT coalesce(o.cf, n.cf) AS cf, coalesce(o.path, n.path) AS path, o.type AS old_type, n.type AS new_type
+          FROM (SELECT p.file_id AS cf, s.path, s.type FROM pairs p JOIN schema_ s ON s.file_id = p.prev) o
+          FULL JOIN (SELECT p.file_id AS cf, s.path, s.type FROM pairs p JOIN schema_ s ON s.file_id = p.file_id WHERE p.prev IS NOT NULL) n ON o.cf = n.cf AND o.path = n.path),
+        gone AS (SELECT b.cf, b.path, b.old_type AS type, list((h.trace, h.span, l.value) ORDER BY h.trace, h.span) AS vals FROM both_ b JOIN shared h ON h.cf = b.cf
+          JOIN leaf l ON l.file_id = h.prev AND l.line_no = h.old_line AND l.path = b.path WHERE b.new_type IS NULL GROUP BY ALL),
+        new_ AS (SELECT b.cf, b.path, b.new_type AS type, list((h.trace, h.span, l.value) ORDER BY h.trace, h.span) AS vals FROM both_ b JOIN shared h ON h.cf = b.cf
+          JOIN leaf l ON l.file_id = h.cf AND l.line_no = h.new_line AND l.path = b.path WHERE b.old_type IS NULL GROUP BY ALL),
+        ren AS (SELECT g.cf, g.path, n.path AS new_path FROM gone g JOIN new_ n ON g.cf = n.cf AND g.type = n.type AND g.vals = n.vals),
+        changed AS (
+        SELECT cf AS file_id, 'renamed' AS change_kind, path AS field_path, new_path FROM ren
+        UNION ALL SELECT cf, CASE WHEN new_type IS NULL THEN 'removed' ELSE 'added' END, path, '' FROM both_ b
+          WHERE (new_type IS NULL OR old_type IS NULL) AND NOT EXISTS (SELECT 1 FROM ren r WHERE r.cf = b.cf AND b.path IN (r.path, r.new_path))
+        UNION ALL SELECT cf, 'retyped', path, '' FROM both_ WHERE old_type <> new_type)"""
+_VERSIONS = """prints AS (SELECT file_id, sum(('0x' || substr(md5(path || '|' || CASE type WHEN 'fraction' THEN 'fraction' ELSE type END), 1, 15))::UBIGINT) AS s, count(*) AS n FROM schema_ GROUP BY file_id),
+        versions_ AS (
+          SELECT f.file_id, producer, row_number() OVER (PARTITION BY producer ORDER BY exported_at, f.file_id)::INT AS version_no, md5(coalesce(s, 0)::HUGEINT::VARCHAR || ':' || coalesce(n, 0)) AS fingerprint, coalesce(n, 0) AS n_fields,
+            lag(f.file_id) OVER (PARTITION BY producer ORDER BY exported_at, f.file_id) AS prev_file_id FROM span_files f LEFT JOIN prints USING (file_id))"""
+
 ORACLE = {
+    "p5_found": f"{_LEAF} {_CHANGES} SELECT * FROM changed",
+    "p5_versions": f"{_LEAF} {_VERSIONS} SELECT * FROM versions_",
+    "p5_migrations": f"""{_LEAF} {_CHANGES}, types_ AS (SELECT cf AS file_id, path, new_type FROM both_), {_VERSIONS}
+        SELECT v.producer, v.version_no - 1 AS from_version, v.version_no AS to_version, o.fingerprint AS from_fingerprint, v.fingerprint AS to_fingerprint,
+          CASE change_kind WHEN 'renamed' THEN 'rename' WHEN 'added' THEN 'default' WHEN 'removed' THEN 'drop' ELSE 'cast' END AS op, c.field_path, c.new_path, t.new_type
+        FROM changed c JOIN versions_ v USING (file_id) JOIN versions_ o ON o.file_id = v.prev_file_id JOIN types_ t ON t.file_id = c.file_id AND t.path = CASE WHEN c.new_path = '' THEN c.field_path ELSE c.new_path END""",
     "p1_found": f"WITH {_KEYED} SELECT kept_id, id AS dropped_id FROM copies WHERE id <> kept_id",
     "p1_kept": f"""WITH {_KEYED} SELECT id, tenant_id, project_id, environment_id, trace_id, span_id, seq, observed_at_unix_ms
         FROM copies WHERE id = kept_id""",
@@ -179,34 +224,6 @@ ORACLE = {
         GROUP BY r.event_id""",
     "p4_found": f"""{_WALK}
         SELECT event_id, path AS item_path, item AS parent_path FROM t WHERE element AND json_type(v) = 'OBJECT'""",
-    "p5_found": """WITH RECURSIVE t(file_id, line_no, path, v) AS (
-          SELECT file_id, line_no, '', record::JSON FROM raw_spans WHERE json_valid(record) AND json_type(CASE WHEN json_valid(record) THEN record ELSE 'null' END) = 'OBJECT'
-          UNION ALL
-          SELECT file_id, line_no, CASE WHEN path = '' THEN k ELSE path || '.' || k END, json_extract(v, '/' || replace(replace(k, '~', '~0'), '/', '~1'))
-          FROM (SELECT *, unnest(json_keys(v)) AS k FROM t WHERE json_type(v) = 'OBJECT')),
-        leaf AS (
-          SELECT file_id, line_no, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'DOUBLE' THEN 'fraction' ELSE 'whole' END AS type,
-            CASE WHEN json_type(v) = 'DOUBLE' AND v::DOUBLE = floor(v::DOUBLE) THEN v::DOUBLE::BIGINT::VARCHAR ELSE v::VARCHAR END AS value
-          FROM t WHERE json_type(v) NOT IN ('OBJECT', 'NULL')),
-        schema_ AS (SELECT file_id, path, CASE WHEN count(*) FILTER (type = 'array') > 0 THEN 'array' WHEN count(*) FILTER (type = 'boolean') > 0 THEN 'boolean' WHEN count(*) FILTER (type = 'string') > 0 THEN 'string'
-          WHEN count(*) FILTER (type = 'fraction') > 0 THEN 'fraction' ELSE 'whole' END AS type FROM leaf GROUP BY ALL),
-        ids AS (SELECT file_id, line_no, max(value) FILTER (path = 'trace_id') AS trace, max(value) FILTER (path = 'span_id') AS span FROM leaf GROUP BY ALL),
-        held AS (SELECT file_id, trace, span, max(line_no) AS line_no FROM ids WHERE trace IS NOT NULL AND span IS NOT NULL GROUP BY ALL),
-        pairs AS (SELECT file_id, lag(file_id) OVER (PARTITION BY producer ORDER BY exported_at, file_id) AS prev FROM span_files),
-        shared AS (SELECT p.file_id AS cf, p.prev, a.trace, a.span, a.line_no AS old_line, b.line_no AS new_line FROM pairs p JOIN held a ON a.file_id = p.prev JOIN held b ON b.file_id = p.file_id AND b.trace = a.trace AND b.span = a.span),
-        both_ AS (
-          SELECT coalesce(o.cf, n.cf) AS cf, coalesce(o.path, n.path) AS path, o.type AS old_type, n.type AS new_type
-          FROM (SELECT p.file_id AS cf, s.path, s.type FROM pairs p JOIN schema_ s ON s.file_id = p.prev) o
-          FULL JOIN (SELECT p.file_id AS cf, s.path, s.type FROM pairs p JOIN schema_ s ON s.file_id = p.file_id WHERE p.prev IS NOT NULL) n ON o.cf = n.cf AND o.path = n.path),
-        gone AS (SELECT b.cf, b.path, b.old_type AS type, list((h.trace, h.span, l.value) ORDER BY h.trace, h.span) AS vals FROM both_ b JOIN shared h ON h.cf = b.cf
-          JOIN leaf l ON l.file_id = h.prev AND l.line_no = h.old_line AND l.path = b.path WHERE b.new_type IS NULL GROUP BY ALL),
-        new_ AS (SELECT b.cf, b.path, b.new_type AS type, list((h.trace, h.span, l.value) ORDER BY h.trace, h.span) AS vals FROM both_ b JOIN shared h ON h.cf = b.cf
-          JOIN leaf l ON l.file_id = h.cf AND l.line_no = h.new_line AND l.path = b.path WHERE b.old_type IS NULL GROUP BY ALL),
-        ren AS (SELECT g.cf, g.path, n.path AS new_path FROM gone g JOIN new_ n ON g.cf = n.cf AND g.type = n.type AND g.vals = n.vals)
-        SELECT cf AS file_id, 'renamed' AS change_kind, path AS field_path, new_path FROM ren
-        UNION ALL SELECT cf, CASE WHEN new_type IS NULL THEN 'removed' ELSE 'added' END, path, '' FROM both_ b
-          WHERE (new_type IS NULL OR old_type IS NULL) AND NOT EXISTS (SELECT 1 FROM ren r WHERE r.cf = b.cf AND b.path IN (r.path, r.new_path))
-        UNION ALL SELECT cf, 'retyped', path, '' FROM both_ WHERE old_type <> new_type""",
     "p6_found": """WITH r AS (
           SELECT tenant_id, project_id, coalesce(environment_id, '') AS environment_id, split_part(canonical_key, '|rev:', 1) AS family_key, valid_from_unix_ms AS s, coalesce(valid_to_unix_ms, 9223372036854775807) AS e
           FROM memory_nodes WHERE valid_to_unix_ms IS NULL OR valid_to_unix_ms > valid_from_unix_ms),

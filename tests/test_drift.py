@@ -2,7 +2,6 @@ import datetime as dt
 import json
 
 from chronolith.operators import drift
-from chronolith.runtime import shared_dir
 
 FILES = "file_id long, file_name string, producer string, exported_at timestamp, n_lines int"
 
@@ -12,8 +11,9 @@ def make(spark, files):
     t0 = dt.datetime(2020, 1, 1)
     f = spark.createDataFrame([(i, f"f{i}", p, t0 + dt.timedelta(days=n), 0) for n, (i, p, _) in enumerate(files)], FILES)
     lines = [(i, n, r if isinstance(r, str) or r is None else json.dumps(r)) for i, _, rs in files for n, r in enumerate(rs)]
-    leaf = drift.leaves(spark.createDataFrame(lines, "file_id long, line_no int, record string"))
-    return leaf, drift.field_types(leaf), f
+    rows = drift.lines(spark.createDataFrame(lines, "file_id long, line_no int, record string")).cache()
+    schema = drift.field_types(rows)
+    return rows, schema, drift.versions(schema, f)
 
 
 def span(n, **fields):
@@ -45,49 +45,49 @@ def test_nulls_are_absent_and_missing_ids_are_allowed(spark):
 
 
 def test_numbers_compare_by_value_and_types_mix(spark):
-    leaf, schema, _ = make(spark, [(1, "p", [span(1, a=2.0, b=10**25, c=1, d="x"), span(2, a=2, c=1.5, d=True)])])
+    rows, schema, _ = make(spark, [(1, "p", [span(1, a=2.0, b=10**25, c=1, d="x"), span(2, a=2, c=1.5, d=True)])])
     types = {r["field_path"]: r["type"] for r in schema.collect()}
     assert types == {"trace_id": "string", "span_id": "string", "a": "fraction", "b": "whole", "c": "fraction", "d": "boolean"}
-    assert {r["value"] for r in leaf.filter("field_path = 'a'").collect()} == {"2"}
+    assert {x["text"] for r in rows.collect() for x in r["leaf"] if x["path"] == "a"} == {"2"}
+    assert changes(spark, [(1, "p", [span(1, a=2.0, z=0.5)]), (2, "p", [span(1, b=2.0, z=0.5)]), (3, "p", [span(1, c="2.0", z=0.5)])]) == {(2, "renamed", "a", "b"), (3, "removed", "b", ""), (3, "added", "c", "")}
 
 
-def test_versions_and_unified_table(spark):
-    shared_dir(spark)
-    files = [
-        (1, "p", [span(1, a=1, keep="k")]),
-        (2, "p", [span(1, b=1, keep="k"), span(2, b=5, keep="k")]),
-        (3, "p", [span(2, c=5, keep="k"), span(3, c="text", keep="k")]),
-        (4, "p", [span(2, c=5, keep="k"), span(3, c=7, keep="k")]),
-    ]
-    leaf, schema, f = make(spark, files)
-    v = {r["file_id"]: r["fingerprint"] for r in drift.versions(schema, f).collect()}
-    assert len({v[1], v[2]}) == 2
-    change = drift.changes(leaf, schema, f)
-    rows = drift.unify(leaf, schema, f, change).collect()
-    at = {(r["file_id"], r["line_no"], r["field"]): (r["type"], r["value"], r["ok"]) for r in rows}
-    assert at[1, 0, "b"] == ("whole", "1", True)  # renamed once; b and c differ in type, so the chain ends
-    assert at[3, 1, "c"] == ("whole", "text", False) and at[4, 1, "c"] == ("whole", "7", True)
-    assert len(rows) == leaf.count()
+def test_very_deep_and_odd_records(spark):
+    deep = '{"trace_id":"t","span_id":"s","a":' + '{"b":' * 1500 + "1" + "}" * 1501
+    rows, schema, _ = make(spark, [(1, "p", [deep, '{"a":"\\ud800","k":[1,{"x":null}]}', '{"a":1,"a":2}', '{"a":NaN}', '  {"z":1e400}'])])
+    got = {(r["line_no"], x["path"][-3:], x["type"], x["text"]) for r in rows.collect() for x in r["leaf"]}
+    assert (0, "b.b", "whole", "1") in got and (1, "k", "array", '[1,{"x":null}]') in got and (2, "a", "whole", "2") in got and {x[0] for x in got} == {0, 1, 2, 4}
+
+
+def test_equal_fingerprints_are_not_compared_and_share_their_steps(spark):
+    files = [(1, "p", [span(1, a=1)]), (2, "p", [span(1, a=2)]), (3, "p", [span(1, b=2)]), (4, "q", [span(5, b=3)]), (5, "q", [])]
+    rows, schema, version = make(spark, files)
+    v = {r["file_id"]: r for r in version.collect()}
+    assert v[1]["fingerprint"] == v[2]["fingerprint"] != v[3]["fingerprint"] == v[4]["fingerprint"] and v[5]["n_fields"] == 0
+    change = drift.changes(rows, schema, version)
+    out = {tuple(r) for r in drift.migrations(change, version).select("producer", "from_version", "to_version", "op", "field_path", "new_path").collect()}
+    assert out == {("p", 2, 3, "rename", "a", "b"), *(("q", 1, 2, "drop", f, "") for f in ("b", "trace_id", "span_id"))}
+    step = drift.steps(schema, version, change)
+    assert step.count() == 3 * 3
+    assert {(r["op"], r["source_path"]) for r in step.filter("field = 'a'").collect()} == {("keep", "a"), ("rename", "b"), ("default", None)}
+    wide = drift.wide_table(rows, version, step)
+    assert wide.columns == ["file_id", "line_no", "producer", "a", "span_id", "trace_id"]
+    assert sorted((r["file_id"], int(r["a"])) for r in wide.collect()) == [(1, 1), (2, 2), (3, 2), (4, 3)]
 
 
 def test_chained_renames(spark):
-    shared_dir(spark)
     names = ["a", "b", "c", "d", "e"]
-    files = [(i, "p", [span(1, **{n: 4}), span(2, **{n: 5})]) for i, n in enumerate(names)]
-    leaf, schema, f = make(spark, files)
-    rows = drift.unify(leaf, schema, f, drift.changes(leaf, schema, f)).filter("value IN ('4', '5')").collect()
-    assert len(rows) == 10 and {r["field"] for r in rows} == {"e"}
+    rows = one_table(spark, [(i, "p", [span(1, **{n: 4}), span(2, **{n: 5})]) for i, n in enumerate(names)])
+    found = [r for r in rows if r["value"] in ("4", "5")]
+    assert len(found) == 10 and len({r["field"] for r in found}) == 1
 
 
 def one_table(spark, files):
-    leaf, schema, f = make(spark, files)
-    lines = [(i, n, r if isinstance(r, str) or r is None else json.dumps(r)) for i, _, rs in files for n, r in enumerate(rs)]
-    rows = drift.lines(spark.createDataFrame(lines, "file_id long, line_no int, record string"))
-    return drift.one_table(rows, drift.steps(leaf, rows, f, drift.changes(leaf, schema, f))).collect()
+    rows, schema, version = make(spark, files)
+    return drift.one_table(rows, version, drift.steps(schema, version, drift.changes(rows, schema, version))).collect()
 
 
 def test_one_table_over_all_producers(spark):
-    shared_dir(spark)
     files = [
         (1, "p", [span(1, kind="a", status=5), span(2, kind="b", status=6)]),
         (2, "p", [span(1, spanKind="a", status=5), span(2, spanKind="b", status=6)]),
@@ -112,14 +112,12 @@ def test_one_table_over_all_producers(spark):
 
 
 def test_one_table_keeps_fields_apart_that_a_file_holds_side_by_side(spark):
-    shared_dir(spark)
     files = [(1, "p", [span(1, a=4)]), (2, "p", [span(1, b=4)]), (3, "q", [span(2, a=1, b=2), '{"c.d":1,"c":{"d":2}}'])]
     at = sorted((r["file_id"], r["line_no"], r["field"], r["value"]) for r in one_table(spark, files) if not r["defaulted"] and r["field"] in ("a", "b", "c.d"))
     assert at == [(1, 0, "a", "4"), (2, 0, "b", "4"), (3, 0, "a", "1"), (3, 0, "b", "2"), (3, 1, "c.d", "1"), (3, 1, "c.d", "2")]
 
 
 def test_one_table_empty(spark):
-    shared_dir(spark)
     assert one_table(spark, [(1, "p", [None, "x"])]) == []
 
 
