@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronolith.operators.dedupe import identifier
+
 #: The finest node is 2**GRAIN ms (about 17 minutes); the root of the tree holds 2**TOP ms from 1970 on.
 GRAIN, TOP = 20, 42
 LEVELS = TOP - GRAIN
@@ -66,6 +68,18 @@ def hot_entities(rows: DataFrame, entity: list[str], least: int = HOT_VERSIONS)
     return sorted({r["d0"] for r in counts.filter(F.col("n") > max(least, share)).select("d0").collect()})
 
 
+def levels_of(versions: DataFrame, entity: list[str]) -> DataFrame:
+    """d0, d1, levels: a bit for each level on which an entity's versions may have a node. versions: valid_from, valid_to and the entity columns.
+
+    Events need no probe on other levels.  What is known of a version is not asked here, so this is narrow and may say too much, never too little.
+    """
+    never = F.lit((1 << 63) - 1)
+    end = F.coalesce("valid_to", never)
+    bit = lambda nodes: F.aggregate(nodes, F.lit(0), lambda acc, n: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1), n["level"])))
+    both = bit(cover(F.col("valid_from"), end)).bitwiseOR(F.when(F.col("valid_to").isNull(), F.lit(0)).otherwise(bit(cover(F.greatest("valid_from", end), never))))
+    return versions.filter("valid_from IS NOT NULL").select(*_digest(entity), both.alias("levels")).groupBy("d0", "d1").agg(F.bit_or("levels").alias("levels"))
+
+
 def _newest_only(v: DataFrame, e: DataFrame) -> DataFrame:
     """Versions in nodes, without those that no event of the node can get.
 
@@ -82,7 +96,7 @@ def _newest_only(v: DataFrame, e: DataFrame) -> DataFrame:
     return v.drop("first_by", "last_by", "first_at", "last_at", "floor")
 
 
-def attributes_as_known(events: DataFrame, versions: DataFrame, entity: list[str], hot: list[int] | None = None) -> DataFrame:
+def attributes_as_known(events: DataFrame, versions: DataFrame, entity: list[str], hot: list[int] | None = None, levels: DataFrame | None = None) -> DataFrame:
     """The version of each event's entity that was valid at its time and known by then.
 
     events: event_id, at (event time), by (when it was recorded) and the entity columns.
@@ -94,6 +108,7 @@ def attributes_as_known(events: DataFrame, versions: DataFrame, entity: list[str
 
     ``hot``: what ``hot_entities`` found.  In their nodes, versions that can't win are dropped before the join, so an entity
     with very many open versions does not meet each of its events with all of them.
+    ``levels``: what ``levels_of`` found; without it, each event probes every level.
     """
     digest = _digest(entity)
     v = versions.filter(F.col("known_at").isNotNull() & F.col("valid_from").isNotNull())
@@ -106,7 +121,12 @@ def attributes_as_known(events: DataFrame, versions: DataFrame, entity: list[str
     v = v.select("*", F.explode(cover(F.col("start"), F.col("end"))).alias("n")).select("*", "n.level", "n.node").drop("n")
     e = events.filter(F.col("at").isNotNull() & F.col("by").isNotNull())
     inside = F.least(F.greatest(F.col("at"), F.lit(0)), F.lit(FOREVER - 1))
-    e = e.select("event_id", "at", "by", *digest, F.explode(enclosing(inside)).alias("n")).select("event_id", "at", "by", "d0", "d1", "n.level", "n.node")
+    e = e.select("event_id", "at", "by", *digest, inside.alias("inside"))
+    nodes = enclosing(F.col("inside"))
+    if levels is not None:
+        e = e.join(levels, ["d0", "d1"])
+        nodes = F.filter(nodes, lambda n: F.call_function("shiftright", F.col("levels"), n["level"]).bitwiseAND(F.lit(1)) == 1)
+    e = e.select("event_id", "at", "by", "d0", "d1", F.explode(nodes).alias("n")).select("event_id", "at", "by", "d0", "d1", "n.level", "n.node")
     if hot:
         v = v.filter(~F.col("d0").isin(hot)).unionByName(_newest_only(v.filter(F.col("d0").isin(hot)), e.filter(F.col("d0").isin(hot))).select(*v.columns))
     hit = e.join(v, _KEY)
@@ -118,11 +138,11 @@ def attributes_as_known(events: DataFrame, versions: DataFrame, entity: list[str
 def known_since(citations: DataFrame, ledger: DataFrame, key: list[Column], node: str, ingested: str) -> DataFrame:
     """node, known_at: when the first message that a node cites was first ingested.
 
-    Both tables carry the columns that ``key`` reads.  The ledger is reduced to one row a message before
-    it is shuffled; repeated citations collapse as well.
+    Both tables carry the columns that ``key`` reads.  Messages are told apart by a digest of 128 bits of the whole key, in which null parts
+    equal each other, so what is shuffled of the ledger are three numbers a message; repeated citations collapse as well.
     """
-    names = [f"k{i}" for i in range(len(key))]
-    keys = [k.alias(n) for k, n in zip(key, names)]
-    first = ledger.select(*keys, F.col(ingested).alias("at")).groupBy(*names).agg(F.min("at").alias("at"))
+    whole = identifier(key)
+    keys = [F.xxhash64(whole).alias("k0"), F.xxhash64(F.lit("message"), whole).alias("k1")]
+    first = ledger.select(*keys, F.col(ingested).alias("at")).groupBy("k0", "k1").agg(F.min("at").alias("at"))
     cited = citations.select(*keys, F.col(node).alias("cited_by")).distinct()
-    return cited.join(first, names).groupBy("cited_by").agg(F.min("at").alias("known_at"))
+    return cited.join(first, ["k0", "k1"]).groupBy("cited_by").agg(F.min("at").alias("known_at"))
