@@ -2,7 +2,8 @@
 
 The aggregate's state is a list of sorted disjoint intervals.  ``collapse`` merges the states of a
 sorted stream; it runs before the shuffle (partial lists of each task) and after it (lists of each time
-slice of an entity).  A running maximum over one summary row a slice then carries open ends from slice to slice, so
+slice of an entity).  A slice in which an entity has more intervals than ``DENSE`` is cut into narrower ones, again and again if need
+be, before its lists meet.  A running maximum over one summary row a slice then carries open ends from slice to slice, so
 the lists of an entity never meet in one task: a hot entity is spread over its slices, and the window
 holds at most one small row for each slice of the covered time.
 
@@ -19,13 +20,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronolith.runtime import materialize
 
 OPEN = (1 << 63) - 1
-#: Width of a time slice: about twelve days.
-SLICE_MS = 1 << 30
+#: Width of a time slice: 2**SLICE ms, about twelve days; a dense one is cut into 2**CUT.
+SLICE, CUT = 30, 5
+#: So many partial intervals of a slice may meet in one task.
+DENSE = 200_000
 
 
 def merge_lists(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,25 +99,48 @@ def collapse(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield row(*held)
 
 
-def disjoint_lists(rows: DataFrame, entity: list[str], start: str = "start", end: str = "end", slice_ms: int = SLICE_MS) -> DataFrame:
-    """e0.., slice, starts, ends: the disjoint intervals that begin in each time slice of an entity."""
+def disjoint_lists(rows: DataFrame, entity: list[str], start: str = "start", end: str = "end", dense: int = DENSE) -> DataFrame:
+    """e0.., slice, starts, ends: the disjoint intervals that begin in each time slice of an entity. ``slice`` is where it begins; slices of an entity do not overlap."""
     names = [f"e{i}" for i in range(len(entity))]
     keys = [*names, "slice"]
     valid = rows.filter(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start))))
-    flat = valid.select(*[F.col(c).alias(n) for c, n in zip(entity, names)], F.floor(F.col(start) / F.lit(slice_ms)).cast("long").alias("slice"), F.col(start).cast("long").alias("s"), F.coalesce(F.col(end).cast("long"), F.lit(OPEN)).alias("e"))
-    single = flat.sortWithinPartitions(*keys, "s").select(*keys, F.array("s").alias("starts"), F.array("e").alias("ends"))
+    flat = valid.select(*[F.col(c).alias(n) for c, n in zip(entity, names)], _slice(F.col(start).cast("long"), SLICE), F.col(start).cast("long").alias("s"), F.coalesce(F.col(end).cast("long"), F.lit(OPEN)).alias("e"))
+    single = lambda df: df.sortWithinPartitions(*keys, "s").select(*keys, F.array("s").alias("starts"), F.array("e").alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return collapse(batches, keys)
 
-    partial = single.mapInArrow(run, single.schema)
-    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, single.schema)
-
-
-def periods_and_gaps(rows: DataFrame, entity: list[str], start: str = "start", end: str = "end", slice_ms: int = SLICE_MS) -> DataFrame:
+    def partial(df: DataFrame) -> DataFrame:
+        return materialize(single(df).mapInArrow(run, single(df).schema), "partial-lists")
+
+    todo, width, done = partial(flat), SLICE, []
+    while width > 0:
+        sizes = todo.groupBy(*keys).agg(F.sum(F.size("starts").cast("long")).alias("n")).filter(F.col("n") > dense)
+        sizes = sizes.select(*[F.col(k).alias(f"j{k}") for k in keys])
+        if sizes.isEmpty():
+            break
+        sizes = materialize(sizes, "dense-slices")
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"j{k}"))
+        width = max(width - CUT, 0)
+        done.append(todo.join(sizes, on, "left_anti"))
+        each = todo.join(sizes, on, "left_semi").select(*names, F.inline(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))))
+        todo = partial(each.select(*names, _slice(F.col("s"), width), "s", "e"))
+    for lists in done:
+        todo = todo.unionByName(lists)
+    return todo.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, todo.schema)
+
+
+def _slice(at: Column, width: int) -> Column:
+    """Where the slice of 2**width ms that holds a time begins."""
+    return F.shiftleft(F.shiftright(at, width), width).alias("slice")
+
+
+def periods_and_gaps(rows: DataFrame, entity: list[str], start: str = "start", end: str = "end", dense: int = DENSE) -> DataFrame:
     """The entity columns, piece ('period' or 'gap'), start_unix_ms and end_unix_ms (-1: open)."""
     names = [f"e{i}" for i in range(len(entity))]
-    lists = materialize(disjoint_lists(rows, entity, start, end, slice_ms), "intervals")
+    lists = materialize(disjoint_lists(rows, entity, start, end, dense), "intervals")
     summary = lists.select(*names, "slice", F.array_max("ends").alias("reach"))
     before = Window.partitionBy(*names).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(*[F.col(n).alias(f"j{n}") for n in names], F.col("slice").alias("jslice"), F.max("reach").over(before).alias("carry"), F.max("reach").over(Window.partitionBy(*names)).alias("reach"))

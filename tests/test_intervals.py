@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from chronolith.operators.intervals import merge_lists, periods_and_gaps
+from chronolith.operators.intervals import disjoint_lists, merge_lists, periods_and_gaps
 
 SCHEMA = "e string, f string, start long, end long, slice long, starts string"
 
@@ -28,7 +28,7 @@ def run(spark, rows, **options):
     return set(got)
 
 
-def test_matches_brute_force_for_any_slice(spark):
+def test_matches_brute_force_however_slices_are_cut(spark):
     r = random.Random(2)
     rows = []
     for _ in range(400):
@@ -36,13 +36,21 @@ def test_matches_brute_force_for_any_slice(spark):
         length = r.choice([0, 1, 3, 10, 10, 50, 400, -5])
         rows.append((r.choice(["hot", "hot", "x", "y", None]), r.choice(["f", None]), a, None if r.random() < 0.01 or a is None else a + length, 1, "clash"))
     want = brute(rows)
-    for width in (1, 7, 64, 1 << 30):
-        assert run(spark, rows, slice_ms=width) == want
+    for dense in (2, 40, 10**9):
+        assert run(spark, rows, dense=dense) == want
+
+
+def test_a_dense_slice_is_cut_and_no_list_is_long(spark):
+    rows = [("hot", "f", 10 * i, 10 * i + 5, 0, "") for i in range(-300, 700)] + [("hot", "f", 1 << 40, None, 0, ""), ("x", "f", 3, 4, 0, "")]
+    lists = disjoint_lists(spark.createDataFrame(rows, SCHEMA), ["e", "f"], dense=50).collect()
+    assert max(len(r["starts"]) for r in lists) <= 50
+    assert sum(len(r["starts"]) for r in lists) == len(rows)
+    assert run(spark, rows, dense=50) == brute(rows)
 
 
 def test_touching_nested_open_repeated(spark):
     rows = [("a", "f", 0, 10, 0, ""), ("a", "f", 10, 20, 0, ""), ("a", "f", 2, 5, 0, ""), ("a", "f", 30, None, 0, ""), ("a", "f", 40, 50, 0, ""), ("a", "f", 0, 10, 0, "")]
-    assert run(spark, rows, slice_ms=8) == {("a", "f", "period", 0, 20), ("a", "f", "gap", 20, 30), ("a", "f", "period", 30, -1)}
+    assert run(spark, rows, dense=1) == {("a", "f", "period", 0, 20), ("a", "f", "gap", 20, 30), ("a", "f", "period", 30, -1)}
 
 
 def test_nothing(spark):
