@@ -6,7 +6,10 @@ The verdicts of the ``COMMON`` most frequent words are broadcast.  Verdicts of f
 documents that may ask for them (``asked``), so every count has its say at every size.  The second pass cuts each text
 (``units``): blocks between blank lines, then terminators outside quotations and brackets, by the rules of the script at hand.
 Whether a period ends an abbreviation, and whether the capital after it starts a sentence or a name, is decided
-by the occurrences in the same document that are unambiguous, then by the corpus, then by general lists.
+by the occurrences in the same document that are unambiguous, then by the corpus, then by general lists: a listed
+word that the document, or else the corpus, shows to be a plain word is one ("The answer is no. The appeal fails.").  The lists also say what
+kind of abbreviation a word is, one that announces what follows or one that may close a sentence.  A plain word of more than three letters in
+lower case is what counts as the unambiguous end of a sentence.
 
 Rules by script: Latin, Greek and Cyrillic capitals; danda for Devanagari, where a period never ends a unit; ideographic
 terminators; Arabic question mark, no letter case; Thai, where a space ends a unit if what follows is known to
@@ -29,8 +32,6 @@ from pyspark.sql import DataFrame, functions as F
 from chronolith.runtime import materialize
 
 BLANK = regex.compile(r"(?>\r\n|[\n\r\x85\u2028\u2029])(?:[^\S\n\r\x85\u2028\u2029]*(?>\r\n|[\n\r\x85\u2028\u2029]))+|[\f\v]|\u2029")
-#: What stands between two parties.
-VERSUS = regex.compile(r"\S.{0,200}\s(?:v\.?|vs\.?|c/|contra|gegen|against|诉|対|对|กับ|बनाम|ضد)\s.{0,200}", regex.DOTALL)
 #: A page header or footer: a number between dashes, "page n of ...", or a line that ends in a page number.
 HEADER = regex.compile(r"(?:[-–—]\s*\d+\s*[-–—]|Page \d+ of [^\n]+|[^\n]+\t\d+|[^\n]+ [–—] \d+)")
 ENUMERATOR = regex.compile(r"(?:(?:§|¶|Rn\.|Para\.|No\.|Nr\.)\s*)?(?:[\[(]?\d{1,4}[\])]?\.?|[\[(]?[A-Z][\])]?\.|[IVXLC]+\.)(?=\s)")
@@ -45,6 +46,7 @@ NUMBER = regex.compile(r"[\d.,/\-]+")
 THAI = regex.compile(r"\p{Thai}")
 THAI_SPACE = regex.compile(r"[^\S]+(?=[“\"(]?\p{Thai})")
 THAI_WORD = regex.compile(r"\p{Thai}[\p{Thai}\p{M}]*")
+#: Thai writes no spaces between words, so its first letters stand for a word.
 THAI_PREFIX = 5
 THAI_ASKED = regex.compile(r"(?:\s|^)[“\"(]?(\p{Thai}[\p{Thai}\p{M}]*)")
 #: A period, alone or last of a row of terminators, and what may stand between it and the next word.
@@ -68,6 +70,13 @@ GERMAN_MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli Augu
 ORDINAL_BEFORE = frozenset("am vom zum bis der dem den des im seit ab die das Der Am Vom Die Das Zum Seit Im".split())
 
 
+#: Thai words that a phrase follows: see, for example, namely, with, and, or.
+THAI_OPEN = frozenset("ดู เช่น ได้แก่ กับ และ หรือ".split())
+#: Words of the lists that are also words of their own, as far as they are written like plain words.
+LISTED = ANNOUNCING | CLOSING
+ALSO_WORDS = frozenset(w for w in LISTED if len(w) > 1 and w.isalpha() and w.islower())
+
+
 def plain(word: str) -> str:
     return unicodedata.normalize("NFC", word.replace("\xad", ""))
 
@@ -78,7 +87,7 @@ _MARKS = "“”„«»\"'()[],;:"
 
 def evidence(text: str) -> Counter:
     """(kind, word) counts of one text. Kinds: S sentence start, M capital within a sentence, and a period followed by
-    lower case or a mark (l), a digit (d) or anything else (u); t and T are Thai block starts and words."""
+    lower case or a mark (l), a digit (d) or anything else (u); p a word of the lists within a phrase, without a period; t and T are Thai block starts and words."""
     found: list[tuple[str, str]] = []
     add = found.append
     if "\r" in text:
@@ -86,7 +95,7 @@ def evidence(text: str) -> Counter:
     thai = THAI.search(text) is not None
     for block in text.split("\n\n"):
         words = block.split()
-        fresh, last, short = True, "", ""
+        fresh, last, short, bare_word = True, "", "", ""
         for word in words:
             c = word[0]
             if c in _MARKS:
@@ -98,6 +107,12 @@ def evidence(text: str) -> Counter:
             if short:
                 add(("l" if c.islower() else "d" if c.isdigit() else "u", short))
                 short = ""
+            elif bare_word:
+                if c.islower():
+                    add(("p", bare_word))
+                bare_word = ""
+            if word in ALSO_WORDS:
+                bare_word = word
             if c.isupper():
                 bare = word.rstrip(_MARKS)
                 if fresh:
@@ -116,20 +131,20 @@ def evidence(text: str) -> Counter:
             last = word[-1]
             if last == ".":
                 size = len(word)
-                if size < 10 and c.isalpha():
+                if c.isalpha():
                     short = word[:-1]
                 if size > 4 and word[:-1].islower():
                     fresh = True
             elif last in "?!":
                 fresh = True
-            elif last in ",;:" and len(word) < 10 and word[-2:-1] == "." and c.isalpha():
+            elif last in ",;:" and word[-2:-1] == "." and c.isalpha():
                 add(("l", word[:-2]))
     return Counter(found)
 
 
-KINDS = "SMldutT"
+KINDS = "SMldutTp"
 #: What the corpus may say of a word; no bit for a word it says nothing about.
-STARTER, NAME, INNER, ABBREVIATION, BEGINS = 1, 2, 4, 8, 16
+STARTER, NAME, INNER, ABBREVIATION, BEGINS, PLAIN = 1, 2, 4, 8, 16, 32
 
 
 def often(capitals: int) -> float:
@@ -139,7 +154,7 @@ def often(capitals: int) -> float:
 
 def verdict(word: str, n: tuple[int, ...], least: float) -> int:
     """What the counts ``n`` of a word, in the order of ``KINDS``, say of it; ``least`` is ``often`` of the corpus."""
-    s, m, low, dig, up, block, thai = n
+    s, m, low, dig, up, block, thai, word_alone = n
     bits = 0
     if s > 1 or m > 1:  # once may be the very occurrence in question
         bits |= STARTER if s >= 3 and s >= 0.3 * (s + m) else NAME
@@ -148,6 +163,8 @@ def verdict(word: str, n: tuple[int, ...], least: float) -> int:
     n = low + dig + up
     if n >= 8 and low + dig >= (0.3 if len(word) < 4 or "." in word else 0.6) * n and (low + dig > s + m or not word[0].isupper()):
         bits |= ABBREVIATION
+    if word_alone >= 20 and word_alone > n and low < 0.05 * max(n, 1):
+        bits |= PLAIN
     if block >= 2 and block >= 0.08 * max(thai, 1):
         bits |= BEGINS
     return bits
@@ -161,6 +178,8 @@ class Known:
         #: Common words, more than any name, that never start a sentence.
         self.inner: set[str] = set()
         self.abbreviations: set[str] = set()
+        #: Words of the lists that are mostly words of their own.
+        self.plain: set[str] = set()
         self.thai: set[str] = set()
         least = often(sum(n for (kind, _), n in counts.items() if kind == "M"))
         self.learn((w, verdict(w, tuple(counts.get((k, w), 0) for k in KINDS), least)) for w in {w for _, w in counts})
@@ -169,74 +188,123 @@ class Known:
         for w, bits in verdicts:
             if bits & (STARTER | NAME):
                 self.starts[w] = bool(bits & STARTER)
-            for bit, words in (INNER, self.inner), (ABBREVIATION, self.abbreviations), (BEGINS, self.thai):
+            for bit, words in (INNER, self.inner), (ABBREVIATION, self.abbreviations), (PLAIN, self.plain), (BEGINS, self.thai):
                 if bits & bit:
                     words.add(w)
 
     def forget(self, words: Iterable[str]) -> None:
         for w in words:
             self.starts.pop(w, None)
-            for known in self.inner, self.abbreviations, self.thai:
+            for known in self.inner, self.abbreviations, self.plain, self.thai:
                 known.discard(w)
 
 
+#: From this length on the words that a text may ask for are found in one pass over it, not in one for each.
+LONG = 100_000
+_LOW = regex.compile(r"\.\s+(?=\p{Ll})")
+
+
 class Document:
     """Evidence of one text, looked up only for the words of ambiguous periods."""
 
     def __init__(self, text: str, known: Known):
         self.text, self.known = text, known
         self._stands: dict[str, tuple[int, int]] = {}
-        self._periods: dict[str, tuple[int, int]] = {}
+        self._abbreviates: dict[str, bool] = {}
+        self._alone: dict[str, bool] = {}
+        self._lows: Counter | None = None
+        self._places: dict[str, list[int]] | None = None
         self._thai: Counter | None = None
 
+    def places(self, word: str) -> Iterable[int]:
+        """Where a word occurs that no letter follows."""
+        text, size = self.text, len(word)
+        if len(text) >= LONG:
+            if self._places is None:
+                self._places = _occurrences(text, {w for a in asked(text) for w in (a, a + ".")})
+            if word in self._places:
+                return self._places[word]
+        out, at = [], text.find(word)
+        while at >= 0:
+            if not text[at + size : at + size + 1].isalpha():
+                out.append(at)
+            at = text.find(word, at + 1)
+        return out
+
     def stands(self, word: str) -> tuple[int, int]:
         """How often a capitalized word starts a block or follows !, ? or the period of a plain word, and how often it stands within a sentence."""
         if word not in self._stands:
             text, start, inside = self.text, 0, 0
-            at = text.find(word)
-            while at >= 0:
-                if not text[at + len(word) : at + len(word) + 1].isalpha():
-                    i = at - 1
-                    while i >= 0 and text[i].isspace():
-                        i -= 1
-                    if i < 0 or text[i] in "!?" or text.count("\n", i, at) > 1:
-                        start += 1
-                    elif text[i] == "." and i > 4 and len(w := text[max(0, i - 20) : i].rsplit(None, 1)[-1]) > 3 and w.isalpha() and w.islower():
-                        start += 1
-                    elif i < at - 1 and (text[i].islower() or text[i] == ","):
-                        inside += 1
-                at = text.find(word, at + 1)
+            for at in self.places(word):
+                i = at - 1
+                while i >= 0 and text[i].isspace():
+                    i -= 1
+                if i < 0 or text[i] in "!?" or text.count("\n", i, at) > 1:
+                    start += 1
+                elif text[i] == "." and len(w := _before(text, i)) > 3 and w.isalpha() and w.islower() and not self.abbreviates(w):
+                    start += 1
+                elif i < at - 1 and (text[i].islower() or text[i] == ","):
+                    inside += 1
             self._stands[word] = start, inside
         return self._stands[word]
 
+    def decides(self, word: str) -> bool | None:
+        """Whether a capitalized word starts sentences here, as far as this document alone can tell."""
+        s, m = self.stands(word)
+        return s > m if s != m and s + m >= 3 else None
+
     def starter(self, word: str, least: int = 1) -> bool:
-        """Whether a capitalized word starts sentences rather than being a name."""
+        """Whether a capitalized word starts sentences rather than being a name: by this document, then by the corpus, then by what little it shows here."""
+        found = self.decides(word)
+        if found is not None:
+            return found
         s, m = self.stands(word)
-        if s != m and s + m >= 3:
-            return s > m
         return self.known.starts.get(plain(word), s > m and s >= least)
 
-    def abbreviation(self, word: str) -> bool:
-        """Whether a word is followed by a period and lower case elsewhere."""
-        if word not in self._periods:
-            text, low, other = self.text, 0, 0
-            size = len(word) + 1
-            at = text.find(word + ".")
+    def abbreviates(self, word: str) -> bool:
+        """Whether a word is followed by a period and lower case in this document, at least twice and as often as by anything else."""
+        if self._lows is None:
+            self._lows = Counter(_word(_before(self.text, m.start()))[1] for m in _LOW.finditer(self.text))
+        low = self._lows[word]
+        if low < 2:
+            return False
+        if word not in self._abbreviates:
+            text, size, n, at = self.text, len(word) + 1, 0, self.text.find(word + ".")
             while at >= 0:
-                if at == 0 or not text[at - 1].isalpha():
-                    i = at + size
-                    while i < len(text) and text[i].isspace():
-                        i += 1
-                    if i > at + size and i < len(text) and text[i].islower():
-                        low += 1
-                    else:
-                        other += 1
+                n += at == 0 or not text[at - 1].isalpha()
                 at = text.find(word + ".", at + size)
-            self._periods[word] = low, other
-        low, other = self._periods[word]
-        if low >= 2 and low >= other:
+            self._abbreviates[word] = 2 * low >= n
+        return self._abbreviates[word]
+
+    def alone(self, word: str) -> bool:
+        """Whether a word of the lists stands in a phrase of this document without a period, as a plain word does."""
+        if word not in self._alone:
+            text, size = self.text, len(word)
+            found, at = False, text.find(word)
+            while at >= 0 and not found:
+                end = at + size
+                if (at == 0 or text[at - 1].isspace()) and end < len(text) and text[end].isspace():
+                    while end < len(text) and text[end].isspace():
+                        end += 1
+                    found = end < len(text) and text[end].islower()
+                at = text.find(word, at + 1)
+            self._alone[word] = found
+        return self._alone[word]
+
+    def abbreviation(self, word: str, digit: bool = False) -> bool | None:
+        """Whether a word before a period is an abbreviation: by this document, then by the corpus; None if both are silent.
+
+        Before a digit it can't be told from its use as a plain word that it is none there ("no. 5" beside "no reason").
+        """
+        if self.abbreviates(word):
+            return True
+        if not digit and word in ALSO_WORDS and self.alone(word):
+            return False
+        if plain(word) in self.known.abbreviations:
             return True
-        return plain(word) in self.known.abbreviations
+        if not digit and word in self.known.plain:
+            return False
+        return None
 
     def begins_blocks(self, prefix: str) -> bool:
         """Whether a Thai word is known to begin blocks, here or in the corpus."""
@@ -247,12 +315,41 @@ class Document:
         return 0 < self._thai["t", prefix] and self._thai["t", prefix] * 4 >= self._thai["T", prefix]
 
 
+def _occurrences(text: str, words: set[str]) -> dict[str, list[int]]:
+    """Where each word occurs that no letter follows, for all words in one pass."""
+    import ahocorasick
+
+    found: dict[str, list[int]] = {w: [] for w in words}
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, w)
+    automaton.make_automaton()
+    for last, w in automaton.iter(text):
+        if not text[last + 1 : last + 2].isalpha():
+            found[w].append(last + 1 - len(w))
+    return found
+
+
 _LEAD = regex.compile(r".*[^\p{L}\p{M}\p{N}\xad.\-/,]", regex.DOTALL)
 
 
-def _before(block: str, at: int) -> str:
-    before = block[max(0, at - 40) : at]
-    return before[-1:] and not before[-1].isspace() and before.rsplit(None, 1)[-1] or ""
+#: No word of more characters is looked at; it is no abbreviation.
+WORD = 200
+
+
+def _before(text: str, at: int) -> str:
+    """What stands before a place up to white space."""
+    i = at
+    while i > 0 and at - i < WORD and not text[i - 1].isspace():
+        i -= 1
+    return text[i:at]
+
+
+def _before_that(text: str, at: int) -> str:
+    """The word before white space before a place, or before the place itself."""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    return _before(text, at)
 
 
 def _word(before: str) -> tuple[str, str]:
@@ -275,10 +372,10 @@ def _period_ends(doc: Document, block: str, at: int, end: int, nxt: int, first:
     spaced = nxt > end
     if c.islower() or c in ",;:)]”»":
         return False
-    before = _before(block, at)
-    if spaced and len(before) > 5 and c.isupper() and before.isalpha() and before.islower():
-        return True
-    before, word = _word(before)
+    before, word = _word(_before(block, at))
+    said = doc.abbreviation(word, c.isdigit()) if word else None
+    if spaced and said is not True and c.isupper() and before.isalpha() and before.islower() and word not in LISTED and len(word) > 1:
+        return True  # a plain word
     following = TOKEN_AFTER.match(block, nxt)
     x = plain(following[0]) if following else ""
     name = x.rstrip(".")
@@ -291,8 +388,10 @@ def _period_ends(doc: Document, block: str, at: int, end: int, nxt: int, first:
             return True
         if NUMBER.fullmatch(word):
             return len(word) > 2 and name.isalpha() and doc.starter(x)
+        if said is False:
+            return len(name) > 1 or not x.endswith(".") or doc.starter(x)
         if word in CLOSING:
-            return name not in CONTINUING and (doc.starter(x) or len(name) > 1 and x not in doc.known.inner)
+            return (name not in CONTINUING or doc.decides(x) is True) and (doc.starter(x) or len(name) > 1 and x not in doc.known.inner)
         if len(word) < 2 or "." in word or word in ANNOUNCING:
             return False
         return len(name) > 1 or not x.endswith(".") or doc.starter(x)
@@ -305,17 +404,18 @@ def _period_ends(doc: Document, block: str, at: int, end: int, nxt: int, first:
     if NUMBER.fullmatch(word):
         if len(word) > 2 or not c.isupper():
             return not (c.isdigit() and len(word) <= 2)
-        ahead = block[max(0, at - len(before) - 12) : at - len(before)].split()
         if name in GERMAN_MONTHS:
-            return False
-        if ahead and ahead[-1] in ORDINAL_BEFORE:
+            return doc.decides(x) is True
+        if _before_that(block, at - len(before)) in ORDINAL_BEFORE:
             return doc.starter(x)
         return True
     if len(word) == 1 and word.isalpha() and not word.islower():
-        ahead = block[max(0, at - len(before) - 8) : at - len(before)].split()
-        if ahead and (ahead[-1].rstrip(".") in TITLES or len(ahead[-1]) == 2 and ahead[-1][1] == "."):
+        ahead = _before_that(block, at - len(before))
+        if ahead.rstrip(".") in TITLES or len(ahead) == 2 and ahead[1] == ".":
             return False
-        return bool(x) and name not in CONTINUING and len(name) > 1 and doc.starter(x, 3) or (x == "V." and block[nxt + 2 : nxt + 5] == " en")
+        return bool(x) and name not in CONTINUING and len(name) > 1 and doc.starter(x, 3) or _abbreviated_verb(block, nxt, x)
+    if said is False:
+        return True
     if word in ANNOUNCING:
         return False
     if word in CLOSING or "." in word:
@@ -323,16 +423,22 @@ def _period_ends(doc: Document, block: str, at: int, end: int, nxt: int, first:
             return False
         if not x:
             return True
-        if name in CONTINUING:
+        if name in CONTINUING and doc.decides(x) is not True:
             return False
         if len(name) == 1 and x.endswith("."):
-            return doc.starter(x)
+            return doc.starter(x) or _abbreviated_verb(block, nxt, x)
         return doc.starter(x) or word in CLOSING and (x not in doc.known.inner or doc.stands(x)[0] > 0)
-    if doc.abbreviation(word):
+    if said:
         return bool(x) and len(name) > 1 and doc.starter(x)
     return True
 
 
+def _abbreviated_verb(block: str, at: int, x: str) -> bool:
+    """Whether one letter and a period at a place are no initial: lower case follows, as in "V. en ce sens" or "S. auch"."""
+    end = at + len(x)
+    return len(x) == 2 and x[1] == "." and block[end : end + 1].isspace() and block[end:].lstrip()[:1].islower()
+
+
 def _no_period_script(c: str) -> bool:
     """Scripts in which a period never ends a sentence: Devanagari, Thai."""
     return "ऀ" <= c <= "ॿ" or "฀" <= c <= "๿"
@@ -411,7 +517,7 @@ def _ends(doc: Document, block: str, carried: list[str], ignored: frozenset[int]
             n = block[nxt]
             whole = opened <= first  # the unit began with it
             if c in BRACKETS:
-                if not whole or at - opened < 12 or block[inner] == "…":
+                if not whole or block[inner] == "…" or not any(map(str.isspace, block[opened + 1 : at].strip())):
                     continue
             if n in TERMINATORS or n in ",;:，、；：)）" or n.islower():
                 continue
@@ -467,15 +573,15 @@ def _thai_ends(doc: Document, block: str, floor: int, stack: list[tuple[str, int
     begin = floor
     while begin < len(block) and block[begin].isspace():
         begin += 1
+    at, quoted, bracketed = begin, 0, 0
     for m in THAI_SPACE.finditer(block, begin):
-        word = THAI_WORD.search(block, m.end())[0][:THAI_PREFIX]
-        before = block[begin : m.start()]
-        if before.endswith("ดู") and (len(before) == 2 or before[-3].isspace()):
-            continue
-        if before.count("“") > before.count("”") or before.count("(") > before.count(")"):
+        quoted += block.count("“", at, m.start()) - block.count("”", at, m.start())
+        bracketed += block.count("(", at, m.start()) - block.count(")", at, m.start())
+        at = m.start()
+        if quoted > 0 or bracketed > 0 or _before(block, at) in THAI_OPEN:
             continue
-        if doc.begins_blocks(word):
-            yield m.start()
+        if doc.begins_blocks(THAI_WORD.search(block, m.end())[0][:THAI_PREFIX]):
+            yield at
 
 
 def units(text: str, known: Known) -> Iterator[tuple[int, int]]:
@@ -493,16 +599,13 @@ def units(text: str, known: Known) -> Iterator[tuple[int, int]]:
         while b > a and text[b - 1].isspace():
             b -= 1
         if a < b:
-            blocks.append((a, b, b - a < 120 and HEADER.fullmatch(text, a, b) is not None))
+            blocks.append((a, b, HEADER.fullmatch(text, a, b) is not None))
     carried: list[str] = []
     for i, (a, b, header) in enumerate(blocks):
         if header:
             yield a, b
             continue
         block = text[a:b]
-        if i < 4 and block[-1] not in "!?。！？।" and VERSUS.fullmatch(block) and (i == 1 or THAI.search(block)) and not ENUMERATOR.match(block):
-            yield a, b  # the caption
-            continue
         ends, still = _ends(doc, block, carried, frozenset())
         broken = i + 1 < len(blocks) and blocks[i + 1][2]  # a page header follows
         if still and not broken:

@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from chronolith.llm import sentences as sentences_module
 from chronolith.llm.sentences import Known, asked, evidence, sentences, units
 
 NOTHING = Known({})
@@ -68,6 +69,55 @@ def test_evidence_of_the_document_and_the_corpus_decides():
 ANY = st.text(alphabet=st.one_of(st.sampled_from(list("aB. \n\r\f\"“”„«»()[]?!…。「」1'ก ์।")), st.characters(exclude_categories=["Cs"])), max_size=120)
 
 
+def test_evidence_comes_before_the_lists():
+    assert cut("The answer is art. Then the art gallery closed.") == ["The answer is art.", "Then the art gallery closed."]
+    assert cut("See art. Quorby above. Nobody came.") == ["See art. Quorby above.", "Nobody came."]  # only the list knows
+    assert cut("The answer is no. The appeal fails. There is no doubt, see no. 5 above.") == ["The answer is no.", "The appeal fails.", "There is no doubt, see no. 5 above."]
+    corpus = evidence("\n\n".join(["There is no doubt here"] * 30))
+    assert Known(dict(corpus)).plain == {"no"}
+    assert cut("The answer is no. The appeal fails.", Known(dict(corpus))) == ["The answer is no.", "The appeal fails."]
+    assert cut("The answer is no. The appeal fails.") == ["The answer is no. The appeal fails."]
+
+
+def test_one_letter_that_is_no_initial_starts_a_sentence():
+    assert cut("L'appel vise Zimholt S.A. V. en ce sens Cass. com.") == ["L'appel vise Zimholt S.A.", "V. en ce sens Cass. com."]
+    assert cut("It was J. Quorby of Zimholt S.A. V. Orlund.") == ["It was J. Quorby of Zimholt S.A. V. Orlund."]
+
+
+def test_no_rule_depends_on_length_or_place():
+    header = "Chambre commerciale " + "et des affaires maritimes " * 12 + "– 12"
+    assert cut(f"One. Two.\n\n{header}\n\nThree.") == ["One.", "Two.", header, "Three."]
+    many = "Halra Inc. and " + "Orlund Bros. Ltd. and " * 30 + "Zenda Corp.\nv.\nTarstra plc"
+    assert cut(f"First.\n\nSecond.\n\n{many}") == ["First.", "Second.", many]
+    word = "incontrovertibilities"
+    assert cut(f"He saw the {word}. of trade. The {word}. of war met. Ask the {word}. Zenda came.")[-1] == f"Ask the {word}.\u0020Zenda came."
+    assert cut("บริษัทก จำกัด กับ บริษัทข จำกัด\n\nบริษัทก จำกัด\n\nบริษัทข จำกัด")[0] == "บริษัทก จำกัด กับ บริษัทข จำกัด"
+
+
+@settings(max_examples=200, deadline=None)
+@given(ANY)
+def test_long_texts_are_read_alike(text):
+    short = list(units(text, NOTHING))
+    kept, sentences_module.LONG = sentences_module.LONG, 0
+    try:
+        assert list(units(text, NOTHING)) == short
+    finally:
+        sentences_module.LONG = kept
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    def took(text):
+        began = time.time()
+        list(units(text, NOTHING))
+        return time.time() - began
+
+    for make in (lambda n: "โจทก์ฟ้อง จำเลย " * n, lambda n: " ".join(f"Ask the Foo{i}. Zenda{i} is here, Mr. Quor{i}." for i in range(n))):
+        took(make(200))
+        assert took(make(8000)) < 12 * max(took(make(2000)), 0.02)
+
+
 @settings(max_examples=600, deadline=None)
 @given(ANY)
 def test_units_hold_all_text_and_do_not_overlap(text):
@@ -121,7 +171,7 @@ class Asked(Known):
                 outer.seen.add(word)
                 return bool(outer.answer)
 
-        self.starts, self.inner, self.abbreviations, self.thai = Words(), Words(), Words(), Words()
+        self.starts, self.inner, self.abbreviations, self.plain, self.thai = (Words() for _ in range(5))
 
 
 @settings(max_examples=600, deadline=None)
