@@ -23,6 +23,7 @@ in no two files; equal export times are ordered by file_id; a file without any r
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -215,8 +216,9 @@ def steps(schema: DataFrame, version: DataFrame, change: DataFrame) -> DataFrame
     types = printed.select("fingerprint", F.col("field_path").alias("source_path"), F.explode("types").alias("t")).distinct().join(route, ["fingerprint", "source_path"])
     fields = types.groupBy("field").agg(F.collect_set("t").alias("types"))
     kind = F.when(F.size("types") == 1, F.col("types")[0]).when(F.size(F.array_except("types", F.array(F.lit("whole"), F.lit("fraction")))) == 0, F.lit("fraction")).otherwise(F.lit("string"))
-    one = fields.agg(F.array_sort(F.collect_list(F.struct("field", kind.alias("type")))).alias("schema")).withColumn("key", F.lit(1))  # one row: the one schema
-    have = version.select("fingerprint").distinct().withColumn("key", F.lit(1)).join(one, "key").select("fingerprint", F.inline("schema"))
+    # the one schema is the head of the table to be made: its width is what is read here, whatever the number of files and records
+    schema_ = json.dumps([{"field": r["field"], "type": r["type"]} for r in fields.select("field", kind.alias("type")).orderBy("field").collect()])
+    have = version.select("fingerprint").distinct().select("fingerprint", F.inline(F.from_json(F.lit(schema_), "array<struct<field:string,type:string>>")))
     out = have.join(route, ["fingerprint", "field"], "left")
     op = F.when(F.col("source_path").isNull(), "default").when(F.col("source_path") == F.col("field"), "keep").otherwise("rename")
     return out.select("fingerprint", "field", op.alias("op"), "source_path", "type")
