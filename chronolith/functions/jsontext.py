@@ -136,3 +136,31 @@ class _Mark:
 
     def __init__(self, text: str):
         self.text = text
+
+
+def words(value: Any, without: frozenset[str] = frozenset()) -> str:
+    """A value as plain words: the values after their keys, in the order of sorted keys; objects say nothing of keys ``without`` or with nothing to say."""
+    done: list[str] = []  # finished texts of the open containers' members, innermost last
+    stack: list[tuple[str, Any]] = [("open", value)]
+    while stack:
+        what, v = stack.pop()
+        if what == "open":
+            if isinstance(v, dict):
+                keys = [k for k in sorted(v) if k not in without]
+                stack.append(("object", keys))
+                stack.extend(("open", v[k]) for k in reversed(keys))
+            elif isinstance(v, list):
+                stack.append(("array", len(v)))
+                stack.extend(("open", x) for x in reversed(v))
+            elif isinstance(v, Number):
+                done.append(str(v) if v.whole else repr(float(v)))
+            elif isinstance(v, bool):
+                done.append("true" if v else "false")
+            else:
+                done.append(v or "")
+        else:
+            n = len(v) if what == "object" else v
+            parts = done[len(done) - n :]
+            del done[len(done) - n :]
+            done.append(" ".join(f"{k}: {t}" for k, t in zip(v, parts) if t) if what == "object" else " ".join(parts))
+    return done[0]

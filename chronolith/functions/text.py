@@ -181,30 +181,26 @@ def merge_texts(texts: Column) -> Column:
 _PLACE_KEYS = "trace_id span_id parent_span_id tenant_id project_id environment_id schema_version normalizer_version".split()
 
 
-@F.udf(StringType(), useArrow=True)
-def json_text(text: str | None) -> str | None:
-    """A JSON text as plain words: values, after their keys, in the order of sorted keys; recursion is why this is Python."""
-    import json
-
-    if text is None:
-        return None
-    try:
-        value = json.loads(text)
-    except ValueError:
-        return None
-
-    def flat(v: object) -> str:
-        if v is None:
-            return ""
-        if isinstance(v, bool):
-            return "true" if v else "false"
-        if isinstance(v, str):
-            return v
-        if isinstance(v, list):
-            return " ".join(map(flat, v))
-        if isinstance(v, dict):
-            said = ((k, flat(v[k])) for k in sorted(v) if k not in _PLACE_KEYS)
-            return " ".join(f"{k}: {t}" for k, t in said if t)
-        return json.dumps(v)
-
-    return flat(value)
+@lru_cache(maxsize=1)
+def _words_udf():
+    from chronolith.functions.jsontext import parse, storable, words
+
+    without = frozenset(_PLACE_KEYS)
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return storable(words(parse(text), without))
+        except ValueError:
+            return None
+
+    def batch(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(batch, StringType())
+
+
+def json_text(text: Column) -> Column:
+    """A JSON text as plain words: values, after their keys, in the order of sorted keys; null if it is no JSON. Built from the leaves upwards, which has no column form: by whole Arrow batches."""
+    return _words_udf()(text)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chronolith.functions.text import estimate_tokens, merge_texts
+from chronolith.functions.text import canonical_key, estimate_tokens, merge_texts
 from chronolith.sources.ledger import EXACT_KEY
 
 REVISION_KINDS = ["contradicts", "supersedes"]
@@ -142,3 +142,43 @@ def backfilled_closings(nodes: DataFrame, edges: DataFrame, sources: DataFrame)
     nxt = nxt.join(sources.select("node_id", "event_id"), "node_id").groupBy(*scope).agg(F.min("event_id").alias("next_event"))
     rows = keyed(open_).join(by_edge, "id", "left").join(nxt, scope, "left")
     return rows.select("id", F.coalesce("edge_event", "next_event").alias("valid_to_event_id")).filter("valid_to_event_id IS NOT NULL")
+
+
+def nodes_by_id(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Nodes whose id is asked for; one or many at a time. asked: id."""
+    return nodes.join(asked.select("id").distinct(), "id", "left_semi")
+
+
+def nodes_by_scope_key(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """ask and node_id of the node with a scope, kind and canonical key. asked: ask, tenant_id, project_id, environment_id (null is none), kind, canonical_key."""
+    keys = ["tenant_id", "project_id", "env", "kind", "canonical_key"]
+    scoped = lambda df: df.withColumn("env", env_of(df))
+    return scoped(asked).select("ask", *keys).join(scoped(nodes).select(F.col("id").alias("node_id"), *keys), keys).select("ask", "node_id")
+
+
+def node_versions_by_text(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """ask and node_id of the version that a text began at a time. asked: ask, tenant_id, project_id, environment_id, kind, text, valid_from_unix_ms.
+
+    Of several versions that began at once the first of the family's order (last updated, then smallest id) is taken.
+    """
+    keys = ["tenant_id", "project_id", "env", "kind", "family", "valid_from_unix_ms"]
+    q = asked.withColumn("env", env_of(asked)).withColumn("family", canonical_key(F.col("kind"), F.col("text"))).select("ask", *keys)
+    n = nodes.withColumn("env", env_of(nodes)).withColumn("family", F.substring_index("canonical_key", "|rev:", 1)).select(F.col("id").alias("node_id"), *keys, "updated_at_unix_ms")
+    best = q.join(n, keys).groupBy("ask").agg(F.min_by("node_id", F.struct(-F.col("updated_at_unix_ms"), "node_id")).alias("node_id"))
+    return best
+
+
+def rebuild_reasons(nodes: DataFrame, edges: DataFrame, citations: DataFrame, ledger: DataFrame) -> DataFrame:
+    """metric, value: what an older projection left that only a rebuild mends. Edges without a source event, closed nodes without a closing event, and
+    closed nodes whose closing event is ambiguous: a revising node cites several events of the moment they were closed."""
+    closed = nodes.filter("valid_to_unix_ms IS NOT NULL")
+    revising = edges.filter(F.col("kind").isin(REVISION_KINDS)).select(F.col("to_node_id").alias("id"), F.col("from_node_id").alias("node_id"))
+    ends = closed.select("id", F.col("valid_to_unix_ms").alias("observed")).join(revising, "id")
+    told = node_events(citations, ledger).select("node_id", "observed", "event_id")
+    doubtful = ends.join(told, ["node_id", "observed"]).groupBy("id", "node_id").agg(F.countDistinct("event_id").alias("n")).filter("n > 1").select("id").distinct()
+    count = lambda df, name: df.agg(F.lit(name).alias("metric"), F.count("*").alias("value"))
+    return (
+        count(edges.filter("source_event_id IS NULL"), "edges_without_source_event")
+        .unionByName(count(closed.filter("valid_to_event_id IS NULL"), "closed_without_event"))
+        .unionByName(count(doubtful, "closing_event_ambiguous"))
+    )

@@ -278,7 +278,7 @@ def suggested(questions: DataFrame, picked: DataFrame) -> DataFrame:
     """query_id, suggestions: up to three follow-up questions from the question's terms, then the evidence's. picked: place, text."""
     lists = picked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("e"))
     rows = questions.select("query_id", "question").join(lists, "query_id", "left")
-    more = F.flatten(F.transform(F.slice(F.coalesce("e", F.array().cast("array<struct<place:int,text:string>>")), 1, 3), lambda x: top_terms(x["text"], 2)))
+    more = F.flatten(F.transform(F.coalesce("e", F.array().cast("array<struct<place:int,text:string>>")), lambda x: top_terms(x["text"], 2)))
     found = F.slice(F.array_distinct(F.concat(top_terms(F.col("question"), 3), more)), 1, 3)
     return rows.select("query_id", F.transform(found, lambda t: F.concat(F.lit("what should I remember about "), t, F.lit("?"))).alias("suggestions"))
 

@@ -104,13 +104,7 @@ def ledger_append_first_wins(spark, sf_dir):
     return _ledger(spark, sf_dir).select("id", *L.EXACT_KEY)
 
 
-@query(
-    """SELECT id, CASE
-      WHEN trim(trace_id, E' \\t\\n\\r') <> trace_id THEN 'trace_id must not have leading or trailing whitespace'
-      WHEN trim(span_id, E' \\t\\n\\r') <> span_id THEN 'span_id must not have leading or trailing whitespace'
-      WHEN trim(text, E' \\t\\n\\r') = '' THEN 'text must not be empty'
-      WHEN seq <= 0 THEN 'seq must be greater than 0' END AS rejected FROM ledger_events"""
-)
+@query(f"SELECT id, {S.rejection()} AS rejected FROM ledger_events")
 def ledger_validation(spark, sf_dir):
     return L.validated(_raw(spark, sf_dir)).select("id", "rejected")
 
@@ -140,22 +134,64 @@ def ledger_projected_after(spark, sf_dir):
     return L.projected_after(raw, bounds).select("id")
 
 
+_WRITES = """w AS (SELECT id, tenant_id, project_id, environment_id, name, text, observed_at_unix_ms AS now, observed_at_unix_ms::VARCHAR AS said, coalesce(environment_id, '') AS env, trim(text, ' ') AS k FROM ledger_events WHERE span_kind = 'memory.write')"""
+_EVENT = "1::BIGINT AS seq, 'memory.write' AS span_kind, name, 'ok' AS status, text"
+
+
+def _writes(spark, sf_dir) -> DataFrame:
+    raw = _raw(spark, sf_dir).filter("span_kind = 'memory.write'")
+    return L.direct_write(raw.select("tenant_id", "project_id", "environment_id", F.col("name").alias("kind"), "text", F.col("observed_at_unix_ms").alias("now_unix_ms")))
+
+
 @query(
-    f"""WITH e AS (SELECT id, text, name, tenant_id, project_id, coalesce(environment_id, '') AS env, observed_at_unix_ms::VARCHAR AS now, trim(trace_id, ' ') AS k FROM ledger_events WHERE span_kind = 'memory.write'),
-    t AS (SELECT *, {S.stable_id('direct_trace', 'text', 'now')} AS trace_id, {S.stable_id('direct_trace_idempotent', 'tenant_id', 'project_id', 'env', 'name', 'k')} AS keyed_trace FROM e)
-    SELECT id, trace_id, {S.stable_id('direct_span', 'trace_id')} AS span_id, keyed_trace, {S.stable_id('direct_span', 'keyed_trace')} AS keyed_span,
-      '{{"kind":"' || name || '","idempotency_key_hash":"' || {S.stable_id('idempotency_key', 'k')} || '"}}' AS payload FROM t"""
+    f"""WITH {_WRITES}, t AS (SELECT *, {S.stable_id('direct_trace', 'text', 'said')} AS trace_id FROM w)
+    SELECT 'direct' AS source, tenant_id, project_id, environment_id, trace_id, {S.stable_id('direct_span', 'trace_id')} AS span_id, {_EVENT},
+      '{{"kind":"' || name || '"}}' AS payload, now AS observed_at_unix_ms, now AS ingested_at_unix_ms FROM t"""
 )
 def ledger_direct_write(spark, sf_dir):
-    raw = _raw(spark, sf_dir).filter("span_kind = 'memory.write'")
-    rows = raw.select("id", "tenant_id", "project_id", "environment_id", F.col("name").alias("kind"), "text", F.col("observed_at_unix_ms").alias("now_unix_ms"), F.col("trace_id").alias("given_key"))
-    made = L.direct_write(rows)
-    # direct_write drops other columns, so both forms are made from the same row
-    plain = rows.withColumn("trace_id", T.stable_id("direct_trace", F.col("text"), F.col("now_unix_ms").cast("string")))
-    plain = plain.withColumn("span_id", T.stable_id("direct_span", F.col("trace_id"))).withColumnsRenamed({"trace_id": "first_trace", "span_id": "first_span"})
-    keyed = L.with_idempotency_key(plain.withColumn("name", F.col("kind")).withColumn("payload", F.to_json(F.struct("kind"))), F.col("given_key"))
-    assert made.columns
-    return keyed.select("id", F.col("first_trace").alias("trace_id"), F.col("first_span").alias("span_id"), F.col("trace_id").alias("keyed_trace"), F.col("span_id").alias("keyed_span"), "payload")
+    return _writes(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_WRITES}, t AS (SELECT *, {S.stable_id('direct_trace_idempotent', 'tenant_id', 'project_id', 'env', 'name', 'k')} AS trace_id FROM w)
+    SELECT 'direct' AS source, tenant_id, project_id, environment_id, trace_id, {S.stable_id('direct_span', 'trace_id')} AS span_id, {_EVENT},
+      '{{"kind":"' || name || '","idempotency_key_hash":"' || {S.stable_id('idempotency_key', 'k')} || '"}}' AS payload, now AS observed_at_unix_ms, now AS ingested_at_unix_ms FROM t"""
+)
+def ledger_idempotent_write(spark, sf_dir):
+    """Direct writes with their text as idempotency key."""
+    return L.with_idempotency_key(_writes(spark, sf_dir), F.col("text"))
+
+
+# -- distillation batches ------------------------------------------------------------------------------
+_BATCHES = """b AS (
+  SELECT id, id AS ledger_event_id, 'command' AS distiller_kind, 'f' || (id % 3) AS distiller_fingerprint, payload AS memories, ingested_at_unix_ms AS created_at_unix_ms FROM ledger_events WHERE span_kind = 'llm.call'
+  UNION ALL SELECT id, id - 1, 'command', 'f' || ((id - 1) % 3), text, ingested_at_unix_ms FROM ledger_events WHERE span_kind = 'memory.read'),
+accepted AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY ledger_event_id, distiller_kind, distiller_fingerprint ORDER BY created_at_unix_ms DESC, id DESC) = 1)"""
+
+
+def _batches(spark, sf_dir) -> DataFrame:
+    """The ledger's model calls as accepted batches; a read overwrites the batch of the event before it."""
+    raw = _raw(spark, sf_dir)
+    make = lambda kind, event, memories: raw.filter(F.col("span_kind") == kind).select(
+        "id", event.alias("ledger_event_id"), F.lit("command").alias("distiller_kind"), F.concat(F.lit("f"), (event % 3).cast("string")).alias("distiller_fingerprint"), F.col(memories).alias("memories"), F.col("ingested_at_unix_ms").alias("created_at_unix_ms")
+    )
+    return make("llm.call", F.col("id"), "payload").unionByName(make("memory.read", F.col("id") - 1, "text"))
+
+
+@query(f"WITH {_BATCHES} SELECT * FROM accepted")
+def batches_accepted(spark, sf_dir):
+    return L.latest_batches(_batches(spark, sf_dir))
+
+
+@query(f"WITH {_BATCHES} SELECT e.id FROM ledger_events e WHERE e.projected_at_unix_ms IS NOT NULL AND NOT EXISTS (SELECT 1 FROM b WHERE b.ledger_event_id = e.id AND b.distiller_kind = 'command' AND b.distiller_fingerprint = 'f1')")
+def batches_missing(spark, sf_dir):
+    return L.missing_batches(_raw(spark, sf_dir), _batches(spark, sf_dir), "command", "f1").select("id")
+
+
+@query(f"WITH {_BATCHES} SELECT e.id, a.memories FROM ledger_events e JOIN accepted a ON a.ledger_event_id = e.id AND a.distiller_kind = 'command' AND a.distiller_fingerprint = 'f1' WHERE e.projected_at_unix_ms IS NULL ORDER BY e.observed_at_unix_ms, e.id LIMIT 1000")
+def batches_pending(spark, sf_dir):
+    """The next batch of a replay: its default size is 1,000 events."""
+    return L.pending_with_batches(_raw(spark, sf_dir), _batches(spark, sf_dir), "command", "f1", 1000).select("id", "memories")
 
 
 # -- classification and routing ------------------------------------------------------------------------------
@@ -262,6 +298,49 @@ def closings_backfilled(spark, sf_dir):
     return B.backfilled_closings(table(spark, sf_dir, "memory_nodes"), table(spark, sf_dir, "memory_edges"), _sources(spark, sf_dir))
 
 
+@query("SELECT id, kind FROM memory_nodes WHERE id IN (SELECT node_id FROM node_spans)")
+def nodes_by_id(spark, sf_dir):
+    asked = table(spark, sf_dir, "node_spans").select(F.col("node_id").alias("id"))
+    return B.nodes_by_id(table(spark, sf_dir, "memory_nodes"), asked).select("id", "kind")
+
+
+@query(
+    """SELECT r.event_id AS ask, n.id AS node_id FROM read_subjects r JOIN ledger_events e ON e.id = r.event_id JOIN memory_nodes n
+    ON n.tenant_id = e.tenant_id AND n.project_id = e.project_id AND coalesce(n.environment_id, '') = coalesce(e.environment_id, '') AND n.canonical_key = r.canonical_key AND n.kind = split_part(r.canonical_key, ':', 1)"""
+)
+def nodes_by_scope_key(spark, sf_dir):
+    """The node of each read's scope with exactly the key that it asks for."""
+    reads, ledger = table(spark, sf_dir, "read_subjects"), _raw(spark, sf_dir)
+    asked = reads.join(ledger.select(F.col("id").alias("event_id"), "tenant_id", "project_id", "environment_id"), "event_id")
+    asked = asked.select(F.col("event_id").alias("ask"), "tenant_id", "project_id", "environment_id", F.split_part("canonical_key", F.lit(":"), F.lit(1)).alias("kind"), "canonical_key")
+    return B.nodes_by_scope_key(table(spark, sf_dir, "memory_nodes"), asked)
+
+
+@query(
+    f"""WITH a AS (SELECT s.node_id || '/' || n.id AS ask, n.tenant_id, n.project_id, coalesce(n.environment_id, '') AS env, n.kind, {S.canonical_key('n.kind', 'n.text')} AS family, n.valid_from_unix_ms AS at
+      FROM memory_nodes n JOIN (SELECT DISTINCT node_id FROM node_spans) s ON s.node_id = n.id)
+    SELECT ask, arg_min(n.id, (-n.updated_at_unix_ms, n.id)) AS node_id FROM a JOIN memory_nodes n ON n.tenant_id = a.tenant_id AND n.project_id = a.project_id AND coalesce(n.environment_id, '') = a.env AND n.kind = a.kind
+      AND split_part(n.canonical_key, '|rev:', 1) = a.family AND n.valid_from_unix_ms = a.at GROUP BY ask"""
+)
+def node_versions_by_text(spark, sf_dir):
+    """For every cited node, the version that its own text names at the time it began."""
+    nodes = table(spark, sf_dir, "memory_nodes")
+    cited = nodes.join(table(spark, sf_dir, "node_spans").select(F.col("node_id").alias("id")).distinct(), "id")
+    return B.node_versions_by_text(nodes, cited.select(F.concat("id", F.lit("/"), "id").alias("ask"), "tenant_id", "project_id", "environment_id", "kind", "text", "valid_from_unix_ms"))
+
+
+@query(
+    f"""WITH {S.LEDGER}, {S.SOURCES}, doubt AS (
+      SELECT n.id FROM memory_nodes n JOIN memory_edges g ON g.to_node_id = n.id AND g.kind IN ('contradicts', 'supersedes') JOIN sources s ON s.node_id = g.from_node_id AND s.observed = n.valid_to_unix_ms
+      GROUP BY n.id, g.from_node_id HAVING count(DISTINCT s.event_id) > 1)
+    SELECT 'edges_without_source_event' AS metric, count(*) AS value FROM memory_edges WHERE source_event_id IS NULL
+    UNION ALL SELECT 'closed_without_event', count(*) FROM memory_nodes WHERE valid_to_unix_ms IS NOT NULL AND valid_to_event_id IS NULL
+    UNION ALL SELECT 'closing_event_ambiguous', count(DISTINCT id) FROM doubt"""
+)
+def rebuild_reasons(spark, sf_dir):
+    return B.rebuild_reasons(table(spark, sf_dir, "memory_nodes"), table(spark, sf_dir, "memory_edges"), table(spark, sf_dir, "node_spans"), _narrow(spark, sf_dir))
+
+
 # -- retrieval ------------------------------------------------------------------------------
 def _questions(spark, sf_dir) -> DataFrame:
     reads = _raw(spark, sf_dir).filter(f"span_kind = 'memory.read' AND id % {EVERY} = 0")
@@ -439,7 +518,7 @@ def escalation_reason(spark, sf_dir):
 
 @query(
     f"""WITH {_ALL}, {_BUDGET},
-    more AS (SELECT query_id, flatten(list({S.top_terms('text', 2)} ORDER BY place)) AS m FROM picked WHERE place < 3 GROUP BY 1),
+    more AS (SELECT query_id, flatten(list({S.top_terms('text', 2)} ORDER BY place)) AS m FROM picked GROUP BY 1),
     found AS (SELECT q.query_id, list_concat({S.top_terms('q.question', 3)}, coalesce(m.m, [])) AS f FROM q LEFT JOIN more m USING (query_id))
     SELECT query_id, array_to_string(list_transform(list_filter(f, lambda x, i: list_position(f, x) = i)[1:3], lambda t: 'what should I remember about ' || t || '?'), ' ') AS suggestions FROM found"""
 )
@@ -448,7 +527,15 @@ def suggested_queries(spark, sf_dir):
     return R.suggested(c.questions, c.picked()[2]).withColumn("suggestions", F.array_join("suggestions", " "))
 
 
-@query()
+@query(
+    f"""WITH {_ALL}, {_BUDGET}, {_CONTRA},
+    l0 AS (SELECT *, {S.squash('text')} AS t FROM picked WHERE place < 8),
+    l AS (SELECT query_id, string_agg('- [' || kind || ' score ' || printf('%.2f', score) || '] ' || {S.concise('t', 260)}, chr(10) ORDER BY place) AS l FROM l0 GROUP BY 1),
+    w AS (SELECT c.query_id, count(*) AS n FROM contra c JOIN ctx a ON a.query_id = c.query_id AND a.node_id = c.newer_node_id JOIN ctx b ON b.query_id = c.query_id AND b.node_id = c.older_node_id GROUP BY 1)
+    SELECT q.query_id, CASE WHEN l IS NULL THEN 'No matching memory was found for this scope.' ELSE 'Relevant memory:' || chr(10) || l ||
+      CASE WHEN coalesce(n, 0) > 0 THEN chr(10) || 'Warning: ' || n || ' contradiction(s) or superseded premise(s) were surfaced.' ELSE '' END END AS answer
+    FROM q LEFT JOIN l USING (query_id) LEFT JOIN w USING (query_id)"""
+)
 def answers(spark, sf_dir):
     c = _Context(spark, sf_dir)
     ctx, seen, picked = c.picked()
@@ -646,7 +733,12 @@ def service_metrics(spark, sf_dir):
     return M.request_metrics(_audit(spark, sf_dir))
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT id, tenant_id AS a, ingested_at_unix_ms AS t, row_number() OVER (PARTITION BY tenant_id ORDER BY ingested_at_unix_ms, id) AS n FROM ledger_events),
+    w(a, opened, n0) AS (SELECT a, t, n FROM r WHERE n = 1 UNION ALL SELECT w.a, min(r.t), min(r.n) FROM w JOIN r ON r.a = w.a AND r.t >= w.opened + 60000 GROUP BY w.a),
+    p AS (SELECT r.id, r.t, r.n, w.opened, w.n0 FROM r ASOF JOIN w ON r.a = w.a AND r.n >= w.n0)
+    SELECT id, n - n0 < 5 AS allowed, CASE WHEN n - n0 < 5 THEN 0 ELSE (greatest(60000 - (t - opened), 1) + 999) // 1000 END AS retry_after_seconds FROM p"""
+)
 def rate_limit_fixed_window(spark, sf_dir):
     return M.rate_limited(_audit(spark, sf_dir), "actor", "occurred_at_unix_ms", "id", 5)
 

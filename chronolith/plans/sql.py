@@ -5,6 +5,7 @@ from __future__ import annotations
 from chronolith.functions.classify import ACCEPTS, COMPOSITIONAL, DECLARED, KIND_MARKERS, LOOKS_UP, MODES, OP_MARKERS, ROUTES
 from chronolith.functions.text import STOP_WORDS
 from chronolith.operators.retrieve import EDGE_WEIGHTS
+from chronolith.sources.ledger import IDENTIFIERS
 
 
 def quoted(words) -> str:
@@ -32,6 +33,17 @@ def squash(x: str) -> str:
     return f"trim(regexp_replace({x}, '{_SPACE}+', ' ', 'g'), ' ')"
 
 
+def rejection() -> str:
+    """The first rule that an event breaks, or null."""
+    blank = lambda c: f"({c} IS NULL OR regexp_full_match({c}, '{_SPACE}*'))"
+    padded = lambda c: f"regexp_matches({c}, '^{_SPACE}|{_SPACE}$')"
+    rules = [(test(c), f"{c} {said}") for c in IDENTIFIERS for test, said in ((blank, "must not be empty"), (padded, "must not have leading or trailing whitespace"))]
+    rules += [(f"environment_id IS NOT NULL AND {test('environment_id')}", f"environment_id {said}") for test, said in ((blank, "must not be empty"), (padded, "must not have leading or trailing whitespace"))]
+    rules += [(blank("text"), "text must not be empty"), ("seq IS NULL OR seq <= 0", "seq must be greater than 0")]
+    rules += [(f"{c} IS NULL OR {c} < 0", f"{c} must be non-negative") for c in ("observed_at_unix_ms", "ingested_at_unix_ms")] + [("projected_at_unix_ms < 0", "projected_at_unix_ms must be non-negative")]
+    return "CASE " + " ".join(f"WHEN {test} THEN '{said}'" for test, said in rules) + " END"
+
+
 def tokens(x: str) -> str:
     return f"greatest(ceil(length(regexp_replace({x}, '{_SPACE}', '', 'g')) / 4)::INT, CASE WHEN {x} = '' THEN 0 ELSE 1 END)"
 

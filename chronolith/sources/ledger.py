@@ -1,7 +1,7 @@
 """The ledger: building, checking and appending observations.
 
 Events are rows of the ledger schema.  Appending is first-wins on the exact message key within tenant and
-project; a stream of batches goes through ``operators.dedupe.MessageStore``.
+project; ``operators.dedupe.MessageStore`` keeps one copy of messages whose identifiers are written carelessly.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def append(ledger: DataFrame, batch: DataFrame, order: str = "id") -> DataFrame:
 def pending(ledger: DataFrame, limit: int | None = None) -> DataFrame:
     """Events not projected yet, in order of observation and arrival."""
     rows = ledger.filter("projected_at_unix_ms IS NULL").orderBy("observed_at_unix_ms", "id")
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.limit(guarded(limit, "limit"))
 
 
 def projected_after(ledger: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -90,14 +90,35 @@ def projected_after(ledger: DataFrame, bounds: DataFrame) -> DataFrame:
     return rows.filter((at > F.struct("after_ms", "after_id")) & (F.col("before_ms").isNull() | (F.col("observed_at_unix_ms") < F.col("before_ms"))))
 
 
+BATCH_KEY = ["ledger_event_id", "distiller_kind", "distiller_fingerprint"]
+
+
 def latest_batches(batches: DataFrame) -> DataFrame:
-    """Accepted distillation batches: the latest by event, distiller and fingerprint."""
-    keys = ["ledger_event_id", "distiller_kind", "distiller_fingerprint"]
-    w = Window.partitionBy(*keys).orderBy(F.col("created_at_unix_ms").desc(), F.col("id").desc())
+    """Accepted distillation batches: the latest by event, distiller and fingerprint. Appending to a table and reading it so is the upsert of a batch."""
+    w = Window.partitionBy(*BATCH_KEY).orderBy(F.col("created_at_unix_ms").desc(), F.col("id").desc())
     return batches.withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
 
 
+def batches_of(batches: DataFrame, kind: str, fingerprint: str) -> DataFrame:
+    """ledger_event_id and memories of a distiller's accepted batches."""
+    mine = batches.filter((F.col("distiller_kind") == kind) & (F.col("distiller_fingerprint") == fingerprint))
+    return latest_batches(mine).select("ledger_event_id", "memories")
+
+
 def missing_batches(ledger: DataFrame, batches: DataFrame, kind: str, fingerprint: str) -> DataFrame:
     """Projected events without an accepted batch of a distiller."""
     have = batches.filter((F.col("distiller_kind") == kind) & (F.col("distiller_fingerprint") == fingerprint)).select(F.col("ledger_event_id").alias("id"))
     return ledger.filter("projected_at_unix_ms IS NOT NULL").join(have, "id", "left_anti")
+
+
+def pending_with_batches(ledger: DataFrame, batches: DataFrame, kind: str, fingerprint: str, limit: int | None = None) -> DataFrame:
+    """Events not projected yet that a distiller has an accepted batch for, with its memories, in order of observation and arrival."""
+    rows = ledger.filter("projected_at_unix_ms IS NULL").join(batches_of(batches, kind, fingerprint).withColumnRenamed("ledger_event_id", "id"), "id").orderBy("observed_at_unix_ms", "id")
+    return rows if limit is None else rows.limit(guarded(limit, "limit"))
+
+
+def guarded(limit: int, name: str) -> int:
+    """A limit that Spark can take; raises ValueError for others."""
+    if not 0 <= limit < 1 << 31:
+        raise ValueError(f"{name} must be between 0 and {(1 << 31) - 1}")
+    return limit
