@@ -75,12 +75,15 @@ def revision_op(text: Column) -> Column:
     return out.otherwise("add")
 
 
+# Spellings of a kind that imports allow.
+KIND_ALIASES = {"semantic": "fact", "episodic": "episode", "runbook": "procedure", "workflow": "procedure", "failure": "gotcha", "entity": "entity_cue", "cue": "entity_cue", "procedural": "procedure", "antimemory": "anti_memory", "anti-memory": "anti_memory"}
+
+
 def parse_kind(value: Column) -> Column:
     """A kind from the spellings that imports allow; null if it is none."""
     v = ascii_lower(F.btrim(value))
-    alias = {"semantic": "fact", "episodic": "episode", "runbook": "procedure", "workflow": "procedure", "failure": "gotcha", "entity": "entity_cue", "cue": "entity_cue", "procedural": "procedure", "antimemory": "anti_memory", "anti-memory": "anti_memory"}
     out = F.when(v.isin(KINDS), v)
-    for spelled, kind in alias.items():
+    for spelled, kind in KIND_ALIASES.items():
         out = out.when(v == spelled, kind)
     return out
 

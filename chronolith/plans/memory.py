@@ -316,19 +316,6 @@ def nodes_by_scope_key(spark, sf_dir):
     return B.nodes_by_scope_key(table(spark, sf_dir, "memory_nodes"), asked)
 
 
-@query(
-    f"""WITH a AS (SELECT s.node_id || '/' || n.id AS ask, n.tenant_id, n.project_id, coalesce(n.environment_id, '') AS env, n.kind, {S.canonical_key('n.kind', 'n.text')} AS family, n.valid_from_unix_ms AS at
-      FROM memory_nodes n JOIN (SELECT DISTINCT node_id FROM node_spans) s ON s.node_id = n.id)
-    SELECT ask, arg_min(n.id, (-n.updated_at_unix_ms, n.id)) AS node_id FROM a JOIN memory_nodes n ON n.tenant_id = a.tenant_id AND n.project_id = a.project_id AND coalesce(n.environment_id, '') = a.env AND n.kind = a.kind
-      AND split_part(n.canonical_key, '|rev:', 1) = a.family AND n.valid_from_unix_ms = a.at GROUP BY ask"""
-)
-def node_versions_by_text(spark, sf_dir):
-    """For every cited node, the version that its own text names at the time it began."""
-    nodes = table(spark, sf_dir, "memory_nodes")
-    cited = nodes.join(table(spark, sf_dir, "node_spans").select(F.col("node_id").alias("id")).distinct(), "id")
-    return B.node_versions_by_text(nodes, cited.select(F.concat("id", F.lit("/"), "id").alias("ask"), "tenant_id", "project_id", "environment_id", "kind", "text", "valid_from_unix_ms"))
-
-
 @query(
     f"""WITH {S.LEDGER}, {S.SOURCES}, doubt AS (
       SELECT n.id FROM memory_nodes n JOIN memory_edges g ON g.to_node_id = n.id AND g.kind IN ('contradicts', 'supersedes') JOIN sources s ON s.node_id = g.from_node_id AND s.observed = n.valid_to_unix_ms
@@ -667,9 +654,97 @@ def spans_kind(spark, sf_dir):
     return rows.select("file_id", "line_no", X.span_kind().alias("span_kind"))
 
 
-@query()
+_SAID = lambda p: f"nullif(trim({_STR(p)}, ' '), '')"
+_SPAN_JSON = "r AS (SELECT file_id, line_no, CASE WHEN json_valid(record) THEN record::JSON END AS j FROM raw_spans), o AS (SELECT *, list_sort(coalesce(json_keys(j, '$.attributes'), [])) AS ks FROM r WHERE j IS NOT NULL)"
+
+
+def _by_suffix(suffix: str, but: str = "") -> str:
+    """The attribute whose name ends in .suffix, the first by name."""
+    return f"json_extract_string(j, '$.attributes.\"' || list_filter(ks, lambda k: suffix(k, '.{suffix}') AND k <> '{but}')[1] || '\"')"
+
+
+def _parsed_kind(x: str) -> str:
+    alias = " ".join(f"WHEN lower(trim({x}, ' ')) = '{a}' THEN '{k}'" for a, k in C.KIND_ALIASES.items())
+    return f"CASE WHEN lower(trim({x}, ' ')) IN ({S.quoted(C.KINDS)}) THEN lower(trim({x}, ' ')) {alias} END"
+
+
+_NESTED = lambda base: [_SAID(f"{base}.{f}") for f in X.TEXT_FIELDS]
+_WRITTEN = f"coalesce({', '.join([*_NESTED('$'), *_NESTED('$.input'), _SAID('$.input'), *_NESTED('$.payload'), *_NESTED('$.output'), _SAID('$.output')])})"
+_ASKED = f"coalesce({', '.join([_SAID('$.input'), *[_SAID(f'$.input.{f}') for f in ('question', 'query', 'input', 'text')], *[_SAID(f'$.input.input.{f}') for f in ('question', 'query', 'text')]])})"
+_TOLD = f"coalesce({', '.join([_SAID('$.output'), *[_SAID(f'$.output.{f}') for f in ('answer', 'summary', 'output', 'text')], *[_SAID(f'$.output.output.{f}') for f in ('answer', 'summary', 'text')]])})"
+_READ_SAID = f"CASE WHEN {_ASKED} IS NOT NULL AND {_TOLD} IS NOT NULL THEN 'memory read question: ' || {_ASKED} || ' answer: ' || {_TOLD} WHEN {_ASKED} IS NOT NULL THEN 'memory read question: ' || {_ASKED} WHEN {_TOLD} IS NOT NULL THEN 'memory read answer: ' || {_TOLD} END"
+_KIND_OF_SPAN = f"coalesce({_STR('$.span_kind')}, {_STR('$.attributes.\"openinference.span.kind\"')}, {_by_suffix('span.kind', 'openinference.span.kind')}, {_STR('$.kind')}, 'agent.step')"
+_PLACES = ["$.input.kind", "$.input.memory_kind", "$.payload.kind", "$.payload.memory_kind", "$.output.kind", "$.output.memory_kind", "$.memory_kind", "$.node_kind", "$.name", "$.kind"]
+_KIND_OF_MEMORY = f"coalesce({', '.join([_parsed_kind(_by_suffix('memory.kind')), _parsed_kind(_SAID('$.attributes.\"memory.kind\"')), *[_parsed_kind(_SAID(p)) for p in _PLACES]])})"
+_TO_MS = lambda x: f"(CASE WHEN {x} >= 1e12 THEN round({x}) WHEN {x} >= 1e9 THEN round({x} * 1000) ELSE round({x}) END)::BIGINT"
+_WHOLE = lambda p: f"CASE WHEN json_type(j, '{p}') IN ('BIGINT', 'UBIGINT') THEN try_cast(json_extract_string(j, '{p}') AS BIGINT) END"
+
+
+def _moment(p: str) -> str:
+    number = f"CASE WHEN json_type(j, '{p}') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN json_extract_string(j, '{p}')::DOUBLE END"
+    said, plain = _SAID(p), f"try_cast({_SAID(p)} AS DOUBLE)"
+    rfc = f"CASE WHEN regexp_full_match({said}, '\\d{{4}}-\\d\\d-\\d\\d[Tt ]\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?([Zz]|[+-]\\d\\d:\\d\\d)') THEN epoch_ms(try_cast(upper({said}) AS TIMESTAMPTZ)) END"
+    return f"coalesce(CASE WHEN ({_WHOLE(p)}) IS NOT NULL THEN {_TO_MS(f'({_WHOLE(p)})::DOUBLE')} END, CASE WHEN ({number}) >= 0 THEN {_TO_MS(f'({number})')} END, {rfc}, CASE WHEN {plain} >= 0 THEN {_TO_MS(plain)} END)"
+
+
+@query(
+    f"""WITH {_SPAN_JSON}, k AS (SELECT *, {_KIND_OF_SPAN} AS span_kind FROM o), t AS (
+      SELECT *, CASE span_kind WHEN 'memory.write' THEN {_WRITTEN} WHEN 'memory.read' THEN {_READ_SAID} END AS told0 FROM k),
+    u AS (SELECT *, {S.squash('told0')} AS told FROM t)
+    SELECT file_id, line_no, coalesce({_STR('$.tenant_id')}, 'local') AS tenant_id, coalesce({_STR('$.project_id')}, 'default') AS project_id, {_STR('$.environment_id')} AS environment_id,
+      {_STR('$.trace_id')} AS trace_id, {_STR('$.span_id')} AS span_id, coalesce(CASE WHEN ({_WHOLE('$.seq')}) >= 0 THEN {_WHOLE('$.seq')} END, 1)::BIGINT AS seq, span_kind,
+      CASE span_kind WHEN 'memory.write' THEN coalesce({_KIND_OF_MEMORY}, 'fact') WHEN 'memory.read' THEN 'episode' ELSE coalesce({_STR('$.name')}, span_kind) END AS name,
+      coalesce({_STR('$.status')}, 'ok') AS status, CASE WHEN told IS NOT NULL THEN {S.concise('told', X.TEXT_LIMIT)} END AS told,
+      coalesce({_WHOLE('$.start_time_unix_ms')}, {_WHOLE('$.start_time_ms')}, {_WHOLE('$.timestamp_unix_ms')}, {_moment('$.start_time')}, {_moment('$.startTime')}, {_moment('$.timestamp')}, {CLOCK}) AS observed_at_unix_ms FROM u"""
+)
 def spans_to_events(spark, sf_dir):
-    return X.span_events(table(spark, sf_dir, "raw_spans"), CLOCK)
+    """Span records as events: ids that the record itself has, and the text where it is said in the record's own words."""
+    events = X.parsed(X.span_events(table(spark, sf_dir, "raw_spans"), CLOCK), "payload")
+    own = lambda name: F.when(X.string(f"$.{name}").isNotNull(), F.col(name)).alias(name)
+    said = F.when(F.col("span_kind") == "memory.write", X.write_text()).when(F.col("span_kind") == "memory.read", X.read_text()).isNotNull()
+    return events.select("file_id", "line_no", "tenant_id", "project_id", "environment_id", own("trace_id"), own("span_id"), "seq", "span_kind", "name", "status", F.when(said, F.col("text")).alias("told"), "observed_at_unix_ms")
+
+
+@query()
+def spans_to_text(spark, sf_dir):
+    """The text of every span event, flattened from the record where it says none."""
+    return X.span_events(table(spark, sf_dir, "raw_spans"), CLOCK).select("file_id", "line_no", "text")
+
+
+_JOURNAL = f"""runs AS (SELECT trace_id AS run_id, min(source) AS agent, min(name) AS run_input FROM ledger_events GROUP BY 1),
+steps AS (
+  SELECT trace_id AS run_id, row_number() OVER (PARTITION BY trace_id ORDER BY id) AS seq, CASE WHEN span_kind LIKE 'llm%' THEN 'llm_call' WHEN span_kind = 'agent.step' THEN 'agent_step' ELSE 'tool_call' END AS kind, status, name, text AS said,
+    CASE span_kind WHEN 'memory.write' THEN 'memory_write' WHEN 'memory.read' THEN 'memory.read' WHEN 'tool.call' THEN 'shell' END AS tool_name, CASE WHEN id % 2 = 0 THEN span_id END AS tool_use_id, id % 3 = 0 AS has_result, observed_at_unix_ms // 1000 AS started_at FROM ledger_events),
+kinds AS (SELECT *, CASE WHEN kind = 'llm_call' THEN 'llm.call' WHEN kind = 'tool_call' AND tool_name = 'memory.read' THEN 'memory.read' WHEN kind = 'tool_call' AND tool_name = 'memory_write' THEN 'memory.write' WHEN kind = 'tool_call' THEN 'tool.call' ELSE kind END AS span_kind FROM steps),
+kept AS (SELECT * FROM kinds JOIN runs USING (run_id) WHERE lower(trim(status, ' ')) IN ({S.quoted(X.TERMINAL)}) AND (span_kind <> 'memory.write' OR lower(trim(status, ' ')) IN ({S.quoted(X.SUCCESS)})))"""
+
+
+@query(
+    f"""WITH {_JOURNAL}, t AS (
+      SELECT *, CASE WHEN span_kind = 'memory.write' AND trim(said, ' ') <> '' THEN trim(said, ' ')
+        WHEN span_kind = 'memory.read' AND trim(said, ' ') <> '' THEN 'memory read question: ' || trim(said, ' ') || CASE WHEN has_result THEN ' answer: ' || status ELSE '' END
+        WHEN span_kind = 'memory.read' AND has_result THEN 'memory read answer: ' || status
+        ELSE 'run input: ' || run_input || ' request: kind: ' || name || CASE WHEN said <> '' THEN ' text: ' || said ELSE '' END || ' result: ' || CASE WHEN has_result THEN 'answer: ' || status ELSE '' END END AS t0 FROM kept),
+    u AS (SELECT *, {S.squash('t0')} AS t1 FROM t)
+    SELECT run_id AS trace_id, coalesce(tool_use_id, 'step-' || seq) AS span_id, seq, span_kind,
+      CASE span_kind WHEN 'memory.write' THEN coalesce({_parsed_kind('name')}, 'fact') WHEN 'memory.read' THEN 'episode' ELSE coalesce(tool_name, agent || ':' || kind) END AS name,
+      status, {S.concise('t1', X.TEXT_LIMIT)} AS text, started_at * 1000 AS observed_at_unix_ms FROM u"""
+)
+def journal_to_events(spark, sf_dir):
+    """An agent journal of runs and steps, made from the ledger, as events."""
+    from pyspark.sql import Window
+
+    raw = _raw(spark, sf_dir)
+    runs = raw.groupBy(F.col("trace_id").alias("id")).agg(F.min("source").alias("agent"), F.lit("completed").alias("run_status"), F.min("name").alias("run_input"), F.min("observed_at_unix_ms").alias("created_at"))
+    kind = F.when(F.col("span_kind").startswith("llm"), "llm_call").when(F.col("span_kind") == "agent.step", "agent_step").otherwise("tool_call")
+    tool = F.when(F.col("span_kind") == "memory.write", "memory_write").when(F.col("span_kind") == "memory.read", "memory.read").when(F.col("span_kind") == "tool.call", "shell")
+    steps = raw.select(
+        F.col("trace_id").alias("run_id"), F.row_number().over(Window.partitionBy("trace_id").orderBy("id")).cast("long").alias("seq"), kind.alias("kind"), "status", F.to_json(F.struct(F.col("name").alias("kind"), "text")).alias("request"),
+        F.when(F.col("id") % 3 == 0, F.to_json(F.struct(F.col("status").alias("answer")))).alias("result"), tool.alias("tool_name"), F.when(F.col("id") % 2 == 0, F.col("span_id")).alias("tool_use_id"), F.lit(0).cast("long").alias("attempt"),
+        F.floor(F.col("observed_at_unix_ms") / 1000).alias("started_at"), F.floor(F.col("ingested_at_unix_ms") / 1000).alias("finished_at"),
+    )
+    events = X.journal_events(runs, steps, "tenant", "project", None, CLOCK)
+    return events.select("trace_id", "span_id", "seq", "span_kind", "name", "status", "text", "observed_at_unix_ms")
 
 
 # -- upkeep ------------------------------------------------------------------------------

@@ -14,10 +14,10 @@ from chronolith.functions.classify import parse_kind
 from chronolith.functions.text import concise, json_text, stable_id
 
 TEXT_LIMIT = 2_400
-_TEXT_FIELDS = ["memory", "text", "content", "value"]
+TEXT_FIELDS = ["memory", "text", "content", "value"]
 
 
-def _string(path: str, of: str = "v") -> Column:
+def string(path: str, of: str = "v") -> Column:
     """A JSON string at a path; null if it is anything else."""
     kind = f"schema_of_variant(variant_get({of}, '{path}', 'variant'))"
     return F.expr(f"CASE WHEN try_variant_get({of}, '{path}', 'variant') IS NOT NULL AND {kind} = 'STRING' THEN try_variant_get({of}, '{path}', 'string') END")
@@ -25,17 +25,17 @@ def _string(path: str, of: str = "v") -> Column:
 
 def _said(path: str, of: str = "v") -> Column:
     """As ``_string``, trimmed, null if blank."""
-    return F.nullif(F.btrim(_string(path, of)), F.lit(""))
+    return F.nullif(F.btrim(string(path, of)), F.lit(""))
 
 
 def _attribute(suffix: str, first: str | None = None) -> Column:
     """A string attribute whose name ends in .suffix; the OpenInference name counts first."""
     found = F.expr(f"get(filter(map_entries(try_variant_get(v, '$.attributes', 'map<string,string>')), e -> endswith(e.key, '.{suffix}') AND e.key <> '{first or ''}'), 0).value")
-    return F.coalesce(_string(f'$.attributes["{first}"]'), found) if first else found
+    return F.coalesce(string(f'$.attributes["{first}"]'), found) if first else found
 
 
 def span_kind() -> Column:
-    return F.coalesce(_string("$.span_kind"), _attribute("span.kind", "openinference.span.kind"), _string("$.kind"), F.lit("agent.step"))
+    return F.coalesce(string("$.span_kind"), _attribute("span.kind", "openinference.span.kind"), string("$.kind"), F.lit("agent.step"))
 
 
 def memory_kind() -> Column:
@@ -45,18 +45,15 @@ def memory_kind() -> Column:
 
 
 def write_text(of: str = "v") -> Column:
-    nested = lambda base: [_said(f"{base}.{f}", of) for f in _TEXT_FIELDS]
+    nested = lambda base: [_said(f"{base}.{f}", of) for f in TEXT_FIELDS]
     return F.coalesce(*nested("$"), *nested("$.input"), _said("$.input", of), *nested("$.payload"), *nested("$.output"), _said("$.output", of))
 
 
 def read_text(request: str = "$.input", result: str = "$.output", of: str = "v") -> Column:
     question = F.coalesce(_said(request, of), *[_said(f"{request}.{f}", of) for f in ("question", "query", "input", "text")], *[_said(f"{request}.input.{f}", of) for f in ("question", "query", "text")])
     answer = F.coalesce(_said(result, of), *[_said(f"{result}.{f}", of) for f in ("answer", "summary", "output", "text")], *[_said(f"{result}.output.{f}", of) for f in ("answer", "summary", "text")])
-    return (
-        F.when(question.isNotNull() & answer.isNotNull(), F.concat(F.lit("memory read question: "), question, F.lit(" answer: "), answer))
-        .when(question.isNotNull(), F.concat(F.lit("memory read question: "), question))
-        .when(answer.isNotNull(), F.concat(F.lit("memory read answer: "), answer))
-    )
+    asked = F.concat(F.lit("memory read question: "), question)
+    return F.nullif(F.concat_ws(" ", asked, F.when(asked.isNull(), F.concat(F.lit("memory read answer: "), answer)).otherwise(F.concat(F.lit("answer: "), answer))), F.lit(""))
 
 
 def unix_number_to_ms(value: Column) -> Column:
@@ -89,20 +86,26 @@ def parsed(records: DataFrame, record: str = "record") -> DataFrame:
 def span_events(records: DataFrame, now_unix_ms: int, record: str = "record", tenant: str | None = None, project: str | None = None, env: str | None = None, source: str = "spans.jsonl") -> DataFrame:
     """Ledger events of JSON span records; keeps all other columns. Records that are no JSON are left out."""
     rows = parsed(records, record).filter("v IS NOT NULL")
-    kind = span_kind()
-    flat = F.when((kind == "memory.write") & write_text().isNotNull(), F.lit("")).when((kind == "memory.read") & read_text().isNotNull(), F.lit("")).otherwise(json_text(F.col(record)))
-    rows = rows.withColumn("flat", flat).withColumn("whole", F.when(_string("$.trace_id").isNull() | _string("$.span_id").isNull(), json_text(F.col(record))))
-    given = lambda value, path: F.lit(value) if value is not None else _string(path)
-    trace = F.coalesce(_string("$.trace_id"), stable_id("trace", F.col("whole")))
-    text = F.when((kind == "memory.write") & write_text().isNotNull(), write_text()).when((kind == "memory.read") & read_text().isNotNull(), read_text()).otherwise(F.col("flat"))
-    name = F.when(kind == "memory.write", F.coalesce(memory_kind(), F.lit("fact"))).when(kind == "memory.read", "episode").otherwise(F.coalesce(_string("$.name"), kind))
-    seq = F.expr("CASE WHEN schema_of_variant(try_variant_get(v, '$.seq', 'variant')) = 'BIGINT' AND try_variant_get(v, '$.seq', 'bigint') >= 0 THEN try_variant_get(v, '$.seq', 'bigint') END")
     keep = [c for c in records.columns if c != record]
-    return rows.withColumn("trace_id", trace).select(
-        *keep, F.lit(source).alias("source"), F.coalesce(given(tenant, "$.tenant_id"), F.lit("local")).alias("tenant_id"), F.coalesce(given(project, "$.project_id"), F.lit("default")).alias("project_id"),
-        given(env, "$.environment_id").alias("environment_id"), "trace_id", F.coalesce(_string("$.span_id"), stable_id("span", F.col("trace_id"), F.col("whole"))).alias("span_id"),
-        F.coalesce(seq, F.lit(1).cast("long")).alias("seq"), kind.alias("span_kind"), name.alias("name"), F.coalesce(_string("$.status"), F.lit("ok")).alias("status"),
-        concise(text, TEXT_LIMIT).alias("text"), F.col(record).alias("payload"), observed_at(F.lit(now_unix_ms)).alias("observed_at_unix_ms"), F.lit(now_unix_ms).cast("long").alias("ingested_at_unix_ms"),
+    # what is read several times below is worked out once: a generator is a barrier that projections are not merged across
+    seq = F.expr("CASE WHEN schema_of_variant(try_variant_get(v, '$.seq', 'variant')) = 'BIGINT' AND try_variant_get(v, '$.seq', 'bigint') >= 0 THEN try_variant_get(v, '$.seq', 'bigint') END")
+    given = lambda value, path: F.lit(value) if value is not None else string(path)
+    found = F.struct(
+        span_kind().alias("kind"), string("$.trace_id").alias("own_trace"), string("$.span_id").alias("own_span"), seq.alias("own_seq"), string("$.name").alias("own_name"), string("$.status").alias("own_status"),
+        given(tenant, "$.tenant_id").alias("tenant"), given(project, "$.project_id").alias("project"), given(env, "$.environment_id").alias("env"), observed_at(F.lit(now_unix_ms)).alias("observed"),
+    )
+    rows = rows.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)], F.col(record).alias("rec"), "v", F.inline(F.array(found)))
+    kind = F.col("kind")
+    told = F.struct(F.when(kind == "memory.write", write_text()).when(kind == "memory.read", read_text()).alias("said"), F.when(kind == "memory.write", memory_kind()).alias("memory"))
+    rows = rows.select("*", F.inline(F.array(told)))
+    unnamed = F.col("own_trace").isNull() | F.col("own_span").isNull()
+    rows = rows.withColumn("flat", F.when(F.col("said").isNull() | unnamed, json_text(F.col("rec")))).withColumn("trace_id", F.coalesce("own_trace", stable_id("trace", F.col("flat"))))
+    name = F.when(kind == "memory.write", F.coalesce("memory", F.lit("fact"))).when(kind == "memory.read", "episode").otherwise(F.coalesce("own_name", kind))
+    return rows.select(
+        *[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], F.lit(source).alias("source"), F.coalesce("tenant", F.lit("local")).alias("tenant_id"), F.coalesce("project", F.lit("default")).alias("project_id"),
+        F.col("env").cast("string").alias("environment_id"), "trace_id", F.coalesce("own_span", stable_id("span", F.col("trace_id"), F.col("flat"))).alias("span_id"),
+        F.coalesce("own_seq", F.lit(1).cast("long")).alias("seq"), kind.alias("span_kind"), name.alias("name"), F.coalesce("own_status", F.lit("ok")).alias("status"),
+        concise(F.coalesce("said", "flat"), TEXT_LIMIT).alias("text"), F.col("rec").alias("payload"), F.col("observed").alias("observed_at_unix_ms"), F.lit(now_unix_ms).cast("long").alias("ingested_at_unix_ms"),
         F.lit(None).cast("long").alias("projected_at_unix_ms"),
     )
 
@@ -124,8 +127,8 @@ def import_jsonl(spark: SparkSession, path: str, now_unix_ms: int, **given: str)
 
 
 # -- agent journals ------------------------------------------------------------------------------
-_TERMINAL = ["completed", "complete", "succeeded", "success", "failed", "error", "errored", "cancelled", "canceled"]
-_SUCCESS = ["completed", "complete", "succeeded", "success"]
+TERMINAL = ["completed", "complete", "succeeded", "success", "failed", "error", "errored", "cancelled", "canceled"]
+SUCCESS = ["completed", "complete", "succeeded", "success"]
 
 
 def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +158,7 @@ def journal_span_kind(kind: Column, tool: Column) -> Column:
 def importable(status: Column, span_kind_: Column) -> Column:
     """Finished steps; memory writes only if they succeeded."""
     s = F.lower(F.btrim(status))
-    return s.isin(_TERMINAL) & ((span_kind_ != "memory.write") | s.isin(_SUCCESS))
+    return s.isin(TERMINAL) & ((span_kind_ != "memory.write") | s.isin(SUCCESS))
 
 
 def journal_events(runs: DataFrame, steps: DataFrame, tenant: str, project: str, env: str | None, now_unix_ms: int, source: str = "journal") -> DataFrame:
