@@ -19,6 +19,15 @@ from chronolith.sources import ledger as L, spans as S
 from chronolith.store import Store
 
 
+#: The report of a projection: counters of the fold and their names.
+REPORT = {
+    "seen": "events_seen", "projected": "events_projected", "skipped": "events_skipped", "source_tokens": "source_token_estimate", "projected_tokens": "projected_memory_token_estimate", "touched": "stored_memories_touched",
+    "outputs": "distillation_outputs", **{c: f"distillation_{c}" for c in ("provider_calls", "provider_errors", "schema_errors", "repair_attempts", "repair_successes", "rejections")}, "replayed": "distillation_replayed_batches",
+    "input_tokens": "distillation_input_tokens", "output_tokens": "distillation_output_tokens", "elapsed_ms": "distillation_elapsed_ms",
+    **{c: f"memories_{c}" for c in ("added", "updated", "invalidated", "nooped")}, "edges": "edges_added",
+}
+
+
 class InvalidInput(ValueError):
     """A request that breaks the contract."""
 
@@ -150,36 +159,76 @@ class MemoryEngine:
         return out | {"rows_seen": seen, "rows_skipped": seen - out["rows_seen"]}
 
     # -- projection ------------------------------------------------------------------------
-    def project(self, clock_unix_ms: int | None = None) -> dict[str, int]:
-        """Fold the scopes that new events touch again, from their whole ledger, and publish one new snapshot."""
+    def ledger(self) -> DataFrame:
+        """The ledger with the mark of every event that was projected."""
+        marks = L.latest_marks(self.store.read("projected"))
+        return self.store.read("ledger").drop("projected_at_unix_ms").join(marks, "id", "left").select(*[c.split()[0] for c in L.LEDGER_SCHEMA.split(", ")])
+
+    @property
+    def _replay(self) -> tuple[str, str] | None:
+        """Kind and fingerprint of a distiller whose accepted output is kept."""
+        fingerprint = getattr(self.distiller, "fingerprint", None)
+        return (self.distiller.kind, fingerprint) if fingerprint is not None else None
+
+    def project(self, clock_unix_ms: int | None = None, limit: int | None = None) -> dict[str, int]:
+        """Fold pending events, at most ``limit`` in order of observation and arrival, and publish the graph, the marks and the batches together.
+
+        The scopes that they touch are folded again from all that is or becomes projected there; events whose memories are kept are replayed from
+        them, so a provider is asked once for each event.  Returns the report: the sums of what the new events did.
+        """
+        return self._project(clock_unix_ms, self.ledger(), limit)
+
+    manage = project
+
+    def _project(self, clock_unix_ms: int | None, ledger: DataFrame, limit: int | None, afresh: bool = False) -> dict[str, int]:
         clock = clock_unix_ms if clock_unix_ms is not None else int(time.time() * 1000)
-        ledger = self.store.read("ledger")
-        done = self.store.manifest.get("projected_to", 0)
-        fresh = ledger.filter(F.col("id") > done)
-        count, top = fresh.agg(F.count("*"), F.max("id")).first()
-        if not count:
-            return {"events_projected": 0}
+        if afresh:
+            ledger = ledger.withColumn("projected_at_unix_ms", F.lit(None).cast("long"))
+        fresh = materialize(L.pending(ledger, limit) if limit is not None else ledger.filter("projected_at_unix_ms IS NULL"), "pending")
+        if fresh.isEmpty():
+            return dict.fromkeys(REPORT.values(), 0)
         scope = ["tenant_id", "project_id", "env"]
         touched = materialize(R.with_scope(fresh).select(*scope).distinct(), "touched")
-        mine = R.with_scope(ledger).join(touched, scope, "left_semi").drop("env")
-        folded = materialize(W.fold(mine, self.distiller), "fold")
-        kept = lambda t: R.with_scope(self.store.read(t)).join(touched, scope, "left_anti").drop("env")
+        there = ledger.filter("projected_at_unix_ms IS NOT NULL")
+        mine = R.with_scope(there).join(touched, scope, "left_semi").drop("env").unionByName(fresh)
+        distiller = self.distiller
+        if self._replay is not None:
+            kept = L.batches_of(self.store.read("batches"), *self._replay).withColumnRenamed("ledger_event_id", "id")
+            mine = mine.join(kept, "id", "left")
+            distiller = W.stored_only if afresh else distiller
+        folded = materialize(W.fold(mine, distiller), "fold")
+        did = W.fold_events(folded).join(fresh.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+        report = did.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in REPORT.items()]).first().asDict()
+        old = lambda t: self.store.read(t) if not afresh else self.store.read(t).filter("false")
+        kept_rows = lambda t: R.with_scope(old(t)).join(touched, scope, "left_anti").drop("env")
         nodes = W.fold_nodes(folded).withColumn("created_at_unix_ms", F.lit(clock).cast("long")).withColumn("updated_at_unix_ms", F.lit(clock).cast("long"))
         edges = W.fold_edges(folded).withColumn("id", F.xxhash64("from_node_id", "to_node_id", "kind"))
-        old = self.store.read("nodes")
-        spans = self.store.read("spans").join(kept("nodes").select(F.col("id").alias("node_id")), "node_id", "left_semi")
+        spans = old("spans").join(kept_rows("nodes").select(F.col("id").alias("node_id")), "node_id", "left_semi")
         order = lambda df, t: df.select(*self.store.read(t).columns)
-        self.store.write(replace=True, nodes=order(nodes, "nodes").unionByName(order(kept("nodes"), "nodes")), edges=order(edges, "edges").unionByName(order(kept("edges"), "edges")), spans=order(W.fold_spans(folded), "spans").unionByName(order(spans, "spans")))
-        self.store.publish(projected_to=top)
-        return {"events_projected": count, "nodes": self.store.read("nodes").count(), "edges": self.store.read("edges").count(), "nodes_before": old.count()}
-
-    manage = project
-
-    def rebuild(self, clock_unix_ms: int | None = None) -> dict[str, int]:
-        """Drop the graph and fold the whole ledger again."""
-        parts = {k: v for k, v in self.store.manifest["parts"].items() if k in ("ledger", "audit", "batches")}
-        self.store.publish(parts=parts, projected_to=0)
-        return self.project(clock_unix_ms)
+        tables = {
+            "nodes": order(nodes, "nodes").unionByName(order(kept_rows("nodes"), "nodes")), "edges": order(edges, "edges").unionByName(order(kept_rows("edges"), "edges")),
+            "spans": order(W.fold_spans(folded), "spans").unionByName(order(spans, "spans")),
+            "projected": did.filter("projected = 1").select(F.col("event_id").alias("ledger_event_id"), F.lit(clock).cast("long").alias("projected_at_unix_ms")),
+        }
+        if self._replay is not None and not afresh:
+            kind, fingerprint = self._replay
+            tables["batches"] = did.filter("memories IS NOT NULL").select(
+                F.col("event_id").alias("id"), F.col("event_id").alias("ledger_event_id"), F.lit(kind).alias("distiller_kind"), F.lit(fingerprint).alias("distiller_fingerprint"), "memories", F.lit(clock).cast("long").alias("created_at_unix_ms")
+            )
+        self.store.write(replace={"nodes", "edges", "spans"} | ({"projected"} if afresh else set()), **tables)
+        return report
+
+    def rebuild(self, clock_unix_ms: int | None = None, limit: int | None = None) -> dict[str, int]:
+        """Fold the ledger again from nothing and publish the new graph in one step.
+
+        With a provider whose batches are kept nobody is asked: the batches are replayed, and all projected events must have one.
+        """
+        ledger = self.ledger()
+        if self._replay is not None:
+            missing = L.missing_batches(ledger, self.store.read("batches"), *self._replay).count()
+            if missing:
+                raise InvalidInput(f"a rebuild needs the stored batch of every projected event; {missing} are missing")
+        return self._project(clock_unix_ms, ledger, limit, afresh=True)
 
     # -- reading ------------------------------------------------------------------------
     def graph(self) -> Graph:
@@ -243,10 +292,9 @@ class MemoryEngine:
     # -- housekeeping ------------------------------------------------------------------------
     def stats(self, now_unix_ms: int | None = None) -> dict[str, int]:
         now = now_unix_ms if now_unix_ms is not None else int(time.time() * 1000)
-        counts = M.stats(self.store.read("ledger"), self.store.read("nodes"), self.store.read("edges"), now, self.store.read("audit")).collect()
+        counts = M.stats(self.ledger(), self.store.read("nodes"), self.store.read("edges"), now, self.store.read("audit")).collect()
         row = {r["metric"]: r["value"] for r in counts}
-        pending = self.store.read("ledger").filter(F.col("id") > self.store.manifest.get("projected_to", 0)).count()
-        return row | {"pending_events": pending}
+        return row
 
     def health(self) -> dict:
         return self.store.health()

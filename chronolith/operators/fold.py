@@ -8,7 +8,9 @@ neighbours of an event are found by an inverted index of cue terms.
 
 from __future__ import annotations
 
+import json
 import re
+import time
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
@@ -255,12 +257,28 @@ class Scope:
         typed = [(s, n) for s, n in scored if s >= UPDATE_OVERLAP and n.kind not in ("episode", "entity_cue")]
         return [max(typed, key=lambda x: x[0])[1]] if typed else []  # the first of the best
 
-    def apply(self, event: dict, distiller=None) -> str:
-        """Fold one event; returns the op of its last memory. ``distiller``: (event, neighbours) -> memories, or None to leave the event out."""
-        near_list = self.neighbours(event["text"], event["at"])
-        memories = self.heuristic(event, near_list) if distiller is None else distiller(event, near_list)
+    def apply(self, event: dict, distiller=None, stored: str | None = None) -> dict:
+        """Fold one event; returns what it did: ``COUNTERS``, the op of its last memory and the memories that are worth keeping.
+
+        ``distiller``: (event, neighbours) -> memories, a ``Distilled``, or None to leave the event out.  ``stored``: memories that were accepted before, as JSON;
+        nobody is asked then.  Raises ValueError, with nothing done, if memories from outside revise what they may not.
+        """
+        r = dict.fromkeys(COUNTERS, 0) | {"op": "noop", "memories": None, "seen": 1, "source_tokens": tokens(event["text"])}
+        near_list, began = self.neighbours(event["text"], event["at"]), time.monotonic()
+        if stored is not None:
+            memories, r["replayed"] = json.loads(stored), 1
+        elif distiller is None:
+            memories = self.heuristic(event, near_list)
+        else:
+            memories = distiller(event, near_list)
+            for name, n in getattr(memories, "metrics", {}).items():
+                r["rejections" if name == "rejected_outputs" else name] += n
+            memories = getattr(memories, "memories", memories) if not getattr(memories, "rejected", False) else None
+        r["elapsed_ms"] = int(1000 * (time.monotonic() - began)) if distiller is not None else 0
+        if memories is None:
+            return r | {"skipped": 1}
         near, said = {n.id: n for n in near_list}, []
-        for m in memories or []:
+        for m in memories:
             self.check(m, near)
             targets = self._targets(m, near)
             op = m["op"]
@@ -268,32 +286,40 @@ class Scope:
                 op = "add"
                 self.repaired += 1
             said.append((op, m, targets))
+        r["projected"], r["outputs"] = 1, len(said)
+        if distiller is not None and stored is None:
+            r["memories"] = json.dumps(memories, ensure_ascii=False)
         made: list[Node] = []
         for op, m, targets in said:
-            node = self._write(op, m["node_kind"], m["text"], targets, event)
+            node = self._write(op, m["node_kind"], m["text"], targets, event, r)
             if node is None:
                 continue
             for edge in m.get("relation_edges") or []:
-                self.link(node, near[edge["target_node_id"]], edge["kind"], 1.0, event)
+                r["edges"] += self.link(node, near[edge["target_node_id"]], edge["kind"], 1.0, event)
             made.append(node)
+            r["touched"] += 1
+            r["projected_tokens"] += tokens(node.text)
         for a, b in zip(made, made[1:]):
-            self.link(b, a, "derived_from", 0.8, event)
+            r["edges"] += self.link(b, a, "derived_from", 0.8, event)
             if a.kind == "episode":
-                self.link(b, a, "observed_in", 0.9, event)
-        return said[-1][0] if said else "noop"
+                r["edges"] += self.link(b, a, "observed_in", 0.9, event)
+        return r | {"op": said[-1][0] if said else "noop"}
 
-    def _write(self, op: str, kind: str, text: str, targets: list[Node], event: dict) -> Node | None:
+    def _write(self, op: str, kind: str, text: str, targets: list[Node], event: dict, r: dict) -> Node | None:
         if op == "noop":
+            r["nooped"] += 1
             return None
         if op == "add":
-            node, _ = self.upsert(kind, text, event)
+            node, new = self.upsert(kind, text, event)
+            r["added" if new else "updated"] += 1
             self.cues(node, event)
             return node
         if op == "update":
             node, new = self.upsert(kind, text, event, base=targets[0].family, successor=True)
             if new:
                 self.cues(node, event)
-            self.link(node, targets[0], "supersedes", 1.0, event)
+            r["updated"] += 1
+            r["edges"] += self.link(node, targets[0], "supersedes", 1.0, event)
             return node
         node = None
         if text.strip():
@@ -303,63 +329,109 @@ class Scope:
                 if new:
                     self.cues(node, event)
         for old in targets:
-            if (node is None or old.id != node.id) and self.close(old, event["at"], event["id"]) and node is not None:
-                self.link(node, old, "supersedes", 1.0, event)
-                self.link(node, old, "contradicts", 0.8, event)
+            if (node is None or old.id != node.id) and self.close(old, event["at"], event["id"]):
+                r["invalidated"] += 1
+                r["touched"] += 1
+                if node is not None:
+                    r["edges"] += self.link(node, old, "supersedes", 1.0, event)
+                    r["edges"] += self.link(node, old, "contradicts", 0.8, event)
         return node
 
 
-def provider_distiller(provider, max_repairs: int = 1):
-    """A distiller that asks an outside provider; events whose output stays invalid are left out."""
-    from chronolith.providers import distill_with
+#: What an event does to the graph, and what it took to distil it; the sums over events are the report of a projection.
+COUNTERS = (
+    "seen projected skipped source_tokens projected_tokens touched outputs provider_calls provider_errors schema_errors repair_attempts repair_successes rejections replayed "
+    "input_tokens output_tokens elapsed_ms added updated invalidated nooped edges"
+).split()
+
+
+class provider_distiller:  # noqa: N801 - used like a function
+    """A distiller that asks an outside provider; events whose output stays invalid are left out.
+
+    ``kind`` and ``fingerprint`` say whose batches are kept for replay; without a fingerprint none are.
+    With one, an update or invalidation must name its target, since a replay can't ask what was meant.
+    """
+
+    kind = "command"
+
+    def __init__(self, provider, max_repairs: int = 1, fingerprint: str | None = None):
+        self.provider, self.max_repairs, self.fingerprint = provider, max_repairs, fingerprint
+
+    def __call__(self, event: dict, near: list[Node]):
+        from chronolith.providers import distill_with
 
-    def distill(event: dict, near: list[Node]) -> list[dict] | None:
         seen = {"trace_id": event["span"][0], "span_id": event["span"][1], "seq": event["span"][2], "span_kind": event["span_kind"], "name": event["name"], "text": event["text"], "observed_at_unix_ms": event["at"]}
-        out = distill_with(provider, seen, [{"id": n.id, "kind": n.kind, "text": n.text, "canonical_key": n.key} for n in near], max_repairs)
-        if out.rejected or any((s["trace_id"], s["span_id"], s["seq"]) != event["span"] for m in out.memories for s in m["cited_spans"]):
-            return None
-        return out.memories
+        out = distill_with(self.provider, seen, [{"id": n.id, "kind": n.kind, "text": n.text, "canonical_key": n.key} for n in near], self.max_repairs)
+        if any((s["trace_id"], s["span_id"], s["seq"]) != event["span"] for m in out.memories for s in m["cited_spans"]):
+            out.rejected = True
+        if self.fingerprint is not None and any(m["op"] in ("update", "invalidate") and m.get("target_node_id") is None for m in out.memories):
+            out.rejected = True
+        return out
+
 
-    return distill
+def stored_only(event: dict, near: list[Node]) -> None:
+    """A distiller that asks nobody: events without stored memories are left out."""
+    return None
 
 
 NODE_COLUMNS = (
     "id string, tenant_id string, project_id string, environment_id string, kind string, text string, canonical_key string, valid_from_unix_ms long, valid_to_unix_ms long, "
     "valid_to_event_id long, confidence double, token_estimate int, observation_count int, spans array<struct<trace_id:string,span_id:string,seq:long>>, "
-    "edges array<struct<to_node_id:string,kind:string,weight:double,created_at_unix_ms:long,source_event_id:long>>"
+    "edges array<struct<to_node_id:string,kind:string,weight:double,created_at_unix_ms:long,source_event_id:long>>, "
+    "event struct<event_id:long,op:string,memories:string," + ",".join(f"{c}:long" for c in COUNTERS) + ">"
 )
 
 
 def fold_scope(events: pd.DataFrame, distiller=None) -> pd.DataFrame:
-    """Nodes of one scope, each with its citations and outgoing edges."""
+    """Nodes of one scope, each with its citations and outgoing edges, and one row for each event with nothing but what it did."""
     events = events.sort_values(["observed_at_unix_ms", "id"])
     first = events.iloc[0]
     env = first["environment_id"] if isinstance(first["environment_id"], str) else None
     scope = Scope(first["tenant_id"], first["project_id"], env or "")
+    done = []
     for e in events.itertuples(index=False):
-        scope.apply({"id": int(e.id), "at": int(e.observed_at_unix_ms), "span": (e.trace_id, e.span_id, int(e.seq)), "span_kind": e.span_kind, "name": e.name, "text": e.text or ""}, distiller)
+        event = {"id": int(e.id), "at": int(e.observed_at_unix_ms), "span": (e.trace_id, e.span_id, int(e.seq)), "span_kind": e.span_kind, "name": e.name, "text": e.text or ""}
+        stored = e.memories if isinstance(e.memories, str) else None
+        try:
+            did = scope.apply(event, distiller, stored)
+        except ValueError:
+            if distiller is None and stored is None:
+                raise
+            did = dict.fromkeys(COUNTERS, 0) | {"op": "noop", "memories": None, "seen": 1, "skipped": 1, "rejections": 1, "source_tokens": tokens(event["text"])}
+        done.append({"event_id": event["id"]} | did)
     out: dict[str, list] = {n.id: [] for n in scope.nodes.values()}
     for (a, b, kind), (w, at, source) in scope.edges.items():
         out[a].append({"to_node_id": b, "kind": kind, "weight": w, "created_at_unix_ms": at, "source_event_id": source})
     rows = [
         (n.id, scope.place[0], scope.place[1], env, n.kind, n.text, n.key, n.valid_from, n.valid_to, n.closed_by, round(n.confidence, 6), tokens(n.text), n.observations,
-         [{"trace_id": t, "span_id": s, "seq": q} for t, s, q in n.spans], out[n.id])
+         [{"trace_id": t, "span_id": s, "seq": q} for t, s, q in n.spans], out[n.id], None)
         for n in scope.nodes.values()
     ]
-    frame = pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in re.split(r",\s+(?=\w+ )", NODE_COLUMNS)])
-    for c in ("valid_to_unix_ms", "valid_to_event_id"):
+    rows += [(None, *scope.place[:2], env, None, None, None, None, None, None, None, None, None, None, None, did) for did in done]
+    frame = pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in re.split(r",\s+(?=\w+ )", NODE_COLUMNS)], dtype=object)
+    for c in ("valid_from_unix_ms", "valid_to_unix_ms", "valid_to_event_id", "token_estimate", "observation_count"):
         frame[c] = frame[c].astype("Int64")
+    frame["confidence"] = frame["confidence"].astype("Float64")
     return frame
 
 
 def fold(ledger: DataFrame, distiller=None) -> DataFrame:
-    """The graph of a ledger: one row a node with citations and outgoing edges. A distiller must be picklable; it runs where the scope is folded."""
-    rows = ledger.withColumn("env", F.coalesce("environment_id", F.lit(""))).select("tenant_id", "project_id", "env", "environment_id", "id", "observed_at_unix_ms", "trace_id", "span_id", "seq", "span_kind", "name", "text")
+    """The graph of a ledger: one row a node with citations and outgoing edges, and one row an event. A distiller must be picklable; it runs where the scope is folded.
+
+    ledger: may carry ``memories``, JSON of what was accepted for an event before; those are replayed.
+    """
+    memories = F.col("memories") if "memories" in ledger.columns else F.lit(None).cast("string")
+    rows = ledger.withColumn("env", F.coalesce("environment_id", F.lit(""))).select("tenant_id", "project_id", "env", "environment_id", "id", "observed_at_unix_ms", "trace_id", "span_id", "seq", "span_kind", "name", "text", memories.alias("memories"))
     return rows.groupBy("tenant_id", "project_id", "env").applyInPandas(lambda events: fold_scope(events, distiller), NODE_COLUMNS)
 
 
+def fold_events(folded: DataFrame) -> DataFrame:
+    """event_id, op, memories and counters of every event."""
+    return folded.filter("event IS NOT NULL").select("event.*")
+
+
 def fold_nodes(folded: DataFrame) -> DataFrame:
-    return folded.drop("spans", "edges")
+    return folded.filter("event IS NULL").drop("spans", "edges", "event")
 
 
 def fold_edges(folded: DataFrame) -> DataFrame:

@@ -90,6 +90,11 @@ def projected_after(ledger: DataFrame, bounds: DataFrame) -> DataFrame:
     return rows.filter((at > F.struct("after_ms", "after_id")) & (F.col("before_ms").isNull() | (F.col("observed_at_unix_ms") < F.col("before_ms"))))
 
 
+def latest_marks(marks: DataFrame) -> DataFrame:
+    """id and projected_at_unix_ms of every projected event; an event that was marked twice counts once."""
+    return marks.groupBy(F.col("ledger_event_id").alias("id")).agg(F.max("projected_at_unix_ms").alias("projected_at_unix_ms"))
+
+
 BATCH_KEY = ["ledger_event_id", "distiller_kind", "distiller_fingerprint"]
 
 

@@ -14,7 +14,7 @@ from chronolith.operators.maintenance import AUDIT_SCHEMA
 from chronolith.runtime import publish_once
 from chronolith.sources.ledger import LEDGER_SCHEMA
 
-APPLICATION, SCHEMA_VERSION = "chronolith-store", 1
+APPLICATION, SCHEMA_VERSION = "chronolith-store", 2
 NODE_SCHEMA = (
     "id string, tenant_id string, project_id string, environment_id string, kind string, text string, canonical_key string, created_at_unix_ms long, updated_at_unix_ms long, "
     "valid_from_unix_ms long, valid_to_unix_ms long, valid_to_event_id long, confidence double, token_estimate int, observation_count int"
@@ -22,7 +22,8 @@ NODE_SCHEMA = (
 EDGE_SCHEMA = "id long, tenant_id string, project_id string, environment_id string, from_node_id string, to_node_id string, kind string, weight double, created_at_unix_ms long, source_event_id long"
 SPAN_SCHEMA = "node_id string, tenant_id string, project_id string, trace_id string, span_id string, seq long"
 BATCH_SCHEMA = "id long, ledger_event_id long, distiller_kind string, distiller_fingerprint string, memories string, created_at_unix_ms long"
-SCHEMAS = {"ledger": LEDGER_SCHEMA, "nodes": NODE_SCHEMA, "edges": EDGE_SCHEMA, "spans": SPAN_SCHEMA, "audit": AUDIT_SCHEMA, "batches": BATCH_SCHEMA}
+MARK_SCHEMA = "ledger_event_id long, projected_at_unix_ms long"
+SCHEMAS = {"projected": MARK_SCHEMA, "ledger": LEDGER_SCHEMA, "nodes": NODE_SCHEMA, "edges": EDGE_SCHEMA, "spans": SPAN_SCHEMA, "audit": AUDIT_SCHEMA, "batches": BATCH_SCHEMA}
 
 
 class StoreError(ValueError):
@@ -33,6 +34,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.manifest = self._load()
+        self._migrate()
 
     # -- files ------------------------------------------------------------------------
     def _path(self, name: str):
@@ -59,6 +61,13 @@ class Store:
             raise StoreError(f"{self.root} has schema version {found['schema_version']}; this is {SCHEMA_VERSION}")
         return found
 
+    def _migrate(self) -> None:
+        """Bring an older store to this version: version 1 knew only the last event that was projected, version 2 marks every one."""
+        if self.manifest["schema_version"] < 2:
+            top = self.manifest.get("projected_to", 0)
+            self.manifest = {k: v for k, v in self.manifest.items() if k != "projected_to"} | {"schema_version": 2}
+            self.write(projected=self.read("ledger").filter(f"id <= {top}").selectExpr("id AS ledger_event_id", "cast(0 AS bigint) AS projected_at_unix_ms"))
+
     def publish(self, **changes) -> None:
         new = self.manifest | changes | {"version": self.manifest["version"] + 1}
         if not publish_once(self.spark, f"{self.root}/_manifests/{new['version']:010d}.json", json.dumps(new)):
@@ -72,13 +81,14 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.root}/{p}" for p in parts])
 
-    def write(self, replace: bool = False, **tables: DataFrame) -> None:
-        """Write parts and publish them together, after those that are there or instead of them."""
+    def write(self, replace: bool | set[str] = False, **tables: DataFrame) -> None:
+        """Write parts and publish them together, after those that are there or, all of them or the named ones, instead of them."""
         parts = dict(self.manifest["parts"])
         for name, df in tables.items():
             part = f"{name}/{self.manifest['version'] + 1:010d}"
             df.write.mode("overwrite").parquet(f"{self.root}/{part}")
-            parts[name] = [part] if replace else [*parts.get(name, []), part]
+            instead = replace if isinstance(replace, bool) else name in replace
+            parts[name] = [part] if instead else [*parts.get(name, []), part]
         self.publish(parts=parts)
 
     def compact(self, table: str, files: int | None = None) -> None:

@@ -106,8 +106,8 @@ def test_fold_with_a_provider():
     assert (old.valid_to, new.valid_to, new.family) == (2000, None, old.family)
     assert [k[2] for k in scope.edges if k[0] == new.id and k[1] == old.id] == ["supersedes"]
     size = len(scope.nodes)
-    assert scope.apply(at(3, "endpoint"), provider_distiller(Scripted("bad", "bad"))) == "noop" and len(scope.nodes) == size
-    assert scope.apply(at(4, "endpoint"), provider_distiller(Scripted(said(memory(cited_spans=cite(9)))))) == "noop"
+    assert scope.apply(at(3, "endpoint"), provider_distiller(Scripted("bad", "bad")))["op"] == "noop" and len(scope.nodes) == size
+    assert scope.apply(at(4, "endpoint"), provider_distiller(Scripted(said(memory(cited_spans=cite(9))))))["skipped"] == 1
     with pytest.raises(ValueError):
         scope.apply(at(5, "endpoint"), provider_distiller(Scripted(said(memory(op="update", target_node_id="nowhere", cited_spans=cite(5))))))
     related = memory(text="endpoint example serves checkout", relation_edges=[{"kind": "part_of", "target_node_id": new.id}], cited_spans=cite(6))
