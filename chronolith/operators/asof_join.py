@@ -68,16 +68,35 @@ def hot_entities(rows: DataFrame, entity: list[str], least: int = HOT_VERSIONS)
     return sorted({r["d0"] for r in counts.filter(F.col("n") > max(least, share)).select("d0").collect()})
 
 
-def levels_of(versions: DataFrame, entity: list[str]) -> DataFrame:
+def _inside(at: Column) -> Column:
+    """A time, or the end of the tree that is nearest to it."""
+    return F.least(F.greatest(at, F.lit(0)), F.lit(FOREVER - 1))
+
+
+def event_ranges(events: DataFrame, entity: list[str]) -> DataFrame:
+    """d0, d1, first_in, last_in: the first and last event time of each entity, within the tree."""
+    e = events.filter("at IS NOT NULL AND by IS NOT NULL").select(*_digest(entity), _inside(F.col("at")).alias("t"))
+    return e.groupBy("d0", "d1").agg(F.min("t").alias("first_in"), F.max("t").alias("last_in"))
+
+
+def _nodes(start: Column, end: Column) -> Column:
+    """The nodes that cover what of an interval lies in the range of its entity's events."""
+    low = F.greatest(_inside(start), F.col("first_in"))
+    high = F.least(F.least(F.greatest(end, F.lit(1)), F.lit(FOREVER)), F.col("last_in") + 1)
+    return F.when(low < high, cover(low, high))
+
+
+def levels_of(versions: DataFrame, ranges: DataFrame, entity: list[str]) -> DataFrame:
     """d0, d1, levels: a bit for each level on which an entity's versions may have a node. versions: valid_from, valid_to and the entity columns.
 
     Events need no probe on other levels.  What is known of a version is not asked here, so this is narrow and may say too much, never too little.
     """
     never = F.lit((1 << 63) - 1)
     end = F.coalesce("valid_to", never)
-    bit = lambda nodes: F.aggregate(nodes, F.lit(0), lambda acc, n: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1), n["level"])))
-    both = bit(cover(F.col("valid_from"), end)).bitwiseOR(F.when(F.col("valid_to").isNull(), F.lit(0)).otherwise(bit(cover(F.greatest("valid_from", end), never))))
-    return versions.filter("valid_from IS NOT NULL").select(*_digest(entity), both.alias("levels")).groupBy("d0", "d1").agg(F.bit_or("levels").alias("levels"))
+    bit = lambda nodes: F.aggregate(F.coalesce(nodes, F.array()), F.lit(0), lambda acc, n: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1), n["level"])))
+    both = bit(_nodes(F.col("valid_from"), end)).bitwiseOR(F.when(F.col("valid_to").isNull(), F.lit(0)).otherwise(bit(_nodes(F.greatest("valid_from", end), never))))
+    rows = versions.filter("valid_from IS NOT NULL").select(*_digest(entity), "valid_from", "valid_to").join(ranges, ["d0", "d1"])
+    return rows.select("d0", "d1", both.alias("levels")).groupBy("d0", "d1").agg(F.bit_or("levels").alias("levels"))
 
 
 def _newest_only(v: DataFrame, e: DataFrame) -> DataFrame:
@@ -108,24 +127,23 @@ def attributes_as_known(events: DataFrame, versions: DataFrame, entity: list[str
 
     ``hot``: what ``hot_entities`` found.  In their nodes, versions that can't win are dropped before the join, so an entity
     with very many open versions does not meet each of its events with all of them.
-    ``levels``: what ``levels_of`` found; without it, each event probes every level.
+
+    Versions are cut to the time in which their entity has events before they are decomposed, and events probe only the levels on which
+    their entity has nodes then.  ``levels``: what ``levels_of`` said of the versions before they were joined with what is known of them, which saves that join.
     """
-    digest = _digest(entity)
+    digest, ranges = _digest(entity), event_ranges(events, entity)
+    levels = levels_of(versions, ranges, entity) if levels is None else levels
     v = versions.filter(F.col("known_at").isNotNull() & F.col("valid_from").isNotNull())
     never = F.lit((1 << 63) - 1)
     end, until = F.coalesce("valid_to", never), F.coalesce("closed_known_at", never)
     interval = lambda a, b, u: F.struct(a.alias("start"), b.alias("end"), u.alias("until"))
     shapes = F.array(interval(F.col("valid_from"), end, never), interval(F.greatest("valid_from", end), never, until))
-    v = v.select(*digest, "version", "valid_from", "known_at", F.explode(shapes).alias("i"))
-    v = v.filter("i.start < i.end").select("d0", "d1", "version", "valid_from", "known_at", "i.*")
-    v = v.select("*", F.explode(cover(F.col("start"), F.col("end"))).alias("n")).select("*", "n.level", "n.node").drop("n")
+    v = v.select(*digest, "version", "valid_from", "known_at", shapes.alias("shapes")).join(ranges, ["d0", "d1"]).select("*", F.explode("shapes").alias("i"))
+    v = v.filter("i.start < i.end").select("d0", "d1", "version", "valid_from", "known_at", "i.*", "first_in", "last_in")
+    v = v.select("*", F.explode(_nodes(F.col("start"), F.col("end"))).alias("n")).select("*", "n.level", "n.node").drop("n", "first_in", "last_in")
     e = events.filter(F.col("at").isNotNull() & F.col("by").isNotNull())
-    inside = F.least(F.greatest(F.col("at"), F.lit(0)), F.lit(FOREVER - 1))
-    e = e.select("event_id", "at", "by", *digest, inside.alias("inside"))
-    nodes = enclosing(F.col("inside"))
-    if levels is not None:
-        e = e.join(levels, ["d0", "d1"])
-        nodes = F.filter(nodes, lambda n: F.call_function("shiftright", F.col("levels"), n["level"]).bitwiseAND(F.lit(1)) == 1)
+    e = e.select("event_id", "at", "by", *digest, _inside(F.col("at")).alias("inside")).join(levels, ["d0", "d1"])
+    nodes = F.filter(enclosing(F.col("inside")), lambda n: F.call_function("shiftright", F.col("levels"), n["level"]).bitwiseAND(F.lit(1)) == 1)
     e = e.select("event_id", "at", "by", "d0", "d1", F.explode(nodes).alias("n")).select("event_id", "at", "by", "d0", "d1", "n.level", "n.node")
     if hot:
         v = v.filter(~F.col("d0").isin(hot)).unionByName(_newest_only(v.filter(F.col("d0").isin(hot)), e.filter(F.col("d0").isin(hot))).select(*v.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronolith.functions.identity import environment, family_key, message_key
-from chronolith.operators.asof_join import attributes_as_known, hot_entities, known_since, levels_of
+from chronolith.operators.asof_join import attributes_as_known, event_ranges, hot_entities, known_since, levels_of
 from chronolith.operators.dedupe import MessageStore
 from chronolith.operators import drift
 from chronolith.operators.intervals import periods_and_gaps
@@ -67,9 +67,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("version"), "tenant_id", "project_id", environment(F.col("environment_id")).alias("env"), family_key(F.col("canonical_key")).alias("family"),
         F.col("valid_from_unix_ms").alias("valid_from"), F.col("valid_to_unix_ms").alias("valid_to"), "valid_to_event_id",
     )
-    hot, levels = hot_entities(versions, entity), levels_of(versions, entity)
+    asked = asked.withColumnRenamed("id", "event_id")
+    hot, levels = hot_entities(versions, entity), levels_of(versions, event_ranges(asked, entity), entity)
     versions = versions.join(known, "version").join(closing, "valid_to_event_id", "left")
-    return attributes_as_known(asked.withColumnRenamed("id", "event_id"), versions, entity, hot, levels).select("event_id", F.col("version").alias("node_id"))
+    return attributes_as_known(asked, versions, entity, hot, levels).select("event_id", F.col("version").alias("node_id"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
