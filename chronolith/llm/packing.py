@@ -131,7 +131,9 @@ class Plan:
 
 def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     """container_id, capacity, doc_id, piece_no, start_token, n_tokens of everything that is to be placed."""
-    named = [(r["container_id"], r["capacity_tokens"]) for r in containers.select("container_id", "capacity_tokens").collect()]
+    named = [(r["container_id"], r["capacity_tokens"]) for r in containers.select("container_id", "capacity_tokens").distinct().collect()]
+    if len({c for c, _ in named}) < len(named):
+        raise ValueError("a container has one capacity")
     if any(c is None or n is None or n < 1 for c, n in named):
         raise ValueError("every container needs a name and a capacity of at least one token")
     wanted = F.array(*[F.struct(F.lit(c).alias("container_id"), F.lit(n).cast("long").alias("capacity")) for c, n in named])
@@ -143,7 +145,11 @@ def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
 
 
 def pack(sizes: DataFrame, containers: DataFrame, rows_a_rank: int = ROWS_A_RANK) -> DataFrame:
-    """container_id, bin_no, doc_id, piece_no, start_token, n_tokens. sizes: doc_id, n_tokens."""
+    """container_id, bin_no, doc_id, piece_no, start_token, n_tokens. sizes: doc_id, n_tokens.
+
+    Bins, their number and the sizes in each follow from the sizes alone.  Which of the documents of one size takes which of its places follows from
+    their order by id, or, where a size has more than ``rows_a_rank`` rows, by salt and then id.
+    """
     spark = sizes.sparkSession
     items = pieces(sizes, containers)
     # at most one row for each container and size up to its capacity

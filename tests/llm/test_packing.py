@@ -111,3 +111,11 @@ def test_edges(spark):
     assert sorted((r["bin_no"], r["n_tokens"]) for r in pack(df([(1, 2), (1, 2)]), containers).collect()) == [(0, 2), (0, 2)]
     with pytest.raises(ValueError):
         pack(df([(1, 2)]), spark.createDataFrame([("a", 0)], "container_id string, capacity_tokens int"))
+
+
+def test_a_container_has_one_capacity(spark):
+    sizes = spark.createDataFrame([(1, 5)], "doc_id long, n_tokens long")
+    boxes = lambda *rows: spark.createDataFrame(list(rows), "container_id string, capacity_tokens int")
+    with pytest.raises(ValueError, match="one capacity"):
+        pack(sizes, boxes(("a", 4), ("a", 8)))
+    assert pack(sizes, boxes(("a", 8), ("a", 8))).count() == 1
