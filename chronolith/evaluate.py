@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -91,14 +92,14 @@ def judge(case: dict[str, Any], answer: Answer) -> dict[str, Any]:
     return {"score": 0.0 if gate or not checks else content, "content_score": content, "hard_gate_failed": gate, "checks_total": len(checks), "checks_matched": met, "failures": failures or ([] if checks else ["case has no expectations"])}
 
 
-def run_suite(spark: SparkSession, suite: dict[str, Any], root: str, max_tokens: int | None = None, reconstruction: str | None = None, max_steps: int | None = None) -> dict[str, Any]:
+def run_suite(spark: SparkSession, suite: dict[str, Any], root: str, max_tokens: int | None = None, reconstruction: str | None = None, max_steps: int | None = None, engine: MemoryEngine | None = None) -> dict[str, Any]:
     """Append, project and ask case by case, in order; returns the report."""
     validate_suite(suite)
-    engine = MemoryEngine(spark, root)
-    reports = []
+    engine = engine or MemoryEngine(spark, root)
+    reports, projected = [], Counter()
     for i, case in enumerate(suite["cases"]):
         engine.append(spark.createDataFrame(case_events(suite, i), _ROW))
-        engine.project(clock_unix_ms=0)
+        projected.update(engine.project(clock_unix_ms=0))
         tenant, project, env = case_scope(suite, case)
         options = case.get("reconstruction") or {}
         query = Query(
@@ -108,7 +109,16 @@ def run_suite(spark: SparkSession, suite: dict[str, Any], root: str, max_tokens:
         answer = engine.ask(query)
         reports.append({"id": case["id"], "ability": case.get("ability", "information_extraction"), "tier": answer.tier_used, "baseline": case.get("baseline_full_context_score"), "evidence_tokens": sum(e["token_estimate"] for e in answer.evidence), "answer_tokens": tokens(answer.answer)} | judge(case, answer))
     table = spark.createDataFrame([(r["id"], r["ability"], r["tier"], r["baseline"], r["score"], r["checks_total"], r["checks_matched"], not r["failures"], r["evidence_tokens"], r["answer_tokens"]) for r in reports], CASES)
-    return summary(table).first().asDict() | {"ability_scores": [r.asDict() for r in by_ability(table).collect()], "cases_": reports}
+    rows = lambda df: [r.asDict() for r in df.collect()]
+    return summary(table).first().asDict() | economics(projected) | {"ability_scores": rows(by_ability(table)), "tiers": rows(by_tier(table)), "projection": dict(projected), "cases_": reports}
+
+
+def economics(projected: dict[str, int]) -> dict[str, float]:
+    """What memory costs in tokens, from a projection's report: source and projected tokens for each memory touched, and projected for each source token."""
+    source, made, touched = (projected.get(n, 0) for n in ("source_token_estimate", "projected_memory_token_estimate", "stored_memories_touched"))
+    return {
+        "source_tokens_per_stored_memory": source / max(touched, 1), "projected_tokens_per_stored_memory": made / max(touched, 1), "projected_to_source_token_ratio": made / source if source else 0.0,
+    }
 
 
 CASES = "id string, ability string, tier string, baseline double, score double, checks_total int, checks_matched int, passed boolean, evidence_tokens int, answer_tokens int"

@@ -89,11 +89,11 @@ def parse_kind(value: Column) -> Column:
 
 
 def route(question: Column, allowed: list[str] | None = None) -> Column:
-    """struct<modes, reason, confidence>. Explicit modes that differ from the default set are taken as they are."""
+    """struct<modes, reason, confidence>. Modes that are given are taken as they are, all of them too; only a question without modes is routed."""
     chosen = list(dict.fromkeys(allowed or MODES))
     result = lambda modes, reason, confidence: F.struct(modes.alias("modes"), reason.alias("reason"), confidence.alias("confidence"))
     everything = F.array(*map(F.lit, chosen))
-    if set(chosen) != set(MODES):
+    if allowed is not None:
         return result(everything, F.lit("ambiguous_fallback"), F.lit(0.2))
     lower = ascii_lower(question)
     hits = [contains_any(lower, markers) for markers, *_ in ROUTES]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chronolith.functions.jsontext import Number, parse, storable, written
-from chronolith.runtime import materialize
+from chronolith.runtime import materialize, settings
 
 #: JSON white space, then what may start an object, an array or a string.
 _OPENS = r"^[ \\t\\r\\n]*[\\[{\"]"
@@ -137,13 +137,13 @@ _FIELDS = "transform_values(map_filter(object, (k, v) -> NOT is_variant_null(v)
 
 
 def _rows(df: DataFrame, text: str, keep: str, more: str | None = None) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # a repeated key is no error: its last value counts
-    rows = df.select(F.col(f"`{keep}`").alias("k"), F.col(f"`{text}`").alias("t")).filter(F.col("t").isNotNull())
-    plain = rows.filter(f"NOT {_may_be_too_deep('t')}").select(F.col("k").alias("event_id"), F.expr(f"inline({objects_sql('t')})"))
-    also = {"object": [F.to_json("object").alias("object")], "fields": [F.expr(_FIELDS).alias("fields")]}.get(more, [])
-    plain = plain.select("event_id", F.col("path").alias("item_path"), F.col("parent").alias("parent_path"), *also)
-    schema = f"event_id {dict(rows.dtypes)['k']}, item_path string, parent_path string" + {"object": ", object string", "fields": ", fields map<string,string>"}.get(more, "")
-    return plain.unionByName(rows.filter(_may_be_too_deep("t")).mapInArrow(_walk(more), schema))
+    with settings(df.sparkSession, {"spark.sql.variant.allowDuplicateKeys": "true"}):  # read when the plan is made
+        rows = df.select(F.col(f"`{keep}`").alias("k"), F.col(f"`{text}`").alias("t")).filter(F.col("t").isNotNull())
+        plain = rows.filter(f"NOT {_may_be_too_deep('t')}").select(F.col("k").alias("event_id"), F.expr(f"inline({objects_sql('t')})"))
+        also = {"object": [F.to_json("object").alias("object")], "fields": [F.expr(_FIELDS).alias("fields")]}.get(more, [])
+        plain = plain.select("event_id", F.col("path").alias("item_path"), F.col("parent").alias("parent_path"), *also)
+        schema = f"event_id {dict(rows.dtypes)['k']}, item_path string, parent_path string" + {"object": ", object string", "fields": ", fields map<string,string>"}.get(more, "")
+        return plain.unionByName(rows.filter(_may_be_too_deep("t")).mapInArrow(_walk(more), schema))
 
 
 def flatten_objects(df: DataFrame, text: str = "payload", keep: str = "id", values: bool = False) -> DataFrame:

@@ -44,6 +44,7 @@ def provider_policy(provider: Any, metrics: dict[str, int] | None = None) -> Pol
             m["schema_errors"] = m.get("schema_errors", 0) + 1
         return "stop", None
 
+    decide.provider = provider
     return decide
 
 

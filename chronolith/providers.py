@@ -5,6 +5,7 @@ Provider output is checked before it is used; unknown fields, missing spans and
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import signal
@@ -76,6 +77,31 @@ class CommandProvider:
         return self._call(step)
 
 
+def command_distiller(command: list[str], timeout_s: float = TIMEOUT_S, max_repairs: int = 1):
+    """A distiller that runs a command; its batches are kept under a fingerprint of what decides its output."""
+    from chronolith.operators.fold import provider_distiller
+
+    _command(command, timeout_s)
+    if max_repairs < 0:
+        raise ValueError("max_repairs must not be negative")
+    return provider_distiller(CommandProvider(command, timeout_s), max_repairs, hashlib.sha256(json.dumps([command, max_repairs]).encode()).hexdigest()[:16])
+
+
+def command_policy(command: list[str], timeout_s: float = TIMEOUT_S):
+    """A reconstruction policy that runs a command for each step."""
+    from chronolith.operators.reconstruct import provider_policy
+
+    _command(command, timeout_s)
+    return provider_policy(CommandProvider(command, timeout_s))
+
+
+def _command(command: list[str], timeout_s: float) -> None:
+    if not command or not command[0].strip():
+        raise ValueError("a provider's command must not be empty")
+    if timeout_s <= 0:
+        raise ValueError("a provider's timeout must be greater than 0")
+
+
 def _only(value: Any, names: set[str], what: str) -> dict[str, Any]:
     if not isinstance(value, dict):
         raise SchemaError(f"{what} must be an object")

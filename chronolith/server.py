@@ -1,6 +1,7 @@
 """A small HTTP service over the engine: JSON in and out, bearer tokens, rate limit, request ids, audit, metrics.
 
-One engine serves all requests, one at a time; Spark does the work in parallel.  This is a service shell and adds no query capability.
+One engine serves all requests: reads run side by side, at most ``PERMITS`` of them, writes one after the other, and each has ``TASK_MS`` to answer.
+This is a service shell and adds no query capability.
 """
 
 from __future__ import annotations
@@ -13,15 +14,20 @@ import threading
 import time
 import uuid
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
 from chronolith.engine import InvalidInput, MemoryEngine, Query
 from chronolith.operators.maintenance import audit_recent
+from chronolith.providers import ProviderError
 from chronolith.store import StoreError
 
 # Limits of the service.
 MAX_BODY, MAX_TOKENS, WINDOW_MS, MAX_REQUESTS = 1 << 20, 8_000, 60_000, 600
+MAX_BATCH, PERMITS, TASK_MS = 10_000, 32, 30_000
+#: Which error gives which status; the first that fits.
+STATUS = [(InvalidInput, 400), (StoreError, 409), (TimeoutError, 504), (ProviderError, 502), ((TypeError, KeyError, ValueError), 400), (Exception, 500)]
 _REQUEST_ID = re.compile(r"[A-Za-z0-9._-]{1,128}")
 
 
@@ -48,11 +54,15 @@ class RateLimit:
 
 
 class Service:
-    def __init__(self, engine: MemoryEngine, tokens: dict[str, str] | None = None, most: int = MAX_REQUESTS):
+    def __init__(self, engine: MemoryEngine, tokens: dict[str, str] | None = None, most: int = MAX_REQUESTS, permits: int = PERMITS, task_ms: int = TASK_MS):
         """``tokens``: bearer token -> actor; without any, every caller is ``anonymous``."""
-        self.engine, self.tokens, self.limit = engine, tokens or {}, RateLimit(most)
+        provider = getattr(engine.distiller, "provider", None)
+        if provider is not None and (1 + engine.distiller.max_repairs) * getattr(provider, "timeout_s", 0) * 1000 > task_ms:
+            raise InvalidInput("a provider's call and its repairs must fit into the time of one request")
+        self.engine, self.tokens, self.limit, self.task_ms = engine, tokens or {}, RateLimit(most), task_ms
         self.counts: Counter = Counter()
-        self.lock = threading.Lock()
+        self.lock, self.writing, self.permits = threading.Lock(), threading.Lock(), threading.BoundedSemaphore(permits)
+        self.tasks = ThreadPoolExecutor(permits, "request")
 
     def actor(self, header: str | None) -> str | None:
         if not self.tokens:
@@ -64,26 +74,59 @@ class Service:
     def handle(self, method: str, path: str, body: dict[str, Any], auth: str | None) -> tuple[int, Any, dict[str, str]]:
         """(status, body, headers) of a request."""
         action = path.strip("/").removeprefix("v1/").replace("/", "_") or "root"
+        self._count("requests", action)
+        if path == "/livez":
+            return 200, {"status": "ok"}, {}
+        if path == "/readyz":
+            return self._ready()
+        who = self.actor(auth)
+        if who is None:
+            self._count("status", "401")
+            return 401, {"error": "missing or unknown bearer token"}, {"WWW-Authenticate": "Bearer"}
         with self.lock:
-            self.counts["requests", action] += 1
-            if path in ("/livez", "/readyz"):
-                return 200, {"status": "ok"}, {}
-            who = self.actor(auth)
-            if who is None:
-                return 401, {"error": "missing or unknown bearer token"}, {"WWW-Authenticate": "Bearer"}
-            if wait := self.limit.check(who, int(time.time() * 1000)):
-                self.counts["rate_limited", action] += 1
-                return 429, {"error": "too many requests"}, {"Retry-After": str(wait)}
-            try:
-                status, out = self._route(method, path, body)
-            except (InvalidInput, TypeError, KeyError) as e:
-                status, out = 400, {"error": str(e)}
-            except StoreError as e:
-                status, out = 409, {"error": str(e)}
-            self.counts["status", str(status)] += 1
-            if method == "POST":
+            wait = self.limit.check(who, int(time.time() * 1000))
+        if wait:
+            self._count("rate_limited", action)
+            return 429, {"error": "too many requests"}, {"Retry-After": str(wait)}
+        if not self.permits.acquire(blocking=False):
+            self._count("status", "503")
+            return 503, {"error": "too many requests are being answered"}, {"Retry-After": "1"}
+        began = time.monotonic()
+        task = self.tasks.submit(self._run, method, path, body)
+        try:
+            status, out = task.result(self.task_ms / 1000)
+        except Exception as e:
+            status = next(code for kind, code in STATUS if isinstance(e, kind))
+            out = {"error": str(e) or ("the request took too long" if status == 504 else type(e).__name__)}
+        self._count("status", str(status))
+        with self.lock:
+            self.counts["route_status", f"{method} {action} {status}"] += 1
+            self.counts["route_ms", action] += int(1000 * (time.monotonic() - began))
+        if method == "POST":
+            with self.writing:
                 self.engine.audit(who, action, "ok" if status < 400 else "error", path, status)
-            return status, out, {}
+        return status, out, {}
+
+    def _count(self, what: str, name: str) -> None:
+        with self.lock:
+            self.counts[what, name] += 1
+
+    def _ready(self) -> tuple[int, Any, dict[str, str]]:
+        """Whether the store can be read."""
+        try:
+            return 200, {"status": "ok", "version": self.engine.store.manifest["version"], "ledger": bool(self.engine.store.read("ledger").columns)}, {}
+        except Exception as e:
+            return 503, {"status": "unavailable", "error": str(e)}, {}
+
+    def _run(self, method: str, path: str, body: dict[str, Any]) -> tuple[int, Any]:
+        """A task of its own: it keeps its permit until it ends, also when nobody waits for it any more."""
+        try:
+            if method == "POST" and path != "/v1/query":
+                with self.writing:
+                    return self._route(method, path, body)
+            return self._route(method, path, body)
+        finally:
+            self.permits.release()
 
     def _route(self, method: str, path: str, body: dict[str, Any]) -> tuple[int, Any]:
         e = self.engine
@@ -102,7 +145,12 @@ class Service:
                 out = e.remember(body["text"], body.get("kind", "fact"), body.get("tenant_id", "local"), body.get("project_id", "default"), body.get("environment_id"), idempotency_key=body.get("idempotency_key"))
                 return 200, out | (e.project() if body.get("project", True) else {})
             case "POST", "/v1/manage" | "/v1/project":
-                return 200, e.project()
+                limit = body.get("limit", 1_000)
+                if not isinstance(limit, int) or not 0 < limit <= MAX_BATCH:
+                    raise InvalidInput(f"limit must be between 1 and {MAX_BATCH}")
+                return 200, e.project(limit=limit)
+            case "POST", "/v1/rebuild":
+                return 200, e.rebuild()
             case "POST", "/v1/query":
                 names = {f.name for f in dataclasses.fields(Query)}
                 if set(body) - names:
@@ -110,8 +158,13 @@ class Service:
                 query = Query(**body)
                 if query.max_tokens > MAX_TOKENS:
                     raise InvalidInput(f"max_tokens must be at most {MAX_TOKENS}")
+                policy = getattr(e.policy, "provider", None)
+                if policy is not None and query.reconstruction != "off" and getattr(policy, "timeout_s", 0) * 1000 * query.max_steps >= self.task_ms:
+                    raise InvalidInput("the provider's timeout for all steps must be less than the time of one request")
                 answer = dataclasses.asdict(e.ask(query))
-                self.counts["query_tier", answer["tier_used"]] += 1
+                self._count("query_tier", answer["tier_used"])
+                with self.lock:
+                    self.counts["query_tokens", answer["tier_used"]] += answer["token_estimate"]
                 return 200, answer
             case "POST", "/v1/maintenance":
                 return 200, e.maintenance(**body)

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import sqlite3
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from chronolith.functions.classify import parse_kind
 from chronolith.functions.text import concise, json_text, stable_id
+from chronolith.runtime import settings
+
+#: How VARIANT takes a repeated key.
+LAST_WINS = {"spark.sql.variant.allowDuplicateKeys": "true"}
 
 TEXT_LIMIT = 2_400
 TEXT_FIELDS = ["memory", "text", "content", "value"]
@@ -78,9 +82,10 @@ def observed_at(now: Column) -> Column:
 
 
 def parsed(records: DataFrame, record: str = "record") -> DataFrame:
-    """Adds ``v`` (null: no JSON)."""
-    wrapped = F.expr(f"try_cast(try_parse_json(concat('[', {record}, ']')) AS array<variant>)")
-    return records.withColumn("v", F.when(F.size(wrapped) == 1, wrapped[0]))
+    """Adds ``v`` (null: no JSON); of a repeated key the last value counts."""
+    with settings(records.sparkSession, LAST_WINS):  # read when the plan is made
+        wrapped = F.expr(f"try_cast(try_parse_json(concat('[', {record}, ']')) AS array<variant>)")
+        return records.withColumn("v", F.when(F.size(wrapped) == 1, wrapped[0]))
 
 
 def span_events(records: DataFrame, now_unix_ms: int, record: str = "record", tenant: str | None = None, project: str | None = None, env: str | None = None, source: str = "spans.jsonl") -> DataFrame:
@@ -110,11 +115,20 @@ def span_events(records: DataFrame, now_unix_ms: int, record: str = "record", te
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_no (from 1) and record of a text file, read in blocks: each block's lines are counted, and the sums of the blocks before it are its offset."""
+    raw = spark.read.text(path).select(F.col("value").alias("record"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    blocks = raw.groupBy("file_path", "file_block_start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file_path", "file_block_start").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block of a file
+    offsets = blocks.select("file_path", "file_block_start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return raw.join(offsets, ["file_path", "file_block_start"]).select((F.col("offset") + F.col("at") - F.col("first") + 1).alias("line_no"), "record")
+
+
 def import_jsonl(spark: SparkSession, path: str, now_unix_ms: int, **given: str) -> DataFrame:
     """Events of a JSON lines file: all or nothing. Raises with the number of the first line that is bad."""
     from chronolith.sources.ledger import validated
 
-    lines = spark.createDataFrame(spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1] + 1, x[0])), "line_no long, record string")
+    lines = numbered_lines(spark, path)
     lines = lines.filter(F.btrim("record") != "")
     bad = parsed(lines).filter("v IS NULL").agg(F.min("line_no")).first()[0]
     if bad is not None:

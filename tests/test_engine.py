@@ -11,8 +11,8 @@ from chronolith.sources import ledger as L
 from chronolith.store import Store, StoreError
 
 ROW = "source string, tenant_id string, project_id string, environment_id string, trace_id string, span_id string, seq long, span_kind string, name string, status string, text string, payload string, observed_at_unix_ms long, ingested_at_unix_ms long"
-OLD = "Use the legacy checkout token for deploys."
-NEW = "Do not use the legacy checkout token; it is deprecated. Use the scoped deploy token."
+OLD = "Harbour pilots moor ferries at the western quay."
+NEW = "Harbour pilots no longer moor ferries at the western quay; the eastern quay takes them."
 
 
 def event(kind, text, t, got=None, key=None):
@@ -35,31 +35,31 @@ def texts(answer):
 
 
 def test_remember_and_ask(spark, tmp_path):
-    e = engine(spark, tmp_path, [event("gotcha", "Checkout fails with DATABASE_URL missing. Fix by setting DATABASE_URL.", 1000)])
-    a = ask(e, "checkout database failure", as_of_unix_ms=2000)
+    e = engine(spark, tmp_path, [event("gotcha", "Pump seven failed when valve_pressure fell. Bleed valve_pressure first.", 1000)])
+    a = ask(e, "pump failure valve_pressure", as_of_unix_ms=2000)
     assert a.evidence and a.cited_spans and "Relevant memory" in a.answer
     assert all(x["kind"] != "entity_cue" for x in a.evidence)
-    assert ask(e, "checkout", as_of_unix_ms=500).answer == "No matching memory was found for this scope."
+    assert ask(e, "pump", as_of_unix_ms=500).answer == "No matching memory was found for this scope."
 
 
 def test_invalidation_is_bitemporal(spark, tmp_path):
     e = engine(spark, tmp_path, [event("fact", OLD, 1000), event("fact", NEW, 2000)])
-    before, after = (ask(e, "legacy checkout token", as_of_unix_ms=t, modes=["semantic"]) for t in (1500, 2500))
+    before, after = (ask(e, "western quay ferries", as_of_unix_ms=t, modes=["semantic"]) for t in (1500, 2500))
     assert texts(before) == [OLD] and not before.contradictions and not before.stale_assumptions
     assert OLD not in texts(after) and NEW in texts(after) and after.contradictions and after.stale_assumptions
     assert "Warning: " in after.answer
 
 
 def test_late_known_event(spark, tmp_path):
-    e = engine(spark, tmp_path, [event("fact", "The checkout late-known flag is alpha.", 1000, 3000)])
-    q = "checkout late-known flag"
+    e = engine(spark, tmp_path, [event("fact", "Lantern twelve shows amber to incoming trawlers.", 1000, 3000)])
+    q = "lantern twelve amber"
     assert not texts(ask(e, q, as_of_unix_ms=1500, known_at_unix_ms=2500))
     assert texts(ask(e, q, as_of_unix_ms=1500, known_at_unix_ms=3500))
 
 
 def test_restating_an_old_fact_does_not_change_the_past(spark, tmp_path):
     e = engine(spark, tmp_path, [event("fact", OLD, 1000), event("fact", NEW, 2000), event("fact", OLD, 3000)])
-    a = ask(e, "legacy checkout token", as_of_unix_ms=2500, modes=["semantic"])
+    a = ask(e, "western quay ferries", as_of_unix_ms=2500, modes=["semantic"])
     assert OLD not in texts(a) and a.stale_assumptions
 
 
@@ -100,7 +100,7 @@ def test_idempotency_key(spark, tmp_path):
 
 
 def test_reconstruction_and_routing(spark, tmp_path):
-    events = [event("fact", f"Service svc{i} depends on service svc{i + 1} for checkout.", 1000, key=f"k{i}") for i in range(4)]
+    events = [event("fact", f"Service svc{i} depends on service svc{i + 1} for tide tables.", 1000, key=f"k{i}") for i in range(4)]
     e = engine(spark, tmp_path, events)
     a = ask(e, "why svc0", as_of_unix_ms=2000, reconstruction="force", max_tokens=60)
     assert a.tier_used == "active_reconstruction" and a.reconstruction["reason"] == "forced" and a.reconstruction["steps_used"] >= 1
@@ -112,6 +112,49 @@ def test_reconstruction_and_routing(spark, tmp_path):
         ask(e, "x", modes=["nonsense"])
 
 
+def test_provider_batches_are_kept_and_replayed(spark, tmp_path):
+    import sys
+
+    from chronolith.providers import command_distiller
+
+    calls, script = tmp_path / "calls", tmp_path / "distil.py"
+    script.write_text(
+        "import sys, json\n"
+        "p = json.load(sys.stdin); e = p['event']\n"
+        f"open({str(calls)!r}, 'a').write(e['span_id'] + chr(10))\n"
+        "cite = [{'tenant_id': 'tenant', 'project_id': 'project', 'trace_id': e['trace_id'], 'span_id': e['span_id'], 'seq': e['seq']}]\n"
+        "if 'refuse' in e['text']: print('no JSON'); sys.exit()\n"
+        "print(json.dumps({'memories': [{'op': 'add', 'node_kind': 'fact', 'text': 'Distilled: ' + e['text'], 'cited_spans': cite}]}))\n"
+    )
+    root = f"file://{tmp_path}/store"
+    e = MemoryEngine(spark, root, distiller=command_distiller([sys.executable, str(script)], 20, 0))
+    e.append(spark.createDataFrame([event("fact", "Buoys blink twice", 1000), event("fact", "Cranes rest at night", 2000), event("fact", "refuse this", 3000)], ROW))
+    first = e.project(clock_unix_ms=7, limit=1)
+    assert (first["events_projected"], first["distillation_provider_calls"], first["memories_added"]) == (1, 1, 1)
+    assert e.stats(now_unix_ms=5000)["pending_events"] == 2
+    rest = e.project(clock_unix_ms=8)
+    assert (rest["events_seen"], rest["events_projected"], rest["events_skipped"], rest["distillation_rejections"]) == (2, 1, 1, 1)
+    assert rest["distillation_replayed_batches"] == 0 and len(calls.read_text().split()) == 3  # the first event was replayed, not asked again
+    assert {(r["id"], r["projected_at_unix_ms"]) for r in e.ledger().collect()} == {(1, 7), (2, 8), (3, None)}
+    texts_of = lambda e: sorted(r["text"] for r in e.store.read("nodes").filter("kind = 'fact'").collect())
+    want = texts_of(e)
+    assert want == ["Distilled: Buoys blink twice", "Distilled: Cranes rest at night"]
+    again = e.rebuild(clock_unix_ms=9)
+    assert again["distillation_replayed_batches"] == 2 and again["distillation_provider_calls"] == 0 and texts_of(e) == want and len(calls.read_text().split()) == 3
+    other = MemoryEngine(spark, root, distiller=command_distiller([sys.executable, "other.py"], 20, 0))
+    with pytest.raises(InvalidInput, match="2 are missing"):
+        other.rebuild()
+
+
+def test_an_older_store_is_migrated(spark, tmp_path):
+    e = engine(spark, tmp_path, [event("fact", OLD, 1000), event("fact", NEW, 2000)])
+    parts = {k: v for k, v in e.store.manifest["parts"].items() if k != "projected"}
+    e.store.publish(schema_version=1, projected_to=1, parts=parts)
+    again = MemoryEngine(spark, f"file://{tmp_path}/store")
+    assert again.store.manifest["schema_version"] == 2 and again.stats(now_unix_ms=1)["pending_events"] == 1
+    assert again.project(clock_unix_ms=0)["events_projected"] == 1
+
+
 def test_housekeeping(spark, tmp_path):
     e = engine(spark, tmp_path, [event("fact", OLD, 1000), event("fact", NEW, 2000)])
     for i in range(5):
@@ -136,14 +179,14 @@ def test_housekeeping(spark, tmp_path):
 
 def test_jsonl_and_journal(spark, tmp_path):
     spans = tmp_path / "spans.jsonl"
-    write = {"tenant_id": "tenant", "project_id": "project", "trace_id": "trace", "span_id": "span-write", "seq": 7, "attributes": {"vendor.span.kind": "memory.write", "vendor.memory.kind": "Workflow"}, "name": "memory.write", "start_time": "2026-07-01T00:00:00Z", "input": {"memory": "Checkout uses DATABASE_URL", "kind": "procedure"}}
+    write = {"tenant_id": "tenant", "project_id": "project", "trace_id": "trace", "span_id": "span-write", "seq": 7, "attributes": {"vendor.span.kind": "memory.write", "vendor.memory.kind": "Workflow"}, "name": "memory.write", "start_time": "2026-07-01T00:00:00Z", "input": {"memory": "Drain bilge tanks via outlet_b", "kind": "procedure"}}
     read = {"trace_id": "t", "span_id": "s", "span_kind": "memory.read", "input": "what", "output": "that", "start_time": 1_700_000_000}
     spans.write_text("\n".join([json.dumps(write), "", json.dumps(read), json.dumps({"z": [1, {"y": "x"}], "trace_id": "q", "span_id": "r"})]) + "\n")
     e = MemoryEngine(spark, f"file://{tmp_path}/store")
     assert e.import_jsonl(str(spans), now_unix_ms=5)["events_inserted"] == 3
     got = {r["span_id"]: r for r in e.store.read("ledger").collect()}
     w = got["span-write"]
-    assert (w["span_kind"], w["name"], w["text"], w["observed_at_unix_ms"], w["seq"]) == ("memory.write", "procedure", "Checkout uses DATABASE_URL", 1782864000000, 7)
+    assert (w["span_kind"], w["name"], w["text"], w["observed_at_unix_ms"], w["seq"]) == ("memory.write", "procedure", "Drain bilge tanks via outlet_b", 1782864000000, 7)
     assert (got["s"]["name"], got["s"]["text"], got["s"]["observed_at_unix_ms"], got["s"]["tenant_id"]) == ("episode", "memory read question: what answer: that", 1_700_000_000_000, "local")
     assert (got["r"]["text"], got["r"]["span_kind"], got["r"]["observed_at_unix_ms"]) == ("z: 1 y: x", "agent.step", 5)
     spans.write_text(json.dumps(write) + "\n{broken\n")
@@ -165,6 +208,17 @@ def test_jsonl_and_journal(spark, tmp_path):
     assert (j["span_id"], j["name"], j["text"], j["observed_at_unix_ms"]) == ("step-1", "state", "kept 1", 7000)
 
 
+def test_line_numbers_over_blocks_of_a_file(spark, tmp_path):
+    from chronolith.runtime import settings
+    from chronolith.sources.spans import numbered_lines
+
+    (tmp_path / "lines").write_text("\n".join(f"line {i} " + "x" * (i % 50) for i in range(1, 3001)))
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "5000", "spark.sql.files.openCostInBytes": "0"}):
+        rows = numbered_lines(spark, str(tmp_path / "lines")).collect()
+    assert sorted(int(r["record"].split()[1]) for r in rows) == list(range(1, 3001))
+    assert all(int(r["record"].split()[1]) == r["line_no"] for r in rows)
+
+
 def test_windows_agree_with_the_fold_on_an_add_only_ledger(spark):
     rows, n = [], 0
     for t in (1000, 1000, 2000, 3000):
@@ -199,6 +253,37 @@ def test_stream_equals_batch(spark, tmp_path):
     assert distinct_messages(ledger_stream(spark, f"{tmp_path}/in")).isStreaming
 
 
+def test_lookups(spark):
+    from chronolith.operators import bitemporal as B
+
+    nodes = W.fold_nodes(W.fold(spark.createDataFrame([(1, *event("fact", OLD, 1000)), (2, *event("fact", OLD, 2000))], "id long, " + ROW)))
+    nodes = nodes.withColumn("updated_at_unix_ms", F.lit(0).cast("long"))
+    ask = lambda *rows: spark.createDataFrame(list(rows), "ask string, tenant_id string, project_id string, environment_id string, kind string, text string, valid_from_unix_ms long")
+    found = B.node_versions_by_text(nodes, ask(("a", "tenant", "project", None, "fact", OLD, 2000), ("b", "tenant", "project", "x", "fact", OLD, 2000), ("c", "tenant", "project", None, "fact", OLD, 5))).collect()
+    by_key = {r["canonical_key"]: r["id"] for r in nodes.filter("kind = 'fact'").collect()}
+    assert [(r["ask"], r["node_id"]) for r in found] == [("a", next(i for k, i in by_key.items() if k.endswith("|rev:2000")))]
+    with pytest.raises(ValueError, match="limit"):
+        L.pending(nodes.withColumn("projected_at_unix_ms", F.lit(None)), 1 << 31)
+
+
+def test_explicit_modes_are_not_routed(spark):
+    from chronolith.functions.classify import MODES, route
+
+    df = spark.createDataFrame([("what fails",)], "q string")
+    routed, given = df.select(route(F.col("q")).alias("r"), route(F.col("q"), MODES).alias("g")).first()
+    assert routed["reason"] != given["reason"] == "ambiguous_fallback" or len(routed["modes"]) < 5
+    assert given["modes"] == MODES and given["confidence"] == 0.2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from chronolith.cli import configured, main, parser
+
+    args = parser().parse_args([f"file://{tmp_path}/s", "--distiller-command", "distil --fast", "--max-repairs", "2", "--weight", "ppr=0.5", "stats"])
+    e = configured(spark, args)
+    assert e.distiller.provider.command == ["distil", "--fast"] and e.distiller.max_repairs == 2 and e.blend["ppr"] == 0.5 and e.blend["base"] == 0.3
+    assert main([f"file://{tmp_path}/s", "--weight", "nonsense=1", "stats"]) == 1 and "unknown weight" in capsys.readouterr().err
+
+
 def test_answer_is_plain_data(spark, tmp_path):
     e = engine(spark, tmp_path, [event("fact", "Alpha beta gamma.", 1000)])
     json.dumps(dataclasses.asdict(ask(e, "alpha", as_of_unix_ms=1500)))
@@ -211,7 +296,8 @@ def test_service(spark, tmp_path):
 
     from chronolith.server import RateLimit, Service, serve
 
-    server = serve(Service(MemoryEngine(spark, f"file://{tmp_path}/store"), {"secret": "me"}), port=0)
+    service = Service(MemoryEngine(spark, f"file://{tmp_path}/store"), {"secret": "me"}, task_ms=120_000)
+    server = serve(service, port=0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
 
     def call(path, body=None, token="secret"):
@@ -231,6 +317,14 @@ def test_service(spark, tmp_path):
         assert call("/v1/query", {"question": "x", "bogus": 1})[0] == 400 and call("/v1/query", {"question": " "})[0] == 400 and call("/nowhere")[0] == 404
         assert {r["actor"] for r in call("/v1/audit")[1]} == {"me"}
         assert "chronolith_requests_total" in call("/v1/metrics/prometheus")[1]
+        assert call("/readyz", token="")[0] == 200 and call("/v1/manage", {"limit": 0})[0] == 400
+        service.task_ms = 0
+        assert call("/v1/stats")[0] == 504
+        service.task_ms, held = 60_000, [service.permits.acquire(blocking=False) for _ in range(32)]
+        assert call("/v1/stats")[0] == 503
+        for ok in held:
+            if ok:
+                service.permits.release()
     finally:
         server.shutdown()
     limit = RateLimit(2)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import classify as C, text as T
 from chronolith.operators import fold as W
 
-SAMPLES = ["The checkout route uses DATABASE_URL", "", "   ", "é 漢字 x y " * 40, "a.b/c-d_e 123 4567 v1.2", "Do not use the legacy token; it is deprecated", "no-break space　wide", "İstanbul KELVIN K", "..a.. --bb-- ccc"]
+SAMPLES = ["Gate nine opens on RIVER_LEVEL", "", "   ", "é 漢字 x y " * 40, "a.b/c-d_e 123 4567 v1.2", "Pilots no longer moor here; it is deprecated", "no-break space　wide", "İstanbul KELVIN K", "..a.. --bb-- ccc"]
 
 
 def column(spark, expr, samples=SAMPLES):
