@@ -62,12 +62,10 @@ def identified(said: DataFrame) -> DataFrame:
 
 def nodes_add_only(said: DataFrame, clock_unix_ms: int) -> DataFrame:
     """memory_nodes of all identified memories and cues; ``clock_unix_ms`` is the projection's clock."""
-    version = [*FAMILY, "valid_from"]
-    first = said.groupBy(*version).agg(F.min("event_id").alias("first_event"))
-    own = said.join(first, version).filter("event_id = first_event")
-    rows = own.groupBy(*version, "first_event", "canonical_key", "node_id").agg(
-        F.array_sort(F.collect_list(F.struct("part", "text"))).alias("told"), F.count("*").cast("int").alias("observation_count"), F.first("environment_id").alias("environment_id")
-    )
+    version = [*FAMILY, "valid_from", "canonical_key", "node_id"]
+    told = F.array_sort(F.collect_list(F.struct("part", "text")))  # what one event says of one version: two memories and their cues at most
+    each = said.groupBy(*version, "event_id").agg(told.alias("told"), F.count("*").cast("int").alias("observation_count"), F.first("environment_id").alias("environment_id"))
+    rows = each.groupBy(*version).agg(F.min_by(F.struct("told", "observation_count", "environment_id", F.col("event_id").alias("first_event")), "event_id").alias("f")).select(*version, "f.*")
     rows = rows.withColumn("text", merge_texts(F.transform("told", lambda x: x["text"])))
     w = Window.partitionBy(*FAMILY).orderBy("valid_from")
     rows = rows.withColumn("valid_to_unix_ms", F.lead("valid_from").over(w)).withColumn("valid_to_event_id", F.lead("first_event").over(w))
@@ -99,8 +97,8 @@ def edges_add_only(said: DataFrame, cues: DataFrame) -> DataFrame:
 
 def project(ledger: DataFrame, clock_unix_ms: int) -> dict[str, DataFrame]:
     """nodes, edges, spans and cues of the events that add."""
-    said = materialize(identified(materialize(memories(classified(ledger).filter("op = 'add'")), "memories")), "said")
-    cues = materialize(identified(materialize(cue_memories(said), "cue-memories")), "cues")
+    said = materialize(identified(memories(classified(ledger).filter("op = 'add'"))), "said")
+    cues = materialize(identified(cue_memories(said)), "cues")
     every = said.unionByName(cues.drop("of_part"))
     nodes = nodes_add_only(every, clock_unix_ms)
     return {"nodes": nodes, "edges": edges_add_only(said, cues), "spans": node_spans(every), "cues": cue_index(nodes)}

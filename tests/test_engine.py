@@ -263,7 +263,7 @@ def test_lookups(spark):
     by_key = {r["canonical_key"]: r["id"] for r in nodes.filter("kind = 'fact'").collect()}
     assert [(r["ask"], r["node_id"]) for r in found] == [("a", next(i for k, i in by_key.items() if k.endswith("|rev:2000")))]
     with pytest.raises(ValueError, match="limit"):
-        L.pending(nodes.withColumn("projected_at_unix_ms", F.lit(None)), 1 << 31)
+        L.pending(spark.createDataFrame([], L.LEDGER_SCHEMA), 1 << 31)
 
 
 def test_explicit_modes_are_not_routed(spark):
