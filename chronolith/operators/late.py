@@ -59,12 +59,12 @@ class PeriodCounts:
         )
 
     def log(self, df: DataFrame, event_id: Column, observed: Column, ingested: Column, batch: Column) -> None:
-        """Retain raw messages; ``batch`` numbers them in order of arrival.
+        """Retain raw messages; ``batch`` numbers them in order of arrival. A batch that is logged again replaces itself.
 
         Rows are gathered by batch and slot; adaptive execution cuts a slot that is too large for one task.
         """
         rows = self._arrivals(df, event_id, observed, ingested, batch)
-        rows.hint("rebalance", "batch", "slot").write.mode("append").partitionBy("batch", "slot").parquet(f"{self.root}/log")
+        rows.hint("rebalance", "batch", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "slot").parquet(f"{self.root}/log")
 
     def arrivals(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/log")

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chronolith.engine import MemoryEngine
-from chronolith.operators.late import HOUR_MS, outcome, period_start
+from chronolith.functions.identity import message_key
+from chronolith.operators.dedupe import MessageStore
+from chronolith.operators.late import HOUR_MS, PeriodCounts, outcome, period_start
 from chronolith.sources.ledger import EXACT_KEY, LEDGER_SCHEMA
 
 
@@ -28,9 +30,35 @@ def stream_into(events: DataFrame, engine: MemoryEngine, checkpoint: str, clock_
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def distinct_messages(events: DataFrame) -> DataFrame:
-    """First arrivals by exact key, over the whole stream; the state holds every key."""
-    return events.dropDuplicates(EXACT_KEY)
+def distinct_messages(events: DataFrame, within: str | None = None) -> DataFrame:
+    """First arrivals by exact key.
+
+    ``within``: so long after its first arrival a copy may come (an interval, by time of ingestion); the state then forgets keys that are older.
+    Without it the state holds every key of the stream, as copies may come at any time; ``keep_once`` does the same in storage instead.
+    """
+    if within is None:
+        return events.dropDuplicates(EXACT_KEY)
+    timed = events.withColumn("_at", F.timestamp_millis("ingested_at_unix_ms")).withWatermark("_at", within)
+    return timed.dropDuplicatesWithinWatermark(EXACT_KEY).drop("_at")
+
+
+def keep_once(events: DataFrame, store: MessageStore, checkpoint: str, columns: list[str] | None = None) -> StreamingQuery:
+    """Upsert every micro-batch as a sorted run of a message store; a batch that is delivered again changes nothing."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        store.upsert(df, message_key(), F.col("id"), columns)
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def correct_periods(events: DataFrame, periods: PeriodCounts, checkpoint: str) -> StreamingQuery:
+    """Log every micro-batch of messages, each once, and recompute the periods that it touches."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        periods.log(df, F.col("id"), F.col("observed_at_unix_ms"), F.col("ingested_at_unix_ms"), F.lit(number))
+        periods.apply(number)
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def period_counts(events: DataFrame, groups: list[str], period_ms: int = HOUR_MS, cutoff_ms: int = 6 * HOUR_MS) -> DataFrame:
