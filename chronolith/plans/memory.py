@@ -93,7 +93,26 @@ def text_overlap(spark, sf_dir):
     return rows.select("node_id", "event_id", F.round(T.overlap(T.terms(F.col("text")), T.terms(F.col("event_text"))), 9).alias("overlap"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE t(id, path, parent, depth, place, said, v) AS (
+      SELECT id, 'r', '', 0, 0::BIGINT, '', payload::JSON FROM ledger_events WHERE json_valid(payload)
+      UNION ALL
+      SELECT id, path || '/' || c.i, path, depth + 1, c.i, c.k, c.v FROM (
+        SELECT id, path, depth, unnest(CASE json_type(v)
+          WHEN 'OBJECT' THEN list_transform(list_sort(json_keys(v)), lambda k, i: {'i': i, 'k': k, 'v': json_extract(v, '/' || replace(replace(k, '~', '~0'), '/', '~1'))})
+          WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: {'i': i, 'k': '', 'v': json_extract(v, '/' || i)}) ELSE [] END) AS c FROM t)
+      WHERE c.k NOT IN ('trace_id', 'span_id', 'parent_span_id', 'tenant_id', 'project_id', 'environment_id', 'schema_version', 'normalizer_version')),
+    n AS (SELECT id, path, parent, depth, place, said, json_type(v) AS kind, CASE json_type(v) WHEN 'NULL' THEN '' WHEN 'OBJECT' THEN '' WHEN 'ARRAY' THEN '' ELSE json_extract_string(v, '$') END AS own FROM t),
+    up AS (
+      WITH RECURSIVE u(d, id, path, parent, place, said, txt) AS (
+        SELECT depth, id, path, parent, place, said, own FROM n WHERE depth = (SELECT max(depth) FROM n)
+        UNION ALL
+        SELECT n.depth, n.id, n.path, n.parent, n.place, n.said, CASE any_value(n.kind) WHEN 'OBJECT' THEN coalesce(string_agg(u.said || ': ' || u.txt, ' ' ORDER BY u.place) FILTER (u.txt <> ''), '')
+            WHEN 'ARRAY' THEN coalesce(string_agg(u.txt, ' ' ORDER BY u.place), '') ELSE any_value(n.own) END
+        FROM n LEFT JOIN u ON u.id = n.id AND u.parent = n.path WHERE n.depth = (SELECT max(d) - 1 FROM u) GROUP BY n.depth, n.id, n.path, n.parent, n.place, n.said)
+      SELECT id, txt FROM u WHERE d = 0)
+    SELECT l.id, up.txt AS flat FROM ledger_events l LEFT JOIN up USING (id)"""
+)
 def text_json_flatten(spark, sf_dir):
     return _raw(spark, sf_dir).select("id", T.json_text(F.col("payload")).alias("flat"))
 
@@ -540,6 +559,50 @@ def project_fold_edges(spark, sf_dir):
     return fold_edges(fold(_ledger(spark, sf_dir)))
 
 
+#: A planted ledger whose revisions have known results: id, time, text. The fifth arrives last and belongs between the first two; the fourth says nothing; the
+#: sixth and seventh share one instant and the words of one key; the eighth finds nothing to revise.
+_PLANTED = [
+    (1, 1000, "Harbour pilots moor ferries at the western quay."), (2, 2000, "Update: harbour pilots moor ferries at the eastern quay now."), (3, 3000, "Ferries no longer moor at the eastern quay; harbour pilots closed it."), (4, 3500, " "),
+    (5, 1500, "Bollard nine is painted red."), (6, 4000, "Crane seven lifts timber"), (7, 4000, "Crane seven lifts timber"), (8, 5000, "Lanterns are deprecated"), (9, 6000, "Crane seven lifts timber"),
+]
+
+
+def _planted(spark) -> DataFrame:
+    rows = [(i, "test", "t", "p", None, f"trace{i}", "s", 1, "memory.write", "fact", "ok", text, None, at, at + 10 * i, None) for i, at, text in _PLANTED]
+    return fold(spark.createDataFrame(rows, L.LEDGER_SCHEMA).repartition(3))
+
+
+@query(
+    """SELECT * FROM (VALUES ('Harbour pilots moor ferries at the western quay.', 1000, 2000, 2, 1), ('Update: harbour pilots moor ferries at the eastern quay now.', 2000, 3000, 3, 1),
+      ('Ferries no longer moor at the eastern quay; harbour pilots closed it.', 3000, NULL, NULL, 1), ('Bollard nine is painted red.', 1500, NULL, NULL, 1), ('Crane seven lifts timber', 4000, 6000, 9, 1),
+      ('Crane seven lifts timber', 6000, NULL, NULL, 1), ('Lanterns are deprecated', 5000, NULL, NULL, 1)) t(text, valid_from_unix_ms, valid_to_unix_ms, valid_to_event_id, observation_count)"""
+)
+def project_fold_revisions(spark, sf_dir):
+    """What updates, invalidations, late events, restatements and blank events do to typed memories, on planted events."""
+    return fold_nodes(_planted(spark)).filter("kind = 'fact'").select("text", "valid_from_unix_ms", "valid_to_unix_ms", "valid_to_event_id", "observation_count")
+
+
+@query(
+    """SELECT * FROM (VALUES ('Update: harbour pilots moor ferries at the eastern quay now.', 'supersedes', 'Harbour pilots moor ferries at the western quay.', 1.0::DOUBLE, 2),
+      ('Ferries no longer moor at the eastern quay; harbour pilots closed it.', 'supersedes', 'Update: harbour pilots moor ferries at the eastern quay now.', 1.0, 3),
+      ('Ferries no longer moor at the eastern quay; harbour pilots closed it.', 'contradicts', 'Update: harbour pilots moor ferries at the eastern quay now.', 0.8, 3)) t(newer, kind, older, weight, source_event_id)"""
+)
+def project_fold_revision_edges(spark, sf_dir):
+    folded = _planted(spark)
+    text = fold_nodes(folded).select("id", "text")
+    edges = fold_edges(folded).filter(F.col("kind").isin(B.REVISION_KINDS))
+    rows = edges.join(text.withColumnsRenamed({"id": "from_node_id", "text": "newer"}), "from_node_id").join(text.withColumnsRenamed({"id": "to_node_id", "text": "older"}), "to_node_id")
+    return rows.select("newer", "kind", "older", "weight", "source_event_id")
+
+
+@query("SELECT * FROM (VALUES (1, 'add', 1, 0, 0, 0), (2, 'update', 0, 1, 0, 0), (3, 'invalidate', 0, 0, 1, 0), (4, 'noop', 0, 0, 0, 0), (5, 'add', 1, 0, 0, 0), (6, 'add', 1, 0, 0, 0), (7, 'add', 0, 1, 0, 0), (8, 'add', 1, 0, 0, 0), (9, 'add', 1, 0, 0, 0)) t(event_id, op, added, updated, invalidated, nooped)")
+def project_fold_report(spark, sf_dir):
+    """What each planted event did beside its episode."""
+    from chronolith.operators.fold import fold_events
+
+    return fold_events(_planted(spark)).select("event_id", "op", F.when(F.col("seen") == F.col("projected"), F.greatest(F.col("added") - F.when(F.col("outputs") > 0, 1).otherwise(0), F.lit(0))).alias("added"), "updated", "invalidated", "nooped")
+
+
 _SAID = f"""{S.LEDGER},
 b AS (SELECT *, coalesce(environment_id, '') AS env, {S.squash('text')} AS t FROM ledger),
 c AS (SELECT * EXCLUDE (text, t), {S.concise('t', 900)} AS body FROM b),
@@ -633,11 +696,40 @@ def base_freshness(spark, sf_dir):
     return ctx.select("query_id", "node_id", F.round(base, 6).alias("base"), F.round(R.freshness(F.col("updated_at_unix_ms"), F.col("as_of")), 6).alias("fresh"))
 
 
-@query()
+_WALK = f"""ok AS (SELECT c.*, c.kind <> 'entity_cue' AND {S.accepted('c.modes', 'c.kind')} AS eligible FROM ctx c WHERE NOT c.stale),
+pairs AS (SELECT query_id, edge_id, from_node_id AS a, to_node_id AS b, typed FROM seen WHERE ranking UNION ALL SELECT query_id, edge_id, to_node_id, from_node_id, typed FROM seen WHERE ranking AND from_node_id <> to_node_id),
+near AS (SELECT * FROM (SELECT p.query_id, p.a, p.b, p.edge_id, n.token_estimate AS t, least(greatest(0.6 * p.typed + 0.4 * n.lexical, 0.0), 1.0) AS s FROM pairs p JOIN ok n ON n.query_id = p.query_id AND n.node_id = p.b WHERE n.eligible) WHERE s > 0.02),
+lastly AS (SELECT query_id, a, b, any_value(t) AS t, arg_max(s, edge_id) AS s FROM near GROUP BY 1, 2, 3),
+around AS (SELECT query_id, a AS at, list({{'s': s, 'o': b, 't': t::BIGINT}} ORDER BY s DESC, b) AS items FROM lastly GROUP BY 1, 2),
+chosen AS (SELECT query_id, list(node_id ORDER BY node_id) AS ids FROM picked GROUP BY 1),
+seed1 AS (SELECT query_id, arg_min(node_id, node_order) AS id FROM ok WHERE eligible AND lexical > 0 GROUP BY 1),
+start AS (SELECT q.query_id, coalesce(c.ids, []) AS ids, coalesce(c.ids, CASE WHEN s.id IS NULL THEN [] ELSE [s.id] END) AS frontier FROM (SELECT DISTINCT query_id FROM ok) q LEFT JOIN chosen c USING (query_id) LEFT JOIN seed1 s USING (query_id)),
+walked AS (
+  WITH RECURSIVE st(query_id, i, frontier, expanded, accepted, pruned, total, ids, spent, done) AS (
+    SELECT query_id, 0, frontier, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], 0::DOUBLE, ids, 0::BIGINT, false FROM start
+    UNION ALL
+    SELECT query_id, i + 1, CASE WHEN best IS NULL THEN rest ELSE list_prepend(best.o, rest) END, gone, CASE WHEN best IS NULL THEN accepted ELSE list_append(accepted, best.o) END, list_concat(pruned, g.p),
+      total + coalesce(best.s, 0), CASE WHEN best IS NULL THEN ids ELSE list_append(ids, best.o) END, spent + coalesce(best.t, 0), best IS NULL
+    FROM (SELECT *, CASE WHEN spent < 2000 THEN list_filter(g.c, lambda x: x.s = g.c[1].s)[-1] END AS best
+      FROM (SELECT *, list_reduce(list_prepend({{'u': 0::BIGINT, 'c': []::STRUCT(s DOUBLE, o VARCHAR, t BIGINT)[], 'p': []::VARCHAR[]}}, list_transform(free, lambda x: {{'u': x.t, 'c': [x], 'p': []::VARCHAR[]}})),
+          lambda k, x: CASE WHEN k.u + x.u > 2000 - spent THEN {{'u': k.u, 'c': k.c, 'p': list_append(k.p, x.c[1].o)}} ELSE {{'u': k.u + x.u, 'c': list_concat(k.c, x.c), 'p': k.p}} END) AS g
+        FROM (SELECT w.*, list_filter(coalesce(r.items, []), lambda x: NOT list_contains(w.ids, x.o) AND NOT list_contains(w.gone, x.o) AND NOT list_contains(w.pruned, x.o)) AS free
+          FROM (SELECT *, list_append(expanded, here) AS gone, frontier[list_position(frontier, here) + 1:] AS rest
+            FROM (SELECT *, list_filter(frontier, lambda x: NOT list_contains(expanded, x) AND NOT list_contains(pruned, x))[1] AS here FROM st WHERE i < 4 AND NOT done) WHERE here IS NOT NULL) w
+          LEFT JOIN around r ON r.query_id = w.query_id AND r.at = w.here))))
+  SELECT query_id, arg_max({{'e': expanded, 'a': accepted, 'p': pruned, 't': total, 'n': spent}}, i) AS w FROM st GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_ALL}, {_BUDGET}, {_WALK} SELECT query_id, length(w.e)::INT AS steps_used, w.n::INT AS tokens_spent, array_to_string(w.e, ' ') AS expanded, array_to_string(w.a, ' ') AS accepted, array_to_string(w.p, ' ') AS pruned,
+    round(w.t, 6) AS accepted_score FROM walked"""
+)
 def reconstruct_active(spark, sf_dir):
     c = _Context(spark, sf_dir)
     ctx, seen, picked = c.picked()
-    return reconstruct(c.questions, ctx, seen, picked)
+    walked = reconstruct(c.questions, ctx, seen, picked)
+    total = F.aggregate("accepted_scores", F.lit(0.0), lambda a, x: a + x)
+    return walked.select("query_id", "steps_used", "tokens_spent", *[F.array_join(x, " ").alias(x) for x in ("expanded", "accepted", "pruned")], F.round(total, 6).alias("accepted_score"))
 
 
 # -- sources ------------------------------------------------------------------------------
