@@ -793,7 +793,7 @@ def spans_to_events(spark, sf_dir):
     """Span records as events: ids that the record itself has, and the text where it is said in the record's own words."""
     events = X.parsed(X.span_events(table(spark, sf_dir, "raw_spans"), CLOCK), "payload")
     own = lambda name: F.when(X.string(f"$.{name}").isNotNull(), F.col(name)).alias(name)
-    said = F.when(F.col("span_kind") == "memory.write", X.write_text()).when(F.col("span_kind") == "memory.read", X.read_text()).isNotNull()
+    said = X.once(F.when(F.col("span_kind") == "memory.write", X.write_text()).when(F.col("span_kind") == "memory.read", X.read_text()).isNotNull())[0]
     return events.select("file_id", "line_no", "tenant_id", "project_id", "environment_id", own("trace_id"), own("span_id"), "seq", "span_kind", "name", "status", F.when(said, F.col("text")).alias("told"), "observed_at_unix_ms")
 
 

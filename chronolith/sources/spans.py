@@ -21,6 +21,11 @@ TEXT_LIMIT = 2_400
 TEXT_FIELDS = ["memory", "text", "content", "value"]
 
 
+def once(value: Column) -> Column:
+    """An array of one value that stays out of generated code: the probes of many paths would grow beyond what a method can hold."""
+    return F.transform(F.array(value), lambda x: x)
+
+
 def string(path: str, of: str = "v") -> Column:
     """A JSON string at a path; null if it is anything else."""
     kind = f"schema_of_variant(variant_get({of}, '{path}', 'variant'))"
@@ -99,10 +104,10 @@ def span_events(records: DataFrame, now_unix_ms: int, record: str = "record", te
         span_kind().alias("kind"), string("$.trace_id").alias("own_trace"), string("$.span_id").alias("own_span"), seq.alias("own_seq"), string("$.name").alias("own_name"), string("$.status").alias("own_status"),
         given(tenant, "$.tenant_id").alias("tenant"), given(project, "$.project_id").alias("project"), given(env, "$.environment_id").alias("env"), observed_at(F.lit(now_unix_ms)).alias("observed"),
     )
-    rows = rows.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)], F.col(record).alias("rec"), "v", F.inline(F.array(found)))
+    rows = rows.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)], F.col(record).alias("rec"), "v", F.inline(once(found)))
     kind = F.col("kind")
     told = F.struct(F.when(kind == "memory.write", write_text()).when(kind == "memory.read", read_text()).alias("said"), F.when(kind == "memory.write", memory_kind()).alias("memory"))
-    rows = rows.select("*", F.inline(F.array(told)))
+    rows = rows.select("*", F.inline(once(told)))
     unnamed = F.col("own_trace").isNull() | F.col("own_span").isNull()
     rows = rows.withColumn("flat", F.when(F.col("said").isNull() | unnamed, json_text(F.col("rec")))).withColumn("trace_id", F.coalesce("own_trace", stable_id("trace", F.col("flat"))))
     name = F.when(kind == "memory.write", F.coalesce("memory", F.lit("fact"))).when(kind == "memory.read", "episode").otherwise(F.coalesce("own_name", kind))
