@@ -78,7 +78,7 @@ ALSO_WORDS = frozenset(w for w in LISTED if len(w) > 1 and w.isalpha() and w.isl
 
 
 def plain(word: str) -> str:
-    return unicodedata.normalize("NFC", word.replace("\xad", ""))
+    return word if word.isascii() else unicodedata.normalize("NFC", word.replace("\xad", ""))
 
 
 # -- evidence ------------------------------------------------------------------------------
@@ -300,7 +300,7 @@ class Document:
             return True
         if not digit and word in ALSO_WORDS and self.alone(word):
             return False
-        if plain(word) in self.known.abbreviations:
+        if word in self.known.abbreviations:
             return True
         if not digit and word in self.known.plain:
             return False
@@ -372,7 +372,10 @@ def _period_ends(doc: Document, block: str, at: int, end: int, nxt: int, first:
     spaced = nxt > end
     if c.islower() or c in ",;:)]”»":
         return False
-    before, word = _word(_before(block, at))
+    before = _before(block, at)
+    if spaced and c.isupper() and before.isascii() and before.isalpha() and before.islower() and len(before) > 1 and before not in LISTED and before not in doc.known.abbreviations and not doc.abbreviates(before):
+        return True  # a plain word, told apart without taking it to pieces
+    before, word = _word(before)
     said = doc.abbreviation(word, c.isdigit()) if word else None
     if spaced and said is not True and c.isupper() and before.isalpha() and before.islower() and word not in LISTED and len(word) > 1:
         return True  # a plain word
