@@ -33,7 +33,7 @@ from chronolith.runtime import materialize
 
 BLANK = regex.compile(r"(?>\r\n|[\n\r\x85\u2028\u2029])(?:[^\S\n\r\x85\u2028\u2029]*(?>\r\n|[\n\r\x85\u2028\u2029]))+|[\f\v]|\u2029")
 #: A page header or footer: a number between dashes, "page n of ...", or a line that ends in a page number.
-HEADER = regex.compile(r"(?:[-–—]\s*\d+\s*[-–—]|Page \d+ of [^\n]+|[^\n]+\t\d+|[^\n]+ [–—] \d+)")
+HEADER = regex.compile(r"[-–—]\s*\d+\s*[-–—]|Page \d+ of [^\n]+")
 ENUMERATOR = regex.compile(r"(?:(?:§|¶|Rn\.|Para\.|No\.|Nr\.)\s*)?(?:[\[(]?\d{1,4}[\])]?\.?|[\[(]?[A-Z][\])]?\.|[IVXLC]+\.)(?=\s)")
 EVENT = regex.compile(r"[\"“”„«»()\[\]（）「」『』《》.!?…。！？؟।॥｡]")
 TERMINATORS = frozenset(".!?…。！？؟।॥｡")
@@ -587,6 +587,16 @@ def _thai_ends(doc: Document, block: str, floor: int, stack: list[tuple[str, int
             yield at
 
 
+def is_header(text: str, a: int, b: int) -> bool:
+    if HEADER.fullmatch(text, a, b):
+        return True
+    i = b
+    while i > a and text[i - 1].isdecimal():
+        i -= 1
+    mark = 1 if text[i - 1 : i] == "\t" else 3 if text[max(i - 3, 0) : i] in (" – ", " — ") else 0
+    return i < b and mark > 0 and i - mark > a and text.find("\n", a, b) < 0
+
+
 def units(text: str, known: Known) -> Iterator[tuple[int, int]]:
     """(start, end) of each unit, in order, without white space at either end."""
     doc = Document(text, known)
@@ -602,7 +612,7 @@ def units(text: str, known: Known) -> Iterator[tuple[int, int]]:
         while b > a and text[b - 1].isspace():
             b -= 1
         if a < b:
-            blocks.append((a, b, HEADER.fullmatch(text, a, b) is not None))
+            blocks.append((a, b, is_header(text, a, b)))
     carried: list[str] = []
     for i, (a, b, header) in enumerate(blocks):
         if header:
