@@ -944,3 +944,29 @@ def eval_summary(spark, sf_dir):
 @query("SELECT kind AS ability, count(*) AS cases, count_if(confidence >= 0.7) AS passed, round(avg(confidence), 9) AS score FROM memory_nodes GROUP BY kind")
 def eval_by_ability(spark, sf_dir):
     return E.by_ability(_cases(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+#: A planted suite whose outcome is known: found; revised, with the old premise shown as stale; asked for what only another case knows; right, but by another tier.
+_SUITE = {
+    "name": "harbour", "cases": [
+        {"id": "found", "ability": "information_extraction", "question": "which quay takes ferries", "baseline_full_context_score": 1.0, "events": [{"kind": "fact", "text": "The western quay takes ferries."}], "expected_evidence_contains": ["western quay"], "expected_answer_contains": ["Relevant memory"]},
+        {"id": "revised", "ability": "knowledge_update", "question": "harbour pilots ferries quay", "modes": ["semantic"],
+         "events": [{"kind": "fact", "text": "Harbour pilots moor ferries at the western quay."}, {"kind": "fact", "text": "Harbour pilots no longer moor ferries at the western quay; the eastern quay takes them."}],
+         "expected_evidence_contains": ["eastern"], "expected_stale_contains": ["western"], "expected_contradiction_contains": ["conflicts with"]},
+        {"id": "elsewhere", "ability": "abstention", "question": "which quay takes ferries", "events": [{"kind": "fact", "text": "Apples ripen in autumn."}], "expected_evidence_contains": ["western quay"]},
+        {"id": "other tier", "ability": "procedural", "question": "bilge steps", "events": [{"kind": "procedure", "text": "Bilge steps: open the outlet, then pump."}], "expected_evidence_contains": ["outlet"], "expected_tier": "active_reconstruction"},
+    ],
+}
+
+
+@query(
+    """SELECT * FROM (VALUES ('found', 'information_extraction', 'activation', 1.0::DOUBLE, 1.0::DOUBLE, 2, 2, true), ('revised', 'knowledge_update', 'activation', 1.0, 1.0, 3, 3, true),
+      ('elsewhere', 'abstention', 'activation', 0.0, 0.0, 1, 0, false), ('other tier', 'procedural', 'activation', 0.0, 1.0, 1, 1, false)) t(case_id, ability, tier, score, content_score, checks_total, checks_matched, passed)"""
+)
+def eval_suite(spark, sf_dir):
+    """The harness itself: events appended, projected and asked case by case, in a store of its own."""
+    from chronolith.runtime import scratch
+
+    cases = E.run_suite(spark, _SUITE, scratch(spark, "suite"))["cases_"]
+    rows = [(c["id"], c["ability"], c["tier"], float(c["score"]), float(c["content_score"]), c["checks_total"], c["checks_matched"], not c["failures"]) for c in cases]
+    return spark.createDataFrame(rows, "case_id string, ability string, tier string, score double, content_score double, checks_total int, checks_matched int, passed boolean")
