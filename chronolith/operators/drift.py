@@ -225,8 +225,11 @@ def steps(schema: DataFrame, version: DataFrame, change: DataFrame) -> DataFrame
 
 
 def _routed(rows: DataFrame, version: DataFrame, step: DataFrame) -> DataFrame:
-    """The lines with the steps of their file's fingerprint."""
-    each = step.groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("field", "source_path", "type"))).alias("steps"))
+    """The lines with the steps of their file's fingerprint: all of them by field, and those that have a path by path."""
+    to = F.struct("field", "source_path", "type")
+    each = step.groupBy("fingerprint").agg(F.sort_array(F.collect_list(to)).alias("steps"))
+    entries = lambda key, rows: F.map_from_entries(F.transform(rows, lambda s: F.struct(s[key], s)))
+    each = each.select("fingerprint", F.transform("steps", lambda s: s["field"]).alias("names"), entries("field", F.col("steps")).alias("of_field"), entries("source_path", F.filter("steps", lambda s: s["source_path"].isNotNull())).alias("of_path"))
     return rows.join(version.select("file_id", "producer", "fingerprint").join(each, "fingerprint"), "file_id")
 
 
@@ -241,12 +244,10 @@ def one_table(rows: DataFrame, version: DataFrame, step: DataFrame) -> DataFrame
     ``ok`` is false where the cast can't keep the value (digits of a whole number beyond a fraction's); ``source_text`` keeps it.
     A path that a record spells both nested and with a dotted key gives a row for each value.
     """
-    item = "named_struct('field', s.field, 'type', s.type, 'source_path', s.source_path, 'x', {x})"
-    found = "filter(leaf, x -> x.path = s.source_path)"
-    none = "cast(NULL AS struct<path:string,type:string,text:string>)"
-    routed = f"flatten(transform(steps, s -> transform(array({found}), xs -> if(size(xs) = 0, array({item.format(x=none)}), transform(xs, x -> {item.format(x='x')})))[0]))"
+    routed = """transform(array(transform(leaf, x -> named_struct('s', of_path[x.path], 'x', x))), found -> concat(found,
+      transform(array_except(names, transform(found, f -> f.s.field)), n -> named_struct('s', of_field[n], 'x', cast(NULL AS struct<path:string,type:string,text:string>)))))[0]"""
     out = _routed(rows, version, step).select("file_id", "line_no", "producer", F.explode(F.expr(routed)).alias("s"))
-    out = out.select("file_id", "line_no", "producer", "s.field", "s.type", "s.source_path", F.col("s.x.type").alias("source_type"), F.col("s.x.text").alias("source_text"))
+    out = out.select("file_id", "line_no", "producer", "s.s.field", "s.s.type", "s.s.source_path", F.col("s.x.type").alias("source_type"), F.col("s.x.text").alias("source_text"))
     text = lambda kind: f"CASE WHEN type = '{kind}' THEN source_text END"
     typed = f"""named_struct(
       'array', transform(try_cast(try_parse_json({text('array')}) AS array<variant>), v -> to_json(v)),
@@ -272,8 +273,7 @@ def wide_table(rows: DataFrame, version: DataFrame, step: DataFrame) -> DataFram
     A path that a record spells both nested and with a dotted key counts with its first value.
     """
     schema = [(r["field"], r["type"]) for r in step.select("field", "type").distinct().orderBy("field").collect()]
-    sources = F.map_from_entries(F.transform("steps", lambda s: F.struct(s["field"], s["source_path"])))
-    out = _routed(rows, version, step).select("file_id", "line_no", "producer", "leaf", sources.alias("source"))
+    out = _routed(rows, version, step).select("file_id", "line_no", "producer", "leaf", "of_field")
     literal = lambda name: "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    cell = lambda name: f"get(filter(leaf, x -> x.path = source[{literal(name)}]), 0).text"
+    cell = lambda name: f"get(filter(leaf, x -> x.path = of_field[{literal(name)}].source_path), 0).text"
     return out.select("file_id", "line_no", "producer", *[F.expr(_cast(cell(f), _SQL_TYPES[t])).alias(f) for f, t in schema])
