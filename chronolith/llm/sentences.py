@@ -339,10 +339,8 @@ WORD = 200
 
 def _before(text: str, at: int) -> str:
     """What stands before a place up to white space."""
-    i = at
-    while i > 0 and at - i < WORD and not text[i - 1].isspace():
-        i -= 1
-    return text[i:at]
+    before = text[max(0, at - WORD) : at]
+    return before.rsplit(None, 1)[-1] if before and not before[-1].isspace() else ""
 
 
 def _before_that(text: str, at: int) -> str:
