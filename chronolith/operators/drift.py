@@ -13,7 +13,7 @@ The one schema: paths that any producer renames into one another, over any chain
 paths that one file holds side by side are never joined.  A field is of its values' type; whole and fractional make fractional,
 any other mix makes string, to which all can be cast.  The default of a field that a record lacks is null.
 
-Records are parsed in Arrow batches: the higher-order form of the same walk over VARIANT took six times the CPU, as every step copies what was found.
+Records are parsed in Arrow batches: the higher-order form of the same walk over VARIANT took some five times the CPU, as every step copies what was found.
 
 Defined cases: lines that are no JSON object (or have text after it) count for nothing; null and absent values
 are equal; a span repeated in a file counts with its last line; of mixed types, whole and fractional make
