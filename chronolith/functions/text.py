@@ -5,7 +5,7 @@ All of it stays in the JVM but for the hash of ids, which takes whole Arrow batc
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -101,26 +101,38 @@ def fnv1a64_expr(*parts: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: F.concat(limb(acc["hi"]), limb(acc["lo"])))
 
 
-def _fnv_batch(data: pa.Array) -> pa.Array:
-    """FNV-1a of each binary, byte position by byte position over all rows that are long enough."""
+def _fnv_states(data: pa.Array, start: np.ndarray | None = None) -> np.ndarray:
+    """FNV-1a of each binary, byte position by byte position over all rows that are long enough. start: the states that they go on from."""
     data = data.cast(pa.large_binary())
     n = len(data)
     offsets = np.frombuffer(data.buffers()[1], np.int64, n + 1, data.offset * 8)
     raw = np.frombuffer(data.buffers()[2], np.uint8) if data.buffers()[2] else np.empty(0, np.uint8)
     size = np.diff(offsets)
     order = np.argsort(-size, kind="stable")
-    start, left = offsets[:-1][order], -size[order]
-    h = np.full(n, 0xCBF29CE484222325, np.uint64)
+    first, left = offsets[:-1][order], -size[order]
+    h = np.full(n, 0xCBF29CE484222325, np.uint64) if start is None else start[order]
     prime = np.uint64(0x100000001B3)
     for j in range(int(size.max(initial=0))):
         live = np.searchsorted(left, -j, "left")  # the rows of more than j bytes
-        h[:live] = (h[:live] ^ raw[start[:live] + j]) * prime
+        h[:live] = (h[:live] ^ raw[first[:live] + j]) * prime
     out = np.empty(n, np.uint64)
     out[order] = h
-    hexed = pa.array([f"{x:016x}" for x in out.tolist()], pa.string())
+    return out
+
+
+def _fnv_batch(data: pa.Array) -> pa.Array:
+    hexed = pa.array([f"{x:016x}" for x in _fnv_states(data).tolist()], pa.string())
     return pc.if_else(data.is_valid(), hexed, None)
 
 
+def fnv1a64_ids(prefix: str, starts: list[int], parts: Sequence[str]) -> pa.Array:
+    """prefix and the digits of each part, going on from the state that the parts before it gave."""
+    states = _fnv_states(pa.array([p.encode() + b"\xff" for p in parts], pa.large_binary()), np.array(starts, np.uint64))
+    head, digits = np.frombuffer(prefix.encode(), np.uint8), np.frombuffer(states.astype(">u8").tobytes().hex().encode(), np.uint8).reshape(-1, 16)
+    text = np.hstack([np.broadcast_to(head, (len(digits), len(head))), digits])
+    return pa.StringArray.from_buffers(len(text), pa.py_buffer(np.arange(0, text.size + 1, text.shape[1], np.int32)), pa.py_buffer(np.ascontiguousarray(text)))
+
+
 @lru_cache(maxsize=1)
 def _fnv_udf():
     def fnv(data: pa.Array) -> pa.Array:

@@ -43,12 +43,16 @@ def top_terms(text: str, limit: int) -> list[str]:
     return sorted(terms(text), key=lambda t: (-weight(t), t))[:limit]
 
 
-def fnv(*parts: str) -> str:
+def fnv_state(*parts: str) -> int:
     h = 0xCBF29CE484222325
     for p in parts:
         for b in p.encode() + b"\xff":
             h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return f"{h:016x}"
+    return h
+
+
+def fnv(*parts: str) -> str:
+    return f"{fnv_state(*parts):016x}"
 
 
 def canonical_key(kind: str, text: str) -> str:
@@ -58,7 +62,7 @@ def canonical_key(kind: str, text: str) -> str:
 
 
 def tokens(text: str) -> int:
-    return max(-(-sum(not c.isspace() for c in text) // 4), 1 if text else 0)
+    return max(-(-sum(map(len, text.split())) // 4), 1 if text else 0)
 
 
 def clip(text: str, limit: int) -> str:
