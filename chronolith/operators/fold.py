@@ -43,8 +43,7 @@ def top_terms(text: str, limit: int) -> list[str]:
     return sorted(terms(text), key=lambda t: (-weight(t), t))[:limit]
 
 
-def fnv_state(*parts: str) -> int:
-    h = 0xCBF29CE484222325
+def fnv_state(*parts: str, h: int = 0xCBF29CE484222325) -> int:
     for p in parts:
         for b in p.encode() + b"\xff":
             h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
